@@ -5,12 +5,13 @@
    for; these keys bring candidates together.  "Rare" follows a fixed-size count of all
    shingles, so that passages which many documents share are keys of last resort.  Any order
    gives the same result.
-3. Candidates connected through keys form groups.  A group's texts meet in one task; a group over
-   the limits is cut into chunks and every pair of chunks meets, so no limit drops a pair.
-4. In a task, shingles are hashed to coordinates, the counts per coordinate make each set a point
-   and an R-tree holds the points.  The summed minima of two points (or of a point and a box)
-   bound the overlap from above; pairs that the bound leaves, and that are not connected yet,
-   are verified on their sets.
+3. Shingles are hashed to coordinates; the counts per coordinate make each set a point.  The
+   points of one key meet in an R-tree: the summed minima of two points (or of a point and a box)
+   bound the overlap from above.  What the bound leaves is connected to candidate groups.
+4. A group's texts meet in one task, again in an R-tree; pairs that the bound leaves and that are
+   not connected yet are verified on their sets.
+A key or a group over the limits of a task is cut into chunks and every pair of chunks meets, so
+no limit drops a pair.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SLOT_BITS = 20
 OVER_MEAN = 8
 COORDINATES = 64
 FANOUT = 16
+#: Points of long sets have so many times the coordinates, in whose sums the short ones lie.
+FINE, FINE_SIZE = 4, 1000
 
 
 def shingle_sets(words: W.Words, n: int) -> Iterator[np.ndarray]:
@@ -51,6 +54,27 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def point(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    return np.bincount((shingles % np.uint64(coordinates)).astype(np.int64), minlength=coordinates)
+
+
+def packed_point(shingles: np.ndarray) -> bytes:
+    """A point of two bytes a coordinate (four if a count needs it), fine for long sets."""
+    counts = point(shingles, COORDINATES * (FINE if len(shingles) >= FINE_SIZE else 1))
+    return counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked_points(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Points of equal dimension: fine ones if all are, else sums of each fine one's coordinates."""
+    fine = bool((sizes >= FINE_SIZE).all())
+    out = []
+    for b, size in zip(blobs, sizes.tolist(), strict=True):
+        width = COORDINATES * (FINE if size >= FINE_SIZE else 1)
+        counts = np.frombuffer(b, "<u2" if len(b) == 2 * width else "<u4").astype(np.int64)
+        out.append(counts if fine or width == COORDINATES else counts.reshape(FINE, COORDINATES).sum(axis=0))
+    return np.stack(out)
+
+
 def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
     """Rank class of each slot of a fixed-size shingle count over all texts: 0, or log2 of its count.
 
@@ -120,7 +144,7 @@ def local_roots(sets: list[np.ndarray], ids: list, percent: int) -> list[int]:
     for k, i in enumerate(ids):
         union(first.setdefault(i, k), k)
     sizes = np.array([len(s) for s in sets], np.int64)
-    counts = np.stack([np.bincount((s % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES) for s in sets])
+    counts = np.stack([point(s, COORDINATES * (FINE if sizes.min() >= FINE_SIZE else 1)) for s in sets])
     tree = CountRTree(counts, sizes)
     # the most central sets first: what they connect needs no check among itself
     central = np.abs(counts - counts.mean(axis=0)).sum(axis=1)
@@ -143,6 +167,47 @@ def local_roots(sets: list[np.ndarray], ids: list, percent: int) -> list[int]:
     return [find(k) for k in range(len(sets))]
 
 
+def bounded_stars(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions (member, root) that connect all pairs which the bound leaves."""
+    n = len(ids)
+    parent = np.arange(n)
+    tree = CountRTree(counts, sizes)
+    for k in range(n):
+        near = tree.search(counts[k], int(sizes[k]), percent)
+        roots = np.unique(parent[near])
+        if len(roots) > 1:
+            parent[np.isin(parent, roots)] = roots[0]
+    return [(k, int(r)) for k, r in enumerate(parent) if k != r]
+
+
+def block_edges(keys: np.ndarray, ids: np.ndarray, blobs: list[bytes], sizes: np.ndarray, percent: int) -> tuple[list, list]:
+    """Candidate edges (positions) inside the runs of equal keys; keys are sorted."""
+    left, right = [], []
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    run = np.diff(cuts)
+    short = np.repeat(run <= 4, run)
+    for step in (1, 2, 3):  # pairs of short runs, all at once
+        a = np.flatnonzero(short[:-step] & (keys[:-step] == keys[step:])) if len(keys) > step else np.empty(0, np.int64)
+        a = a[100 * np.minimum(sizes[a], sizes[a + step]) >= percent * np.maximum(sizes[a], sizes[a + step])]
+        a = a[ids[a] != ids[a + step]]
+        for fine in (False, True):
+            part = a[((sizes[a] >= FINE_SIZE) & (sizes[a + step] >= FINE_SIZE)) == fine]
+            for lo in range(0, len(part), 4096):
+                x = part[lo : lo + 4096]
+                both = unpacked_points([blobs[k] for k in x.tolist()] + [blobs[k + step] for k in x.tolist()], np.concatenate([sizes[x], sizes[x + step]]))
+                overlap = np.minimum(both[: len(x)], both[len(x) :]).sum(axis=1)
+                x = x[(100 + percent) * overlap >= percent * (sizes[x] + sizes[x + step])]
+                left += x.tolist()
+                right += (x + step).tolist()
+    for k in np.flatnonzero(run > 4).tolist():
+        lo, hi = int(cuts[k]), int(cuts[k + 1])
+        counts = unpacked_points(blobs[lo:hi], sizes[lo:hi])
+        for member, root in bounded_stars(ids[lo:hi], counts, sizes[lo:hi], percent):
+            left.append(lo + member)
+            right.append(lo + root)
+    return left, right
+
+
 def jaccard_classes(
     documents: DataFrame,
     *,
@@ -174,9 +239,10 @@ def jaccard_classes(
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - SLOT_BITS)
         for batch in W.steps(batches):
-            sizes, marks, keys = [], [], []
+            sizes, marks, keys, points = [], [], [], []
             for s in shingle_sets(W.split(batch.column("text"), lower=True), n):
                 sizes.append(len(s))
+                points.append(packed_point(s))
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 marks.append(np.frombuffer(digest, "<i8"))
                 if len(s):
@@ -187,19 +253,80 @@ def jaccard_classes(
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists],
-                ["_id", "_n", "_f1", "_f2", "_keys"],
+                [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists, pa.array(points, pa.binary())],
+                ["_id", "_n", "_f1", "_f2", "_keys", "_point"],
             )
 
-    sketches = materialize(docs.mapInArrow(sketch, f"_id {kind}, _n long, _f1 long, _f2 long, _keys array<long>"))
+    sketches = materialize(docs.mapInArrow(sketch, f"_id {kind}, _n long, _f1 long, _f2 long, _keys array<long>, _point binary"))
     real = sketches.filter("_n > 0 AND _id IS NOT NULL")
     classes = real.groupBy("_f1", "_f2").agg(F.min("_id").alias("_rep"))
     members = sketches.select("_id", "_n", "_f1", "_f2").join(classes, ["_f1", "_f2"], "left").select("_id", "_n", "_rep")
-    keyed = (
-        real.join(classes, ["_f1", "_f2"]).filter("_id = _rep").select("_rep", "_n", F.explode("_keys").alias("_key"))
+    own = real.join(classes, ["_f1", "_f2"]).filter("_id = _rep")
+    keyed = own.select("_rep", F.explode("_keys").alias("_key"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of keys with more than one row, in a stream sorted by key: a row waits for the next."""
+        last_key, last_id, open_ = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = batch.column("_key").to_numpy(), batch.column("_rep")
+            same = keys[1:] == keys[:-1]
+            before = np.concatenate([[keys[0] == last_key], same])
+            after = np.concatenate([same, [False]])
+            live = pa.array(before | after)
+            if before[0] and not open_:
+                yield pa.RecordBatch.from_arrays([pa.array([last_key], pa.int64()), last_id], ["_key", "_rep"])
+            out = pa.RecordBatch.from_arrays([batch.column("_key"), ids], ["_key", "_rep"]).filter(live)
+            if out.num_rows:
+                yield out
+            last_key, last_id, open_ = keys[-1], ids.slice(batch.num_rows - 1, 1), bool(before[-1])
+
+    live = materialize(
+        keyed.repartition("_key").sortWithinPartitions("_key").mapInArrow(shared, f"_key long, _rep {kind}")
+    )
+    blocks = live.groupBy("_key").agg(F.ceil(F.count("*") / task_documents).cast("int").alias("_parts")).filter("_parts > 1")
+    points = own.select(F.col("_rep").alias("_of"), "_n", "_point")
+    part = F.pmod(F.xxhash64("_of"), F.col("_parts")).cast("int")
+    pointed = (
+        live.join(blocks, "_key", "left")
+        .join(points, F.col("_rep") == F.col("_of"))
+        .withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        .withColumn("_part", part)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .withColumn("_block", F.xxhash64("_key", F.least("_part", "_other"), F.greatest("_part", "_other")))
+        .select("_block", F.col("_rep").alias("_id"), "_n", "_point")
+    )
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidate edges of each block, in a stream sorted by block; the last block waits."""
+        rest: pa.Table | None = None
+
+        def edges(table: pa.Table) -> pa.RecordBatch:
+            ids = table.column("_id").combine_chunks()
+            code = ids.dictionary_encode().indices.to_numpy()
+            sizes = table.column("_n").to_numpy()
+            a, b = block_edges(table.column("_block").to_numpy(), code, table.column("_point").to_pylist(), sizes, percent)
+            pairs = np.unique(np.stack([code[a], code[b]]), axis=1) if a else np.empty((2, 0), np.int64)
+            first = np.unique(code, return_index=True)[1]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(first[x])) for x in pairs], ["u", "v"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            if not table.num_rows:
+                continue
+            block = table.column("_block").to_numpy()
+            cut = int(np.searchsorted(block, block[-1], side="left"))
+            if cut:
+                yield edges(table.slice(0, cut).combine_chunks())
+            rest = table.slice(cut).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield edges(rest)
+
+    near = connected_components(
+        pointed.repartition("_block").sortWithinPartitions("_block").mapInArrow(candidates, f"u {kind}, v {kind}")
     )
-    shared = keyed.groupBy("_key").agg(F.count("*").alias("_many"), F.min("_rep").alias("_first")).filter("_many > 1")
-    near = connected_components(keyed.join(shared.select("_key", "_first"), "_key").select(F.col("_rep").alias("u"), F.col("_first").alias("v")))
     nodes = near.union(near.select(F.col("v"), F.col("v")).distinct()).toDF("_of", "_group")
     sized = nodes.join(real.groupBy(F.col("_id").alias("_of")).agg(F.sum("_n").alias("_size")), "_of")
     chunks = sized.groupBy("_group").agg(

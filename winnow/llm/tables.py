@@ -38,6 +38,8 @@ def materialize(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    # what the finished job shuffled goes once the driver's JVM finds it unreachable
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
