@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, lm_scoring, mixing, packing, quality_rules, substring_dedup, toxicity
+from . import jaccard_join, line_dedup, lm_scoring, mixing, packing, pii, quality_rules, substring_dedup, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_pii": pii.op2_pii,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_topk_search": topk_search.op4_topk_search,
         "op5_packing": packing.op5_packing,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_toxicity": toxicity.op7_toxicity,
