@@ -33,9 +33,9 @@ for _name, _sql in {
     "source_label_counts": f"SELECT kaynak, label, count(*) AS n FROM {_LAB} x GROUP BY kaynak, label",
     "class_counts": f"SELECT label, count(*) AS n FROM {_LAB} x GROUP BY label",
     "top_sources": f"SELECT kaynak, count(*) AS n FROM {_LAB} x GROUP BY kaynak ORDER BY n DESC, kaynak LIMIT 15",
-    "source_label_pivot": f"SELECT kaynak, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS clean, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS toxic FROM {_LAB} x GROUP BY kaynak",
+    "source_label_pivot": f"SELECT kaynak, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS clean, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic FROM {_LAB} x GROUP BY kaynak",
     "source_label_ratio": f"SELECT kaynak, round(avg(CAST(label AS DOUBLE)), 6) AS toxic_share, round(1 - avg(CAST(label AS DOUBLE)), 6) AS clean_share FROM {_LAB} x GROUP BY kaynak",
-    "null_profile": "SELECT count(*) AS n, sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS null_texts, count(DISTINCT source) AS sources, sum(CASE WHEN length(text) < 20 THEN 1 ELSE 0 END) AS tiny FROM {documents}",
+    "null_profile": "SELECT count(*) AS n, CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_texts, count(DISTINCT source) AS sources, CAST(sum(CASE WHEN length(text) < 20 THEN 1 ELSE 0 END) AS BIGINT) AS tiny FROM {documents}",
     "duplicate_excess": "SELECT count(*) - count(DISTINCT coalesce(text, '<null>')) AS excess FROM {documents}",
     "schema_backfill": "SELECT d.doc_id, coalesce(l.toxic, 0) AS toxic, coalesce(l.quality, -1) AS quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
     "unlabelled_documents": "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)",
