@@ -33,8 +33,13 @@ SLOT_BITS = 20
 OVER_MEAN = 8
 COORDINATES = 64
 FANOUT = 16
-#: Points of long sets have so many times the coordinates, in whose sums the short ones lie.
-FINE, FINE_SIZE = 4, 1000
+#: Sets from FINE_SIZE shingles on have four times the coordinates, from 4 * FINE_SIZE on 16 times,
+#: and so on; sums of a finer point's coordinates give the coarser one.
+FINE_SIZE = 1000
+
+
+def level_of(sizes: np.ndarray) -> np.ndarray:
+    return np.maximum(np.floor(np.log(np.maximum(sizes, 1) / FINE_SIZE) / np.log(4)).astype(np.int64) + 1, 0)
 
 
 def shingle_sets(words: W.Words, n: int) -> Iterator[np.ndarray]:
@@ -59,20 +64,21 @@ def point(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
 
 
 def packed_point(shingles: np.ndarray) -> bytes:
-    """A point of two bytes a coordinate (four if a count needs it), fine for long sets."""
-    counts = point(shingles, COORDINATES * (FINE if len(shingles) >= FINE_SIZE else 1))
-    return counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<u4").tobytes()
+    """A point as fine as its set is long, of one, two or four bytes a coordinate."""
+    counts = point(shingles, COORDINATES << 2 * int(level_of(np.array([len(shingles)]))[0]))
+    top = int(counts.max(initial=0))
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
 
 
 def unpacked_points(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Points of equal dimension: fine ones if all are, else sums of each fine one's coordinates."""
-    fine = bool((sizes >= FINE_SIZE).all())
-    out = []
-    for b, size in zip(blobs, sizes.tolist(), strict=True):
-        width = COORDINATES * (FINE if size >= FINE_SIZE else 1)
-        counts = np.frombuffer(b, "<u2" if len(b) == 2 * width else "<u4").astype(np.int64)
-        out.append(counts if fine or width == COORDINATES else counts.reshape(FINE, COORDINATES).sum(axis=0))
-    return np.stack(out)
+    """Points with as many coordinates as the shortest set has."""
+    levels = level_of(sizes)
+    width = COORDINATES << 2 * int(levels.min())
+    out = np.empty((len(blobs), width), np.int32)
+    for k, (b, level) in enumerate(zip(blobs, levels.tolist(), strict=True)):
+        own = COORDINATES << 2 * level
+        out[k] = np.frombuffer(b, f"<u{len(b) // own}").reshape(-1, width).sum(axis=0)
+    return out
 
 
 def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
@@ -144,7 +150,8 @@ def local_roots(sets: list[np.ndarray], ids: list, percent: int) -> list[int]:
     for k, i in enumerate(ids):
         union(first.setdefault(i, k), k)
     sizes = np.array([len(s) for s in sets], np.int64)
-    counts = np.stack([point(s, COORDINATES * (FINE if sizes.min() >= FINE_SIZE else 1)) for s in sets])
+    width = COORDINATES << 2 * int(level_of(sizes[sizes > 0]).min(initial=3))
+    counts = np.stack([point(s, width) for s in sets]).astype(np.int32)
     tree = CountRTree(counts, sizes)
     # the most central sets first: what they connect needs no check among itself
     central = np.abs(counts - counts.mean(axis=0)).sum(axis=1)
@@ -186,14 +193,16 @@ def block_edges(keys: np.ndarray, ids: np.ndarray, blobs: list[bytes], sizes: np
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     run = np.diff(cuts)
     short = np.repeat(run <= 4, run)
+    levels = level_of(sizes)
     for step in (1, 2, 3):  # pairs of short runs, all at once
         a = np.flatnonzero(short[:-step] & (keys[:-step] == keys[step:])) if len(keys) > step else np.empty(0, np.int64)
         a = a[100 * np.minimum(sizes[a], sizes[a + step]) >= percent * np.maximum(sizes[a], sizes[a + step])]
         a = a[ids[a] != ids[a + step]]
-        for fine in (False, True):
-            part = a[((sizes[a] >= FINE_SIZE) & (sizes[a + step] >= FINE_SIZE)) == fine]
-            for lo in range(0, len(part), 4096):
-                x = part[lo : lo + 4096]
+        level = np.minimum(levels[a], levels[a + step])
+        for own in np.unique(level).tolist():
+            part = a[level == own]
+            for lo in range(0, len(part), 2048):
+                x = part[lo : lo + 2048]
                 both = unpacked_points([blobs[k] for k in x.tolist()] + [blobs[k + step] for k in x.tolist()], np.concatenate([sizes[x], sizes[x + step]]))
                 overlap = np.minimum(both[: len(x)], both[len(x) :]).sum(axis=1)
                 x = x[(100 + percent) * overlap >= percent * (sizes[x] + sizes[x + step])]
@@ -201,10 +210,15 @@ def block_edges(keys: np.ndarray, ids: np.ndarray, blobs: list[bytes], sizes: np
                 right += (x + step).tolist()
     for k in np.flatnonzero(run > 4).tolist():
         lo, hi = int(cuts[k]), int(cuts[k + 1])
-        counts = unpacked_points(blobs[lo:hi], sizes[lo:hi])
-        for member, root in bounded_stars(ids[lo:hi], counts, sizes[lo:hi], percent):
-            left.append(lo + member)
-            right.append(lo + root)
+        for own in np.unique(levels[lo:hi]).tolist():
+            # a pair belongs to its shorter set's level, so the next level's shortest sets join in
+            reach = 100 * (FINE_SIZE << 2 * own)
+            at = lo + np.flatnonzero((levels[lo:hi] == own) | (levels[lo:hi] == own + 1) & (percent * sizes[lo:hi] <= reach))
+            if len(at) > 1:
+                counts = unpacked_points([blobs[j] for j in at.tolist()], sizes[at])
+                for member, root in bounded_stars(ids[at], counts, sizes[at], percent):
+                    left.append(int(at[member]))
+                    right.append(int(at[root]))
     return left, right
 
 
