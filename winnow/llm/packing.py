@@ -9,12 +9,14 @@ full windows, and the shard's last, shorter stretch is cut at powers of two, whi
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,16 @@ from . import words as W
 from .tables import read
 
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
+#: The steps of the word tokenizer for which a word of these small letters, or a run of
+#: ASCII marks without the apostrophe, is one unit that no step changes.
+WORD_STEPS = ["NFC", "Replace", "Lowercase"]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARK = r"[!-&(-/:-@\[-`{-~]"
+LETTER = "[a-zß-öø-ÿ]"
+UNIT = f"^(?:{LETTER}+|{MARK}+)$"
+#: All special tokens of that tokenizer hold this; what holds it goes the plain way.
+SPECIAL = "<|"
 
 
 class WordTokenizer:
@@ -30,30 +41,76 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.units: Tokenizer | None = None
+        layout = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (layout["normalizer"] or {}).get("normalizers", [])]
+        first, *others = (layout["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        pattern = first.get("pattern", {}).get("Regex")
+        special = all(SPECIAL in x["content"] for x in layout["added_tokens"])
+        suffix = layout["model"].get("end_of_word_suffix")
+        if steps == WORD_STEPS and pattern == WORD_PATTERN and [x["type"] for x in others] == ["ByteLevel"] and special and suffix:
+            self.units = Tokenizer(self.tokenizer.model)
+            as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.units.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+            vocabulary = layout["model"]["vocab"]
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.flat = np.empty(0, np.uint32)
+        self.lengths = np.empty(0, np.int64)
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units at once, and how many each has: its last id, and no other, ends a word."""
+        lines = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.units.encode_batch_fast(lines, add_special_tokens=False)])
+        return flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+
+    def _learn(self, words: pa.Array) -> None:
+        if self.units is not None:
+            unit = pc.and_(pc.match_substring_regex(words, UNIT), pc.invert(pc.match_substring(words, SPECIAL)))
+            parts = [(words.filter(unit), self._units), (words.filter(pc.invert(unit)), self._alone)]
+        else:
+            parts = [(words, self._alone)]
+        for part, encode in parts:
+            for k in range(0, len(part), 50_000):
+                some = part.slice(k, 50_000)
+                flat, lengths = encode(some.to_pylist())
+                assert len(lengths) == len(some)
+                self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
+                self.known = pa.concat_arrays([self.known, some])
+
+    def _eased(self, texts: pa.Array) -> pa.Array:
+        """Texts with the same ids and fewer distinct words: small letters, a blank before marks."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # a fresh copy: ascii_lower gives wrong offsets for slices
+        texts = pa.concat_arrays([texts, texts[:0]])
+        eased = pc.replace_substring_regex(pc.ascii_lower(texts), f"({LETTER})({MARK})", r"\1 \2")
+        return pc.if_else(pc.match_substring(texts, SPECIAL), texts, eased)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids start (one more entry at the end)."""
-        words = W.split(texts)
-        vocabulary = words.vocabulary.to_pylist()
+        words = W.split(texts if self.units is None else self._eased(texts))
+        vocabulary = words.vocabulary.cast(pa.large_string())
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [w for w in vocabulary if w not in self.known]
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        pieces = [self.known[w] for w in vocabulary]
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate([np.empty(0, np.uint32), *pieces])
-        first = np.cumsum(lengths) - lengths
-        each = lengths[words.codes]
-        ends = np.cumsum(each)
-        take = np.repeat(first[words.codes] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return flat[take], np.concatenate([[0], ends])[words.starts]
+            self._forget()
+        fresh = vocabulary.filter(pc.invert(pc.is_in(vocabulary, self.known)))
+        if len(fresh):
+            self._learn(fresh)
+        own = pc.index_in(vocabulary, self.known).to_numpy().astype(np.int64)[words.codes]
+        offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+        ids = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(self.flat)).take(pa.array(own)).flatten()
+        ends = np.concatenate([[0], np.cumsum(self.lengths[own])])
+        return ids.to_numpy(), ends[words.starts]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -161,7 +218,7 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, size=3 * W.STEP_BYTES):
             ids, starts = tokenizer.encode(batch.column("text"))
             rows: list[tuple] = []
             for k in range(batch.num_rows):
