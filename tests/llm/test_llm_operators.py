@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,3 +350,16 @@ def test_slices_are_lower_cased_right():
     w = W.split(part, lower=True)
     assert [w.vocabulary[int(c)].as_py() for c in w.codes] == [x for t in part.to_pylist() for x in t.translate(FOLD).split()]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_word_tokenizer_equals_whole_texts():
+    tokenizer = packing.WordTokenizer(packing.default_tokenizer())
+    assert tokenizer.units is not None
+    rng = random.Random(3)
+    alphabet = list("aAbZſK'̧́,.;-<|> \n\t19éßΣst") + ["'s", "'ll", "<|endoftext|>", "<|STARTOFTEXT|>", "\x85", "\x1f"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += [None, "", "don't,stop's. re've! we'd? ''''s", "</w> w</w> a<b|c <| |>", "a" * 5000 + ", b"]
+    ids, starts = tokenizer.encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        whole = tokenizer.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert ids[starts[k] : starts[k + 1]].tolist() == whole
