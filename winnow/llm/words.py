@@ -7,6 +7,7 @@ A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,14 @@ _U = np.uint64
 MULTIPLIERS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 
 
+def release() -> None:
+    """Give what Arrow and the C library hold free back to the system: Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about size bytes of text, or a single longer row."""
     for batch in batches:
@@ -32,6 +41,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STE
         cuts = np.flatnonzero(np.diff(step)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo)
+    release()
 
 
 @dataclass
