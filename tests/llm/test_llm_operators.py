@@ -317,6 +317,24 @@ def test_topk(docs):
         assert [s for s, _ in by[q]] == [round(-s, 6) for s, _ in want]
 
 
+def test_topk_of_whole_texts(docs):
+    import math
+
+    got = topk_search.search(docs, docs.filter("doc_id % 10 = 0"), k=5, query_words=None, shard_rows=10, query_block=3).collect()
+    tf = [(i, collections.Counter(words((t or "").translate(FOLD)))) for i, t, *_ in ROWS]
+    df = collections.Counter(w for _, c in tf for w in c)
+    mean = sum(sum(c.values()) for _, c in tf) / len(tf)
+    idf = {w: math.log(1 + (len(tf) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by[r["query_id"]].append((round(r["score"], 6), r["doc_id"]))
+    for q, own in tf:
+        if q % 10 == 0:
+            score = lambda c: sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in own if c[w])
+            want = sorted((-round(score(c), 6), i) for i, c in tf if any(c[w] for w in own))
+            assert by[q] == [(-s, i) for s, i in want[:5]]
+
+
 @pytest.mark.parametrize(
     "run",
     [

@@ -1,10 +1,14 @@
-"""Exact top-k search: BM25 over an inverted index per shard, with block-max pruning.
+"""Exact top-k search: BM25 over an inverted index per shard, every posting scored.
 
 Document frequencies, the number of documents and their mean length are global, so a document's
-score does not depend on its shard.  A shard keeps, for each query word, its postings and the
-largest impact in each block of documents.  A query visits the shard's blocks by falling sum of
-these maxima and stops when the sum cannot reach the k-th best score so far.  The shards' best k
-are merged.
+score does not depend on its shard.  A shard scores a block of queries as a product of matrices,
+queries by words times words by documents: words that are frequent on both sides in a dense
+product, all others posting by posting.  Documents come in rounds that grow eightfold: the k-th
+best hit so far is an exact bound, and later rounds give only the hits that beat it, about 8 * k
+for each query and round in place of k for each query and shard.
+
+Impacts are rounded to multiples of 2**-38, so that sums up to 32768 are exact in any order and
+equal texts get equal scores in all shards.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,54 +25,75 @@ from . import words as W
 from .tables import materialize, read
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+#: Each round scores so many times the documents of all before it, as far as there are.
+GROWTH = 7
+#: Queries scored at once; the unit of impacts; products of shares from which a word counts as dense.
+STEP, UNIT, DENSE = 64, 2.0**-38, 1 / 150
 
 
 class Shard:
-    """Inverted index of some documents, restricted to the words that queries ask for."""
+    """Impacts of the words of some documents that queries ask for, one row for each asked word."""
 
-    def __init__(self, words: W.Words, wanted: dict[str, float], mean: float) -> None:
-        names = words.vocabulary.to_pylist()
-        self.code = {w: k for k, w in enumerate(names) if w in wanted}
-        own = np.zeros(len(names), bool)
-        own[list(self.code.values())] = True
-        text = np.repeat(np.arange(len(words.starts) - 1), words.counts)
-        take = own[words.codes] if len(words.codes) else np.zeros(0, bool)
+    def __init__(self, words: W.Words, asked: pa.Array, idf: np.ndarray, mean: float) -> None:
         n = max(len(words.starts) - 1, 1)
-        pairs, tf = np.unique(words.codes[take] * n + text[take], return_counts=True)
-        self.docs = pairs % n
+        row = pc.index_in(words.vocabulary.cast(pa.string()), asked.cast(pa.string()))
+        row = row.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = np.repeat(np.arange(len(words.starts) - 1), words.counts)
+        of = row[words.codes] if len(words.codes) else np.empty(0, np.int64)
+        pairs, tf = np.unique(of[of >= 0] * n + text[of >= 0], return_counts=True)
+        docs, terms = pairs % n, pairs // n
         norm = K1 * (1 - B + B * words.counts / max(mean, 1e-9))
-        weight = np.array([wanted.get(w, 0.0) for w in names])[pairs // n] if len(names) else np.empty(0)
-        self.impact = weight * tf * (K1 + 1) / (tf + norm[self.docs])
-        self.first = np.searchsorted(pairs // n, np.arange(len(names) + 1))
-        self.blocks = -(-n // BLOCK)
-
-    def top(self, terms: list[str], k: int, ids: np.ndarray) -> list[tuple[float, int]]:
-        """(score, document) of the best k by (-score, id); documents without any term are no hits."""
-        lists = [(self.first[c], self.first[c + 1]) for c in (self.code.get(t) for t in terms) if c is not None]
-        if not lists:
-            return []
-        docs = np.concatenate([self.docs[a:b] for a, b in lists])
-        impact = np.concatenate([self.impact[a:b] for a, b in lists])
-        bound = np.zeros(self.blocks)
-        for a, b in lists:
-            block = self.docs[a:b] // BLOCK
-            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            bound[block[cuts]] += np.maximum.reduceat(self.impact[a:b], cuts)
-        order = np.argsort(docs // BLOCK, kind="stable")
-        docs, impact = docs[order], impact[order]
-        cut = np.searchsorted(docs // BLOCK, np.arange(self.blocks + 1))
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if not bound[block] or len(best) == k and bound[block] * (1 + 1e-12) < best[-1][0]:
-                break
-            lo, hi = cut[block], cut[block + 1]
-            own, inverse = np.unique(docs[lo:hi], return_inverse=True)
-            score = np.bincount(inverse, weights=impact[lo:hi])
-            best += zip(score.tolist(), own.tolist(), strict=True)
-            best.sort(key=lambda x: (-x[0], ids[x[1]]))
-            del best[k:]
-        return best
+        impact = idf[terms] * tf * (K1 + 1) / (tf + norm[docs])
+        impact = np.maximum(np.round(impact / UNIT), 1) * UNIT
+        self.docs, self.impact, self.texts = docs, impact, n
+        self.first = np.searchsorted(terms, np.arange(len(asked) + 1))
+
+    def top(
+        self, asks: np.ndarray, starts: np.ndarray, k: int, ids: np.ndarray, bound: np.ndarray, bound_id: list
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query, document and score of the best k of each query by (-score, id); documents without any term are no hits.
+
+        Query i has the distinct words asks[starts[i]:starts[i + 1]].  Only hits before (-bound[i],
+        bound_id[i]) count, if bound[i] is above 0.
+        """
+        many, n, sizes = len(starts) - 1, self.texts, np.diff(self.first)
+        owner = np.repeat(np.arange(many), np.diff(starts))
+        dense = np.bincount(asks, minlength=len(sizes)) * sizes > DENSE * many * n
+        column = np.cumsum(dense) - 1
+        left, right = np.zeros((many, int(dense.sum()))), np.zeros((int(dense.sum()), n))
+        left[owner[dense[asks]], column[asks[dense[asks]]]] = 1
+        terms = np.repeat(np.arange(len(sizes)), sizes)
+        own = dense[terms]
+        right[column[terms[own]], self.docs[own]] = self.impact[own]
+        rest = ~dense[asks] & (sizes[asks] > 0)
+        asks, owner = asks[rest], owner[rest]
+        cuts = np.searchsorted(owner, np.arange(many + 1))
+        place = np.empty(n, np.int64)
+        place[np.argsort(ids, kind="stable")] = np.arange(n)
+        out = []
+        for lo in range(0, many, STEP):
+            score = left[lo : lo + STEP] @ right
+            part = slice(cuts[lo], cuts[min(lo + STEP, many)])
+            times = sizes[asks[part]]
+            ends = np.cumsum(times)
+            if len(ends):
+                at = np.repeat(self.first[asks[part]] - ends + times, times) + np.arange(ends[-1])
+                cell = np.repeat((owner[part] - lo) * n, times) + self.docs[at]
+                score += np.bincount(cell, weights=self.impact[at], minlength=score.size).reshape(score.shape)
+            least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(score))
+            least = np.maximum(least, bound[lo : lo + STEP])
+            q, d = np.nonzero((score >= least[:, None] - 2e-9) & (score > 0))
+            s = np.round(score[q, d], 9)
+            known = bound[q + lo]
+            keep = s >= known
+            for i in np.flatnonzero((s == known) & keep).tolist():
+                keep[i] = ids[d[i]] < bound_id[q[i] + lo]
+            q, d, s = q[keep], d[keep], s[keep]
+            order = np.lexsort((place[d], -s, q))
+            q, d, s = q[order], d[order], s[order]
+            best = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append((q[best] + lo, d[best], s[best]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def search(
@@ -77,22 +103,24 @@ def search(
     doc_id: str = "doc_id",
     text: str = "text",
     k: int = 10,
-    query_words: int = 16,
+    query_words: int | None = 16,
     shard_rows: int = 4096,
     query_block: int = 4096,
 ) -> DataFrame:
     """The k best documents of each query by BM25, exactly.
 
-    A query is a row of queries (same columns as documents); its words are the query_words ones of
-    its whole text with the highest tf * idf (ties by word).  Every block of queries meets every
-    shard of documents.
+    A query is a row of queries (same columns as documents); its words are all distinct ones of its
+    whole text if query_words is None, else the query_words ones with the highest tf * idf (ties by
+    word), which is not the ranking by the whole text.  Every block of queries is sent to
+    all partitions of documents, whose texts are not shuffled.
 
     Returns query_id, rank, doc_id, score.  Ties go to the lesser doc_id; fewer than k rows if
     fewer documents share a word.
 
     * Null, empty or blank texts have no words: as queries they return nothing, as documents they
       are never found, but count in the number and mean length.
-    * Repeated rows are documents of their own; rows with a null doc_id are neither.
+    * Repeated rows are documents of their own; rows with a null doc_id are neither.  Queries that
+      repeat a doc_id are one query of all their words.
     * An empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
     spark = documents.sparkSession
@@ -126,46 +154,69 @@ def search(
             word = words.vocabulary.take(pa.array(pairs % max(len(words.vocabulary), 1))).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(own), word, pa.array(tf, pa.int64())], ["_query", "word", "tf"])
 
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    ranked = Window.partitionBy("_query").orderBy(F.desc(F.col("tf") * F.col("idf")), "word")
-    chosen = (
-        asked.mapInArrow(terms, f"_query {kind}, word string, tf long")
-        .join(counts, "word")
-        .withColumn("idf", idf)
-        .withColumn("_place", F.row_number().over(ranked))
-        .filter(F.col("_place") <= query_words)
-        .groupBy("_query")
-        .agg(F.sort_array(F.collect_list(F.struct("word", "idf"))).alias("terms"))
-    )
-    many = asked.count()
-    blocks, shards = max(1, -(-many // query_block)), max(1, -(-n // shard_rows))
-    asked_in = chosen.withColumn("_block", F.pmod(F.xxhash64("_query"), F.lit(blocks))).withColumn(
-        "_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
-    dealt = docs.withColumn("_shard", F.pmod(F.xxhash64("_id"), F.lit(shards))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-
-    def run(texts: pa.Table, questions: pa.Table) -> pa.Table:
-        ids_of = texts.column("_id").combine_chunks()
-        rows: list[tuple] = []
-        if texts.num_rows and questions.num_rows:
-            asked_terms = questions.column("terms").to_pylist()
-            wanted = {t["word"]: t["idf"] for q in asked_terms for t in q}
-            shard = Shard(W.split(texts.column("text"), lower=True), wanted, mean)
-            ids = np.array(ids_of.to_pylist())
-            for q, ts in zip(questions.column("_query").to_pylist(), asked_terms, strict=True):
-                rows += [(q, d, s) for s, d in shard.top([t["word"] for t in ts], k, ids)]
-        own = ids_of.take(pa.array([r[1] for r in rows], pa.int64()))
-        return pa.table({"query_id": pa.array([r[0] for r in rows], questions.schema.field("_query").type), "_id": own, "score": pa.array([r[2] for r in rows], pa.float64())})
-
-    hits = dealt.groupBy("_shard", "_block").cogroup(asked_in.groupBy("_shard", "_block")).applyInArrow(run, f"query_id {kind}, _id {kind}, score double")
-    merged = hits.withColumn("score", F.round("score", 9)).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_id"))
+    chosen = asked.mapInArrow(terms, f"_query {kind}, word string, tf long").groupBy("_query", "word").agg(F.sum("tf").alias("tf")).join(counts, "word")
+    if query_words is not None:
+        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        ranked = Window.partitionBy("_query").orderBy(F.desc(F.col("tf") * idf), "word")
+        chosen = chosen.withColumn("_place", F.row_number().over(ranked)).filter(F.col("_place") <= query_words)
+    blocks = max(1, -(-asked.count() // query_block))
+    chosen = chosen.groupBy("_query").agg(F.collect_list(F.struct("word", "df")).alias("_terms"))
+    chosen = materialize(
+        chosen.select(F.pmod(F.xxhash64("_query"), F.lit(blocks)).alias("_block"), "_query", F.col("_terms.word").alias("words"), F.col("_terms.df").alias("dfs"))
     )
-    return merged.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("_id").alias(doc_id), "score")
+    schema = f"query_id {kind}, _id {kind}, score double"
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_id"))
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", place).filter(F.col("rank") <= k)
+
+    rounds = [min(1.0, shard_rows / max(n, 1))]
+    while rounds[-1] < 1:
+        rounds.append(min(1.0, rounds[-1] * (GROWTH + 1)))
+    mark = F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    found = best(spark.createDataFrame([], schema))
+    for block in range(blocks):
+        questions = chosen.filter(F.col("_block") == block).toArrow().combine_chunks()
+        if not questions.num_rows:
+            continue
+        lists = questions.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        df = np.zeros(len(coded.dictionary))
+        df[codes] = questions.column("dfs").combine_chunks().flatten().to_numpy()
+        starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        queries_of = questions.column("_query").combine_chunks()
+        shared = spark.sparkContext.broadcast((queries_of, coded.dictionary, codes.astype(np.int32), starts, idf))
+        row_of = {q: i for i, q in enumerate(queries_of.to_pylist())}
+        hits = spark.createDataFrame([], schema)
+        for r, end in enumerate(rounds):
+            bound, bound_id = np.zeros(len(row_of)), [None] * len(row_of)
+            for last in best(hits).filter(F.col("rank") == k).collect() if r else []:
+                bound[row_of[last["query_id"]]], bound_id[row_of[last["query_id"]]] = last["score"], last["_id"]
+            known = spark.sparkContext.broadcast((bound, bound_id))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared, known=known) -> Iterator[pa.RecordBatch]:
+                queries_of, asked_words, codes, starts, idf = shared.value
+                for batch in batches:
+                    for lo in range(0, batch.num_rows, shard_rows):
+                        texts = batch.slice(lo, shard_rows)
+                        shard = Shard(W.split(texts.column("text"), lower=True), asked_words, idf, mean)
+                        ids = texts.column("_id")
+                        q, d, s = shard.top(codes, starts, k, np.array(ids.to_pylist()), *known.value)
+                        yield pa.RecordBatch.from_arrays([queries_of.take(pa.array(q)), ids.take(pa.array(d)), pa.array(s, pa.float64())], ["query_id", "_id", "score"])
+                W.release()
+
+            own = docs.filter((mark >= (rounds[r - 1] if r else 0.0)) & (mark < end))
+            if not r:
+                own = own.repartition(1)
+            hits = materialize(hits.union(own.mapInArrow(run, schema)))
+            known.unpersist()
+        found = found.union(best(hits))
+        shared.unpersist()
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("_id").alias(doc_id), "score")
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return search(docs, docs.filter(F.col("doc_id") % 50 == 0))
+    return search(docs, docs.filter(F.col("doc_id") % 50 == 0), query_words=None)
