@@ -94,6 +94,24 @@ def test_quality_rules(docs):
     assert not bands.verdict(noise.encode(), c)[2] and not bands.verdict(b"spam and eggs " * 500, c)[2]
 
 
+def test_bands_reject_noise_and_keep_prose(spark):
+    import zstandard
+
+    c, bands, rng = zstandard.ZstdCompressor(level=3), quality_rules.Bands(), random.Random(8)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n))
+    tokens = lambda n, m: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=m)) for _ in range(n // (m + 1)))
+    kept = lambda t: bands.verdict(t.encode(), c)[2]
+    assert not any(kept(noise(n)) for n in (300, 600, 1500, 4000, 6000, 40000) for _ in range(10))
+    assert not any(kept(tokens(n, m)) for n in (2000, 4000, 6000, 20000) for m in (6, 10, 16) for _ in range(10))
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if len((r["text"] or "").split()) >= 50]
+    before = quality_rules.Bands(below=(256, 1024, 4096, 16384), low=(0.0,) * 5, high=(3.0, 2.9, 3.3, 3.6, 4.0), chunk_low=0.0)
+    assert all(kept(t) == before.verdict(t.encode(), c)[2] for t in docs)
+    prose = [t for t in docs if kept(t) and len(t) > 1000]
+    assert not any(kept(t[:1000] + noise(3000)) or kept(t[:3000] + noise(9000)) for t in prose[:50])
+    long = next(t for t in docs if kept(t) and len(t.encode()) > 24000)
+    assert kept(long[:20000]) and not kept(long[:20000] + noise(20000)) and bands.verdict((long[:5000] + noise(3000)).encode(), c)[1] == 1 - 4096 / len((long[:5000] + noise(3000)).encode())
+
+
 def test_packing(docs):
     path = packing.default_tokenizer()
     got = packing.pack(docs, path, window=64, shard_rows=16).collect()

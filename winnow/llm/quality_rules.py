@@ -3,8 +3,12 @@
 A band has limits for the zstandard ratio (bytes of text for each compressed byte) that suit
 texts of its length: prose of some length compresses within a narrow range, repetition lies far
 above it and random characters lie below.  The whole text is judged by the limits of its length;
-fixed chunks of it are judged one by one, so that a long text with a repetitive or random part
-cannot hide it in the average.
+chunks of it, the last partial one too, are judged one by one by the limits of theirs, so that a
+long text with a repetitive or random part cannot hide it in the average.
+
+Lower limits lie between random base64 characters and the least prose of the given documents; from
+1024 bytes they also lie above random words of six and more letters.  In shorter texts random
+letters in words compress as well as prose does, so no limit can part the two.
 """
 
 from __future__ import annotations
@@ -28,30 +32,33 @@ from .tables import carried, read, uncarried
 class Bands:
     """below: upper end of each length band in bytes (the last is open); low, high: its limits."""
 
-    below: tuple[int, ...] = (256, 1024, 4096, 16384)
-    low: tuple[float, ...] = (0.0, 1.1, 1.25, 1.35, 1.4)
-    high: tuple[float, ...] = (3.0, 2.9, 3.3, 3.6, 4.0)
+    below: tuple[int, ...] = (64, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048, 4096, 8192, 16384)
+    low: tuple[float, ...] = (0.0, 0.95, 1.0, 1.1, 1.24, 1.32, 1.38, 1.52, 1.66, 1.74, 1.78, 1.8, 1.82, 1.9)
+    high: tuple[float, ...] = (3.0, 3.0, 3.0, 3.0, 2.9, 2.9, 2.9, 2.9, 3.3, 3.3, 3.3, 3.6, 3.6, 4.0)
     chunk_bytes: int = 4096
-    chunk_low: float = 1.2
+    chunk_low: float = 1.8
     chunk_high: float = 3.6
     max_bad_share: float = 0.25
     level: int = 3
 
     def verdict(self, data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-        """Ratio of the whole text, share of bad chunks, and whether it is kept."""
+        """Ratio of the whole text, share of its bytes in bad chunks, and whether it is kept."""
         if not data:
             return 0.0, 0.0, False
         ratio = len(data) / len(compressor.compress(data))
-        band = int(np.searchsorted(self.below, len(data), side="right"))
+        low, high = self.limits(len(data))
         bad = 0
         size = self.chunk_bytes
-        chunks = len(data) // size
-        if chunks >= 2:
-            for k in range(chunks):
-                part = size / len(compressor.compress(data[k * size : (k + 1) * size]))
-                bad += not self.chunk_low <= part <= self.chunk_high
-        share = bad / chunks if chunks >= 2 else 0.0
-        return ratio, share, self.low[band] <= ratio <= self.high[band] and share <= self.max_bad_share
+        for at in range(0, len(data) if len(data) > size else 0, size):
+            part = data[at : at + size]
+            least, most = (self.chunk_low, self.chunk_high) if len(part) == size else self.limits(len(part))
+            bad += len(part) * (not least <= len(part) / len(compressor.compress(part)) <= most)
+        share = bad / len(data)
+        return ratio, share, low <= ratio <= high and share <= self.max_bad_share
+
+    def limits(self, size: int) -> tuple[float, float]:
+        band = int(np.searchsorted(self.below, size, side="right"))
+        return self.low[band], self.high[band]
 
 
 SYMBOLS = b"#*$%&|<>"
