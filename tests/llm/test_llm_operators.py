@@ -262,6 +262,23 @@ def test_lm_scores(docs):
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
 
 
+def test_lm_learns_from_all_documents_in_rounds(docs, spark, monkeypatch):
+    import inspect
+
+    assert inspect.signature(lm_scoring.lm_scores).parameters["every"].default == 1
+    rng = random.Random(6)
+    pairs = ["a x1", "b x2", "c x3", "d x4", "e x5"]
+    texts = [" ".join(rng.choice(pairs) for _ in range(30)) for _ in range(240)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    total, seen = {}, []
+    averaged = lm_scoring.materialize
+    monkeypatch.setattr(lm_scoring, "materialize", lambda d: seen.append(d.columns) or averaged(d))
+    for parallel in (1000, 2):
+        monkeypatch.setattr(lm_scoring, "PARALLEL", parallel)
+        total[parallel] = sum(r["score"] for r in lm_scoring.lm_scores(df, learner_rows=12).filter("held_out").collect())
+    assert total[2] > total[1000] and ["_row", "text", "_learner"] in seen
+
+
 def test_gru_probabilities_sum_to_one_and_gradients():
     import numpy as np
 

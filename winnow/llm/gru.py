@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +13,14 @@ import numpy as np
 NAMES = ("embed", "wx", "u", "b", "class_w", "class_b", "word_w", "word_b")
 
 
+def one_thread() -> None:
+    """Let numpy's own OpenBLAS use one thread: products here are small, and a second thread only spins."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        put = getattr(ctypes.CDLL(path), "scipy_openblas_set_num_threads64_", None)
+        if put is not None:
+            put(1)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 

@@ -2,9 +2,10 @@
 
 Word counts come from all training documents.  The most frequent words form the model's
 vocabulary; every other word is the model's unknown token times the word's smoothed share of
-unknown words, so the model's probabilities of all words sum to one.  The model is trained on every
-`every`-th training document (by hash), so what it learns from grows with the corpus: one learner
-starts, then all learners go on in parallel and their parameters are averaged.
+unknown words, so the model's probabilities of all words sum to one.  The model is trained on all
+training documents: one learner starts, then rounds of at most PARALLEL learners go on from the
+average of the round before, each learner on documents of its own, so that the number of rounds
+and what is learned grow with the corpus.
 
 Counts of frequent words are broadcast (a fixed number of words of bounded length); each other
 word meets its count in a join, pre-aggregated per document.
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .gru import Gru
+from .gru import Gru, one_thread
 from .tables import materialize, read
 
 #: No word contains a blank, so this stands for the end token among words.
 END = " "
 FREQUENT_WORDS, FREQUENT_BYTES = 1 << 17, 64
 SCORE_BYTES = 16 << 20
+#: Learners of one round.
+PARALLEL = 32
 
 
 class Lexicon:
@@ -71,7 +74,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def train(training: DataFrame, lexicon: Lexicon, *, every: int, learner_rows: int, seed: int = 5) -> np.ndarray:
-    """Parameters after one learner's start and one parallel pass over the sampled documents."""
+    """Parameters after one learner's start and one pass over the documents, in rounds that are averaged.
+
+    Only every `every`-th document (by hash) counts; 1: all of them.
+    """
     spark = training.sparkSession
     start = Gru(lexicon.model_counts, seed=seed).flat()
     mark = F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(every))
@@ -80,11 +86,15 @@ def train(training: DataFrame, lexicon: Lexicon, *, every: int, learner_rows: in
     if not rows:
         return start
     learners = -(-rows // learner_rows)
+    rounds = -(-learners // PARALLEL)
     known = spark.sparkContext.broadcast(lexicon)
     dealt = sampled.withColumn("_learner", F.pmod(F.xxhash64(F.lit(seed + 1), "_row"), F.lit(learners)))
+    if rounds > 1:  # by learner, so that a round reads little besides its own rows
+        dealt = materialize(dealt.repartitionByRange("_learner"))
 
     def learner(flat: np.ndarray, epochs: int):
         def run(table: pa.Table) -> pa.Table:
+            one_thread()
             table = table.sort_by("_row")
             ids, starts, _ = known.value.encode(W.split(table.column("text"), lower=True))
             model = Gru(known.value.model_counts, seed=seed).load(flat)
@@ -109,8 +119,11 @@ def train(training: DataFrame, lexicon: Lexicon, *, every: int, learner_rows: in
         total = sum(r["n"] for r in rows)
         return sum(np.frombuffer(r["w"], np.float32) * (r["n"] / total) for r in rows)
 
-    first = averaged(dealt.filter("_learner = 0"), start, 2)
-    return first if learners == 1 else averaged(dealt, first, 1)
+    flat = averaged(dealt.filter("_learner = 0"), start, 2)
+    for r in range(rounds if learners > 1 else 0):
+        own = F.col("_learner").between(learners * r // rounds, learners * (r + 1) // rounds - 1)
+        flat = averaged(dealt.filter(own), flat, 1)
+    return flat
 
 
 def lm_scores(
@@ -121,7 +134,7 @@ def lm_scores(
     folds: int = 5,
     held: int = 1,
     vocabulary: int = 2048,
-    every: int = 8,
+    every: int = 1,
     learner_rows: int = 2048,
 ) -> DataFrame:
     """Log10 probability of every whole text under word frequencies and under the recurrent model.
@@ -163,6 +176,7 @@ def lm_scores(
     unknown_below = lexicon.unknown_tokens + 0.5 * (v - (len(lexicon.ids) - 1) + 1) if v else 0.5
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         known, flat = shared.value
         model = Gru(known.model_counts).load(flat)
         for batch in W.steps(batches, size=SCORE_BYTES):
