@@ -30,10 +30,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five words, similarity 0.8) the least doc_id stays."""
-    classes = jaccard_join.jaccard_classes(docs, n=5, percent=80)
+    """Of each class of near duplicates (five words, similarity 0.8) the least doc_id stays.
+
+    Rows that repeat doc_id and text stay as one, that of the least other columns.  Rows with a
+    null doc_id all stay: they take part in no link, and nothing says which are one document.
+    """
+    named = docs.filter("doc_id IS NOT NULL")
+    classes = jaccard_join.jaccard_classes(named, n=5, percent=80)
     first = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    kept = named.join(first, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*_REST)).alias("_rest"))
+    return kept.select("doc_id", "text", "_rest.*").union(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -395,6 +395,17 @@ def test_pipeline_stages(spark, docs):
     assert 112 not in kept and kept
 
 
+def test_near_stage_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (None, c), (None, a), (4, d), (4, e)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_stage(spark, df, "").collect()
+    assert counted((r["doc_id"], r["text"]) for r in got) == counted([(1, a), (3, b), (4, d), (4, e), (None, c), (None, a)])
+
+
 def test_slices_are_lower_cased_right():
     import pyarrow as pa
 
