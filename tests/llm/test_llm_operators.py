@@ -326,6 +326,19 @@ def test_pii(spark):
     assert sum(digits[0::2] + [x * 2 - 9 * (x > 4) for x in digits[1::2]]) % 10 == 0
 
 
+def test_pii_layouts(spark):
+    values = ["+49 30 1234567", "+1-555-123-4567", "(555) 123-4567", "555-123-4567", "+493012345678", "+44 20 7946 0958", "+33 1 23 45 67 89", "3782 822463 10005", "12/31/1999", "02/29/2024"]
+    stays = ["3782 822463 10006", "02/30/2024", "+12 34", "13/31/1999"]
+    df = spark.createDataFrame(list(enumerate(f"call {v}, or" for v in values + stays)), "doc_id long, text string")
+    out = [r["text"] for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    shape = lambda t: re.sub(r"\d", "9", t)
+    for v, t in zip(values, out):
+        assert t != f"call {v}, or" and shape(t) == shape(f"call {v}, or"), v
+    assert out[len(values) :] == [f"call {v}, or" for v in stays]
+    digits = [int(x) for x in re.sub(r"\D", "", out[7])[::-1]]
+    assert sum(digits[0::2] + [x * 2 - 9 * (x > 4) for x in digits[1::2]]) % 10 == 0 and out[0].startswith("call +49 ")
+
+
 def test_pii_is_a_permutation(spark):
     df = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     out = pii.pseudonymise(df, "k")

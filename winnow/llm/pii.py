@@ -6,9 +6,13 @@ different values get different ones.  Kinds:
 
 * card: 13 to 19 digits that pass the Luhn check; all but the last digit are permuted and the
   check digit is computed anew, so that the pseudonym passes too.
-* phone: +country (area) number; all digits after the country code are permuted.
+* phone: + and a country code with a number of 8 to 15 digits in all, in groups or not, or three,
+  three and four digits with separators or the first three in brackets; all digits after the
+  country code (its first group, at most three digits) are permuted.
 * address: four octets up to 255; 32 bits are permuted.
-* date: valid yyyy-mm-dd, dd.mm.yyyy or dd/mm/yyyy; days are permuted within their 400 years.
+* date: valid yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or, if there is no such day, mm/dd/yyyy; days are
+  permuted within their 400 years.  A month-first date's pseudonym is month-first and may read as
+  that of another, day-first one.
 * mail: the name before @ becomes a keyed digest; the domain stays.
 
 What no kind validates stays as it is.
@@ -22,11 +26,16 @@ from pyspark.sql import functions as F
 from .tables import carried, read, uncarried
 
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}"
+PHONE = (
+    r"\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{8,15}(?!\d)|\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
+    r"|\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})[ .-]?\d{2,8}(?:[ .-]\d{2,4}){0,3}(?!\d)"
+)
+#: Three, three and four digits.
+NATIONAL = r"(?<![\d+(.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|[.-]\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)"
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)"
-PATTERN = f"{MAIL}|{PHONE}|{ADDRESS}|{DATE}|{CARD}"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
+PATTERN = f"{MAIL}|{PHONE}|{ADDRESS}|{DATE}|{CARD}|{NATIONAL}"
 ROUNDS = 8
 #: Days of 400 years; 189 * 773 of them.
 CYCLE, CYCLE_A, CYCLE_B = 146097, 189, 773
@@ -92,8 +101,10 @@ def pseudonym_sql(x: str, key: str) -> str:
         _digits("left(d, length(d) - 1)", "card", key), "p",
         _laid_out(x, f"concat(p, CAST(pmod(-({_luhn_sum('p', True)}), 10) AS STRING))"),
     ) + f" ELSE {x} END")
-    country = f"length(regexp_extract({x}, '^.([0-9]+)', 1))"
-    phone = _bind(_digits(f"right({only}, 10)", "phone", key), "p", _laid_out(x, "p", country))
+    country = f"length(regexp_extract({x}, '^[+]([0-9]{{1,3}})', 1))"
+    phone = _bind(f"substr({only}, {country} + 1)", "r", f"CASE WHEN length(r) < 5 OR length(r) + {country} NOT BETWEEN 8 AND 15 THEN {x} ELSE " + _bind(
+        _digits("r", "phone", key), "p", _laid_out(x, "p", country)
+    ) + " END")
     octets = f"transform(split({x}, '[.]'), o -> CAST(o AS BIGINT))"
     address = _bind(octets, "q", f"CASE WHEN array_max(q) > 255 THEN {x} ELSE " + _bind(
         _feistel("q[0] * 256 + q[1]", "q[2] * 256 + q[3]", "65536", "65536", "address", key), "f",
@@ -105,16 +116,19 @@ def pseudonym_sql(x: str, key: str) -> str:
     shift = f"datediff(t, DATE'1600-01-01')"
     moved = _feistel(f"pmod({shift}, {CYCLE}) DIV {CYCLE_B}", f"pmod({shift}, {CYCLE}) % {CYCLE_B}", str(CYCLE_A), str(CYCLE_B), "date", key)
     day = _bind(moved, "f", f"date_add(DATE'1600-01-01', CAST({shift} - pmod({shift}, {CYCLE}) + f.a * {CYCLE_B} + f.b AS INT))")
+    month_first = f"{x} LIKE '%/%' AND try_cast({iso} AS DATE) IS NULL"
+    month_day = f"concat(substr({x}, 7, 4), '-', left({x}, 2), '-', substr({x}, 4, 2))"
     shown = (
         f"CASE WHEN {x} RLIKE '^[0-9]{{4}}-' THEN date_format(p, 'yyyy-MM-dd') WHEN {x} LIKE '%.%' THEN date_format(p, 'dd.MM.yyyy') "
-        f"ELSE date_format(p, 'dd/MM/yyyy') END"
+        f"WHEN {month_first} THEN date_format(p, 'MM/dd/yyyy') ELSE date_format(p, 'dd/MM/yyyy') END"
     )
-    date = _bind(f"try_cast({iso} AS DATE)", "t", f"CASE WHEN t IS NULL THEN {x} ELSE {_bind(day, 'p', shown)} END")
+    date = _bind(f"CASE WHEN {month_first} THEN try_cast({month_day} AS DATE) ELSE try_cast({iso} AS DATE) END", "t", f"CASE WHEN t IS NULL THEN {x} ELSE {_bind(day, 'p', shown)} END")
     mail = f"concat('u', left(sha2(concat({_quoted(key)}, 'mail', {x}), 256), 16), '@', substring_index({x}, '@', -1))"
     return (
         f"CASE WHEN {x} LIKE '%@%' THEN {mail} WHEN {x} LIKE '+%' THEN {phone} "
         f"WHEN {x} RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN {address} "
         f"WHEN {x} RLIKE '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})$' THEN {date} "
+        f"WHEN {x} RLIKE '^([(][0-9]{{3}}[)] ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}$' THEN {phone} "
         f"ELSE {card} END"
     )
 
