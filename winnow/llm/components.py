@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges
-        before = now
+        before, last = now, edges
         edges = materialize(_small_star(_large_star(edges).distinct()).distinct())
+        discard(last)

@@ -10,6 +10,11 @@ pre-aggregate before each exchange.
 Locate: documents are dealt to shards of bounded size.  A shard compiles one Aho-Corasick
 automaton from the recurring passages that occur in it (each distinct passage once) and streams all its
 documents through it; matches mark the words to remove.
+
+Bitmaps of fixed size keep what is not needed out of the exchanges: segments whose anchor was seen
+once, texts without open segments, windows seen once.  What they let through in error is dropped
+by exact counts.  A segment is counted per shard before it meets others, so a passage that a third
+of all documents hold sends one row from each shard.  Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import materialize, read
+from .members import bitmap, may_hold
+from .tables import discard, materialize, read
 
 ANCHOR_WORDS = 8
 _M1, _M2 = (int(m) for m in W.MULTIPLIERS)
@@ -70,11 +77,21 @@ def segments(hashes: np.ndarray, starts: np.ndarray, window: int, k: int = ANCHO
     return owner[begin[first]], begin[first], many, W.signed(grams[anchor[first]])
 
 
-def _hashed(batch: pa.RecordBatch) -> tuple[W.Words, np.ndarray]:
-    words = W.split(batch.column("text"))
+def _hashed(texts: pa.Array) -> tuple[W.Words, np.ndarray]:
+    words = W.split(texts)
     return words, words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
 
 
+def _compressed(texts: pa.Array) -> pa.Array:
+    compress = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    decompress = zstandard.ZstdDecompressor().decompress
+    return pa.array([decompress(z) for z in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
 def runs(starts: list[int]) -> list[tuple[int, int]]:
     """Maximal runs of consecutive starts, as (first, number)."""
     out: list[list[int]] = []
@@ -87,12 +104,19 @@ def runs(starts: list[int]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 35, shard_rows: int = 512
+    documents: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    window: int = 35,
+    shard_rows: int = 512,
+    shard_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Remove each word covered by a window of words that also starts anywhere else.
 
     Returns one row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by
-    one space).
+    one space).  Documents are dealt to shards of about shard_rows rows and at most about
+    shard_bytes bytes of text, or one longer text.
 
     * A null, empty or blank text has no words; texts shorter than a window keep all words.
     * Windows are judged on the input.  Two occurrences within one document count, overlapping
@@ -103,42 +127,60 @@ def remove_repeats(
     docs = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     docs = docs.select("_id", F.xxhash64(F.lit(7), "_id", "text").alias("_row"), "text")
     kind = docs.schema["_id"].dataType.simpleString()
-    shards = max(1, -(-documents.count() // shard_rows))
+    total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-total[0] // shard_rows), -(-total[1] // shard_bytes))
+    shard = F.pmod("_row", F.lit(shards)).cast("int")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
-            words, hashes = _hashed(batch)
+            words, hashes = _hashed(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(segments(hashes, words.starts, window)[3])], ["_anchor"])
 
+    again = docs.select("text").mapInArrow(anchors, "_anchor long").groupBy("_anchor").agg(F.count("*").alias("_c")).filter("_c > 1")
+    known = bitmap(again, "_anchor")
+
     def details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
-            words, hashes = _hashed(batch)
+            words, hashes = _hashed(batch.column("text"))
             owner, first, many, anchor = segments(hashes, words.starts, window)
+            maybe = may_hold(known.value, anchor)
+            owner, first, many, anchor = owner[maybe], first[maybe], many[maybe], anchor[maybe]
             s1, s2 = RangeHashes(hashes).of(first, first + many + window - 1)
             own = pa.array(owner)
             columns = [pa.array(anchor), pa.array(s1), pa.array(s2), batch.column("_id").take(own), batch.column("_row").take(own)]
             columns += [pa.array(first - words.starts[owner], pa.int32()), pa.array(many, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["_anchor", "_s1", "_s2", "_id", "_row", "_first", "_many"])
 
-    again = docs.select("text").mapInArrow(anchors, "_anchor long").groupBy("_anchor").agg(F.count("*").alias("_c")).filter("_c > 1").select("_anchor")
+    # segments by shard, and of all shards; segments of anchors seen once are still among them
     schema = f"_anchor long, _s1 long, _s2 long, _id {kind}, _row long, _first int, _many int"
-    seen = materialize(docs.mapInArrow(details, schema).join(again, "_anchor"))
     place = F.struct("_row", "_first", "_id", "_many")
-    distinct = materialize(seen.groupBy("_anchor", "_s1", "_s2").agg(F.count("*").alias("_c"), F.min(place).alias("_at")))
+    seen = docs.mapInArrow(details, schema).groupBy(shard.alias("_shard"), "_s1", "_s2")
+    seen = materialize(seen.agg(F.min("_anchor").alias("_anchor"), F.count("*").alias("_c"), F.min(place).alias("_at")))
+    distinct = seen.groupBy("_s1", "_s2").agg(F.min("_anchor").alias("_anchor"), F.sum("_c").alias("_c"), F.min("_at").alias("_at"))
+    distinct = materialize(distinct)
 
     # windows of segments seen once, and of the segments that share their anchors
-    open_anchors = distinct.filter("_c = 1").select("_anchor").distinct()
+    open_anchors = distinct.groupBy("_anchor").agg(F.sum("_c").alias("_all"), F.min("_c").alias("_least"))
+    open_anchors = materialize(open_anchors.filter("_all > 1 AND _least = 1").select("_anchor"))
+    span = F.struct(F.col("_first").alias("first"), F.col("_many").alias("many"), F.col("_weight").cast("int").alias("weight"))
     lists = (
         distinct.join(open_anchors, "_anchor")
         .select("_at.*", F.least("_c", F.lit(2)).alias("_weight"))
         .groupBy("_id", "_row")
-        .agg(F.collect_list(F.struct(F.col("_first").alias("first"), F.col("_many").alias("many"), F.col("_weight").cast("int").alias("weight"))).alias("list"))
+        .agg(F.collect_list(span).alias("list"))
         .toDF("_of", "_of_row", "list")
     )
+    lists = materialize(lists)
+    opened = bitmap(lists, "_of_row")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
-            words, hashes = _hashed(batch)
+            some = batch.filter(pa.array(may_hold(opened.value, batch.column("_row").to_numpy())))
+            yield pa.RecordBatch.from_arrays([some.column("_id"), some.column("_row"), _compressed(some.column("text"))], ["_id", "_row", "z"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches, "z", W.STEP_BYTES // 2):
+            words, hashes = _hashed(_plain(batch.column("z")))
             own, start, weight = [], [], []
             for k, spans in enumerate(batch.column("list").to_pylist()):
                 for first, many, w in {(x["first"], x["many"], x["weight"]) for x in spans}:
@@ -154,24 +196,33 @@ def remove_repeats(
             columns += [pa.array(begin, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *weight]), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["_w1", "_w2", "_id", "_row", "_first", "_weight"])
 
-    open_docs = docs.join(lists, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row"))).select("_id", "_row", "text", "list")
-    hashed = materialize(open_docs.mapInArrow(windows, f"_w1 long, _w2 long, _id {kind}, _row long, _first int, _weight int"))
-    twice = hashed.groupBy("_w1", "_w2").agg(F.sum("_weight").alias("_c")).filter("_c > 1").select("_w1", "_w2")
-    settled = hashed.filter("_weight = 1").join(twice, ["_w1", "_w2"]).select("_id", "_row", "_first", F.lit(1).alias("_many"), F.lit(True).alias("_single"))
+    packed = f"_id {kind}, _row long, z binary"
+    open_docs = docs.mapInArrow(chosen, packed).join(lists, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row")))
+    hashed = open_docs.select("_id", "_row", "z", "list").mapInArrow(windows, f"_w1 long, _w2 long, _id {kind}, _row long, _first int, _weight int")
+    hashed = materialize(hashed)
+    twice = materialize(hashed.groupBy("_w1", "_w2").agg(F.sum("_weight").alias("_c")).filter("_c > 1").select("_w1", "_w2"))
+    recurring = bitmap(twice, "_w1")
+
+    def maybe_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(recurring.value, batch.column("_w1").to_numpy())))
+
+    single = hashed.filter("_weight = 1").drop("_weight")
+    settled = single.mapInArrow(maybe_twice, single.schema).join(twice, ["_w1", "_w2"])
+    settled = settled.select("_id", "_row", "_first", F.lit(1).alias("_many"), F.lit(True).alias("_single"))
 
     # one occurrence of each recurring segment in each shard
-    shard = F.pmod("_row", F.lit(shards))
-    whole = (
-        seen.join(distinct.filter("_c > 1").select("_anchor", "_s1", "_s2"), ["_anchor", "_s1", "_s2"])
-        .groupBy(shard.alias("_shard"), "_s1", "_s2")
-        .agg(F.min(place).alias("_at"))
-        .select("_at.*", F.lit(False).alias("_single"))
-        .select("_id", "_row", "_first", "_many", "_single")
-    )
-    phrases = whole.union(settled).select(shard.alias("_shard"), "_id", "_row", "_first", "_many", "_single")
+    whole = seen.join(distinct.filter("_c > 1").select("_s1", "_s2"), ["_s1", "_s2"])
+    whole = whole.select("_at.*", F.lit(False).alias("_single")).select("_id", "_row", "_first", "_many", "_single")
+    phrases = materialize(whole.union(settled).select(shard.alias("_shard"), "_id", "_row", "_first", "_many", "_single"))
+    discard(seen, distinct, open_anchors, lists, hashed, twice)
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), _compressed(batch.column("text"))], ["_id", "_row", "z"])
 
     def locate(texts: pa.Table, found: pa.Table) -> pa.Table:
-        words = W.split(texts.column("text"))
+        words = W.split(_plain(texts.column("z")))
         removed = np.zeros(len(words.codes), bool)
         if found.num_rows:
             at = {key: k for k, key in enumerate(zip(texts.column("_id").to_pylist(), texts.column("_row").to_pylist(), strict=True))}
@@ -213,7 +264,8 @@ def remove_repeats(
         return pa.table(columns)
 
     out = (
-        docs.withColumn("_shard", shard)
+        docs.mapInArrow(carried, packed)
+        .withColumn("_shard", shard)
         .groupBy("_shard")
         .cogroup(phrases.groupBy("_shard"))
         .applyInArrow(locate, f"_id {kind}, n_words long, n_removed long, kept_text string")

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether a finished job's shuffle files go at once; read when a query's execution is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of the tables that materialize wrote, by DataFrame.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one only where none is configured and all runs here."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="winnow-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -31,16 +41,29 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: a short lineage that survives lost executors.
 
-    The table is removed when the driver's interpreter ends.
+    What the job shuffled is removed when it ends.  The table goes with discard, or when the
+    driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
-    # what the finished job shuffled goes once the driver's JVM finds it unreachable
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialize gave and that no later plan reads."""
+    for df in tables:
+        if path := _WRITTEN.pop(df, None):
+            _remove(df.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
