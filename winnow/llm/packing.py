@@ -2,9 +2,10 @@
 
 A document's ids are cut into full windows and a remainder.  Remainders are packed shard by
 shard, online: with N(h) the number of windows filled up to level h, each remainder goes where
-the sum of N(h)^2 afterwards is least, which keeps all levels available and wastes little.  The
-windows still open when a shard ends are emptied: their pieces are laid end to end and cut at
-full windows, and the shard's last, shorter stretch is cut at powers of two, which need no padding.
+the sum of N(h)^2 afterwards is least, which keeps all levels available and wastes little.  Of the
+windows still open when a shard ends the fullest stay and are filled up with cuts of the documents
+in the emptiest; what is left of these, less than one window, is cut at powers of two, which need
+no padding.
 """
 
 from __future__ import annotations
@@ -168,21 +169,25 @@ def pack_shard(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]
     opened = state.partial()
     rest = set(opened)
     out = [[(i, 0, lengths[i]) for i in w] for k, w in enumerate(state.windows) if k not in rest]
-    left = [i for w in opened for i in state.windows[w]]
-    total = sum(lengths[i] for i in left)
-    sizes = [size] * (total // size) + powers_of_two(total % size)
-    k, room, sequence = 0, sizes[0] if sizes else 0, []
-    for i in left:
-        start = 0
-        while start < lengths[i]:
-            step = min(room, lengths[i] - start)
-            sequence.append((i, start, step))
-            start, room = start + step, room - step
-            if not room:
-                out.append(sequence)
-                k, sequence = k + 1, []
-                room = sizes[k] if k < len(sizes) else 0
-    return out
+    total = sum(lengths[i] for w in opened for i in state.windows[w])
+    stay, go = opened[: total // size], opened[total // size :]
+    pieces = [(i, 0, lengths[i]) for w in reversed(go) for i in state.windows[w]]
+
+    def taken(many: int) -> list[tuple[int, int, int]]:
+        got = []
+        while many:
+            item, start, length = pieces.pop()
+            step = min(many, length)
+            got.append((item, start, step))
+            if step < length:
+                pieces.append((item, start + step, length - step))
+            many -= step
+        return got
+
+    for w in stay:
+        own = [(i, 0, lengths[i]) for i in state.windows[w]]
+        out.append(own + taken(size - sum(n for _, _, n in own)))
+    return out + [taken(n) for n in powers_of_two(total % size)]
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -196,14 +201,15 @@ def pack(
     text: str = "text",
     window: int = 2048,
     end_id: int = 1,
-    shard_rows: int = 2048,
+    shard_rows: int = 40_000,
+    shard_pieces: int = 400_000,
 ) -> DataFrame:
     """Pack all documents into sequences of at most window ids; one row per piece.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  The number of
-    shards follows the number of rows, about shard_rows in each, so no task holds more than its
-    shard; full windows travel without their ids.  Every shard's sequences are full or a power of
-    two long, so nothing is padded.
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A shard has about
+    shard_rows remainders (of less than window ids each) and at most about shard_pieces full
+    windows, which travel without their ids, so no task holds more than that.  Every shard's
+    sequences are full or a power of two long, so nothing is padded.
 
     * A null text is the empty text: one piece with the end id alone.
     * Repeated rows are packed once each; a null doc_id is kept as null.
@@ -213,7 +219,8 @@ def pack(
     """
     docs = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     id_type = docs.schema["_id"].dataType.simpleString()
-    shards = max(1, -(-documents.count() // shard_rows))
+    total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-total[0] // shard_rows), -(-total[1] // (window * shard_pieces)))
     docs = docs.select("_id", "text", F.xxhash64("_id", "text").alias("_hash"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +245,7 @@ def pack(
 
     pieces = docs.mapInArrow(
         cut, f"_id {id_type}, _hash long, start long, length long, crc long, total long, ids binary"
-    ).withColumn("_shard", F.pmod("_hash", F.lit(shards)))
+    ).withColumn("_shard", F.pmod(F.xxhash64("_hash", "start"), F.lit(shards)))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_id", "ascending"), ("_hash", "ascending"), ("start", "ascending")])
