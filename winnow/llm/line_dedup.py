@@ -2,9 +2,9 @@
 
 Lines are exploded with their position, their normalised key is hashed to 128 bits, documents
 are counted per hash, and only positions of lines to drop travel back to the documents.  All
-steps are DataFrame functions.  Counting pre-aggregates before each exchange; the join of line
-occurrences with the small table of frequent lines is one that adaptive execution can split, so
-one line held by a third of all documents does not land in one task.
+steps are DataFrame functions.  Counting pre-aggregates before each exchange.  Occurrences and
+frequent lines are written before they meet: adaptive execution can split a join of two plain
+exchanges, so one line held by a third of all documents does not land in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import carried, read, uncarried
+from .tables import carried, discard, materialize, read, uncarried
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -48,37 +48,37 @@ def line_dedup(
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"),
         carried(carry).alias("_carry"),
     )
-    # positions of rows that repeat a doc_id with another text are kept apart by the text's hash
-    base = F.shiftleft(F.hash("_text").cast("long"), 32)
-    occurrences = (
-        docs.select("_id", base.alias("_base"), F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
-        .select("_id", (F.col("_base") + F.col("_pos")).alias("_slot"), line_key(F.col("_line")).alias("_key"))
+    # rows that repeat a doc_id, or have none, are kept apart by their texts' 128 bits
+    docs = docs.withColumns({"_r1": F.xxhash64(F.lit(3), "_text"), "_r2": F.xxhash64(F.lit(4), "_text")})
+    occurrences = materialize(
+        docs.select("_id", "_r1", "_r2", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
+        .select("_id", "_r1", "_r2", "_pos", line_key(F.col("_line")).alias("_key"))
         .filter(F.length("_key") >= min_chars)
-        .select(F.xxhash64(F.lit(1), "_key").alias("_h1"), F.xxhash64(F.lit(2), "_key").alias("_h2"), "_id", "_slot")
+        .select(F.xxhash64(F.lit(1), "_key").alias("_h1"), F.xxhash64(F.lit(2), "_key").alias("_h2"), "_id", "_r1", "_r2", "_pos")
     )
-    frequent = (
+    frequent = materialize(
         occurrences.groupBy("_h1", "_h2")
         .agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_last"))
         .filter(F.col("_n") >= min_docs)
         .select("_h1", "_h2", "_last")
     )
-    drops = (
+    drops = materialize(
         occurrences.join(frequent, ["_h1", "_h2"])
         .filter(~F.col("_id").eqNullSafe(F.col("_last")))
-        .groupBy(F.col("_id").alias("_of"))
-        .agg(F.collect_list("_slot").alias("_slots"))
+        .groupBy(F.col("_id").alias("_of"), F.col("_r1").alias("_of1"), F.col("_r2").alias("_of2"))
+        .agg(F.collect_set("_pos").alias("_drop"))
     )
-    slots = F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: i.cast("long") + base)
-    kept = F.array_except(slots, F.coalesce("_slots", F.array().cast("array<bigint>")))
+    discard(occurrences, frequent)
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_r1") == F.col("_of1")) & (F.col("_r2") == F.col("_of2"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_drop", F.array().cast("array<int>")))
     # the one-element array binds the split lines once for all positions
     joined = F.transform(
         F.array("_lines"),
-        lambda lines: F.array_join(F.transform("_kept", lambda s: F.get(lines, (s - F.col("_base")).cast("int"))), "\n"),
+        lambda lines: F.array_join(F.transform("_kept", lambda k: F.get(lines, k)), "\n"),
     )[0]
     return (
-        docs.join(drops, F.col("_id").eqNullSafe(F.col("_of")), "left")
+        docs.join(drops, same, "left")
         .withColumn("_lines", F.split("_text", "\n", -1))
-        .withColumn("_base", base)
         .withColumn("_kept", kept)
         .select(
             F.col("_id").alias(doc_id),
