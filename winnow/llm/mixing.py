@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Targets come from source totals on the driver (one row per source).  Each source's documents are
+Words are counted once, into a narrow table.  Targets come from source totals on the driver (one row per source).  Each source's documents are
 dealt to shards and laid end to end in a seeded order; a shard is a row of blocks of nearly equal
 size.  Seats (blocks to take) go to sources, and within a source to its shards, by the highest
 quotients votes / (2 * seats + 1).  Which blocks of a shard are taken once more than the others
@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .tables import carried, read, uncarried
+from .tables import carried, materialize, read, uncarried
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Steps of the block permutation; the first that shares no factor with a shard's block count serves.
 STEPS = (2654435761, 2246822519, 3266489917, 668265263, 374761393)
 
+#: So many sources are broadcast with their plan; more meet their documents in a shuffled join.
+BROADCAST_SOURCES = 10_000
+
 
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
     """Shares of total by weight, none above cap times its size; what is above is shared anew."""
@@ -83,7 +86,8 @@ def mix(
     share: float = 1.5,
     cap: int = 2,
     block_tokens: int = 64,
-    shard_rows: int = 20_000,
+    least_blocks: int = 20_000,
+    shard_rows: int = 2_000,
     seed: int = 17,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -91,13 +95,15 @@ def mix(
 
     Returns one row per input row: doc_id, source, size, source_size, target, taken, the two
     block numbers and figures behind them (spans: start, end, times, in words), then the carried
-    columns.
+    columns.  Blocks have about block_tokens words, or less where the corpus would have under
+    least_blocks of them, so that targets are met to a small share of the corpus at any size.
 
     * Size counts words; a null or empty text has size 0, takes part and gives nothing.
     * A null source is a source of its own, after all others; weights repeat in code point order.
     * Repeated rows are documents of their own; equal rows are interchangeable in the seeded order.
     * A null doc_id is kept as null.  An empty table gives an empty result.
-    * The driver holds one row per source, a worker one per shard of a source.
+    * The driver holds one row per source, a worker one per shard (of about shard_rows rows) of a
+      source.
     * Other columns are ignored unless carried, whatever their names.
     """
     docs = documents.select(
@@ -108,12 +114,15 @@ def mix(
         carried(carry).alias("_carry"),
     )
     spark = documents.sparkSession
-    totals = docs.groupBy("_source").agg(F.sum("_size").alias("tokens"), F.count("*").alias("rows")).collect()
+    facts = materialize(docs.drop("_carry"))
+    if not carry:
+        docs = facts.withColumn("_carry", carried(carry))
+    totals = facts.groupBy("_source").agg(F.sum("_size").alias("tokens"), F.count("*").alias("rows")).collect()
     totals.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
     sizes = [int(r["tokens"]) for r in totals]
     weight = [float(weights[k % len(weights)]) for k in range(len(totals))]
     targets = water_fill(sizes, weight, share * sum(sizes), cap)
-    block = max(1, min(block_tokens, sum(sizes) // 20_000))
+    block = max(1, min(block_tokens, sum(sizes) // least_blocks))
     most = [cap * max(1, round(s / block)) if s else 0 for s in sizes]
     seats = sainte_lague(targets, round(sum(targets) / block), most)
     kind = docs.schema["_source"].dataType.simpleString()
@@ -121,10 +130,12 @@ def mix(
         [(r["_source"], s, t, q, max(1, -(-r["rows"] // shard_rows))) for r, s, t, q in zip(totals, sizes, targets, seats, strict=True)],
         f"_of {kind}, source_size long, target double, _seats long, _shards long",
     )
-    # one row per source, as counted above
-    dealt = docs.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_of"))).withColumn(
-        "_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_shards"))
-    )
+    few = F.broadcast if len(totals) <= BROADCAST_SOURCES else lambda df: df
+
+    def dealt(df: DataFrame) -> DataFrame:
+        key = F.when(F.col("_source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("_source").cast("string")))
+        own = df.join(few(plan), F.col("_source").eqNullSafe(F.col("_of")))
+        return own.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_shards"))).withColumn("_key", key)
 
     def quotas(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("_shard")
@@ -133,16 +144,15 @@ def mix(
         steps = [next((s for s in STEPS if math.gcd(s, b) == 1), 1) if b else 1 for b in blocks]
         return pd.DataFrame({"_key": cells["_key"], "_cell": cells["_shard"], "_tokens": cells["_tokens"], "_blocks": blocks, "_quota": held, "_step": steps})
 
-    key = F.when(F.col("_source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("_source").cast("string")))
-    dealt = dealt.withColumn("_key", key)
     cells = (
-        dealt.groupBy("_key", "_shard")
+        dealt(facts)
+        .groupBy("_key", "_shard")
         .agg(F.sum("_size").alias("_tokens"), F.first("_seats").alias("_seats"))
         .groupBy("_key")
         .applyInPandas(quotas, "_key string, _cell long, _tokens long, _blocks long, _quota long, _step long")
         .withColumnRenamed("_key", "_cell_key")
     )
-    lined = dealt.withColumn(
+    lined = dealt(docs).withColumn(
         "_start",
         F.sum("_size").over(
             Window.partitionBy("_key", "_shard").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
