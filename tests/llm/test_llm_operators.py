@@ -248,7 +248,7 @@ def test_counterfactual_penalty():
 def test_lm_scores(docs):
     import math
 
-    got = lm_scoring.lm_scores(docs, every=1).collect()
+    got = lm_scoring.lm_scores(docs).collect()
     train = [x for x in ROWS if zlib.crc32(str(x[0]).encode()) % 5 != 1]
     c = collections.Counter(w for x in train for w in [*words((x[1] or "").translate(FOLD)), " "])
     n, v = sum(c.values()), len(c)
@@ -262,21 +262,57 @@ def test_lm_scores(docs):
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
 
 
-def test_lm_learns_from_all_documents_in_rounds(docs, spark, monkeypatch):
-    import inspect
-
-    assert inspect.signature(lm_scoring.lm_scores).parameters["every"].default == 1
+def test_lm_learns_from_all_documents_in_rounds(spark, monkeypatch):
     rng = random.Random(6)
     pairs = ["a x1", "b x2", "c x3", "d x4", "e x5"]
     texts = [" ".join(rng.choice(pairs) for _ in range(30)) for _ in range(240)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    total, seen = {}, []
-    averaged = lm_scoring.materialize
-    monkeypatch.setattr(lm_scoring, "materialize", lambda d: seen.append(d.columns) or averaged(d))
-    for parallel in (1000, 2):
+    tables, total = [], {}
+    write = lm_scoring.materialize
+    monkeypatch.setattr(lm_scoring, "materialize", lambda d: tables.append(write(d)) or tables[-1])
+    monkeypatch.setattr(lm_scoring, "discard", lambda *t: None)
+    for parallel, fan_in in ((1000, 32), (2, 2)):
         monkeypatch.setattr(lm_scoring, "PARALLEL", parallel)
-        total[parallel] = sum(r["score"] for r in lm_scoring.lm_scores(df, learner_rows=12).filter("held_out").collect())
-    assert total[2] > total[1000] and ["_row", "text", "_learner"] in seen
+        monkeypatch.setattr(lm_scoring, "FAN_IN", fan_in)
+        total[parallel] = sum(r["score"] for r in lm_scoring.lm_scores(df, learner_tokens=800).filter("held_out").collect())
+    again = sum(r["score"] for r in lm_scoring.lm_scores(df.repartition(7), learner_tokens=800).filter("held_out").collect())
+    assert total[2] > total[1000] and abs(again - total[2]) < 1e-6 * abs(again)
+    dealt = [t for t in tables if t.columns == ["_row", "_learner", "ids"]]
+    trained = sum(zlib.crc32(str(k).encode()) % 5 != 1 for k in range(240))
+    assert [t.count() for t in dealt] == [trained] * 3 and dealt[0].select("_learner").distinct().count() > 4
+
+
+def test_lm_scores_equal_a_plain_loop(docs, monkeypatch):
+    """score against one step and one softmax at a time, over the same parameters and counts."""
+    import math
+
+    import numpy as np
+
+    kept = []
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda t, lexicon, **k: kept.append((lexicon, train(t, lexicon, **k))) or kept[-1][1])
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs, vocabulary=64).filter("doc_id < 200").collect()}
+    lexicon, flat = kept[0]
+    assert len(lexicon.ids) == 64
+    model = gru.Gru(lexicon.model_counts).load(flat)
+    train_rows = [x for x in ROWS if zlib.crc32(str(x[0]).encode()) % 5 != 1]
+    c = collections.Counter(w for x in train_rows for w in [*words((x[1] or "").translate(FOLD)), " "])
+    outside = {w: k for w, k in c.items() if w not in lexicon.ids}
+    below = sum(outside.values()) + 0.5 * (len(outside) + 1)
+    p = model.p
+    for i, t, *_ in ROWS[:12] + ROWS[-9:-3]:
+        h, total = np.zeros((1, model.hidden)), 0.0
+        for w in [*words((t or "").translate(FOLD)), " "]:
+            k = lexicon.ids.get(w, lexicon.unknown)
+            cls = model.of[k]
+            logits = (h @ p["class_w"] + p["class_b"])[0]
+            inner = (h @ p["word_w"] + p["word_b"])[0][model.first[cls] : model.first[cls + 1]]
+            total += logits[cls] - math.log(sum(math.exp(x) for x in logits)) + inner[k - model.first[cls]] - math.log(sum(math.exp(x) for x in inner))
+            if w not in lexicon.ids:
+                total += math.log((c[w] + 0.5) / below)
+            x = p["embed"][k] @ p["wx"] + p["b"]
+            h = model.step(x[None], h)
+        assert abs(got[i] - total / math.log(10)) < 1e-3 * max(1, abs(total)), i
 
 
 def test_gru_probabilities_sum_to_one_and_gradients():

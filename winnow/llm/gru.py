@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import glob
+import heapq
 import os
-from collections.abc import Iterator
 
 import numpy as np
 
@@ -22,7 +22,9 @@ def one_thread() -> None:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    out = np.exp(-x)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def word_classes(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -63,43 +65,46 @@ class Gru:
         return np.concatenate([self.p[n].ravel() for n in NAMES])
 
     def load(self, flat: np.ndarray) -> Gru:
+        self.view(flat.astype(np.float32))
+        return self
+
+    def view(self, flat: np.ndarray) -> None:
+        """Let the parameters be views of their flat form."""
         at = 0
         for n in NAMES:
             size = self.p[n].size
-            self.p[n] = flat[at : at + size].reshape(self.p[n].shape).astype(np.float32)
+            self.p[n] = flat[at : at + size].reshape(self.p[n].shape)
             at += size
-        return self
 
-    def step(self, x: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = self.hidden
         g = h @ self.p["u"]
         zr = sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-        if keep is not None:
-            keep |= {"z": z, "r": r, "c": c, "gn": g[:, 2 * n :], "h": h}
-        return c + z * (h - c)
-
-    def by_class(self, targets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """First and last id of each class with more than one word, and the rows that have it."""
-        own = self.of[targets]
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(len(self.first)))
-        for k in range(len(self.first) - 1):
-            lo, hi = int(self.first[k]), int(self.first[k + 1])
-            if hi - lo > 1 and cuts[k + 1] > cuts[k]:
-                yield lo, hi, order[cuts[k] : cuts[k + 1]]
+        c = np.tanh(x[:, 2 * n :] + zr[:, n:] * g[:, 2 * n :])
+        return c + zr[:, :n] * (h - c)
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after its state."""
-        logits = h @ self.p["class_w"] + self.p["class_b"]
-        rows = np.arange(len(targets))
-        top = logits.max(axis=1)
-        out = logits[rows, self.of[targets]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        for lo, hi, at in self.by_class(targets):
-            inner = h[at] @ self.p["word_w"][:, lo:hi] + self.p["word_b"][lo:hi]
-            top = inner.max(axis=1)
-            out[at] += inner[np.arange(len(at)), targets[at] - lo] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+        by_target = np.argsort(targets.astype(np.uint16), kind="stable")  # ids of one class are consecutive
+        h, targets = h[by_target], targets[by_target]
+        of, rows = self.of[targets], np.arange(len(targets))
+        logits = h @ self.p["class_w"]
+        logits += self.p["class_b"]
+        logits -= logits.max(axis=1, keepdims=True)
+        logs = logits[rows, of]
+        logs -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        cuts = np.searchsorted(of, np.arange(len(self.first)))
+        for k in range(len(self.first) - 1):
+            lo, hi, a, b = int(self.first[k]), int(self.first[k + 1]), cuts[k], cuts[k + 1]
+            if hi - lo == 1 or a == b:
+                continue
+            inner = h[a:b] @ self.p["word_w"][:, lo:hi]
+            inner += self.p["word_b"][lo:hi]
+            inner -= inner.max(axis=1, keepdims=True)
+            logs[a:b] += inner[rows[: b - a], targets[a:b] - lo]
+            logs[a:b] -= np.log(np.exp(inner, out=inner).sum(axis=1))
+        out = np.empty_like(logs)
+        out[by_target] = logs
         return out
 
     def score(self, ids: np.ndarray, starts: np.ndarray, window: int = 64, cells: int = 1 << 17) -> np.ndarray:
@@ -137,96 +142,116 @@ class Gru:
         """Of a window (steps x lanes); fresh marks first tokens of documents, live the real tokens."""
         p, n = self.p, self.hidden
         steps, lanes = tokens.shape
-        x = p["embed"][tokens] @ p["wx"] + p["b"]
-        kept: list[dict] = []
-        states = np.empty((steps, lanes, n), np.float32)
+        x = (p["embed"] @ p["wx"] + p["b"])[tokens]
+        states = np.empty((steps, lanes, n), x.dtype)
+        gates = np.empty((steps, lanes, 2 * n), x.dtype)
+        inner_g, cand = np.empty_like(states), np.empty_like(states)
         for s in range(steps):
-            h = np.where(fresh[s][:, None], np.float32(0), h)
+            if fresh[s].any():
+                h = np.where(fresh[s][:, None], x.dtype.type(0), h)
             states[s] = h
-            kept.append({})
-            h = self.step(x[s], h, kept[-1])
-        flat, target, weight = states.reshape(-1, n), tokens.ravel(), live.ravel().astype(np.float32)
-        logits = flat @ p["class_w"] + p["class_b"]
+            g = h @ p["u"]
+            gates[s] = zr = sigmoid(x[s, :, : 2 * n] + g[:, : 2 * n])
+            inner_g[s] = g[:, 2 * n :]
+            cand[s] = c = np.tanh(x[s, :, 2 * n :] + zr[:, n:] * g[:, 2 * n :])
+            h = c + zr[:, :n] * (h - c)
+        flat, target, weight = states.reshape(-1, n), tokens.ravel(), live.ravel().astype(x.dtype)
+        by_target = np.argsort(target.astype(np.uint16), kind="stable")  # ids of one class are consecutive
+        flat_s, target_s, weight_s = flat[by_target], target[by_target], weight[by_target]
+        class_s, rows = self.of[target_s], np.arange(len(target))
+        logits = flat_s @ p["class_w"] + p["class_b"]
         logits -= logits.max(axis=1, keepdims=True)
         prob = np.exp(logits)
         prob /= prob.sum(axis=1, keepdims=True)
-        rows = np.arange(len(target))
-        loss = float(-(np.log(prob[rows, self.of[target]] + 1e-30) * weight).sum())
-        prob[rows, self.of[target]] -= 1
-        prob *= weight[:, None]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["class_w"], g["class_b"] = flat.T @ prob, prob.sum(axis=0)
-        dh_out = prob @ p["class_w"].T
-        for lo, hi, at in self.by_class(target):
-            inner = flat[at] @ p["word_w"][:, lo:hi] + p["word_b"][lo:hi]
-            inner -= inner.max(axis=1, keepdims=True)
-            q = np.exp(inner)
+        loss = float(-(np.log(prob[rows, class_s] + 1e-30) * weight_s).sum())
+        prob[rows, class_s] -= 1
+        prob *= weight_s[:, None]
+        g = {"class_w": flat_s.T @ prob, "class_b": prob.sum(axis=0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
+        dh_s = prob @ p["class_w"].T
+        cuts = np.searchsorted(class_s, np.arange(len(self.first)))
+        for k in range(len(self.first) - 1):
+            lo, hi, a, b = int(self.first[k]), int(self.first[k + 1]), cuts[k], cuts[k + 1]
+            if hi - lo == 1 or a == b:
+                continue
+            q = flat_s[a:b] @ p["word_w"][:, lo:hi] + p["word_b"][lo:hi]
+            q -= q.max(axis=1, keepdims=True)
+            np.exp(q, out=q)
             q /= q.sum(axis=1, keepdims=True)
-            own = target[at] - lo
-            loss -= float((np.log(q[np.arange(len(at)), own] + 1e-30) * weight[at]).sum())
-            q[np.arange(len(at)), own] -= 1
-            q *= weight[at][:, None]
-            g["word_w"][:, lo:hi] = flat[at].T @ q
+            own, at = target_s[a:b] - lo, rows[: b - a]
+            loss -= float((np.log(q[at, own] + 1e-30) * weight_s[a:b]).sum())
+            q[at, own] -= 1
+            q *= weight_s[a:b, None]
+            g["word_w"][:, lo:hi] = flat_s[a:b].T @ q
             g["word_b"][lo:hi] = q.sum(axis=0)
-            dh_out[at] += q @ p["word_w"][:, lo:hi].T
+            dh_s[a:b] += q @ p["word_w"][:, lo:hi].T
+        dh_out = np.empty_like(dh_s)
+        dh_out[by_target] = dh_s
         dh_out = dh_out.reshape(steps, lanes, n)
-        dx = np.empty((steps, lanes, 3 * n), np.float32)
-        dh = np.zeros((lanes, n), np.float32)
+        # dx is the gradient of x; where it meets the candidate, that of h @ u has the reset gate as a factor
+        dx, dg = np.empty_like(x), np.empty_like(x)
+        dh, back = np.zeros((lanes, n), x.dtype), p["u"].T.copy()
         for s in reversed(range(steps)):
-            k = kept[s]
-            z, r, c, h0 = k["z"], k["r"], k["c"], k["h"]
+            z, r, c = gates[s, :, :n], gates[s, :, n:], cand[s]
             dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h0 - c) * z * (1 - z)
-            dr = dc * k["gn"] * r * (1 - r)
-            dx[s] = np.concatenate([dz, dr, dc], axis=1)
-            dg = np.concatenate([dz, dr, dc * r], axis=1)
-            g["u"] += h0.T @ dg
-            dh = np.where(fresh[s][:, None], np.float32(0), dh * z + dg @ p["u"].T + dh_out[s])
+            dx[s, :, :n] = dh * (states[s] - c) * z * (1 - z)
+            dx[s, :, n : 2 * n] = dc * inner_g[s] * r * (1 - r)
+            dx[s, :, 2 * n :] = dc
+            dg[s, :, : 2 * n] = dx[s, :, : 2 * n]
+            dg[s, :, 2 * n :] = dc * r
+            dh = dh * z + dg[s] @ back + dh_out[s]
+            if fresh[s].any():
+                dh = np.where(fresh[s][:, None], x.dtype.type(0), dh)
+        g["u"] = flat.T @ dg.reshape(-1, 3 * n)
         flat_dx = dx.reshape(-1, 3 * n)
         g["b"] = flat_dx.sum(axis=0)
         g["wx"] = p["embed"][target].T @ flat_dx
-        de = flat_dx @ p["wx"].T
-        order = np.argsort(target, kind="stable")
-        ids, first = np.unique(target[order], return_index=True)
-        g["embed"][ids] = np.add.reduceat(de[order], first)
+        first = np.flatnonzero(np.diff(target_s, prepend=-1))
+        g["embed"] = np.zeros_like(p["embed"])
+        g["embed"][target_s[first]] = np.add.reduceat((flat_dx @ p["wx"].T)[by_target], first)
         return g, h, loss
 
-    def train(self, documents: list[np.ndarray], lanes: int = 128, window: int = 24, rate: float = 0.004, epochs: int = 1) -> float:
+    def train(
+        self, documents: list[np.ndarray], lanes: int = 256, window: int = 32, rate: float = 0.006, epochs: int = 1, span: int = 2048
+    ) -> float:
         """Adam over windows of all documents, dealt to lanes; returns the last epoch's loss per token.
 
-        The state passes from a window to the next; gradients do not.
+        The state passes from a window to the next; gradients do not.  A document of more than
+        span tokens is learned in spans of their own, so that one long text does not leave the
+        other lanes idle.
         """
-        documents = [d for d in documents if len(d)]
+        documents = [d[k : k + span] for d in documents for k in range(0, len(d), span)]
         if not documents:
             return 0.0
-        lanes = min(lanes, len(documents))
-        bins: list[list[np.ndarray]] = [[] for _ in range(lanes)]
-        fill = [0] * lanes
+        bins: list[list[np.ndarray]] = [[] for _ in range(min(lanes, len(documents)))]
+        heap = [(0, k) for k in range(len(bins))]
         for d in documents:
-            k = fill.index(min(fill))
+            fill, k = heapq.heappop(heap)
             bins[k].append(d)
-            fill[k] += len(d)
-        longest = -(-max(fill) // window) * window
-        tokens = np.zeros((longest, lanes), np.int64)
-        fresh = np.zeros((longest, lanes), bool)
-        live = np.zeros((longest, lanes), bool)
+            heapq.heappush(heap, (fill + len(d), k))
+        bins.sort(key=lambda own: -sum(map(len, own)))  # live lanes are always the first ones
+        fills = np.array([sum(map(len, own)) for own in bins])
+        longest = -(-int(fills[0]) // window) * window
+        tokens = np.zeros((longest, len(bins)), np.int64)
+        fresh = np.zeros((longest, len(bins)), bool)
         for k, own in enumerate(bins):
-            at = 0
-            for d in own:
-                tokens[at : at + len(d), k], fresh[at, k], live[at : at + len(d), k] = d, True, True
-                at += len(d)
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
+            tokens[: fills[k], k] = np.concatenate(own)
+            fresh[np.cumsum([0, *map(len, own[:-1])]), k] = True
+        live = np.arange(longest)[:, None] < fills
+        flat = self.flat()
+        self.view(flat)
+        m, v, grad = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
         step, loss = 0, 0.0
         for _ in range(epochs):
-            h, loss = np.zeros((lanes, self.hidden), np.float32), 0.0
+            h, loss = np.zeros((len(bins), self.hidden), np.float32), 0.0
             for t in range(0, longest, window):
-                real = int(live[t : t + window].sum())
-                g, h, part = self.gradients(tokens[t : t + window], fresh[t : t + window], live[t : t + window], h)
-                loss += part
+                n = int(np.searchsorted(-fills, -t, side="left"))
+                part = slice(t, t + window)
+                g, h, lost = self.gradients(tokens[part, :n], fresh[part, :n], live[part, :n], h[:n])
+                loss += lost
                 step += 1
-                for k, a in self.p.items():
-                    d = g[k] / max(real, 1)
-                    m[k] += 0.1 * (d - m[k])
-                    v[k] += 0.01 * (d * d - v[k])
-                    a -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-        return loss / sum(fill)
+                np.concatenate([g[k].ravel() for k in NAMES], out=grad)
+                grad /= int(live[part, :n].sum())
+                m += 0.1 * (grad - m)
+                v += 0.01 * (grad * grad - v)
+                flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        return loss / int(fills.sum())

@@ -3,9 +3,9 @@
 Word counts come from all training documents.  The most frequent words form the model's
 vocabulary; every other word is the model's unknown token times the word's smoothed share of
 unknown words, so the model's probabilities of all words sum to one.  The model is trained on all
-training documents: one learner starts, then rounds of at most PARALLEL learners go on from the
-average of the round before, each learner on documents of its own, so that the number of rounds
-and what is learned grow with the corpus.
+training documents: one learner starts, then rounds of PARALLEL learners and more go on from the
+average of the round before, each learner on documents of its own, so that what is learned grows
+with the corpus.  Averages are taken in a tree.
 
 Counts of frequent words are broadcast (a fixed number of words of bounded length); each other
 word meets its count in a join, pre-aggregated per document.
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .gru import Gru, one_thread
-from .tables import materialize, read
+from .tables import discard, materialize, read
 
 #: No word contains a blank, so this stands for the end token among words.
 END = " "
 FREQUENT_WORDS, FREQUENT_BYTES = 1 << 17, 64
 SCORE_BYTES = 16 << 20
-#: Learners of one round.
-PARALLEL = 32
+#: Learners of a round at least, rounds at most, learners that one task averages.
+PARALLEL, ROUNDS, FAN_IN = 32, 16, 32
 
 
 class Lexicon:
@@ -73,59 +73,72 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(training: DataFrame, lexicon: Lexicon, *, every: int, learner_rows: int, seed: int = 5) -> np.ndarray:
-    """Parameters after one learner's start and one pass over the documents, in rounds that are averaged.
+def train(training: DataFrame, lexicon: Lexicon, *, tokens: int, learner_tokens: int, seed: int = 5) -> np.ndarray:
+    """Parameters after one learner's start and one pass over all documents, in rounds that are averaged.
 
-    Only every `every`-th document (by hash) counts; 1: all of them.
+    Documents are dealt by hash to learners of about learner_tokens of the tokens.  A round has at
+    least PARALLEL learners, so far as there are, and there are at most ROUNDS rounds.
     """
     spark = training.sparkSession
-    start = Gru(lexicon.model_counts, seed=seed).flat()
-    mark = F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(every))
-    sampled = training.filter(mark == 0).select("_row", "text")
-    rows = sampled.count()
-    if not rows:
-        return start
-    learners = -(-rows // learner_rows)
-    rounds = -(-learners // PARALLEL)
+    flat = Gru(lexicon.model_counts, seed=seed).flat()
+    if not tokens:
+        return flat
+    learners = -(-tokens // learner_tokens)
+    rounds = min(ROUNDS, -(-learners // PARALLEL))
     known = spark.sparkContext.broadcast(lexicon)
-    dealt = sampled.withColumn("_learner", F.pmod(F.xxhash64(F.lit(seed + 1), "_row"), F.lit(learners)))
-    if rounds > 1:  # by learner, so that a round reads little besides its own rows
-        dealt = materialize(dealt.repartitionByRange("_learner"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches, size=SCORE_BYTES):
+            ids, starts, _ = known.value.encode(W.split(batch.column("text"), lower=True))
+            data = pa.py_buffer(ids.astype("<u2").tobytes())
+            blobs = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((2 * starts).tobytes()), data])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_learner"), blobs.cast(pa.binary())], ["_row", "_learner", "ids"])
+
+    # ids travel once; a round then reads little besides its own rows
+    dealt = training.select("_row", F.pmod(F.xxhash64(F.lit(seed + 1), "_row"), F.lit(learners)).alias("_learner"), "text")
+    dealt = dealt.mapInArrow(encode, "_row long, _learner long, ids binary").repartition("_learner").sortWithinPartitions("_learner")
+    dealt = materialize(dealt)
+    schema = "k long, n long, w binary"
 
     def learner(flat: np.ndarray, epochs: int):
         def run(table: pa.Table) -> pa.Table:
             one_thread()
-            table = table.sort_by("_row")
-            ids, starts, _ = known.value.encode(W.split(table.column("text"), lower=True))
+            own = [np.frombuffer(b, "<u2") for b in table.sort_by("_row").column("ids").to_pylist()]
             model = Gru(known.value.model_counts, seed=seed).load(flat)
-            model.train([ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], epochs=epochs)
-            group = table.column("_learner")[0].as_py() % 32
-            return pa.table({"g": pa.array([group], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "w": pa.array([model.flat().tobytes()], pa.binary())})
+            model.train(own, epochs=epochs)
+            return _parameters(table.column("_learner")[0].as_py(), sum(map(len, own)), model.flat())
 
         return run
 
-    def mean(table: pa.Table) -> pa.Table:
-        n = np.array(table.column("n").to_pylist(), np.float64)
-        flats = [np.frombuffer(b, np.float32) for b in table.column("w").to_pylist()]
-        out = sum(f * (k / n.sum()) for f, k in zip(flats, n, strict=True))
-        return pa.table({"g": table.column("g")[:1], "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
-
-    def averaged(df: DataFrame, flat: np.ndarray, epochs: int) -> np.ndarray:
-        schema = "g long, n long, w binary"
-        rows = df.groupBy("_learner").applyInArrow(learner(flat, epochs), schema).groupBy("g").applyInArrow(mean, schema).collect()
-        rows.sort(key=lambda r: r["g"])
-        if not rows:
-            return flat
-        total = sum(r["n"] for r in rows)
-        return sum(np.frombuffer(r["w"], np.float32) * (r["n"] / total) for r in rows)
-
-    flat = averaged(dealt.filter("_learner = 0"), start, 2)
+    def averaged(df: DataFrame, many: int, flat: np.ndarray, epochs: int) -> np.ndarray:
+        held = df.groupBy("_learner").applyInArrow(learner(flat, epochs), schema)
+        while many > FAN_IN:  # a task averages at most FAN_IN learners
+            many = -(-many // FAN_IN)
+            held = held.groupBy(F.floor(F.col("k") / FAN_IN).cast("long").alias("g")).applyInArrow(_mean, schema)
+        rows = held.toArrow()
+        return np.frombuffer(_mean(rows).column("w")[0].as_py(), np.float32) if rows.num_rows else flat
+
+    flat = averaged(dealt.filter("_learner = 0"), 1, flat, 2)
     for r in range(rounds if learners > 1 else 0):
-        own = F.col("_learner").between(learners * r // rounds, learners * (r + 1) // rounds - 1)
-        flat = averaged(dealt.filter(own), flat, 1)
+        first, last = learners * r // rounds, learners * (r + 1) // rounds
+        flat = averaged(dealt.filter(F.col("_learner").between(first, last - 1)), last - first + FAN_IN, flat, 1)
+    discard(dealt)
     return flat
 
 
+def _parameters(key: int, tokens: int, flat: np.ndarray) -> pa.Table:
+    columns = [pa.array([key], pa.int64()), pa.array([tokens], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())]
+    return pa.Table.from_arrays(columns, ["k", "n", "w"])
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """Mean of parameters by tokens, in the order of their keys, so that reruns agree."""
+    table = table.sort_by("k")
+    n = table.column("n").to_numpy()
+    out = sum(np.frombuffer(w, np.float32) * (k / n.sum()) for w, k in zip(table.column("w").to_pylist(), n.tolist(), strict=True))
+    return _parameters(table.column("k")[0].as_py() // FAN_IN, int(n.sum()), out)
+
+
 def lm_scores(
     documents: DataFrame,
     *,
@@ -134,8 +147,7 @@ def lm_scores(
     folds: int = 5,
     held: int = 1,
     vocabulary: int = 2048,
-    every: int = 1,
-    learner_rows: int = 2048,
+    learner_tokens: int = 1 << 20,
 ) -> DataFrame:
     """Log10 probability of every whole text under word frequencies and under the recurrent model.
 
@@ -169,7 +181,7 @@ def lm_scores(
     rows = [(r["word"], int(r["c"])) for r in short.filter(step >= floor).collect()]
     rows.sort(key=lambda r: (-r[1], r[0]))
     lexicon = Lexicon(rows, vocabulary, n, ends)
-    parameters = train(training, lexicon, every=every, learner_rows=learner_rows)
+    parameters = train(training, lexicon, tokens=n, learner_tokens=learner_tokens)
     shared = spark.sparkContext.broadcast((lexicon, parameters))
     below = n + 0.5 * (v + 1)
     # all unknown words' smoothed counts: the known ones outside the vocabulary, and the unseen
