@@ -1,14 +1,22 @@
-"""Exact top-k search: BM25 over an inverted index per shard, every posting scored.
+"""Exact top-k search: BM25 by block-max WAND over an inverted index per shard, merged exactly.
 
 Document frequencies, the number of documents and their mean length are global, so a document's
-score does not depend on its shard.  A shard scores a block of queries as a product of matrices,
-queries by words times words by documents: words that are frequent on both sides in a dense
-product, all others posting by posting.  Documents come in rounds that grow eightfold: the k-th
-best hit so far is an exact bound, and later rounds give only the hits that beat it, about 8 * k
-for each query and round in place of k for each query and shard.
-
-Impacts are rounded to multiples of 2**-38, so that sums up to 32768 are exact in any order and
-equal texts get equal scores in all shards.
+score does not depend on its shard.  The index is written once: a shard holds the posting lists of
+some thousand documents, which are laid side by side by their commonest word and length, so that
+blocks of neighbours have low maxima.  Against a shard a query goes through these steps, each for
+all its lists at once instead of cursor by cursor:
+
+1. Block maxima of its lists are summed per block; blocks that cannot reach the threshold are skipped.
+2. Pivot: with the lists in order of their maxima, those that even together stay below the
+   threshold are not walked; documents come only from the others, and only from blocks left.
+3. A document is scored whole if what it has so far, and the block maxima of the lists not walked,
+   can reach the threshold.
+
+The threshold is the k-th best score known: shards come in rounds that grow eightfold, so all but
+the first start from the k-th best of the rounds before, and improve on it by their own hits.
+
+Impacts are rounded to multiples of 2**-38, so that sums up to 32768 are exact in any order, bounds
+are never too low, and equal texts get equal scores in all shards.
 """
 
 from __future__ import annotations
@@ -22,78 +30,120 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import materialize, read
+from .tables import discard, materialize, read
 
 K1, B = 1.2, 0.75
-#: Each round scores so many times the documents of all before it, as far as there are.
+#: Each round has so many times the documents of all before it, as far as there are.
 GROWTH = 7
-#: Queries scored at once; the unit of impacts; products of shares from which a word counts as dense.
-STEP, UNIT, DENSE = 64, 2.0**-38, 1 / 150
+#: Documents of a block; the unit of impacts.
+BLOCK, UNIT = 32, 2.0**-38
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start to before its end, one range after the other."""
+    sizes = ends - starts
+    stops = np.cumsum(sizes)
+    return np.repeat(starts - stops + sizes, sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
+
+
+def lists_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, W.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the texts in their shard, their words' number in it, the words, and postings: term, document, times."""
+    words = W.split(texts, lower=True)
+    n = max(len(words.counts), 1)
+    keys, times = np.unique(words.codes * n + np.repeat(np.arange(len(words.counts)), words.counts), return_counts=True)
+    term, doc = keys // n, keys % n
+    most, common = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.maximum.at(most, doc, times)
+    top = times == most[doc]
+    common[doc[top]] = term[top]
+    order = np.lexsort((words.counts, common[: len(words.counts)]))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(len(order))
+    again = np.argsort(term * n + place[doc])
+    return order, words.counts[order], words, term[again], place[doc][again], times[again]
 
 
 class Shard:
-    """Impacts of the words of some documents that queries ask for, one row for each asked word."""
-
-    def __init__(self, words: W.Words, asked: pa.Array, idf: np.ndarray, mean: float) -> None:
-        n = max(len(words.starts) - 1, 1)
-        row = pc.index_in(words.vocabulary.cast(pa.string()), asked.cast(pa.string()))
-        row = row.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        text = np.repeat(np.arange(len(words.starts) - 1), words.counts)
-        of = row[words.codes] if len(words.codes) else np.empty(0, np.int64)
-        pairs, tf = np.unique(of[of >= 0] * n + text[of >= 0], return_counts=True)
-        docs, terms = pairs % n, pairs // n
-        norm = K1 * (1 - B + B * words.counts / max(mean, 1e-9))
-        impact = idf[terms] * tf * (K1 + 1) / (tf + norm[docs])
+    """Posting lists with block maxima of the words that queries ask for, and the words of each document."""
+
+    def __init__(self, asked: np.ndarray, first: np.ndarray, doc: np.ndarray, times: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        """asked: of each list its number among the asked words, or -1; first: where its postings begin."""
+        known = np.flatnonzero(asked >= 0)
+        at = ranges(first[known], first[known + 1])
+        sizes = (first[1:] - first[:-1])[known]
+        term, doc, tf = np.repeat(np.arange(len(known)), sizes), doc[at].astype(np.int64), times[at].astype(np.float64)
+        norm = K1 * (1 - B + B * lengths / max(mean, 1e-9))
+        impact = np.repeat(idf[asked[known]], sizes) * tf * (K1 + 1) / (tf + norm[doc])
         impact = np.maximum(np.round(impact / UNIT), 1) * UNIT
-        self.docs, self.impact, self.texts = docs, impact, n
-        self.first = np.searchsorted(terms, np.arange(len(asked) + 1))
-
-    def top(
-        self, asks: np.ndarray, starts: np.ndarray, k: int, ids: np.ndarray, bound: np.ndarray, bound_id: list
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """query, document and score of the best k of each query by (-score, id); documents without any term are no hits.
-
-        Query i has the distinct words asks[starts[i]:starts[i + 1]].  Only hits before (-bound[i],
-        bound_id[i]) count, if bound[i] is above 0.
-        """
-        many, n, sizes = len(starts) - 1, self.texts, np.diff(self.first)
-        owner = np.repeat(np.arange(many), np.diff(starts))
-        dense = np.bincount(asks, minlength=len(sizes)) * sizes > DENSE * many * n
-        column = np.cumsum(dense) - 1
-        left, right = np.zeros((many, int(dense.sum()))), np.zeros((int(dense.sum()), n))
-        left[owner[dense[asks]], column[asks[dense[asks]]]] = 1
-        terms = np.repeat(np.arange(len(sizes)), sizes)
-        own = dense[terms]
-        right[column[terms[own]], self.docs[own]] = self.impact[own]
-        rest = ~dense[asks] & (sizes[asks] > 0)
-        asks, owner = asks[rest], owner[rest]
-        cuts = np.searchsorted(owner, np.arange(many + 1))
-        place = np.empty(n, np.int64)
-        place[np.argsort(ids, kind="stable")] = np.arange(n)
-        out = []
-        for lo in range(0, many, STEP):
-            score = left[lo : lo + STEP] @ right
-            part = slice(cuts[lo], cuts[min(lo + STEP, many)])
-            times = sizes[asks[part]]
-            ends = np.cumsum(times)
-            if len(ends):
-                at = np.repeat(self.first[asks[part]] - ends + times, times) + np.arange(ends[-1])
-                cell = np.repeat((owner[part] - lo) * n, times) + self.docs[at]
-                score += np.bincount(cell, weights=self.impact[at], minlength=score.size).reshape(score.shape)
-            least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(score))
-            least = np.maximum(least, bound[lo : lo + STEP])
-            q, d = np.nonzero((score >= least[:, None] - 2e-9) & (score > 0))
-            s = np.round(score[q, d], 9)
-            known = bound[q + lo]
-            keep = s >= known
-            for i in np.flatnonzero((s == known) & keep).tolist():
-                keep[i] = ids[d[i]] < bound_id[q[i] + lo]
-            q, d, s = q[keep], d[keep], s[keep]
-            order = np.lexsort((place[d], -s, q))
-            q, d, s = q[order], d[order], s[order]
-            best = np.arange(len(q)) - np.searchsorted(q, q) < k
-            out.append((q[best] + lo, d[best], s[best]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        self.row = np.full(len(idf), -1, np.int64)
+        self.row[asked[known]] = np.arange(len(known))
+        self.texts, self.blocks = len(lengths), -(-len(lengths) // BLOCK)
+        self.doc, self.impact = doc.astype(np.int32), impact
+        # the blocks of each list: their first posting, their number and maximum
+        cell = term * max(self.blocks, 1) + doc // BLOCK
+        cut = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.block_post = np.append(cut, len(cell))
+        self.block_of = (doc[cut] // BLOCK).astype(np.int32)
+        self.block_max = np.maximum.reduceat(impact, cut) if len(cut) else np.empty(0)
+        self.block_first = np.searchsorted(term[cut], np.arange(len(known) + 1))
+        starts = np.searchsorted(term, np.arange(len(known)))
+        self.list_max = np.maximum.reduceat(impact, starts) if len(starts) else np.empty(0)
+        by_doc = np.argsort(doc.astype(np.uint16), kind="stable") if self.texts <= 1 << 16 else np.argsort(doc, kind="stable")
+        self.own_first = np.searchsorted(doc[by_doc], np.arange(self.texts + 1))
+        self.own_term, self.own_impact = term[by_doc].astype(np.int32), impact[by_doc]
+        self.asks = np.zeros(len(known), bool)
+        self.scored = self.walked = 0
+
+    def _whole(self, docs: np.ndarray) -> np.ndarray:
+        """Scores of documents by all words that self.asks marks."""
+        self.scored += len(docs)
+        first, last = self.own_first[docs], self.own_first[docs + 1]
+        at = ranges(first, last)
+        hit = self.asks[self.own_term[at]]
+        return np.bincount(np.repeat(np.arange(len(docs)), last - first)[hit], weights=self.own_impact[at[hit]], minlength=len(docs))
+
+    def _upper(self, terms: np.ndarray) -> np.ndarray:
+        """Summed block maxima of some lists, for each block."""
+        at = ranges(self.block_first[terms], self.block_first[terms + 1])
+        return np.bincount(self.block_of[at], weights=self.block_max[at], minlength=self.blocks)
+
+    def top(self, asked: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores, among them all that are of the k best and reach the bound; score 0 is no hit."""
+        terms = self.row[asked]
+        terms = terms[terms >= 0]
+        upper = self._upper(terms)
+        live = (upper >= bound) & (upper > 0)
+        if not live.any():
+            return np.empty(0, np.int64), np.empty(0)
+        self.asks[terms] = True
+        docs, scores = np.empty(0, np.int64), np.empty(0)
+        if bound <= 0:  # the blocks of the highest bounds give a threshold
+            lead = np.argsort(-upper, kind="stable")[: -(-k // BLOCK) + 1]
+            docs = ranges(lead * BLOCK, np.minimum((lead + 1) * BLOCK, self.texts))
+            scores = self._whole(docs)
+            if len(docs) >= k:
+                bound = float(np.partition(scores, len(scores) - k)[len(scores) - k])
+            live &= upper >= bound
+            live[lead] = False
+        order = np.argsort(self.list_max[terms], kind="stable")
+        below = int(np.searchsorted(np.cumsum(self.list_max[terms[order]]), bound, side="left"))
+        rest, pivot = terms[order[:below]], terms[order[below:]]
+        at = ranges(self.block_first[pivot], self.block_first[pivot + 1])
+        at = at[live[self.block_of[at]]]
+        post = ranges(self.block_post[at], self.block_post[at + 1])
+        self.walked += len(post)
+        part = np.bincount(self.doc[post], weights=self.impact[post], minlength=self.texts)
+        some = np.flatnonzero(part)
+        some = some[part[some] + self._upper(rest)[some // BLOCK] >= bound]
+        docs, scores = np.concatenate([docs, some]), np.concatenate([scores, self._whole(some)])
+        self.asks[terms] = False
+        good = (scores >= bound) & (scores > 0)
+        return docs[good], scores[good]
+
+
+def best_of(docs: np.ndarray, scores: np.ndarray, k: int, place: np.ndarray) -> np.ndarray:
+    """Positions of the k best by score, then place."""
+    return np.lexsort((place[docs], -scores))[:k]
 
 
 def search(
@@ -103,16 +153,16 @@ def search(
     doc_id: str = "doc_id",
     text: str = "text",
     k: int = 10,
-    query_words: int | None = 16,
-    shard_rows: int = 4096,
-    query_block: int = 4096,
+    shard_rows: int = 8192,
+    shard_bytes: int = 32 << 20,
+    block_terms: int = 4 << 20,
 ) -> DataFrame:
     """The k best documents of each query by BM25, exactly.
 
     A query is a row of queries (same columns as documents); its words are all distinct ones of its
-    whole text if query_words is None, else the query_words ones with the highest tf * idf (ties by
-    word), which is not the ranking by the whole text.  Every block of queries is sent to
-    all partitions of documents, whose texts are not shuffled.
+    whole text.  Shards have at most shard_rows documents and about shard_bytes bytes of text, or
+    one longer text.  Queries go in blocks of about block_terms words, or one longer query, that
+    are sent to all shards; texts are read twice, for counts and for the index.
 
     Returns query_id, rank, doc_id, score.  Ties go to the lesser doc_id; fewer than k rows if
     fewer documents share a word.
@@ -120,7 +170,7 @@ def search(
     * Null, empty or blank texts have no words: as queries they return nothing, as documents they
       are never found, but count in the number and mean length.
     * Repeated rows are documents of their own; rows with a null doc_id are neither.  Queries that
-      repeat a doc_id are one query of all their words.
+      repeat a doc_id are one query of all their words, each counted once.
     * An empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
     spark = documents.sparkSession
@@ -133,7 +183,7 @@ def search(
     kind = docs.schema["_id"].dataType.simpleString()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, size=shard_bytes):
             words = W.split(batch.column("text"), lower=True)
             n = batch.num_rows
             pairs = np.unique(words.codes * n + np.repeat(np.arange(n), words.counts))
@@ -144,79 +194,141 @@ def search(
     counts = materialize(docs.select("text").mapInArrow(frequencies, "word string, df long").groupBy("word").agg(F.sum("df").alias("df")))
     size = {r["word"]: r["df"] for r in counts.filter(F.col("word").isin(" ", "  ")).collect()}
     n, mean = size.get(" ", 0), size.get("  ", 0) / max(size.get(" ", 0), 1)
-    counts = counts.filter(~F.col("word").isin(" ", "  "))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
             words = W.split(batch.column("text"), lower=True)
-            pairs, tf = np.unique(np.repeat(np.arange(batch.num_rows), words.counts) * max(len(words.vocabulary), 1) + words.codes, return_counts=True)
-            own = pa.array(pairs // max(len(words.vocabulary), 1))
-            word = words.vocabulary.take(pa.array(pairs % max(len(words.vocabulary), 1))).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(own), word, pa.array(tf, pa.int64())], ["_query", "word", "tf"])
-
-    chosen = asked.mapInArrow(terms, f"_query {kind}, word string, tf long").groupBy("_query", "word").agg(F.sum("tf").alias("tf")).join(counts, "word")
-    if query_words is not None:
-        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        ranked = Window.partitionBy("_query").orderBy(F.desc(F.col("tf") * idf), "word")
-        chosen = chosen.withColumn("_place", F.row_number().over(ranked)).filter(F.col("_place") <= query_words)
-    blocks = max(1, -(-asked.count() // query_block))
-    chosen = chosen.groupBy("_query").agg(F.collect_list(F.struct("word", "df")).alias("_terms"))
-    chosen = materialize(
-        chosen.select(F.pmod(F.xxhash64("_query"), F.lit(blocks)).alias("_block"), "_query", F.col("_terms.word").alias("words"), F.col("_terms.df").alias("dfs"))
-    )
+            many = max(len(words.vocabulary), 1)
+            pairs = np.unique(np.repeat(np.arange(batch.num_rows), words.counts) * many + words.codes)
+            word = words.vocabulary.take(pa.array(pairs % many)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(pairs // many)), word], ["_query", "word"])
+
+    chosen = asked.mapInArrow(terms, f"_query {kind}, word string").distinct().join(counts, "word")
+    chosen = materialize(chosen.groupBy("_query").agg(F.collect_list("word").alias("words"), F.collect_list("df").alias("dfs")))
+    blocks = max(1, -(-(chosen.agg(F.sum(F.size("words"))).first()[0] or 0) // block_terms))
+    chosen = chosen.withColumn("_block", F.pmod(F.xxhash64("_query"), F.lit(blocks)))
+
+    # the index: a row for each shard, with its round
+    ends = [min(1.0, shard_rows / max(n, 1))]
+    while ends[-1] < 1:
+        ends.append(min(1.0, ends[-1] * (GROWTH + 1)))
+    mark = F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    layout = f"round int, ids array<{kind}>, lengths binary, words array<string>, first binary, docs binary, times binary"
+
+    def indexed(number: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in W.steps(_gathered(batches, shard_rows, shard_bytes), size=shard_bytes):
+                order, lengths, words, term, doc, times = lists_of(batch.column("text"))
+                first = np.searchsorted(term, np.arange(len(words.vocabulary) + 1))
+                ids = batch.column("_id").take(pa.array(order))
+                names = words.vocabulary.cast(pa.string())
+                blobs = [x.tobytes() for x in (lengths.astype("<i4"), first.astype("<i4"), doc.astype("<u4"), times.astype("<u4"))]
+                columns = [pa.array([number], pa.int32()), _listed(ids), pa.array([blobs[0]]), _listed(names), *[pa.array([b]) for b in blobs[1:]]]
+                yield pa.RecordBatch.from_arrays(columns, ["round", "ids", "lengths", "words", "first", "docs", "times"])
+
+        return run
+
+    parts = []
+    for r, end in enumerate(ends):
+        own = docs.filter((mark >= (ends[r - 1] if r else 0.0)) & (mark < end))
+        if r < len(ends) - 1 or not r:  # a small share of all, in whole shards
+            own = own.repartition(max(1, round(n * (end - (ends[r - 1] if r else 0.0)) / shard_rows)), "_id")
+        parts.append(own.mapInArrow(indexed(r), layout))
+    index = parts[0]
+    for part in parts[1:]:
+        index = index.union(part)
+    index = materialize(index)
+
     schema = f"query_id {kind}, _id {kind}, score double"
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_id"))
 
     def best(hits: DataFrame) -> DataFrame:
         return hits.withColumn("rank", place).filter(F.col("rank") <= k)
 
-    rounds = [min(1.0, shard_rows / max(n, 1))]
-    while rounds[-1] < 1:
-        rounds.append(min(1.0, rounds[-1] * (GROWTH + 1)))
-    mark = F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    found = best(spark.createDataFrame([], schema))
+    found = []
     for block in range(blocks):
         questions = chosen.filter(F.col("_block") == block).toArrow().combine_chunks()
         if not questions.num_rows:
             continue
         lists = questions.column("words").combine_chunks()
         coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
+        codes = coded.indices.to_numpy().astype(np.int32)
         df = np.zeros(len(coded.dictionary))
         df[codes] = questions.column("dfs").combine_chunks().flatten().to_numpy()
         starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         queries_of = questions.column("_query").combine_chunks()
-        shared = spark.sparkContext.broadcast((queries_of, coded.dictionary, codes.astype(np.int32), starts, idf))
+        shared = spark.sparkContext.broadcast((queries_of, coded.dictionary, codes, starts, np.log(1 + (n - df + 0.5) / (df + 0.5))))
         row_of = {q: i for i, q in enumerate(queries_of.to_pylist())}
-        hits = spark.createDataFrame([], schema)
-        for r, end in enumerate(rounds):
+        hits = None
+        for r in range(len(ends)):
             bound, bound_id = np.zeros(len(row_of)), [None] * len(row_of)
-            for last in best(hits).filter(F.col("rank") == k).collect() if r else []:
+            for last in best(hits).filter(F.col("rank") == k).collect() if hits is not None else []:
                 bound[row_of[last["query_id"]]], bound_id[row_of[last["query_id"]]] = last["score"], last["_id"]
             known = spark.sparkContext.broadcast((bound, bound_id))
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared, known=known) -> Iterator[pa.RecordBatch]:
                 queries_of, asked_words, codes, starts, idf = shared.value
+                bound, bound_id = known.value
                 for batch in batches:
-                    for lo in range(0, batch.num_rows, shard_rows):
-                        texts = batch.slice(lo, shard_rows)
-                        shard = Shard(W.split(texts.column("text"), lower=True), asked_words, idf, mean)
-                        ids = texts.column("_id")
-                        q, d, s = shard.top(codes, starts, k, np.array(ids.to_pylist()), *known.value)
-                        yield pa.RecordBatch.from_arrays([queries_of.take(pa.array(q)), ids.take(pa.array(d)), pa.array(s, pa.float64())], ["query_id", "_id", "score"])
+                    for row in range(batch.num_rows):
+                        one = batch.slice(row, 1)
+                        lengths, first, doc, times = (np.frombuffer(one.column(c)[0].as_buffer(), t) for c, t in (("lengths", "<i4"), ("first", "<i4"), ("docs", "<u4"), ("times", "<u4")))
+                        numbers = pc.index_in(one.column("words").flatten(), asked_words).fill_null(-1).to_numpy(zero_copy_only=False)
+                        shard = Shard(numbers.astype(np.int64), first.astype(np.int64), doc, times, lengths, idf, mean)
+                        ids = one.column("ids").flatten()
+                        plain = ids.to_pylist()
+                        in_order = np.empty(len(plain), np.int64)
+                        in_order[sorted(range(len(plain)), key=plain.__getitem__)] = np.arange(len(plain))
+                        q_out, d_out, s_out = [], [], []
+                        for q in range(len(starts) - 1):
+                            d, s = shard.top(codes[starts[q] : starts[q + 1]], k, bound[q])
+                            if len(d) and bound[q] > 0:
+                                ties = np.flatnonzero(s == bound[q])
+                                if len(ties):
+                                    late = [t for t in ties.tolist() if not plain[d[t]] < bound_id[q]]
+                                    d, s = np.delete(d, late), np.delete(s, late)
+                            if len(d):
+                                top = best_of(d, s, k, in_order)
+                                q_out.append(np.full(len(top), q))
+                                d_out.append(d[top])
+                                s_out.append(s[top])
+                        if q_out:
+                            q, d, s = (np.concatenate(x) for x in (q_out, d_out, s_out))
+                            yield pa.RecordBatch.from_arrays([queries_of.take(pa.array(q)), ids.take(pa.array(d)), pa.array(s)], ["query_id", "_id", "score"])
                 W.release()
 
-            own = docs.filter((mark >= (rounds[r - 1] if r else 0.0)) & (mark < end))
-            if not r:
-                own = own.repartition(1)
-            hits = materialize(hits.union(own.mapInArrow(run, schema)))
+            more = index.filter(F.col("round") == r).mapInArrow(run, schema)
+            before, hits = hits, materialize(more if hits is None else best(hits).drop("rank").union(more))
+            if before is not None:
+                discard(before)
             known.unpersist()
-        found = found.union(best(hits))
+        found.append(best(hits))
         shared.unpersist()
-    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("_id").alias(doc_id), "score")
+    discard(index, counts)
+    out = spark.createDataFrame([], f"{schema}, rank int") if not found else found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("_id").alias(doc_id), "score")
+
+
+def _listed(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many rows and, but for the last of each, about so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
+            if held and (sum(b.num_rows for b in held) + part.num_rows > rows or sum(b.nbytes for b in held) > size):
+                yield pa.concat_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return search(docs, docs.filter(F.col("doc_id") % 50 == 0), query_words=None)
+    return search(docs, docs.filter(F.col("doc_id") % 50 == 0))
