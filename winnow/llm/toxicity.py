@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier that is regularised by counterfactual identity swaps.
 
 Features are the distinct words of a text and their beginnings, hashed.  The most telling
-features are chosen on the labelled sample, then a logistic model is fitted with one more
-penalty: labelled texts that mention a group are copied with the group's term swapped for
-another group's, and the squared change of the score counts as loss.  Neutral mentions
-of a group so carry no weight of their own.
+features and those of all group terms are chosen on the labelled sample, then a logistic model is
+fitted with one more penalty: labelled texts that mention a group are copied with the group's term
+swapped for another group's, and the squared change of the score counts as loss.  A labelled text
+that mentions no group gets a term, the same for equal texts, so that the penalty works on any
+corpus.  Neutral mentions of a group so carry no weight of their own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import read
+from .tables import discard, materialize, read
 
 BITS = 18
 PREFIXES = (4, 5, 6)
@@ -90,32 +91,43 @@ def swap_table(groups: tuple[tuple[str, ...], ...]) -> dict[str, str]:
     return {t: row[(k + 1) % len(row)] for row in groups for k, t in enumerate(row)}
 
 
+def term_features(groups: tuple[tuple[str, ...], ...]) -> np.ndarray:
+    return np.unique([f for row in groups for t in row for f in word_features(t)]).astype(np.int64)
+
+
+def telling(in_toxic: np.ndarray, in_all: np.ndarray, rows: int, toxic: int, features: int = 4096, min_rows: int = 4) -> np.ndarray:
+    """The features that tell most of the label, by their numbers of toxic and of all labelled texts."""
+    share = toxic / rows
+    expected = in_all * share
+    gain = (in_toxic - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
+    gain[in_all < min_rows] = 0
+    chosen = np.argsort(-gain, kind="stable")[:features]
+    return np.sort(chosen[gain[chosen] > 10.83])  # chi-square, one in a thousand by chance
+
+
 def fit(
     rows: list[tuple[np.ndarray, np.ndarray, int]],
     *,
-    features: int = 4096,
-    min_rows: int = 4,
+    chosen: np.ndarray | None = None,
     ridge: float = 1e-4,
     counterfactual: float = 1.0,
     rounds: int = 400,
     rate: float = 0.1,
 ) -> Model:
-    """Fit on (features, features after the swap, label) of labelled texts; the same rows give the same model."""
+    """Fit on (features, features after the swap, label) of labelled texts; the same rows give the same model.
+
+    Only chosen features get weights; None: the telling ones of these rows.
+    """
     model = Model()
     y = np.array([r[2] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         model.bias = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return model
-    flat = np.concatenate([r[0] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    in_toxic = np.bincount(flat, weights=y[owner], minlength=1 << BITS)
-    in_all = np.bincount(flat, minlength=1 << BITS)
-    share = y.mean()
-    expected = in_all * share
-    gain = (in_toxic - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
-    gain[in_all < min_rows] = 0
-    chosen = np.argsort(-gain, kind="stable")[:features]
-    chosen = np.sort(chosen[gain[chosen] > 10.83])  # chi-square, one in a thousand by chance
+    if chosen is None:
+        flat = np.concatenate([r[0] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        counts = [np.bincount(flat, weights=w, minlength=1 << BITS) for w in (y[owner], None)]
+        chosen = telling(*counts, len(rows), int(y.sum()))
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -125,6 +137,7 @@ def fit(
         return rows_[cols >= 0], cols[cols >= 0]
 
     (r0, c0), (r1, c1) = matrix(0), matrix(1)
+    share = y.mean()
     w, bias, n = np.zeros(len(chosen)), float(np.log(share / (1 - share))), len(rows)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
@@ -142,11 +155,12 @@ def fit(
     return model
 
 
-def training_rows(labelled: DataFrame, groups: tuple[tuple[str, ...], ...]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of each labelled text and of its counterfactual, in a fixed order."""
+def featurised(labelled: DataFrame, groups: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """_id, _label, and the features of each labelled text before and after the swap."""
     swaps = swap_table(groups)
+    terms = sorted(swaps)
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
             words = W.split(batch.column("text"))
             vocabulary = words.vocabulary.to_pylist()
@@ -155,16 +169,50 @@ def training_rows(labelled: DataFrame, groups: tuple[tuple[str, ...], ...]) -> l
             before, after = [], []
             for lo, hi in zip(words.starts[:-1], words.starts[1:], strict=True):
                 codes = np.unique(words.codes[lo:hi]).tolist()
-                before.append(sorted({f for c in codes for f in known[c]}))
-                after.append(sorted({f for c in codes for f in swapped.get(c, known[c])}))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_label"), pa.array([np.array(x, "<i4").tobytes() for x in before], pa.binary()), pa.array([np.array(x, "<i4").tobytes() for x in after], pa.binary())],
-                ["_id", "_label", "before", "after"],
-            )
-
-    rows = labelled.mapInArrow(featurise, f"_id {labelled.schema['_id'].dataType.simpleString()}, _label int, before binary, after binary").collect()
+                own, other = {f for c in codes for f in known[c]}, {f for c in codes for f in swapped.get(c, known[c])}
+                if terms and not any(c in swapped for c in codes):
+                    drawn = xxhash.xxh3_64_intdigest("\n".join(sorted(vocabulary[c] for c in codes)).encode(), 9)
+                    term = terms[drawn % len(terms)]
+                    own, other = own.union(word_features(term)), other.union(word_features(swaps[term]))
+                before.append(np.array(sorted(own), "<i4").tobytes())
+                after.append(np.array(sorted(other), "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["_id", "_label", "before", "after"])
+
+    return labelled.mapInArrow(run, f"_id {labelled.schema['_id'].dataType.simpleString()}, _label int, before binary, after binary")
+
+
+def fitted(labelled: DataFrame, groups: tuple[tuple[str, ...], ...], counterfactual: float) -> Model:
+    """Model of labelled texts; the driver gets counts of 2^18 features, then of each text only those chosen."""
+    table = materialize(featurised(labelled, groups))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column("before").to_pylist()
+            y = np.repeat(batch.column("_label").to_numpy(), [len(b) // 4 for b in blobs])
+            flat = np.frombuffer(b"".join(blobs), "<i4")
+            toxic, n = np.bincount(flat, weights=y, minlength=1 << BITS), np.bincount(flat, minlength=1 << BITS)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(toxic[at].astype(np.int64)), pa.array(n[at])], ["f", "t", "n"])
+
+    got = table.mapInArrow(count, "f long, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
+    total = table.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
+    in_toxic, in_all = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = got.column("f").to_numpy()
+    in_toxic[at], in_all[at] = got.column("t").to_numpy(), got.column("n").to_numpy()
+    chosen = term_features(groups)
+    if total[0]:
+        chosen = np.union1d(chosen, telling(in_toxic, in_all, total[0], int(total[1])))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [pa.array([np.intersect1d(np.frombuffer(b, "<i4"), chosen).astype("<i4").tobytes() for b in batch.column(c).to_pylist()], pa.binary()) for c in ("before", "after")]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), *columns], ["_id", "_label", "before", "after"])
+
+    rows = table.mapInArrow(narrow, table.schema).collect()
+    discard(table)
     rows.sort(key=lambda r: (str(r["_id"]), r["_label"], bytes(r["before"])))
-    return [(np.frombuffer(r["before"], "<i4").astype(np.int64), np.frombuffer(r["after"], "<i4").astype(np.int64), int(r["_label"])) for r in rows]
+    plain = [(np.frombuffer(r["before"], "<i4").astype(np.int64), np.frombuffer(r["after"], "<i4").astype(np.int64), int(r["_label"])) for r in rows]
+    return fit(plain, chosen=chosen, counterfactual=counterfactual)
 
 
 def score_toxicity(
@@ -177,13 +225,15 @@ def score_toxicity(
     folds: int = 5,
     max_train_rows: int = 8000,
     groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
+    counterfactual: float = 1.0,
 ) -> DataFrame:
     """Score every text with a model fitted on labels outside the held-out fold.
 
     Returns one row per document: doc_id, held_out, score, predicted.  Rows whose
     crc32(doc_id as text) mod folds is 0 are held out.  The model is fitted on at most
-    max_train_rows labelled rows, those least in a hash of their doc_id; a row's features are its
-    distinct words, so the driver holds a bounded number of rows.
+    max_train_rows labelled rows, those least in a hash of their doc_id, and the driver gets only
+    chosen features of them (at most 4096 and those of the terms), however long the texts.
+    counterfactual weighs the penalty on swaps.
 
     * Null labels are ignored; a doc_id labelled twice trains with both labels.  Without labels of
       both kinds the score is constant.
@@ -198,7 +248,7 @@ def score_toxicity(
     usable = usable.filter(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out)
     sample = usable.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_train_rows)
     # max_train_rows rows of two numbers
-    model = fit(training_rows(docs.join(F.broadcast(sample), "_id").select("_id", "_label", "text"), groups))
+    model = fitted(docs.join(F.broadcast(sample), "_id").select("_id", "_label", "text"), groups, counterfactual)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 1 MB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
