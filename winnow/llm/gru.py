@@ -27,6 +27,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(out, out=out)
 
 
+def exponentials(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits h @ w + b and their exponentials; states lie within -1 and 1, which bounds the logits.
+
+    Where the bound leaves float32 no room, each row's maximum is taken off first.
+    """
+    logits = h @ w
+    logits += b
+    if float((np.abs(w).sum(axis=0) + np.abs(b)).max()) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    powers = np.exp(logits)
+    return logits, powers
+
+
 def word_classes(counts: np.ndarray, classes: int) -> np.ndarray:
     """Class of each word (given by falling count): equal shares of the summed square roots of counts."""
     mass = np.cumsum(np.sqrt(np.maximum(counts, 0.5)))
@@ -88,26 +101,20 @@ class Gru:
         by_target = np.argsort(targets.astype(np.uint16), kind="stable")  # ids of one class are consecutive
         h, targets = h[by_target], targets[by_target]
         of, rows = self.of[targets], np.arange(len(targets))
-        logits = h @ self.p["class_w"]
-        logits += self.p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        logs = logits[rows, of]
-        logs -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        logits, powers = exponentials(h, self.p["class_w"], self.p["class_b"])
+        logs = logits[rows, of] - np.log(powers @ np.ones(powers.shape[1], powers.dtype))
         cuts = np.searchsorted(of, np.arange(len(self.first)))
         for k in range(len(self.first) - 1):
             lo, hi, a, b = int(self.first[k]), int(self.first[k + 1]), cuts[k], cuts[k + 1]
             if hi - lo == 1 or a == b:
                 continue
-            inner = h[a:b] @ self.p["word_w"][:, lo:hi]
-            inner += self.p["word_b"][lo:hi]
-            inner -= inner.max(axis=1, keepdims=True)
-            logs[a:b] += inner[rows[: b - a], targets[a:b] - lo]
-            logs[a:b] -= np.log(np.exp(inner, out=inner).sum(axis=1))
+            inner, powers = exponentials(h[a:b], self.p["word_w"][:, lo:hi], self.p["word_b"][lo:hi])
+            logs[a:b] += inner[rows[: b - a], targets[a:b] - lo] - np.log(powers @ np.ones(hi - lo, powers.dtype))
         out = np.empty_like(logs)
         out[by_target] = logs
         return out
 
-    def score(self, ids: np.ndarray, starts: np.ndarray, window: int = 64, cells: int = 1 << 17) -> np.ndarray:
+    def score(self, ids: np.ndarray, starts: np.ndarray, window: int = 64, cells: int = 1 << 16) -> np.ndarray:
         """Natural log probability of each whole document; the state passes from window to window."""
         table = self.p["embed"] @ self.p["wx"] + self.p["b"]
         lengths = np.diff(starts)
@@ -159,10 +166,8 @@ class Gru:
         by_target = np.argsort(target.astype(np.uint16), kind="stable")  # ids of one class are consecutive
         flat_s, target_s, weight_s = flat[by_target], target[by_target], weight[by_target]
         class_s, rows = self.of[target_s], np.arange(len(target))
-        logits = flat_s @ p["class_w"] + p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=1, keepdims=True)
+        _, prob = exponentials(flat_s, p["class_w"], p["class_b"])
+        prob *= (1 / (prob @ np.ones(prob.shape[1], prob.dtype)))[:, None]
         loss = float(-(np.log(prob[rows, class_s] + 1e-30) * weight_s).sum())
         prob[rows, class_s] -= 1
         prob *= weight_s[:, None]
@@ -173,10 +178,8 @@ class Gru:
             lo, hi, a, b = int(self.first[k]), int(self.first[k + 1]), cuts[k], cuts[k + 1]
             if hi - lo == 1 or a == b:
                 continue
-            q = flat_s[a:b] @ p["word_w"][:, lo:hi] + p["word_b"][lo:hi]
-            q -= q.max(axis=1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(axis=1, keepdims=True)
+            _, q = exponentials(flat_s[a:b], p["word_w"][:, lo:hi], p["word_b"][lo:hi])
+            q *= (1 / (q @ np.ones(hi - lo, q.dtype)))[:, None]
             own, at = target_s[a:b] - lo, rows[: b - a]
             loss -= float((np.log(q[at, own] + 1e-30) * weight_s[a:b]).sum())
             q[at, own] -= 1
