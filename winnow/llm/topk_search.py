@@ -7,10 +7,12 @@ blocks of neighbours have low maxima.  Against a shard a query goes through thes
 all its lists at once instead of cursor by cursor:
 
 1. Block maxima of its lists are summed per block; blocks that cannot reach the threshold are skipped.
-2. Pivot: with the lists in order of their maxima, those that even together stay below the
-   threshold are not walked; documents come only from the others, and only from blocks left.
-3. A document is scored whole if what it has so far, and the block maxima of the lists not walked,
-   can reach the threshold.
+2. Pivot: with the lists in order of their maxima for each posting, those that even together stay
+   below the threshold give no document; documents come only from the others, and only from blocks
+   left.  So the longest lists are not walked.
+3. A document is scored on if what it has so far, and the block maxima of the other lists, can
+   reach the threshold: first in the shorter lists, in blocks that still hold such documents, then,
+   if it still can, in the longest, which are kept as rows over all documents.
 
 The threshold is the k-th best score known: shards come in rounds that grow eightfold, so all but
 the first start from the k-th best of the rounds before, and improve on it by their own hits.
@@ -35,15 +37,23 @@ from .tables import discard, materialize, read
 K1, B = 1.2, 0.75
 #: Each round has so many times the documents of all before it, as far as there are.
 GROWTH = 7
-#: Documents of a block; the unit of impacts.
-BLOCK, UNIT = 32, 2.0**-38
+#: Documents of a block; blocks scored whole for a first threshold, besides those that hold k documents; the unit of impacts.
+BLOCK, LEAD, UNIT = 32, 6, 2.0**-38
+#: A list with at least so large a part of a shard's documents is kept as a row over all of them.
+DENSE = 16
+#: Postings in each of its blocks up to which a list is walked whole.
+SHORT = 3
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All numbers from each start to before its end, one range after the other."""
     sizes = ends - starts
-    stops = np.cumsum(sizes)
-    return np.repeat(starts - stops + sizes, sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
+    stops = np.cumsum(sizes, dtype=np.int64)
+    total = int(stops[-1]) if len(stops) else 0
+    kind = starts.dtype if total < 1 << 31 else np.int64
+    out = np.repeat((starts - stops + sizes).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def lists_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, W.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +74,11 @@ def lists_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, W.Words, np.ndarr
 
 
 class Shard:
-    """Posting lists with block maxima of the words that queries ask for, and the words of each document."""
+    """Posting lists with block maxima of the words that queries ask for.
+
+    Lists that hold at least one in DENSE documents are kept as plain rows over all documents, and
+    so are their block maxima.
+    """
 
     def __init__(self, asked: np.ndarray, first: np.ndarray, doc: np.ndarray, times: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float) -> None:
         """asked: of each list its number among the asked words, or -1; first: where its postings begin."""
@@ -82,61 +96,90 @@ class Shard:
         # the blocks of each list: their first posting, their number and maximum
         cell = term * max(self.blocks, 1) + doc // BLOCK
         cut = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.block_post = np.append(cut, len(cell))
+        self.block_post = np.append(cut, len(cell)).astype(np.int32)
         self.block_of = (doc[cut] // BLOCK).astype(np.int32)
         self.block_max = np.maximum.reduceat(impact, cut) if len(cut) else np.empty(0)
-        self.block_first = np.searchsorted(term[cut], np.arange(len(known) + 1))
+        self.block_first = np.searchsorted(term[cut], np.arange(len(known) + 1)).astype(np.int32)
         starts = np.searchsorted(term, np.arange(len(known)))
         self.list_max = np.maximum.reduceat(impact, starts) if len(starts) else np.empty(0)
-        by_doc = np.argsort(doc.astype(np.uint16), kind="stable") if self.texts <= 1 << 16 else np.argsort(doc, kind="stable")
-        self.own_first = np.searchsorted(doc[by_doc], np.arange(self.texts + 1))
-        self.own_term, self.own_impact = term[by_doc].astype(np.int32), impact[by_doc]
-        self.asks = np.zeros(len(known), bool)
+        self.list_cost = self.list_max / np.maximum(sizes, 1)
+        wide = np.flatnonzero(sizes * DENSE >= self.texts)
+        self.wide = np.full(len(known), -1, np.int64)
+        self.wide[wide] = np.arange(len(wide))
+        self.rows = np.zeros((len(wide), self.texts))
+        own = self.wide[term] >= 0
+        self.rows[self.wide[term[own]], doc[own]] = impact[own]
+        padded = np.zeros((len(wide), self.blocks * BLOCK))
+        padded[:, : self.texts] = self.rows
+        self.row_max = padded.reshape(len(wide), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(wide), 0))
         self.scored = self.walked = 0
 
-    def _whole(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of documents by all words that self.asks marks."""
-        self.scored += len(docs)
-        first, last = self.own_first[docs], self.own_first[docs + 1]
-        at = ranges(first, last)
-        hit = self.asks[self.own_term[at]]
-        return np.bincount(np.repeat(np.arange(len(docs)), last - first)[hit], weights=self.own_impact[at[hit]], minlength=len(docs))
+    def _parted(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lists that are walked, and the rows of the others."""
+        row = self.wide[terms]
+        return terms[row < 0], row[row >= 0]
+
+    def _upper(self, lists: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Summed block maxima, for each block."""
+        at = ranges(self.block_first[lists], self.block_first[lists + 1])
+        return np.bincount(self.block_of[at], weights=self.block_max[at], minlength=self.blocks) + self.row_max[rows].sum(axis=0)
+
+    def _walk(self, lists: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Sums over the postings of some lists, for each document; only those in live blocks are sure to count.
+
+        Lists of few postings in a block are walked whole: to skip costs as much as to read.
+        """
+        first, last = self.block_first[lists], self.block_first[lists + 1]
+        start, end = self.block_post[first], self.block_post[last]
+        long = end - start > SHORT * (last - first)
+        at = ranges(first[long], last[long])
+        at = at[live[self.block_of[at]]]
+        post = ranges(np.concatenate([start[~long], self.block_post[at]]), np.concatenate([end[~long], self.block_post[at + 1]]))
+        self.walked += len(post)
+        return np.bincount(self.doc[post], weights=self.impact[post], minlength=self.texts)
 
-    def _upper(self, terms: np.ndarray) -> np.ndarray:
-        """Summed block maxima of some lists, for each block."""
-        at = ranges(self.block_first[terms], self.block_first[terms + 1])
-        return np.bincount(self.block_of[at], weights=self.block_max[at], minlength=self.blocks)
+    def _cells(self, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        self.walked += len(rows) * len(docs)
+        return self.rows[rows[:, None], docs].sum(axis=0)
 
     def top(self, asked: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores, among them all that are of the k best and reach the bound; score 0 is no hit."""
         terms = self.row[asked]
         terms = terms[terms >= 0]
-        upper = self._upper(terms)
+        lists, rows = self._parted(terms)
+        upper = self._upper(lists, rows)
         live = (upper >= bound) & (upper > 0)
-        if not live.any():
-            return np.empty(0, np.int64), np.empty(0)
-        self.asks[terms] = True
         docs, scores = np.empty(0, np.int64), np.empty(0)
-        if bound <= 0:  # the blocks of the highest bounds give a threshold
-            lead = np.argsort(-upper, kind="stable")[: -(-k // BLOCK) + 1]
+        if bound <= 0 and live.any():  # the blocks of the highest bounds give a threshold
+            lead = np.argsort(-upper, kind="stable")[: -(-k // BLOCK) + LEAD]
             docs = ranges(lead * BLOCK, np.minimum((lead + 1) * BLOCK, self.texts))
-            scores = self._whole(docs)
+            own = np.zeros(self.blocks, bool)
+            own[lead] = True
+            scores = self._walk(lists, own)[docs] + self._cells(rows, docs)
+            self.scored += len(docs)
             if len(docs) >= k:
                 bound = float(np.partition(scores, len(scores) - k)[len(scores) - k])
             live &= upper >= bound
             live[lead] = False
-        order = np.argsort(self.list_max[terms], kind="stable")
-        below = int(np.searchsorted(np.cumsum(self.list_max[terms[order]]), bound, side="left"))
-        rest, pivot = terms[order[:below]], terms[order[below:]]
-        at = ranges(self.block_first[pivot], self.block_first[pivot + 1])
-        at = at[live[self.block_of[at]]]
-        post = ranges(self.block_post[at], self.block_post[at + 1])
-        self.walked += len(post)
-        part = np.bincount(self.doc[post], weights=self.impact[post], minlength=self.texts)
-        some = np.flatnonzero(part)
-        some = some[part[some] + self._upper(rest)[some // BLOCK] >= bound]
-        docs, scores = np.concatenate([docs, some]), np.concatenate([scores, self._whole(some)])
-        self.asks[terms] = False
+        if live.any():
+            order = np.argsort(self.list_cost[terms], kind="stable")
+            below = int(np.searchsorted(np.cumsum(self.list_max[terms[order]]), bound, side="left"))
+            (lists, rows), (pivots, pivot_rows) = self._parted(terms[order[:below]]), self._parted(terms[order[below:]])
+            part = self._walk(pivots, live)
+            if len(pivot_rows):
+                self.walked += len(pivot_rows) * self.texts
+                part = part + self.rows[pivot_rows].sum(axis=0)
+            some = np.flatnonzero(part)
+            if not live.all():
+                some = some[live[some // BLOCK]]
+            some = some[part[some] + self._upper(lists, rows)[some // BLOCK] >= bound]
+            self.scored += len(some)
+            live = np.zeros(self.blocks, bool)
+            live[some // BLOCK] = True
+            part = part[some] + self._walk(lists, live)[some]
+            can = part + self.row_max[rows].sum(axis=0)[some // BLOCK] >= bound
+            some, part = some[can], part[can]
+            docs, scores = np.concatenate([docs, some]), np.concatenate([scores, part + self._cells(rows, some)])
         good = (scores >= bound) & (scores > 0)
         return docs[good], scores[good]
 
@@ -162,7 +205,7 @@ def search(
     A query is a row of queries (same columns as documents); its words are all distinct ones of its
     whole text.  Shards have at most shard_rows documents and about shard_bytes bytes of text, or
     one longer text.  Queries go in blocks of about block_terms words, or one longer query, that
-    are sent to all shards; texts are read twice, for counts and for the index.
+    are sent to all shards; texts are read once for each round of the index, not for each block.
 
     Returns query_id, rank, doc_id, score.  Ties go to the lesser doc_id; fewer than k rows if
     fewer documents share a word.
@@ -182,19 +225,6 @@ def search(
     docs, asked = cleaned(documents), cleaned(queries)
     kind = docs.schema["_id"].dataType.simpleString()
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches, size=shard_bytes):
-            words = W.split(batch.column("text"), lower=True)
-            n = batch.num_rows
-            pairs = np.unique(words.codes * n + np.repeat(np.arange(n), words.counts))
-            df = np.bincount(pairs // n, minlength=len(words.vocabulary))
-            names = pa.concat_arrays([words.vocabulary.cast(pa.string()), pa.array([" ", "  "])])
-            yield pa.RecordBatch.from_arrays([names, pa.array(np.append(df, [n, len(words.codes)]), pa.int64())], ["word", "df"])
-
-    counts = materialize(docs.select("text").mapInArrow(frequencies, "word string, df long").groupBy("word").agg(F.sum("df").alias("df")))
-    size = {r["word"]: r["df"] for r in counts.filter(F.col("word").isin(" ", "  ")).collect()}
-    n, mean = size.get(" ", 0), size.get("  ", 0) / max(size.get(" ", 0), 1)
-
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
             words = W.split(batch.column("text"), lower=True)
@@ -203,12 +233,8 @@ def search(
             word = words.vocabulary.take(pa.array(pairs % many)).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(pairs // many)), word], ["_query", "word"])
 
-    chosen = asked.mapInArrow(terms, f"_query {kind}, word string").distinct().join(counts, "word")
-    chosen = materialize(chosen.groupBy("_query").agg(F.collect_list("word").alias("words"), F.collect_list("df").alias("dfs")))
-    blocks = max(1, -(-(chosen.agg(F.sum(F.size("words"))).first()[0] or 0) // block_terms))
-    chosen = chosen.withColumn("_block", F.pmod(F.xxhash64("_query"), F.lit(blocks)))
-
     # the index: a row for each shard, with its round
+    n = docs.count()
     ends = [min(1.0, shard_rows / max(n, 1))]
     while ends[-1] < 1:
         ends.append(min(1.0, ends[-1] * (GROWTH + 1)))
@@ -232,13 +258,31 @@ def search(
     for r, end in enumerate(ends):
         own = docs.filter((mark >= (ends[r - 1] if r else 0.0)) & (mark < end))
         if r < len(ends) - 1 or not r:  # a small share of all, in whole shards
-            own = own.repartition(max(1, round(n * (end - (ends[r - 1] if r else 0.0)) / shard_rows)), "_id")
+            own = own.repartition(max(1, round(n * (end - (ends[r - 1] if r else 0.0)) / shard_rows)))
         parts.append(own.mapInArrow(indexed(r), layout))
     index = parts[0]
     for part in parts[1:]:
         index = index.union(part)
     index = materialize(index)
 
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                first, lengths = (np.frombuffer(one.column(c)[0].as_buffer(), "<i4") for c in ("first", "lengths"))
+                words = pa.concat_arrays([one.column("words").flatten(), pa.array([" "])])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(np.diff(first), lengths.sum(dtype=np.int64)), pa.int64())], ["word", "df"])
+        W.release()
+
+    # no word is a blank, so that stands for all words of all documents
+    counts = index.select("words", "first", "lengths").mapInArrow(frequencies, "word string, df long")
+    counts = materialize(counts.groupBy("word").agg(F.sum("df").alias("df")))
+    mean = (counts.filter("word = ' '").agg(F.sum("df")).first()[0] or 0) / max(n, 1)
+    chosen = asked.mapInArrow(terms, f"_query {kind}, word string").distinct().join(counts, "word")
+    chosen = materialize(chosen.groupBy("_query").agg(F.collect_list("word").alias("words"), F.collect_list("df").alias("dfs")))
+    blocks = max(1, -(-(chosen.agg(F.sum(F.size("words"))).first()[0] or 0) // block_terms))
+    chosen = chosen.withColumn("_block", F.pmod(F.xxhash64("_query"), F.lit(blocks)))
+
     schema = f"query_id {kind}, _id {kind}, score double"
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_id"))
 
