@@ -14,30 +14,41 @@ NAMES = ("embed", "wx", "u", "b", "class_w", "class_b", "word_w", "word_b")
 
 
 def one_thread() -> None:
-    """Let numpy's own OpenBLAS use one thread: products here are small, and a second thread only spins."""
+    """Settings of a worker that steps through many small products.
+
+    numpy's own OpenBLAS uses one thread: a second one only spins.  Freed arrays of up to 64 MB stay
+    with the process, at most 128 MB of them: to get their pages anew for every window costs a
+    fifth of the time.
+    """
     for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
         put = getattr(ctypes.CDLL(path), "scipy_openblas_set_num_threads64_", None)
         if put is not None:
             put(1)
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        for name, value in ((-3, 64 << 20), (-1, 128 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            mallopt(name, value)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.exp(-x)
+def sigmoid(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    out = np.negative(x, out=out)
+    np.exp(out, out=out)
     out += 1
     return np.reciprocal(out, out=out)
 
 
-def exponentials(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits h @ w + b and their exponentials; states lie within -1 and 1, which bounds the logits.
+def bounded(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether logits h @ w + b of states within -1 and 1 leave room for their exponentials in float32."""
+    return float((np.abs(w).sum(axis=0) + np.abs(b)).max()) <= 60
 
-    Where the bound leaves float32 no room, each row's maximum is taken off first.
-    """
+
+def exponentials(h: np.ndarray, w: np.ndarray, b: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Logits h @ w + b and their exponentials; each row's maximum is taken off first unless they are small."""
     logits = h @ w
     logits += b
-    if float((np.abs(w).sum(axis=0) + np.abs(b)).max()) > 60:
+    if not small:
         logits -= logits.max(axis=1, keepdims=True)
-    powers = np.exp(logits)
-    return logits, powers
+    return logits, np.exp(logits)
 
 
 def word_classes(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -101,20 +112,20 @@ class Gru:
         by_target = np.argsort(targets.astype(np.uint16), kind="stable")  # ids of one class are consecutive
         h, targets = h[by_target], targets[by_target]
         of, rows = self.of[targets], np.arange(len(targets))
-        logits, powers = exponentials(h, self.p["class_w"], self.p["class_b"])
+        logits, powers = exponentials(h, self.p["class_w"], self.p["class_b"], bounded(self.p["class_w"], self.p["class_b"]))
         logs = logits[rows, of] - np.log(powers @ np.ones(powers.shape[1], powers.dtype))
-        cuts = np.searchsorted(of, np.arange(len(self.first)))
+        cuts, small = np.searchsorted(of, np.arange(len(self.first))), bounded(self.p["word_w"], self.p["word_b"])
         for k in range(len(self.first) - 1):
             lo, hi, a, b = int(self.first[k]), int(self.first[k + 1]), cuts[k], cuts[k + 1]
             if hi - lo == 1 or a == b:
                 continue
-            inner, powers = exponentials(h[a:b], self.p["word_w"][:, lo:hi], self.p["word_b"][lo:hi])
+            inner, powers = exponentials(h[a:b], self.p["word_w"][:, lo:hi], self.p["word_b"][lo:hi], small)
             logs[a:b] += inner[rows[: b - a], targets[a:b] - lo] - np.log(powers @ np.ones(hi - lo, powers.dtype))
         out = np.empty_like(logs)
         out[by_target] = logs
         return out
 
-    def score(self, ids: np.ndarray, starts: np.ndarray, window: int = 64, cells: int = 1 << 16) -> np.ndarray:
+    def score(self, ids: np.ndarray, starts: np.ndarray, window: int = 64, cells: int = 1 << 15) -> np.ndarray:
         """Natural log probability of each whole document; the state passes from window to window."""
         table = self.p["embed"] @ self.p["wx"] + self.p["b"]
         lengths = np.diff(starts)
@@ -158,27 +169,33 @@ class Gru:
                 h = np.where(fresh[s][:, None], x.dtype.type(0), h)
             states[s] = h
             g = h @ p["u"]
-            gates[s] = zr = sigmoid(x[s, :, : 2 * n] + g[:, : 2 * n])
+            zr, c = gates[s], cand[s]
+            np.add(x[s, :, : 2 * n], g[:, : 2 * n], out=zr)
+            sigmoid(zr, out=zr)
             inner_g[s] = g[:, 2 * n :]
-            cand[s] = c = np.tanh(x[s, :, 2 * n :] + zr[:, n:] * g[:, 2 * n :])
-            h = c + zr[:, :n] * (h - c)
+            np.multiply(zr[:, n:], g[:, 2 * n :], out=c)
+            c += x[s, :, 2 * n :]
+            np.tanh(c, out=c)
+            h = h - c
+            h *= zr[:, :n]
+            h += c
         flat, target, weight = states.reshape(-1, n), tokens.ravel(), live.ravel().astype(x.dtype)
         by_target = np.argsort(target.astype(np.uint16), kind="stable")  # ids of one class are consecutive
         flat_s, target_s, weight_s = flat[by_target], target[by_target], weight[by_target]
         class_s, rows = self.of[target_s], np.arange(len(target))
-        _, prob = exponentials(flat_s, p["class_w"], p["class_b"])
+        _, prob = exponentials(flat_s, p["class_w"], p["class_b"], bounded(p["class_w"], p["class_b"]))
         prob *= (1 / (prob @ np.ones(prob.shape[1], prob.dtype)))[:, None]
         loss = float(-(np.log(prob[rows, class_s] + 1e-30) * weight_s).sum())
         prob[rows, class_s] -= 1
         prob *= weight_s[:, None]
         g = {"class_w": flat_s.T @ prob, "class_b": prob.sum(axis=0), "word_w": np.zeros_like(p["word_w"]), "word_b": np.zeros_like(p["word_b"])}
         dh_s = prob @ p["class_w"].T
-        cuts = np.searchsorted(class_s, np.arange(len(self.first)))
+        cuts, small = np.searchsorted(class_s, np.arange(len(self.first))), bounded(p["word_w"], p["word_b"])
         for k in range(len(self.first) - 1):
             lo, hi, a, b = int(self.first[k]), int(self.first[k + 1]), cuts[k], cuts[k + 1]
             if hi - lo == 1 or a == b:
                 continue
-            _, q = exponentials(flat_s[a:b], p["word_w"][:, lo:hi], p["word_b"][lo:hi])
+            _, q = exponentials(flat_s[a:b], p["word_w"][:, lo:hi], p["word_b"][lo:hi], small)
             q *= (1 / (q @ np.ones(hi - lo, q.dtype)))[:, None]
             own, at = target_s[a:b] - lo, rows[: b - a]
             loss -= float((np.log(q[at, own] + 1e-30) * weight_s[a:b]).sum())
@@ -191,19 +208,24 @@ class Gru:
         dh_out[by_target] = dh_s
         dh_out = dh_out.reshape(steps, lanes, n)
         # dx is the gradient of x; where it meets the candidate, that of h @ u has the reset gate as a factor
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        to_cand = (1 - z) * (1 - cand * cand)
+        to_z, to_r = (states - cand) * z * (1 - z), inner_g * r * (1 - r)
         dx, dg = np.empty_like(x), np.empty_like(x)
         dh, back = np.zeros((lanes, n), x.dtype), p["u"].T.copy()
         for s in reversed(range(steps)):
-            z, r, c = gates[s, :, :n], gates[s, :, n:], cand[s]
-            dc = dh * (1 - z) * (1 - c * c)
-            dx[s, :, :n] = dh * (states[s] - c) * z * (1 - z)
-            dx[s, :, n : 2 * n] = dc * inner_g[s] * r * (1 - r)
-            dx[s, :, 2 * n :] = dc
-            dg[s, :, : 2 * n] = dx[s, :, : 2 * n]
-            dg[s, :, 2 * n :] = dc * r
-            dh = dh * z + dg[s] @ back + dh_out[s]
+            own = dg[s]
+            dc = dx[s, :, 2 * n :]
+            np.multiply(dh, to_cand[s], out=dc)
+            np.multiply(dh, to_z[s], out=own[:, :n])
+            np.multiply(dc, to_r[s], out=own[:, n : 2 * n])
+            np.multiply(dc, r[s], out=own[:, 2 * n :])
+            dh = dh * z[s]
+            dh += own @ back
+            dh += dh_out[s]
             if fresh[s].any():
-                dh = np.where(fresh[s][:, None], x.dtype.type(0), dh)
+                dh[fresh[s]] = 0
+        dx[:, :, : 2 * n] = dg[:, :, : 2 * n]
         g["u"] = flat.T @ dg.reshape(-1, 3 * n)
         flat_dx = dx.reshape(-1, 3 * n)
         g["b"] = flat_dx.sum(axis=0)

@@ -37,7 +37,7 @@ class Lexicon:
     """Counts of frequent words, and the model's ids of the most frequent ones."""
 
     def __init__(self, rows: list[tuple[str, int]], vocabulary: int, tokens: int, documents: int) -> None:
-        self.counts = dict(rows)
+        self.place = {w: k for k, (w, _) in enumerate(rows)}
         own = [(w, c) for w, c in rows if w != END][: vocabulary - 2]
         unknown = tokens - documents - sum(c for _, c in own)
         ranked = sorted([*own, (END, documents), ("", unknown)], key=lambda r: (-r[1], r[0]))
@@ -46,18 +46,23 @@ class Lexicon:
         self.unknown_tokens = unknown
         self.unknown = self.ids[""]
         self.end = self.ids[END]
-
-    def encode(self, words: W.Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Model ids of all documents with their end tokens, their starts, and the vocabulary's words."""
-        vocabulary = words.vocabulary.to_pylist()
-        of = np.fromiter((self.ids.get(w, self.unknown) for w in vocabulary), np.int64, len(vocabulary))
+        # by place, and at -1 for a word that has none
+        self.counts = np.array([*(c for _, c in rows), -1], np.int64)
+        self.id_of = np.array([*(self.ids.get(w, self.unknown) for w, _ in rows), self.unknown], np.int64)
+        self.inside = np.array([*(w in self.ids for w, _ in rows), False], bool)
+
+    def encode(self, words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Model ids of all documents with their end tokens, their starts, and the place of each word of the vocabulary."""
+        get = self.place.get
+        places = np.fromiter((get(w, -1) for w in words.vocabulary.to_pylist()), np.int64, len(words.vocabulary))
+        of = self.id_of[places]
         n = len(words.starts) - 1
         starts = words.starts + np.arange(n + 1)
         ids = np.full(len(words.codes) + n, self.end, np.int64)
         real = np.ones(len(ids), bool)
         real[starts[1:] - 1] = False
         ids[real] = of[words.codes]
-        return ids, starts, vocabulary
+        return ids, starts, places
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -193,10 +198,9 @@ def lm_scores(
         model = Gru(known.model_counts).load(flat)
         for batch in W.steps(batches, size=SCORE_BYTES):
             words = W.split(batch.column("text"), lower=True)
-            ids, starts, names = known.encode(words)
+            ids, starts, places = known.encode(words)
             logs = model.score(ids, starts) / math.log(10)
-            c = np.fromiter((known.counts.get(w, -1) for w in names), np.int64, len(names))
-            lies_in = np.fromiter((w in known.ids for w in names), bool, len(names))
+            c, lies_in, names = known.counts[places], known.inside[places], words.vocabulary
             owner = np.repeat(np.arange(batch.num_rows), words.counts)
 
             def summed(x: np.ndarray, owner=owner, words=words, rows=batch.num_rows) -> np.ndarray:
