@@ -190,6 +190,19 @@ def pack_shard(lengths: list[int], size: int) -> list[list[tuple[int, int, int]]
     return out + [taken(n) for n in powers_of_two(total % size)]
 
 
+class _Blobs:
+    """Ids of single rows of a binary column, without a copy of the column."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        self.chunks = column.chunks
+        self.first = np.cumsum([0, *map(len, self.chunks)])
+
+    def ids(self, row: int, length: int) -> np.ndarray:
+        k = int(np.searchsorted(self.first, row, side="right")) - 1
+        data = self.chunks[k][row - int(self.first[k])].as_buffer()
+        return np.frombuffer(data, "<u2" if len(data) == 2 * length else "<u4")
+
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -225,7 +238,7 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in W.steps(batches, size=3 * W.STEP_BYTES):
+        for batch in W.steps(batches):
             ids, starts = tokenizer.encode(batch.column("text"))
             rows: list[tuple] = []
             for k in range(batch.num_rows):
@@ -248,27 +261,33 @@ def pack(
     ).withColumn("_shard", F.pmod(F.xxhash64("_hash", "start"), F.lit(shards)))
 
     def packed(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_id", "ascending"), ("_hash", "ascending"), ("start", "ascending")])
+        _LOADED.clear()  # texts are cut by now: the words that the worker remembers make room
+        W.release()
+        order = pc.sort_indices(table.select(["_id", "_hash", "start"]), sort_keys=[("_id", "ascending"), ("_hash", "ascending"), ("start", "ascending")]).to_numpy()
         shard = table.column("_shard")[0].as_py()
-        blobs = table.column("ids").to_pylist()
         start, length, crc, total = (table.column(c).to_numpy() for c in ("start", "length", "crc", "total"))
-        full = [k for k, b in enumerate(blobs) if b is None]
-        rest = [k for k, b in enumerate(blobs) if b is not None]
-        sequences = [[(k, 0, window)] for k in full]
-        sequences += [[(rest[i], s, n) for i, s, n in q] for q in pack_shard([int(length[k]) for k in rest], window)]
-        rows: list[tuple] = []
-        for number, sequence in enumerate(sequences):
-            offset = 0
-            for k, s, n in sequence:
-                value = int(crc[k])
-                if blobs[k] is not None:
-                    kind = "<u2" if len(blobs[k]) == 2 * length[k] else "<u4"
-                    value = zlib.crc32(np.frombuffer(blobs[k], kind)[s : s + n].astype("<u4").tobytes())
-                rows.append((k, int(start[k]) + s, n, value, int(total[k]), shard << 32 | number, offset))
-                offset += n
-        at = pa.array([r[0] for r in rows], pa.int64())
-        columns = [table.column("_id").take(at), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(1, 7)]]
-        return pa.Table.from_arrays(columns, ["_id", *[x.split()[0] for x in PIECES.split(", ")]])
+        whole = (start[order] + window <= total[order]) & (length[order] == window)
+        full, rest = order[whole], order[~whole]
+        blobs = _Blobs(table.column("ids"))
+        sequences = pack_shard(length[rest].tolist(), window)
+        many = len(full) + sum(map(len, sequences))
+        columns = np.zeros((6, many), np.int64)  # row, offset in it, length, checksum, sequence, place
+        columns[0, : len(full)], columns[2, : len(full)], columns[3, : len(full)] = full, window, crc[full]
+        columns[4, : len(full)] = np.arange(len(full))
+        k = len(full)
+        for number, sequence in enumerate(sequences, len(full)):
+            place = 0
+            for i, s, n in sequence:
+                row = int(rest[i])
+                columns[:, k] = row, s, n, zlib.crc32(blobs.ids(row, int(length[row]))[s : s + n].astype("<u4").tobytes()), number, place
+                place += n
+                k += 1
+        own, at = columns[0], pa.array(columns[0])
+        values = [start[own] + columns[1], columns[2], columns[3], total[own], shard << 32 | columns[4], columns[5]]
+        out = pa.Table.from_arrays([table.column("_id").take(at), *map(pa.array, values)], ["_id", *[x.split()[0] for x in PIECES.split(", ")]])
+        del blobs, table
+        W.release()
+        return out
 
     out = pieces.groupBy("_shard").applyInArrow(packed, f"_id {id_type}, {PIECES}")
     return out.withColumnRenamed("_id", doc_id)
