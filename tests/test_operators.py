@@ -1,10 +1,15 @@
 import datetime as dt
+import difflib
+import hashlib
+import math
+import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from winnow.operators import evaluate, service, tables
-from winnow.sources import csv
 from winnow.streaming import state
 
 ROWS = [("a b", 0, "s1", "f", 1), ("a b", 1, "s2", "f", 2), ("a b", 1, "s2", "f", 3), ("c", 1, "s1", "f", 4), ("c", 1, "s0", "f", 5), ("d", 0, "s1", "f", 6)]
@@ -26,13 +31,77 @@ def test_conflicts_and_duplicates(df):
 
 def test_near_groups_and_entities(spark):
     rows = [
-        ("bugün hava çok güzel arkadaşlar hep beraber", ""), ("bugün hava güzel çok arkadaşlar hep beraber", ""),
-        ("tamamen başka bir konu var burada", "u1"), ("ilgisiz ama aynı kullanıcı yazdı bunu", "u1"), ("yalnız kalan tek metin işte böyle", ""),
+        ("sabah erken kalkıp parkta uzun uzun yürüdük", ""), ("erken sabah kalkıp parkta uzun uzun yürüdük", ""), ("kütüphanede sessizce ders çalışan öğrenciler", "u1"),
+        ("akşam yemeğine mercimek çorbası pişirdiler", "u1"), ("tren garına geç kalmamak gerekiyor", ""), ("sabah erken kalkıp parkta uzun uzun yürüdük", "u2"),
     ]
-    got = {r["text"]: r["group_id"] for r in tables.content_groups(spark.createDataFrame(rows, "text string, e string"), entity="e").collect()}
+    df = spark.createDataFrame([*rows, (None, "u3")], "text string, e string")
+    out, stats = tables.content_groups_with_stats(df, entity="e")
+    got = {r["text"]: r["group_id"] for r in out.collect()}
     assert got[rows[0][0]] == got[rows[1][0]] != got[rows[4][0]]
-    assert got[rows[2][0]] == got[rows[3][0]]
-    assert len(set(got.values())) == 3
+    assert got[rows[2][0]] == got[rows[3][0]] and got[None] is None
+    assert got[rows[0][0]] == "g_" + hashlib.sha256(min(rows[0][0], rows[1][0]).encode()).hexdigest()[:16]
+    known = tables.content_groups_with_stats(df.filter("text IS NOT NULL"), entity="e")[1]
+    assert known == tables.GroupStats(3, 2, 2, 1) and stats.entity_groups == 3
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        for u, v in pairs:
+            root[u] = root[v] = min(root[u], root[v])
+    got = {r["node"]: r["root"] for r in tables.components(spark.createDataFrame(pairs, "u int, v int")).collect()}
+    assert got == {n: r for n, r in root.items() if any(n in p for p in pairs if p[0] != p[1])}
+
+
+def test_ratio_edges_against_a_plain_loop(spark):
+    rng = random.Random(2)
+    words = "kırmızı mavi yeşil sarı kara beyaz turuncu mor".split()
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(4, 8))) for _ in range(400)})
+    token = lambda t: re.findall(r"\w+", t)
+
+    def keys(t):
+        w = token(t)
+        out = {"c:" + "".join(w)} | ({"b:" + " ".join(sorted(w))} if 4 <= len(w) <= 40 else set())
+        if 4 <= len(w) <= 14:
+            out.add("s:" + " ".join(w))
+            if len(w) >= 5:
+                out |= {"s:" + " ".join(w[:k] + w[k + 1 :]) for k in range(len(w))}
+        return out
+
+    first, want = {}, set()
+    for t in texts:
+        for k in keys(t):
+            v = first.setdefault(k, t)
+            a, b = set(token(t)), set(token(v))
+            if v != t and (k[0] in "cb" or len(a & b) / len(a | b) >= 0.75 or difflib.SequenceMatcher(None, v, t, autojunk=False).ratio() >= 0.75):
+                want.add((t, v))
+    got = tables.near_edges(spark.createDataFrame([(t,) for t in texts], "text string"), 0.75)
+    assert {(r["u"], r["v"]) for r in got.collect()} == want and len(want) > 20
+
+
+def test_stratified_folds(spark):
+    rng = random.Random(3)
+    rows = [(f"g{rng.randrange(900)}", int(rng.random() < 0.3), rng.choice(["a", "a", "b", "rare"]) if k % 50 else "tiny") for k in range(6000)]
+    df = spark.createDataFrame(rows, "group_id string, label int, kaynak string")
+    out = tables.stratified_folds(df, 20, shard_groups=200).withColumn("split", tables.split_name(F.col("fold")))
+    assert out.count() == 6000 and out.groupBy("group_id").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+    share = {(r["split"], r["label"]): r["n"] for r in out.groupBy("split", "label").agg(F.count("*").alias("n")).collect()}
+    for label in (0, 1):
+        total = sum(n for (_, lab), n in share.items() if lab == label)
+        assert abs(share["test", label] / total - 0.15) < 0.03 and abs(share["valid", label] / total - 0.10) < 0.03
+    again = tables.stratified_folds(df.repartition(7), 20, shard_groups=200)
+    assert out.select("group_id", "fold").distinct().exceptAll(again.select("group_id", "fold").distinct()).count() == 0
+    with pytest.raises(ValueError, match="need as many"):
+        tables.stratified_folds(df.filter("group_id < 'g11'"), 20)
+
+
+def test_fingerprint_is_of_a_multiset(spark):
+    one = lambda rows: tables.fingerprint(spark.createDataFrame(rows, "a string, b int"), "a", "b").first()["fingerprint"]
+    base = [("x", 1), ("y", None), ("x", 1)]
+    assert one(base) == one(base[::-1]) != one(base[:2])
+    assert len({one(r) for r in ([("x1", 1)], [("x", 11)], [(None, 1)], [("", 1)], [("n", 1)])}) == 5
 
 
 def test_split_is_group_safe(spark):
@@ -44,16 +113,23 @@ def test_split_is_group_safe(spark):
 
 
 def test_evaluation(spark):
-    lin = lambda a, b: [a + (b - a) * k / 99 for k in range(100)]
-    rows = [(0, p) for p in lin(0.01, 0.72)] + [(1, p) for p in lin(0.55, 0.99)]
+    rng = random.Random(4)
+    rows = [(0, round(rng.betavariate(2, 6), 4)) for _ in range(300)] + [(1, round(rng.betavariate(6, 3), 4)) for _ in range(200)]
     df = spark.createDataFrame(rows, "label int, p double")
-    t = evaluate.select_threshold(df, 0.05).first()["threshold"]
+    t = evaluate.select_threshold(df, 0.03).first()["threshold"]
     m = evaluate.metrics(evaluate.confusion(df, t)).first()
-    assert 0.5 <= t <= 0.999 and m["fpr"] <= 0.05 and m["f1"] > 0.5
-    x = spark.createDataFrame(list(zip((0, 0, 0, 1, 1, 1), (0.001, 0.05, 0.4, 0.6, 0.95, 0.999))), "label int, p double")
+    assert 0.5 <= t <= 0.999 and m["fpr"] <= 0.03 and m["f1"] > 0.5
+    x = spark.createDataFrame([(0, 0.02), (0, 0.1), (0, 0.35), (1, 0.7), (1, 0.9), (1, 0.99)], "label int, p double")
     assert 0.349 <= evaluate.fit_temperature(x).first()["temperature"] <= 4.001
+    assert evaluate.fit_temperature(x.filter("label = 1")).first()["temperature"] == 1.0
     assert evaluate.roc_auc(x).first()["roc_auc"] == 1.0
     assert evaluate.select_threshold(spark.createDataFrame([(0, 0.9995)], "label int, p double"), 0.0).first()["threshold"] == 0.999
+    warm = [r["q"] for r in x.select(evaluate.tempered(F.col("p"), 2.0).alias("q"), "p").orderBy("p").collect()]
+    assert warm == sorted(set(warm)) and all(math.isfinite(q) for q in warm)
+    hits = sum((p > q) + (p == q) / 2 for a, p in rows for b, q in rows if a and not b)
+    assert abs(evaluate.roc_auc(df).first()["roc_auc"] - hits / (300 * 200)) < 1e-6
+    odd = spark.createDataFrame([(0, -0.5), (1, 1.5), (0, 1.2), (1, 0.5)], "label int, p double")
+    assert [(r["tp"], r["fp"]) for r in evaluate.curve(odd).orderBy(F.desc("p")).collect()] == [(1, 0), (1, 1), (2, 1), (2, 2)]
 
 
 def test_warnings_and_bans(spark):
@@ -65,13 +141,13 @@ def test_warnings_and_bans(spark):
 def test_state_steps():
     step = state.buffer_step()
     now, hits = [], []
-    for k, c in enumerate("salak"):
+    for k, c in enumerate("gavat"):
         now, hit = step(now, float(k), c)
         hits.append(hit)
     assert hits == [False] * 4 + [True] and now == []
-    assert step([["s", 0.0]], 1.0, "normal mesaj") == ([], False)
+    assert step([["g", 0.0]], 1.0, "iyi günler") == ([], False)
     now, hits = [], []
-    for t, c in ((0, "b"), (20, "o"), (40, "k")):
+    for t, c in ((0, "p"), (20, "i"), (40, "ç")):
         now, hit = step(now, float(t), c)
         hits.append(hit)
     assert not any(hits)
@@ -82,29 +158,40 @@ def test_state_steps():
     assert got == [True, False, True]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def _streamed(spark, tmp_path, name, parts, step, **options):
+    schema = "event_id long, user_id long, ts timestamp, value string"
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}-part{k}"))
+        (tmp_path / name).mkdir(exist_ok=True)
+        source = next((tmp_path / f"{name}-part{k}").glob("*.parquet"))
+        target = tmp_path / name / f"{k}.parquet"
+        source.rename(target)
+        os.utime(target, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = state.run_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)), step, **options)
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return {(r["k"], r["o"]): r["result"] for r in spark.table(name).collect()}
+
+
+def test_stream_equals_batch_with_events_out_of_order(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(k, k % 3, t0 + dt.timedelta(seconds=7 * k), "x") for k in range(60)]
+    rows = [(k, k % 3, t0 + dt.timedelta(seconds=7 * k), "x") for k in range(120)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value string")
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
     step = state.limiter_step(2, 60.0)
     batch = {(r["user_id"], r["event_id"]): r["result"] for r in state.run_batch(df, step).collect()}
-    stream = state.run_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), step)
-    q = stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r["k"], r["o"]): r["result"] for r in spark.table("limited").collect()}
-    assert got == batch
-
-
-def test_csv_files(spark, tmp_path):
-    (tmp_path / "raw").mkdir()
-    (tmp_path / "raw" / "train_2.csv").write_text("text,label,base_key,agreement\nilk güzel metin,hate,kök bir,yes\nikinci uzun metin,clean,kök iki,yes\ndördüncü kötü metin,clean,kök üç,no\n", encoding="utf-8")
-    (tmp_path / "raw" / "eski.csv").write_text("metin;etiket\nbir başka metin;saldırgan\n", encoding="cp1254")
-    out = {r["raw_text"]: r for r in csv.load(spark, str(tmp_path / "raw")).collect()}
-    assert out["ilk güzel metin"]["label"] == 1 and out["ilk güzel metin"]["kaynak"] == "uploaded_2"
-    assert out["dördüncü kötü metin"]["red_nedeni"] == "annotator_disagreement"
-    assert out["bir başka metin"]["label"] == 1
-    assert [csv.identifier(x) for x in ("Sınıf", "SINIF", "İçerik")] == ["s_n_f", "sinif", "icerik"]
+    rng = random.Random(5)
+    mixed = sorted(rows, key=lambda r: r[0] + rng.uniform(0, 8))  # at most a minute late
+    parts = [mixed[k : k + 30] for k in range(0, 120, 30)] + [[(999, 99, t0 + dt.timedelta(hours=3), "x")]]
+    got = _streamed(spark, tmp_path, "ordered", parts, step, delay="70 seconds")
+    assert {k: v for k, v in got.items() if k[0] < 3} == batch
+
+
+def test_stream_drops_what_is_later_than_the_watermark(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda k, s: (k, 1, t0 + dt.timedelta(seconds=s), "x")
+    parts = [[at(1, 0), at(2, 600)], [at(3, 605)], [at(4, 1), at(5, 610)], [at(6, 9000)]]
+    got = _streamed(spark, tmp_path, "late", parts, state.limiter_step(1, 2.0), delay="10 seconds")
+    assert {o for _, o in got} == {1, 2, 3, 5}
 
 
 def test_registry_runs(spark):

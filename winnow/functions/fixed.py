@@ -40,10 +40,11 @@ EMOJIS = {
     "💀": "ölüm", "🔪": "bıçak", "🔫": "silah", "👊": "yumruk", "🐍": "yılan", "🤢": "iğrenme",
 }
 MODEL_LEET_FROM, MODEL_LEET_TO = "@43€691!|05$§7+", "aaeeggiiiossstt"
-INVISIBLE = (
-    r"[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁩﻿￹-￻]"
-)
-PREPROCESSING_VERSION = "belge3-word2vec-v1"
+INVISIBLE = r"[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff\ufff9-\ufffb]"
+#: The same with the spaces of fixed width and without the first, for the opt-in plain form.
+INVISIBLE_SPACES = r"[\u200b-\u200f\u2060-\u2064\ufeff\ufffe\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u2000-\u200a\u202a-\u202e\u2066-\u2069\ufff9-\ufffb]"
+#: Version of these normal forms, in every manifest.
+PREPROCESSING_VERSION = "winnow-normal-1"
 STOPWORDS = tuple(
     """
     acaba ama ancak artık asla aslında az bazı bazen belki ben beni benim beri

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 from .text import BLANK, WORD, for_model, plain_letters, unicode_pattern
 
+_HIDDEN = re.compile(fixed.INVISIBLE_SPACES)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -103,3 +108,73 @@ def decide(rule_hit: Column, buffer_hit: Column, score: Column, threshold: float
         F.when(rule_hit, "dictionary_evasion").when(buffer_hit, "message_buffer").when(score.isNull(), "rules_only_clean").otherwise("bert_calibrated")
     )
     return {"status": status, "score": value, "method": method}
+
+
+# --- opt-in functions: no rule above calls them ---
+
+
+@F.pandas_udf(T.StringType())
+def plain_unicode(texts: pd.Series) -> pd.Series:
+    """Texts without invisible characters and marks; letters of other alphabets stay, accents go."""
+
+    def plain(text: str) -> str:
+        whole = unicodedata.normalize("NFKD", _HIDDEN.sub("", text))
+        return "".join(c for c in whole if c.isascii() or not unicodedata.category(c).startswith("M"))
+
+    return texts.map(plain, na_action="ignore")
+
+
+def emojis_as_words(c: Column) -> Column:
+    for emoji, words in fixed.EMOJIS.items():
+        c = F.replace(c, F.lit(emoji), F.lit(f" {words} "))
+    return c
+
+
+def swapped_forms(lexicon: Lexicon = Lexicon(), least: int = 5) -> dict[str, str]:
+    """Each plain term of at least `least` letters with two neighbours exchanged, and the first term it comes from."""
+    out: dict[str, str] = {}
+    plain = {t: _plain(t.lower()) for t in lexicon.terms}
+    for term, word in plain.items():
+        for k in range(len(word) - 1 if len(word) >= least else 0):
+            if word[k] != word[k + 1]:
+                out.setdefault(word[:k] + word[k + 1] + word[k] + word[k + 2 :], term)
+    return out
+
+
+def unswapped(word: Column, lexicon: Lexicon = Lexicon()) -> Column:
+    """The term of which a word is one exchange of neighbours away, else the word."""
+    pairs = swapped_forms(lexicon)
+    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]) if pairs else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.element_at(table, plain_letters(F.lower(word))), word)
+
+
+def stem(word: Column) -> Column:
+    """The word itself: cutting endings makes harmless words look like terms."""
+    return word
+
+
+def nearest_term(lexicon: Lexicon = Lexicon(), least: int = 4, apart: int = 2, score: int = 90):
+    """A function of a word: struct of the most similar term and its similarity in hundredths, nulls if below score.
+
+    Words shorter than least are not compared, nor terms that differ by more than apart in length;
+    of equals the first term counts.
+    """
+    plain = [(t, _plain(t.lower())) for t in lexicon.terms]
+
+    def best(word: str | None) -> tuple[str | None, int | None]:
+        if word is None or len(word) < least:
+            return None, None
+        own, found = _plain(word.lower()), (None, 0)
+        for term, form in plain:
+            if abs(len(own) - len(form)) <= apart:
+                matcher = SequenceMatcher(None, own, form)
+                if matcher.real_quick_ratio() * 100 + 1 > found[1] and (ratio := round(100 * matcher.ratio())) > found[1]:
+                    found = (term, ratio)
+        return found if found[1] >= score else (None, None)
+
+    @F.pandas_udf("term string, score int")
+    def run(words: pd.Series) -> pd.DataFrame:
+        known = {w: best(w) for w in words.dropna().unique()}
+        return pd.DataFrame([known.get(w, (None, None)) for w in words], columns=["term", "score"]).astype({"score": "Int32"})
+
+    return run

@@ -11,7 +11,7 @@ from . import fixed
 
 #: Word characters and white space as Unicode classes; Java's own \w and \s are ASCII.
 WORD = r"\p{L}\p{N}_"
-BLANK = r"\s\x1c-\x1f\x85\xa0  -     　"
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(T.StringType())
@@ -57,8 +57,12 @@ def for_document(c: Column, unicode_form: bool = True, stopwords: tuple[str, ...
     c = mark_links(F.coalesce(c, F.lit("")))
     c = F.regexp_replace(c, rf"(?<![{WORD}])[^{WORD}{BLANK}]+|[^{WORD}{BLANK}]+(?![{WORD}])", " ")
     c = F.regexp_replace(F.lower(for_model(c, unicode_form)), rf"(?iu)[^0-9a-zçğıöşü{BLANK}]", " ")
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    return F.array_join(F.filter(tokens(c), lambda x: ~F.array_contains(stop, x)), " ")
+    return without_words(c, stopwords)
+
+
+def without_words(c: Column, stopwords: tuple[str, ...]) -> Column:
+    """The tokens of c that are no stop words, joined by one space."""
+    return F.array_join(F.filter(tokens(c), lambda x: ~x.isin(*stopwords)) if stopwords else tokens(c), " ")
 
 
 def truncated(c: Column, limit: int = 1500) -> Column:
@@ -80,9 +84,14 @@ def parse_label(c: Column) -> Column:
     return F.when(plain.isNotNull(), F.when(plain == 1, 1).when(plain == 0, 0)).otherwise(by_word).cast("byte")
 
 
+def disagrees(agreement: Column) -> Column:
+    """Whether a value of an agreement column means that annotators differ; null for null."""
+    return F.regexp_replace(F.lower(F.trim(agreement)), "[_-]+", " ").isin(*fixed.DISAGREEMENT)
+
+
 def reject_reason(text: Column, label: Column, agreement: Column | None = None, min_words: int = 1) -> Column:
     """Why a row is rejected: of several reasons the strongest; null if accepted."""
-    disagree = F.regexp_replace(F.lower(F.trim(agreement)), "[_-]+", " ").isin(*fixed.DISAGREEMENT) if agreement is not None else F.lit(False)
+    disagree = disagrees(agreement) if agreement is not None else F.lit(False)
     return (
         F.when(label.isNull(), "invalid_label")
         .when(F.coalesce(text, F.lit("")) == "", "empty_after_normalization")
@@ -91,6 +100,11 @@ def reject_reason(text: Column, label: Column, agreement: Column | None = None,
     )
 
 
+def token_number(c: Column) -> Column:
+    """A number of a token that no process or seed changes (64-bit, signed)."""
+    return F.xxhash64(c)
+
+
 def hmac_sha256(c: Column, key: bytes) -> Column:
     """Hex HMAC-SHA256 of c's UTF-8 bytes."""
     import hashlib

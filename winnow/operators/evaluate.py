@@ -37,14 +37,29 @@ def metrics(cells: DataFrame) -> DataFrame:
     )
 
 
+#: Ranges of scores that are summed on their own; only their totals meet in one task.
+RANGES = 1 << 14
+
+
 def curve(df: DataFrame) -> DataFrame:
-    """Cumulative hits at each distinct score, from the highest on: tp, fp and the totals."""
-    at = df.groupBy("p").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return at.select(
-        "p", "pos", "n", F.sum("pos").over(down).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(down).alias("fp"),
-        F.sum("pos").over(whole).alias("all_pos"), F.sum(F.col("n") - F.col("pos")).over(whole).alias("all_neg"),
+    """Cumulative hits at each distinct score, from the highest on: tp, fp and the totals.
+
+    Sums run within ranges of scores, on top of the totals of all higher ranges.
+    """
+    slot = F.least(F.greatest(F.floor(F.col("p") * RANGES), F.lit(0)), F.lit(RANGES - 1)).cast("int")
+    at = df.groupBy("p").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("_slot", slot)
+    totals = at.groupBy("_slot").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
+    above = Window.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    whole = Window.orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = totals.select(
+        F.col("_slot").alias("_own"), F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_above_pos"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above_n"),
+        F.sum("_pos").over(whole).alias("all_pos"), F.sum(F.col("_n") - F.col("_pos")).over(whole).alias("all_neg"),
+    )
+    down = Window.partitionBy("_slot").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = at.withColumns({"_tp": F.sum("pos").over(down), "_all": F.sum("n").over(down)})
+    return sums.join(F.broadcast(before), F.col("_slot") == F.col("_own")).select(
+        "p", "pos", "n", (F.col("_tp") + F.col("_above_pos")).alias("tp"),
+        (F.col("_all") - F.col("_tp") + F.col("_above_n") - F.col("_above_pos")).alias("fp"), "all_pos", "all_neg",
     )
 
 
@@ -88,7 +103,7 @@ def temperatures(count: int = 240, low: float = 0.35, high: float = 4.0) -> list
 
 
 def fit_temperature(df: DataFrame) -> DataFrame:
-    """The grid's temperature with the least mean log loss; the first of equals."""
+    """The grid's temperature with the least mean log loss; the first of equals.  One class alone gives 1."""
     spark = df.sparkSession
     grid = spark.createDataFrame([(k, t) for k, t in enumerate(temperatures())], "k int, t double")
     p = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -97,7 +112,36 @@ def fit_temperature(df: DataFrame) -> DataFrame:
     q = F.lit(1.0) / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))))
     loss = F.sum(-F.col("count") * F.when(F.col("label") == 1, F.log(q)).otherwise(F.log(1 - q)))
     fits = counted.crossJoin(F.broadcast(grid)).groupBy("k", "t").agg(loss.alias("loss"))
-    return fits.agg(F.min_by("t", F.struct("loss", "k")).alias("temperature"))
+    classes = counted.agg(F.count_distinct("label").alias("_classes"))
+    best = fits.agg(F.min_by("t", F.struct("loss", "k")).alias("t"))
+    return best.crossJoin(classes).select(F.when(F.col("_classes") > 1, F.col("t")).otherwise(1.0).alias("temperature"))  # one row
+
+
+def tempered(p: Column, temperature: Column | float) -> Column:
+    """A probability after its logit is divided by a temperature; within sigmoid(-40) and sigmoid(40)."""
+    own = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    z = F.log(own / (1 - own)) / (temperature if isinstance(temperature, Column) else F.lit(temperature))
+    return F.lit(1.0) / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0))))
+
+
+def probability_histogram(df: DataFrame, bins: int = 50) -> DataFrame:
+    """Counts of scores per label and bin of equal width over 0 to 1, and their density within the label."""
+    own = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("long")
+    n = df.groupBy("label", own.alias("bin")).agg(F.count("*").alias("n"))
+    return n.withColumn("density", F.round(F.col("n") * bins / F.sum("n").over(Window.partitionBy("label")), 6))
+
+
+def confusion_shares(df: DataFrame, threshold: float, *by: str) -> DataFrame:
+    """Confusion cells as shares of each true label: tn and fp of label 0, fn and tp of label 1."""
+    cells = confusion(df, threshold, *by)
+    neg, pos = F.col("tn") + F.col("fp"), F.col("fn") + F.col("tp")
+    shares = {c: F.round(_ratio(F.col(c), neg if c in ("tn", "fp") else pos), 6) for c in ("tn", "fp", "fn", "tp")}
+    return cells.select(*by, *[v.alias(k) for k, v in shares.items()])
+
+
+def history_curves(history: DataFrame, *metrics: str) -> DataFrame:
+    """Long form of epoch metrics: epoch, metric, value; epochs without a value are left out."""
+    return history.unpivot(["epoch"], list(metrics), "metric", "value").filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
 
 
 def select_threshold(df: DataFrame, budget: float) -> DataFrame:

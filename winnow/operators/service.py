@@ -68,6 +68,42 @@ def decide_appeals(appeals: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(hit, F.col("decision")).otherwise(F.col("status"))).drop("decision")
 
 
+def appeal_effects(appeals: DataFrame, decisions: DataFrame, logs: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New appeals, logs and users after decisions (appeal_id, decision accepted or rejected, note).
+
+    Only open appeals (id, message_id, user_id, status) change.  An accepted one makes its message
+    clean, passed and overturned, ends its user's ban, and takes back one warning for each message
+    that was toxic, as long as there are any.
+    """
+    decided = decide_appeals(appeals, decisions)
+    accepted = appeals.filter("status = 'open'").join(decisions.filter("decision = 'accepted'"), F.col("id") == F.col("appeal_id"))
+    accepted = accepted.select("message_id", F.col("user_id").alias("_user"), F.col("note").alias("_note"))
+    per_message = accepted.groupBy("message_id").agg(F.min("_note").alias("_note"), F.lit(True).alias("_hit"))
+    joined = logs.join(per_message, logs["id"] == F.col("message_id"), "left").drop("message_id")
+    hit = F.coalesce("_hit", F.lit(False))
+    toxic = logs.filter("is_toxic").select(F.col("id").alias("_id"))
+    back = accepted.select("_user", "message_id").distinct().join(toxic, F.col("message_id") == F.col("_id"), "left")
+    back = back.groupBy("_user").agg(F.count("_id").alias("_back"))
+    new_users = users.join(back, users["id"] == F.col("_user"), "left").select(
+        *[c for c in users.columns if c not in ("warning_count", "is_banned")],
+        F.greatest(F.col("warning_count") - F.coalesce("_back", F.lit(0)), F.lit(0)).alias("warning_count"),
+        (F.col("is_banned") & F.col("_user").isNull()).alias("is_banned"),
+    )
+    changes = {"is_toxic": False, "action_taken": "passed", "review_status": "overturned"}
+    new_logs = joined.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items() if c in logs.columns})
+    if "decision_reason" in logs.columns:
+        new_logs = new_logs.withColumn("decision_reason", F.when(hit, F.col("_note")).otherwise(F.col("decision_reason")))
+    return decided, new_logs.drop("_hit", "_note"), new_users
+
+
+def reset_users(users: DataFrame, named: DataFrame) -> DataFrame:
+    """users without warnings and bans for the ids in named (user_id); an unknown id changes nothing."""
+    own = named.select(F.col("user_id").alias("_u")).distinct()
+    hit = F.col("_u").isNotNull()
+    out = users.join(own, users["id"] == F.col("_u"), "left")
+    return out.withColumns({"warning_count": F.when(hit, 0).otherwise(F.col("warning_count")), "is_banned": F.col("is_banned") & ~hit}).drop("_u")
+
+
 def without_orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(F.col("id").alias(key)), key, "left_semi")
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+import tempfile
+from dataclasses import dataclass
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from winnow.functions import fixed
 from winnow.functions.text import WORD, tokens
 
+SPLIT_PAIRS = (("train", "valid"), ("train", "test"), ("valid", "test"))
+
 
 def conflict_texts(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Texts that carry more than one label; null labels do not count."""
@@ -90,39 +97,95 @@ def near_edges(texts: DataFrame, threshold: float = 0.9, with_ratio: bool = True
     return certain.union(close).distinct()
 
 
-def content_groups(df: DataFrame, text: str = "text", entity: str | None = None, threshold: float = 0.9, checkpoint_dir: str | None = None) -> DataFrame:
-    """df with group_id: texts linked by near duplication or a common non-empty entity share it.
+def text_id(c) -> Column:
+    """128 bits of a text, as a node of the components."""
+    return F.substring(F.unhex(F.sha2(c, 256)), 1, 16)
+
 
-    The id is that of the least text of the group.  Labels spread by rounds of minimum and
-    pointer jumping; every round is checkpointed in the shared folder.
+def components(edges: DataFrame) -> DataFrame:
+    """node and root, the least node reachable, for all nodes of edges (u, v).
+
+    Labels spread by rounds of minimum and pointer jumping; every round is checkpointed in the
+    shared folder.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir or spark.conf.get("spark.checkpoint.dir", None) or _own_dir())
-    texts = df.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
-    edges = near_edges(texts, threshold)
-    if entity:
-        named = df.filter((F.col(entity).isNotNull()) & (F.col(entity) != "")).select(F.col(text).alias("u"), F.col(entity).alias("e")).distinct()
-        edges = edges.union(named.join(named.groupBy("e").agg(F.min("u").alias("v")), "e").filter("u <> v").select("u", "v"))
-    both = edges.union(edges.select("v", "u")).distinct().checkpoint()
-    label = texts.select(F.col("text").alias("t"), F.col("text").alias("root")).join(both.select("u").distinct(), F.col("t") == F.col("u"), "left_semi").checkpoint()
+    use_checkpoints(edges)
+    both = edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct().checkpoint()
+    label = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
     while True:
-        near = both.join(label, F.col("v") == F.col("t")).groupBy("u").agg(F.min("root").alias("m"))
-        step = label.join(near, F.col("t") == F.col("u")).select("t", F.least("root", "m").alias("root"), F.col("root").alias("was"))
-        jump = step.select(F.col("t").alias("jt"), F.col("root").alias("jr"))
-        step = step.join(jump, F.col("root") == F.col("jt")).select("t", F.least("root", "jr").alias("root"), "was").checkpoint()
+        near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("m"))
+        step = label.join(near, F.col("node") == F.col("u")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
+        jump = step.select(F.col("node").alias("jn"), F.col("root").alias("jr"))
+        step = step.join(jump, F.col("root") == F.col("jn")).select("node", F.least("root", "jr").alias("root"), "was").checkpoint()
         changed = step.filter("root <> was").limit(1).count()
-        label = step.select("t", "root")
+        label = step.select("node", "root")
         if not changed:
-            break
-    root = F.coalesce("root", F.col(text))
-    return df.join(label, F.col(text) == F.col("t"), "left").withColumn("group_id", group_name(root)).drop("t", "root")
+            return label
+
 
+@dataclass(frozen=True)
+class GroupStats:
+    groups: int
+    near_duplicate_rows: int
+    entity_groups: int
+    entity_grouped_rows: int
+
+
+def content_groups(
+    df: DataFrame, text: str = "text", entity: str | None = None, threshold: float = 0.9, with_ratio: bool = True
+) -> DataFrame:
+    """df with group_id: texts linked by near duplication or a common non-empty entity share it.
+
+    The id is that of the least text of the group.  A null text has the id of no text.  Only
+    128-bit ids travel between the rounds.
+    """
+    return _grouped(df, text, entity, threshold, with_ratio)[0]
+
+
+def content_groups_with_stats(
+    df: DataFrame, text: str = "text", entity: str | None = None, threshold: float = 0.9, with_ratio: bool = True
+) -> tuple[DataFrame, GroupStats]:
+    """The same, and the numbers of groups and of rows that linking moved into another row's group.
+
+    near_duplicate_rows counts rows less groups before entities link; entity_grouped_rows counts
+    rows of an entity beyond its first.
+    """
+    out, near = _grouped(df, text, entity, threshold, with_ratio)
+    total = df.agg(F.count("*"), F.count_distinct(text)).first()
+    linked = near.agg(F.count("*"), F.count_distinct("root")).first() if near is not None else (0, 0)
+    entities = (0, 0)
+    if entity:
+        each = df.filter(F.coalesce(entity, F.lit("")) != "").groupBy(entity).count()
+        entities = each.agg(F.count("*"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()
+    rows_less_groups = total[0] - (total[1] - linked[0] + linked[1])
+    return out, GroupStats(out.select("group_id").distinct().count(), rows_less_groups, int(entities[0]), int(entities[1]))
 
-def _own_dir() -> str:
-    import tempfile
 
-    return tempfile.mkdtemp(prefix="winnow-groups-")
+def _grouped(df: DataFrame, text: str, entity: str | None, threshold: float, with_ratio: bool) -> tuple[DataFrame, DataFrame]:
+    texts = df.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
+    edges = near_edges(texts, threshold, with_ratio).select(text_id(F.col("u")).alias("u"), text_id(F.col("v")).alias("v"))
+    near = label = components(edges)
+    if entity:
+        named = df.filter(F.coalesce(entity, F.lit("")) != "").filter(F.col(text).isNotNull())
+        named = named.select(text_id(F.col(text)).alias("u"), F.col(entity).alias("e")).distinct()
+        stars = named.join(named.groupBy("e").agg(F.min("u").alias("v")), "e").filter("u <> v").select("u", "v")
+        label = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(stars))
+    own = texts.withColumn("_node", text_id(F.col("text"))).join(label, F.col("_node") == F.col("node"))
+    least = own.groupBy("root").agg(F.min("text").alias("_least"))
+    named_groups = label.join(least, "root").select("node", group_name(F.col("_least")).alias("_group"))
+    out = df.withColumn("_node", text_id(F.col(text))).join(named_groups, F.col("_node") == F.col("node"), "left")
+    return out.withColumn("group_id", F.coalesce("_group", group_name(F.col(text)))).drop("_node", "node", "_group"), near
+
+
+def use_checkpoints(df: DataFrame) -> None:
+    """Checkpoints go to the folder that the cluster names; a local one only where all runs here."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="winnow-groups-")
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def group_name(c) -> Column:
@@ -147,12 +210,75 @@ def strata(df: DataFrame, folds: int, label: str = "label", source: str = "kayna
     return df.join(named, F.col(label).eqNullSafe(F.col("_l")) & F.col(source).eqNullSafe(F.col("_s"))).drop("_l", "_s")
 
 
-def split_of(group, test: float = 0.15, valid: float = 0.1, seed: int = 42) -> Column:
-    """train, valid or test from a group's seeded hash: no group is in two splits."""
+def split_name(fold: Column, test: float = 0.15, valid: float = 0.1) -> Column:
+    """test, valid or train of a fold; a null fold has none."""
     k = fold_count(test, valid)
-    fold = F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), group), 256), 1, 12), 16, 10).cast("long"), F.lit(k))
     a = max(1, round(test * k))
-    return F.when(fold < a, "test").when(fold < a + max(1, round(valid * k)), "valid").otherwise("train")
+    return F.when(fold < a, "test").when(fold < a + max(1, round(valid * k)), "valid").when(fold.isNotNull(), "train")
+
+
+def seeded(c, seed: int) -> Column:
+    """48 bits of a value under a seed, the same on every engine."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), c), 256), 1, 12), 16, 10).cast("long")
+
+
+def split_of(group, test: float = 0.15, valid: float = 0.1, seed: int = 42) -> Column:
+    """train, valid or test from a group's seeded hash alone: no group is in two splits."""
+    return split_name(F.pmod(seeded(group, seed), F.lit(fold_count(test, valid))), test, valid)
+
+
+def stratified_folds(
+    df: DataFrame, folds: int, group: str = "group_id", label: str = "label", source: str = "kaynak", seed: int = 42, shard_groups: int = 10_000
+) -> DataFrame:
+    """df with stratum and fold: whole groups in one fold, each stratum spread evenly over the folds.
+
+    A group belongs to the stratum that most of its rows have.  Groups of one stratum and size
+    class are dealt in turn, in a seeded order, shard by shard of about shard_groups of all groups,
+    so no task orders more than a shard.  Fewer groups than folds raise ValueError.
+    """
+    rows = strata(df, folds, label, source)
+    each = rows.groupBy(F.col(group).alias("_g"), "stratum").agg(F.count("*").alias("_n"))
+    groups = each.groupBy("_g").agg(F.max_by("stratum", F.struct("_n", "stratum")).alias("_s"), F.sum("_n").alias("_size"))
+    many = groups.count()
+    if many < folds:
+        raise ValueError(f"{folds} folds need as many groups; there are {many}")
+    order = seeded(F.col("_g"), seed)
+    dealt = groups.withColumn("_class", F.floor(F.log2("_size"))).withColumn("_shard", F.pmod(order, F.lit(-(-many // shard_groups))))
+    cell = F.concat_ws("|", "_s", "_class", "_shard")
+    place = F.row_number().over(Window.partitionBy("_s", "_class", "_shard").orderBy(order, "_g"))
+    dealt = dealt.select("_g", F.pmod(place + seeded(cell, seed), F.lit(folds)).cast("int").alias("fold"))
+    return rows.join(dealt, F.col(group) == F.col("_g"), "left").drop("_g")
+
+
+def overlaps(df: DataFrame, column: str, split: str = "split") -> DataFrame:
+    """pair and shared: distinct values of a column that two splits share, for each pair of splits."""
+    held = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.collect_set(split).alias("s"))  # of three names
+    pairs = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("pair"), (F.array_contains("s", a) & F.array_contains("s", b)).alias("hit")) for a, b in SPLIT_PAIRS])
+    return held.select(F.explode(pairs).alias("x")).groupBy("x.pair").agg(F.count_if("x.hit").alias("shared"))
+
+
+def check_leakage(df: DataFrame, columns: tuple[str, ...] = ("text", "group_id"), split: str = "split") -> None:
+    """Raise if two splits share a text or a group."""
+    found = [(c, r["pair"], r["shared"]) for c in columns for r in overlaps(df, c, split).filter("shared > 0").collect()]
+    if found:
+        raise ValueError("splits overlap: " + ", ".join(f"{pair} share {n} of {c}" for c, pair, n in found))
+
+
+def fingerprint(df: DataFrame, *columns: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Digest of the rows as a multiset: any order and any partitioning give the same.
+
+    Four lanes of 60 bits of each row's SHA-256 are summed, so no task needs more than its rows.
+    A null is told from the empty text.
+    """
+    marked = [F.concat(F.when(F.col(c).isNull(), "n").otherwise("v"), F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    rows = df.select(*by, F.sha2(F.concat(*marked), 256).alias("_h"))
+    lanes = [F.sum(F.conv(F.substring("_h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    return rows.groupBy(*by).agg(F.sha2(F.concat_ws(",", *lanes, F.count("*").cast("string")), 256).alias("fingerprint"))
+
+
+def data_version(fingerprints: list[str], version: str = fixed.PREPROCESSING_VERSION) -> str:
+    """combined- and 12 digits, of all inputs' digests and the version of the normal forms."""
+    return "combined-" + hashlib.sha256(("".join(sorted(fingerprints)) + version).encode()).hexdigest()[:12]
 
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:

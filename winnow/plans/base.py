@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions.rules import Lexicon
-from winnow.operators.tables import sentences
+from winnow.operators.tables import sentences, use_checkpoints
 
 TABLES = ("documents", "labels", "conversations", "events", "embeddings", "benchmark", "pages")
 #: The tables hold no Turkish; rules are queried with frequent words of the tables instead.
@@ -57,6 +58,12 @@ M = "msg AS (SELECT conv_id AS user_id, turn AS seq, role, text FROM conversatio
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def workspace(spark: SparkSession) -> str:
+    """A fresh folder below the one that the cluster names for checkpoints; a local one where all runs here."""
+    use_checkpoints(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/plans-{uuid.uuid4().hex}"
+
+
 def portable(sql: str) -> tuple[Query, str]:
     """One SQL text for both engines; tables stand in braces."""
     used = [t for t in TABLES if "{" + t + "}" in sql]

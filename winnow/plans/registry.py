@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from winnow.functions import fixed, rules, text
 from winnow.operators import evaluate as ev
 from winnow.operators import ml, service, tables
+from winnow.plans import accounts, corpus, texts
 from winnow.plans.base import L, M, P, S, TEST_LEXICON, Query, labelled, labelled_sentences, messages, portable, read, scores
 from winnow.streaming import state
 
@@ -18,12 +19,16 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
     _ALL[name] = (query, sql)
 
 
+def _every() -> dict[str, tuple[Query, str | None]]:
+    return _ALL | texts.QUERIES | corpus.QUERIES | accounts.QUERIES
+
+
 def queries() -> dict[str, Query]:
-    return {k: q for k, (q, _) in _ALL.items()}
+    return {k: q for k, (q, _) in _every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _ALL.items() if s}
+    return {k: s for k, (_, s) in _every().items() if s}
 
 
 _LAB = "(SELECT d.text, l.toxic AS label, d.source AS kaynak, d.doc_id AS satir_no FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id)"
@@ -60,8 +65,6 @@ _add("split_label_counts", lambda s, d: labelled(s, d).withColumn("split", table
      f"WITH {L}, f AS (SELECT label, CAST(('0x' || substr(sha256('42:' || text), 1, 12)) AS BIGINT) % 20 AS fold FROM lab) SELECT CASE WHEN fold < 3 THEN 'test' WHEN fold < 5 THEN 'valid' ELSE 'train' END AS split, label, count(*) AS n FROM f GROUP BY ALL")
 _add("fold_split", lambda s, d: labelled_sentences(s, d).select("text").distinct().select(F.sha2("text", 256).alias("h"), tables.split_of(F.col("text")).alias("split")),
      f"WITH {S}, f AS (SELECT DISTINCT text FROM sent), g AS (SELECT sha256(text) AS h, CAST(('0x' || substr(sha256('42:' || text), 1, 12)) AS BIGINT) % 20 AS fold FROM f) SELECT h, CASE WHEN fold < 3 THEN 'test' WHEN fold < 5 THEN 'valid' ELSE 'train' END AS split FROM g")
-_add("leakage_check", lambda s, d: labelled_sentences(s, d).withColumn("split", tables.split_of(F.col("text"))).groupBy("text").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("leaks"), F.count("*").alias("texts")),
-     f"WITH {S} SELECT 0::BIGINT AS leaks, count(DISTINCT text) AS texts FROM sent")
 _add("strata_rare_merge", lambda s, d: tables.strata(labelled(s, d), 20).groupBy("stratum").agg(F.count("*").alias("n")),
      f"WITH {L}, c AS (SELECT label, kaynak, count(*) AS k FROM lab GROUP BY ALL), m AS (SELECT *, CASE WHEN k < 20 THEN CAST(label AS VARCHAR) || '|diger_kaynak' ELSE CAST(label AS VARCHAR) || '|' || kaynak END AS st FROM c), z AS (SELECT st, sum(k) AS n FROM m GROUP BY st), f AS (SELECT CASE WHEN (SELECT min(n) FROM z) < 20 THEN CAST(label AS VARCHAR) ELSE st END AS stratum, k FROM m) SELECT stratum, CAST(sum(k) AS BIGINT) AS n FROM f GROUP BY stratum")
 _add("char_length_hist", lambda s, d: _length_hist(s, d),
@@ -127,12 +130,7 @@ def _reasons(s, d):
 _add("file_report", lambda s, d: _reasons(s, d).groupBy("source").agg(F.count("*").alias("raw"), F.count_if(F.col("reason") == "accepted").alias("accepted"), F.count_if(F.col("reason") == "annotator_disagreement").alias("disagreement"), F.count_if(F.col("toxic").isNull()).alias("null_labels"), F.count_if(F.col("toxic") == 1).alias("positive")),
      "WITH x AS (SELECT d.source, l.toxic, CASE WHEN l.toxic IS NULL THEN 'i' WHEN coalesce(trim(d.text), '') = '' THEN 'e' WHEN d.doc_id % 7 = 0 THEN 'a' WHEN len(list_filter(string_split_regex(d.text, '\\s+'), lambda y: y <> '')) < 60 THEN 't' ELSE 'ok' END AS r FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT source, count(*) AS raw, count(*) FILTER (WHERE r = 'ok') AS accepted, count(*) FILTER (WHERE r = 'a') AS disagreement, count(*) FILTER (WHERE toxic IS NULL) AS null_labels, count(*) FILTER (WHERE toxic = 1) AS positive FROM x GROUP BY source")
 
-# --- normal forms ---
-_add("normalize_model", lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(text.for_model(F.col("text")), 256).alias("h")))
-_add("normalize_document", lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(text.for_document(F.col("text")), 256).alias("h")))
-_add("nfkc", lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(text.nfkc("text"), 256).alias("h")), "SELECT doc_id, sha256(text) AS h FROM documents")
-_add("stopword_filter", lambda s, d: read(s, d, "documents").select("doc_id", F.size(F.filter(F.split(F.lower("text"), " +"), lambda x: (x != "") & ~x.isin("the", "of", "de", "la"))).cast("long").alias("n")),
-     "SELECT doc_id, len(list_filter(string_split_regex(lower(text), ' +'), lambda x: x <> '' AND x NOT IN ('the', 'of', 'de', 'la'))) AS n FROM documents")
+
 
 # --- conflicts and duplicates, over sentences ---
 _add("conflict_texts", lambda s, d: tables.conflict_texts(labelled_sentences(s, d)), f"WITH {S} SELECT text FROM sent GROUP BY text HAVING count(DISTINCT label) > 1")
@@ -143,10 +141,6 @@ _add("conflict_majority", lambda s, d: tables.majority(labelled_sentences(s, d))
 _add("duplicate_groups", lambda s, d: tables.duplicate_rows(labelled_sentences(s, d)).groupBy("text").agg(F.count("*").alias("n")), f"WITH {S} SELECT text, count(*) AS n FROM sent GROUP BY text HAVING count(*) > 1")
 _add("dedupe_first", lambda s, d: tables.first_rows(labelled_sentences(s, d)).select("text", "label", "kaynak", "satir_no"),
      f"WITH {S} SELECT text, label, kaynak, satir_no FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY label, kaynak, dosya, satir_no) AS k FROM sent) WHERE k = 1")
-_add("frame_fingerprint", lambda s, d: labelled_sentences(s, d).agg(F.sum(F.conv(F.substring(F.sha2(F.concat_ws(",", "text", F.col("label").cast("string")), 256), 1, 8), 16, 10).cast("long")).cast("long").alias("f"), F.count("*").alias("n")),
-     f"WITH {S} SELECT CAST(sum(CAST(('0x' || substr(sha256(text || ',' || CAST(label AS VARCHAR)), 1, 8)) AS BIGINT)) AS BIGINT) AS f, count(*) AS n FROM sent")
-_add("data_version", lambda s, d: read(s, d, "documents").groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ""), 256).alias("h")).agg(F.concat(F.lit("combined-"), F.substring(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("h")), ""), F.lit(fixed.PREPROCESSING_VERSION)), 256), 1, 12)).alias("version")),
-     f"WITH f AS (SELECT source, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS h FROM documents GROUP BY source) SELECT 'combined-' || substr(sha256(string_agg(h, '' ORDER BY h) || '{fixed.PREPROCESSING_VERSION}'), 1, 12) AS version FROM f")
 
 # --- near duplicates ---
 _W = f"{S}, t AS (SELECT DISTINCT text FROM sent), k AS (SELECT text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM t)"
@@ -180,7 +174,6 @@ def _jaccard(s, d):
 _add("ndg_jaccard_edges", _jaccard,
      f"WITH {_DEL}, x AS (SELECT DISTINCT u, v, list_distinct(w) AS a, list_distinct(regexp_extract_all(lower(v), '[\\p{{L}}\\p{{N}}_]+')) AS b FROM pr), y AS (SELECT u, v, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS j FROM x) SELECT DISTINCT u, v, round(j, 6) AS j FROM y WHERE j >= 0.75")
 _add("ndg_ratio_edges", lambda s, d: tables.near_edges(_texts(s, d)))
-_add("ndg_components", lambda s, d: tables.content_groups(_texts(s, d)))
 _add("entity_groups", lambda s, d: messages(s, d).groupBy("user_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.sum(F.col("n") - 1).alias("grouped_rows")),
      f"WITH {M}, g AS (SELECT user_id, count(*) AS n FROM msg GROUP BY user_id) SELECT count(*) AS groups, CAST(sum(n - 1) AS BIGINT) AS grouped_rows FROM g")
 _add("group_size_dist", lambda s, d: labelled_sentences(s, d).groupBy("text").agg(F.count("*").alias("n")).groupBy(F.least("n", F.lit(20)).alias("size")).agg(F.count("*").alias("groups")),
@@ -203,8 +196,6 @@ def _metrics(s, d):
 
 _MET = f"WITH {P}, {_C}, r AS (SELECT *, {_RATIOS} FROM c), m AS (SELECT model, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round((re + sp) / 2, 6) AS balanced_accuracy, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1, round(coalesce((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc, round(fp / greatest(fp + tn, 1), 6) AS fpr, round(fn / greatest(fn + tp, 1), 6) AS fnr FROM r)"
 _add("confusion", lambda s, d: ev.confusion(scores(s, d), 0.5, "model"), f"WITH {P}, {_C} SELECT * FROM c")
-_add("confusion_normalized", lambda s, d: scores(s, d).groupBy("model", "label").agg(F.round(F.avg((F.col("p") >= 0.5).cast("double")), 6).alias("hit_share")),
-     f"WITH {P} SELECT model, label, round(avg(CAST(p >= 0.5 AS DOUBLE)), 6) AS hit_share FROM sc GROUP BY model, label")
 _add("metrics", _metrics, f"{_MET} SELECT * FROM m")
 _add("model_comparison_unpivot", lambda s, d: _metrics(s, d).unpivot(["model"], ["accuracy", "f1", "mcc", "fpr"], "metric", "value"),
      f"{_MET} SELECT model, 'accuracy' AS metric, accuracy AS value FROM m UNION ALL SELECT model, 'f1', f1 FROM m UNION ALL SELECT model, 'mcc', mcc FROM m UNION ALL SELECT model, 'fpr', fpr FROM m")
@@ -228,11 +219,8 @@ _add("brier", lambda s, d: scores(s, d).groupBy("model").agg(F.round(F.avg(F.pow
 _add("ece15", lambda s, d: ev.ece(_s0(s, d)), f"WITH {P}, b AS (SELECT ceil(p * 15) AS bin, count(*) AS n, avg(p) AS c, avg(label) AS a FROM s0 WHERE p > 0 GROUP BY 1) SELECT round(sum(n * abs(c - a)) / (SELECT count(*) FROM s0), 6) AS ece FROM b")
 _add("calibration10", lambda s, d: ev.calibration(_s0(s, d)),
      f"WITH {P}, b AS (SELECT p, label, " + " + ".join(f"CAST(p >= {e!r}::DOUBLE AS BIGINT)" for e in ev.numpy_edges(10)[1:-1]) + " AS bin FROM s0) SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(CAST(label AS DOUBLE)), 6) AS share FROM b GROUP BY bin")
-_add("probability_histogram", lambda s, d: _s0(s, d).groupBy("label", F.least(F.floor(F.col("p") * 50), F.lit(49)).cast("long").alias("bin")).agg(F.count("*").alias("n")),
-     f"WITH {P} SELECT label, CAST(least(floor(p * 50), 49) AS BIGINT) AS bin, count(*) AS n FROM s0 GROUP BY ALL")
 _add("temperature_fit", lambda s, d: ev.fit_temperature(_s0(s, d)).select(F.round("temperature", 6).alias("temperature")),
      f"WITH {P}, g AS (SELECT k, CAST(pow(10, log10(0.35) + k * (log10(4.0) - log10(0.35)) / 239) AS DOUBLE) AS t FROM range(240) r(k)), q AS (SELECT label, least(greatest(p, 0.000001), 0.999999)::DOUBLE AS p FROM s0), z AS (SELECT k, t, label, 1 / (1 + exp(-least(greatest(ln(p / (1 - p)) / t, -40), 40))) AS q FROM q, g), l AS (SELECT k, t, sum(-CASE WHEN label = 1 THEN ln(q) ELSE ln(1 - q) END) AS loss FROM z GROUP BY k, t) SELECT round(t, 6) AS temperature FROM l ORDER BY loss, k LIMIT 1")
-_add("threshold_select", lambda s, d: ev.select_threshold(_s0(s, d), 0.35).select(F.round("threshold", 6).alias("threshold")))
 _SWEEP = "CASE WHEN p >= t THEN 1 ELSE 0 END"
 _add("threshold_sweep", lambda s, d: _sweep(s, d),
      f"WITH {P}, g AS (SELECT CAST(k AS DOUBLE) / 100 AS t FROM range(1, 100) r(k)), x AS (SELECT t, sum({_SWEEP} * label) AS tp, sum({_SWEEP} * (1 - label)) AS fp, sum(label) AS ap, sum(1 - label) AS an FROM s0, g GROUP BY t) SELECT round(t, 6) AS t, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(tp / ap, 6) AS recall, round(fp / an, 6) AS fpr FROM x")
@@ -264,8 +252,6 @@ _add("phrase_hits", lambda s, d: messages(s, d).select("user_id", "seq", rules.p
 _SPACED = "|".join("[^\\p{L}\\p{N}]+".join(t) for t in TEST_LEXICON.terms)
 _add("spaced_hits", lambda s, d: messages(s, d).select("user_id", "seq", rules.spaced(F.col("text"), TEST_LEXICON).alias("hit")),
      f"WITH {M} SELECT user_id, seq, regexp_matches(translate(lower(text), '{fixed.PLAIN_FROM}', '{fixed.PLAIN_TO}'), '(^|[^\\p{{L}}\\p{{N}}_])({_SPACED})($|[^\\p{{L}}\\p{{N}}_])') AS hit FROM msg")
-_add("repetition_hits", lambda s, d: messages(s, d).select("user_id", "seq", rules.repeated(F.col("text"), TEST_LEXICON).alias("hit")))
-_add("dictionary_check", lambda s, d: messages(s, d).select("user_id", "seq", rules.full_hit(F.col("text"), TEST_LEXICON).alias("hit"), rules.first_rule(F.col("text"), TEST_LEXICON).alias("rule")))
 _add("category_severity", lambda s, d: messages(s, d).select("user_id", "seq", rules.category(F.col("text"), F.when(F.col("seq") == 0, "dictionary_evasion").otherwise("bert_calibrated")).alias("category")).withColumn("severity", rules.severity(F.col("category"))),
      f"WITH {M}, x AS (SELECT user_id, seq, CASE WHEN " + " OR ".join(f"contains(lower(text), '{t}')" for t in fixed.THREATS) + " THEN 'threat' WHEN seq = 0 THEN 'targeted_abuse' ELSE 'offensive_language' END AS category FROM msg) SELECT user_id, seq, category, CASE category WHEN 'threat' THEN 'critical' WHEN 'targeted_abuse' THEN 'high' ELSE 'medium' END AS severity FROM x")
 
@@ -310,7 +296,6 @@ _add("appeal_transition", _appeals,
      "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN quality = 1 THEN 'rejected' ELSE 'accepted' END ELSE 'accepted' END AS status FROM labels WHERE toxic = 1")
 _add("appeal_create", lambda s, d: service.new_appeals(messages(s, d).select(F.col("user_id").alias("message_id"), (F.col("user_id") % 50).alias("user_id"), F.lit("why").alias("reason")), _review(s, d)[0], s.createDataFrame([(2, "open")], "message_id long, status string")).select("message_id"),
      f"WITH {_LOG} SELECT DISTINCT c.conv_id AS message_id FROM conversations c JOIN lg ON lg.id = c.conv_id WHERE NOT (coalesce(dec, '') = 'rejected') AND c.conv_id <> 2")
-_add("content_hmac", lambda s, d: read(s, d, "documents").select("doc_id", text.hmac_sha256(F.col("text"), b"k").alias("h")))
 _add("aes_roundtrip", lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(service.decrypted(service.encrypted(F.col("text"), "k"), "k"), 256).alias("h"), service.decrypted(F.lit("bm8="), "k").alias("bad")),
      "SELECT doc_id, sha256(text) AS h, CAST(NULL AS VARCHAR) AS bad FROM documents")
 _add("request_validation", lambda s, d: messages(s, d).select("user_id", "seq", service.request_problem(F.col("role"), F.when(F.col("seq") != 1, F.col("text")).otherwise("  ")).alias("problem")),
@@ -323,5 +308,4 @@ _add("sliding_window_limit", lambda s, d: state.run_batch(read(s, d, "events"),
 _add("message_buffer", lambda s, d: state.run_batch(read(s, d, "events").withColumn("letter", F.substring("event_type", 1, 1)), state.buffer_step(TEST_LEXICON.__class__(terms=("cc", "vc", "pp")), 86400.0), value="letter"))
 
 
-_add("word2vec", lambda s, d: ml.word2vec(labelled(s, d)).getVectors().select("word"))
 _add("baseline_scorer", lambda s, d: ml.baseline_scores(labelled(s, d)).select("satir_no", "label", F.round("p", 6).alias("p")))

@@ -60,23 +60,44 @@ def run_batch(events: DataFrame, step: Step, key: str = "user_id", time: str = "
     return df.groupBy("k").applyInPandas(run, f"k {kinds['k']}, o {kinds['o']}, result boolean").select(F.col("k").alias(key), F.col("o").alias(order), "result")
 
 
-def run_stream(events: DataFrame, step: Step, key: str = "user_id", time: str = "ts", value: str = "value", order: str = "event_id", delay: str = "1 hour") -> DataFrame:
-    """The same on a stream, with a watermark; state is the JSON of the step's list."""
+def run_stream(
+    events: DataFrame, step: Step, key: str = "user_id", time: str = "ts", value: str = "value", order: str = "event_id", delay: str = "1 hour", idle_seconds: float = 86_400.0
+) -> DataFrame:
+    """The same on a stream, in event time: an event counts when the watermark has passed it.
+
+    Events wait in the state until the watermark (delay behind the latest event) reaches them, so
+    they may arrive out of order within the delay; later ones are dropped.  A key without events
+    for idle_seconds beyond the watermark loses its state.  The state is JSON: what the step keeps,
+    and the waiting events.
+    """
     kinds = dict(events.dtypes)
     source = events.withWatermark(time, delay).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(time).alias("ts"), F.col(value).cast("string").alias("v"))
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(parts)).sort_values(["ts", "o"])
+        now, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+        if not state.hasTimedOut:
+            for pdf in parts:
+                micros = pdf["ts"].astype("datetime64[us]").astype("int64")
+                waiting += [list(x) for x in zip(micros.tolist(), pdf["o"].tolist(), pdf["v"].tolist(), strict=True)]
+        mark = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda x: (x[0], x[1]))
+        due = [x for x in waiting if x[0] <= mark * 1000]
+        waiting = waiting[len(due) :]
         out = []
-        for t, v in zip(pdf["ts"], pdf["v"], strict=True):
-            now, hit = step(now, t.timestamp(), v)
-            out.append(hit)
-        state.update((json.dumps(now),))
-        yield pd.DataFrame({"k": pdf["k"], "o": pdf["o"], "result": out})
+        for t, o, v in due:
+            now, hit = step(now, t / 1e6, v)
+            out.append((k[0], o, hit))
+        if waiting or (due and now):
+            state.update((json.dumps((now, waiting)),))
+            wake = waiting[0][0] // 1000 if waiting else due[-1][0] // 1000 + int(idle_seconds * 1000)
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["k", "o", "result"])
 
     return source.groupBy("k").applyInPandasWithState(
-        run, f"k {kinds[key]}, o {kinds[order]}, result boolean", "state string", "append", "NoTimeout"
+        run, f"k {kinds[key]}, o {kinds[order]}, result boolean", "state string", "append", "EventTimeTimeout"
     )
 
 
