@@ -13,7 +13,10 @@ different values get different ones.  Kinds:
 * date: valid yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or, if there is no such day, mm/dd/yyyy; days are
   permuted within their 400 years.  A month-first date's pseudonym is month-first and may read as
   that of another, day-first one.
-* mail: the name before @ becomes a keyed digest; the domain stays.
+* account: an IBAN of digits, after at most four letters, that passes the check modulo 97; the
+  account's digits are permuted and the check digits computed anew.
+* mail: the name before @ is permuted, letters to letters of their case and digits to digits, all
+  marks stay; the domain stays.
 
 What no kind validates stays as it is.
 """
@@ -35,8 +38,10 @@ NATIONAL = r"(?<![\d+(.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|[.-]\d)
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
-PATTERN = f"{MAIL}|{PHONE}|{ADDRESS}|{DATE}|{CARD}|{NATIONAL}"
+ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z]{4}| ?\d{4})(?: ?\d{4}){1,6}(?: ?\d{1,3})?(?![A-Za-z0-9])"
+PATTERN = f"{MAIL}|{ACCOUNT}|{PHONE}|{ADDRESS}|{DATE}|{CARD}|{NATIONAL}"
 ROUNDS = 8
+KEY_SETTING = "spark.winnow.pii.key"
 #: Days of 400 years; 189 * 773 of them.
 CYCLE, CYCLE_A, CYCLE_B = 146097, 189, 773
 
@@ -64,7 +69,7 @@ def _bind(value: str, name: str, body: str) -> str:
 
 
 def _digits(d: str, tweak: str, key: str) -> str:
-    """Permuted digit string of the same length (2 to 18 digits)."""
+    """Permuted digit string of the same length (2 to 30 digits)."""
     low = f"CAST(length({d}) / 2 AS INT)"
     high = f"(length({d}) - {low})"
     state = _feistel(
@@ -94,6 +99,47 @@ def _laid_out(original: str, digits: str, skip: str = "0") -> str:
     return f"{step}.t"
 
 
+def _name(x: str, key: str) -> str:
+    """Permuted name: a Feistel network whose halves are strings, moved letter by letter."""
+
+    def moved(half: str, other: str) -> str:
+        noise = f"sha2(concat({_quoted(key)}, 'mail', i, ':', length({half}), ':', {other}), 512)"
+        by = "CAST(conv(substr(n, 4 * pmod(k - 1, 32) + 1, 4), 16, 10) AS INT)"
+        c = f"substr({half}, k, 1)"
+        each = (
+            f"CASE WHEN {c} RLIKE '[0-9]' THEN chr(48 + pmod(ascii({c}) - 48 + {by}, 10)) WHEN {c} RLIKE '[a-z]' THEN chr(97 + pmod(ascii({c}) - 97 + {by}, 26)) "
+            f"WHEN {c} RLIKE '[A-Z]' THEN chr(65 + pmod(ascii({c}) - 65 + {by}, 26)) ELSE {c} END"
+        )
+        return f"CASE WHEN length({half}) = 0 THEN '' ELSE {_bind(noise, 'n', f'array_join(transform(sequence(1, length({half})), k -> {each}), {_quoted('')})')} END"
+
+    low = f"CAST(length({x}) / 2 AS INT)"
+    state = (
+        f"aggregate(sequence(1, {ROUNDS}), named_struct('a', left({x}, {low}), 'b', substr({x}, {low} + 1)), (s, i) -> named_struct("
+        f"'a', CASE WHEN i % 2 = 1 THEN {moved('s.a', 's.b')} ELSE s.a END, 'b', CASE WHEN i % 2 = 0 THEN {moved('s.b', 's.a')} ELSE s.b END))"
+    )
+    return _bind(state, "f", "concat(f.a, f.b)")
+
+
+def _mod97(c: str) -> str:
+    digit = f"substr({c}, k, 1)"
+    return (
+        f"aggregate(sequence(1, length({c})), 0, (s, k) -> CASE WHEN {digit} RLIKE '[0-9]' THEN (s * 10 + CAST({digit} AS INT)) % 97 ELSE (s * 100 + ascii({digit}) - 55) % 97 END)"
+    )
+
+
+def _account(x: str, key: str) -> str:
+    plain = f"replace({x}, ' ', '')"
+    checked = _mod97("concat(substr(c, 5), left(c, 4))")
+    own = "regexp_replace(substr(c, 5), '[^0-9]', '')"
+    moved = _bind(own, "d", _bind(_digits("d", "account", key), "p", _laid_out("substr(c, 5)", "p")))
+    anew = _bind(moved, "q", f"concat(left(c, 2), lpad(CAST(98 - {_mod97("concat(q, left(c, 2), '00')")} AS STRING), 2, '0'), q)")
+    spaced = (
+        f"aggregate(sequence(1, length({x})), named_struct('n', 0, 't', ''), (s, k) -> CASE WHEN substr({x}, k, 1) = ' ' THEN named_struct('n', s.n, 't', concat(s.t, ' ')) "
+        f"ELSE named_struct('n', s.n + 1, 't', concat(s.t, substr(w, s.n + 1, 1))) END).t"
+    )
+    return _bind(plain, "c", f"CASE WHEN {checked} = 1 THEN {_bind(anew, 'w', spaced)} ELSE {x} END")
+
+
 def pseudonym_sql(x: str, key: str) -> str:
     """SQL for the pseudonym of candidate x; x itself if no kind validates it."""
     only = "regexp_replace(x, '[^0-9]', '')".replace("x", x)
@@ -123,9 +169,9 @@ def pseudonym_sql(x: str, key: str) -> str:
         f"WHEN {month_first} THEN date_format(p, 'MM/dd/yyyy') ELSE date_format(p, 'dd/MM/yyyy') END"
     )
     date = _bind(f"CASE WHEN {month_first} THEN try_cast({month_day} AS DATE) ELSE try_cast({iso} AS DATE) END", "t", f"CASE WHEN t IS NULL THEN {x} ELSE {_bind(day, 'p', shown)} END")
-    mail = f"concat('u', left(sha2(concat({_quoted(key)}, 'mail', {x}), 256), 16), '@', substring_index({x}, '@', -1))"
+    mail = _bind(f"substring_index({x}, '@', 1)", "m", f"concat({_name('m', key)}, '@', substring_index({x}, '@', -1))")
     return (
-        f"CASE WHEN {x} LIKE '%@%' THEN {mail} WHEN {x} LIKE '+%' THEN {phone} "
+        f"CASE WHEN {x} LIKE '%@%' THEN {mail} WHEN {x} RLIKE '^[A-Z]' THEN {_account(x, key)} WHEN {x} LIKE '+%' THEN {phone} "
         f"WHEN {x} RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN {address} "
         f"WHEN {x} RLIKE '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})$' THEN {date} "
         f"WHEN {x} RLIKE '^([(][0-9]{{3}}[)] ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}$' THEN {phone} "
@@ -163,4 +209,5 @@ def pseudonymise(
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir, "documents"), "demonstration-key")
+    """The key is the session's spark.winnow.pii.key; without one, a key for demonstrations that hides nothing."""
+    return pseudonymise(read(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, "demonstration-key"))
