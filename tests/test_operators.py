@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from winnow.functions.rules import Lexicon
 from winnow.operators import evaluate, service, tables
 from winnow.streaming import state
 
@@ -158,6 +159,33 @@ def test_state_steps():
     assert got == [True, False, True]
 
 
+def test_batch_state_against_plain_loops(spark):
+    rng = random.Random(6)
+    t0 = dt.datetime(2024, 5, 1)
+    rows = [(k, rng.choice([1, 2, None]), t0 + dt.timedelta(seconds=rng.randrange(4000)), rng.choice("gavtp ")) for k in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value string").repartition(5)
+    for step in (state.limiter_step(3, 20.0), state.buffer_step(Lexicon(terms=("pa", "tv", "gav")))):
+        want = {}
+        for user in (1, 2, None):
+            now = []
+            for k, _, t, v in sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0])):
+                now, want[user, k] = step(now, t.timestamp(), v)
+        got = {(r["user_id"], r["event_id"]): r["result"] for r in state.run_batch(df, step).collect()}
+        assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_scores_of_any_model(spark):
+    from winnow.operators import ml
+
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id int, text string")
+    assert {r["id"]: r["p"] for r in ml.score_with(df, lambda: lambda texts: [len(t) / 10 for t in texts]).collect()} == {1: 0.3, 2: 0.0}
+    words = ml.vocabulary(spark.createDataFrame([("b a b c a b",)], "text string"), min_count=2)
+    assert {r["word"]: r["id"] for r in words.collect()} == {"b": 2, "a": 3}
+    assert [r["ids"] for r in ml.vectorised(spark.createDataFrame([("a x B",), (None,)], "text string"), words, length=4).collect()] == [[3, 1, 2, 0], [0, 0, 0, 0]]
+    with pytest.raises(ValueError, match="both labels"):
+        ml.run_training(spark.createDataFrame([("train", 1, "a")], "split string, label int, text string"), [], dry_run=True)
+
+
 def _streamed(spark, tmp_path, name, parts, step, **options):
     schema = "event_id long, user_id long, ts timestamp, value string"
     for k, rows in enumerate(parts):

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from winnow.functions.text import tokens
 from winnow.operators import evaluate
@@ -114,4 +115,4 @@ def score_with(df: DataFrame, load: Callable[[], Callable[[list[str]], list[floa
         for pdf in parts:
             yield pdf.assign(p=predict(pdf[text].fillna("").tolist()))
 
-    return df.mapInPandas(run, df.schema.add("p", "double"))
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("p", T.DoubleType())]))

@@ -104,8 +104,45 @@ def reset_users(users: DataFrame, named: DataFrame) -> DataFrame:
     return out.withColumns({"warning_count": F.when(hit, 0).otherwise(F.col("warning_count")), "is_banned": F.col("is_banned") & ~hit}).drop("_u")
 
 
-def without_orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    return child.join(parent.select(F.col("id").alias(key)), key, "left_semi")
+def lookup(df: DataFrame, key: str, value, *columns: str) -> DataFrame:
+    """The rows with one value of a unique key; the filter reaches the scan."""
+    return df.filter(F.col(key) == F.lit(value)).select(*columns)
+
+
+def queue(df: DataFrame, condition: Column | str, *order: Column, limit: int | None = None) -> DataFrame:
+    """Rows of a state in an order, at most limit."""
+    out = df.filter(condition).orderBy(*order)
+    return out if limit is None else out.limit(limit)
+
+
+def existing(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
+    """Rows of df whose key occurs in other."""
+    return df.join(other.select(F.col(other_key).alias("_key")), F.col(key) == F.col("_key"), "left_semi")
+
+
+def missing(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
+    """Rows of df whose key does not occur in other."""
+    return df.join(other.select(F.col(other_key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+
+
+def unique_violations(df: DataFrame, key: str) -> DataFrame:
+    """Values of a key that should be unique and are not, with their rows."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def without_orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
+    """Rows of child whose parent is still there."""
+    return existing(child, parent, key, parent_key)
+
+
+def backfilled(df: DataFrame, older: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """df with the columns of defaults from another table by key, and their default where it has no row or no value."""
+    own = older.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in defaults])
+    return df.join(own, F.col(key) == F.col("_key"), "left").select(*[F.col(c) for c in df.columns], *[F.coalesce(f"_{c}", F.lit(v)).alias(c) for c, v in defaults.items()])
+
+
+def expired(df: DataFrame, now: Column, column: str) -> DataFrame:
+    return df.filter(F.col(column).isNotNull() & (F.col(column) < now))
 
 
 def encrypted(c, key: str):

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from winnow.functions.rules import Lexicon
 from winnow.operators.tables import sentences, use_checkpoints
 
-TABLES = ("documents", "labels", "conversations", "events", "embeddings", "benchmark", "pages")
 #: The tables hold no Turkish; rules are queried with frequent words of the tables instead.
 TEST_LEXICON = Lexicon(
     terms=("the", "sch", "que", "ionion", "idiot", "loser", "moron", "scum"), contextual=("the", "que"), phrases=(r"\bof\s+the\b", r"\bde\s+la\b", r"der\s*die")
@@ -62,16 +61,3 @@ def workspace(spark: SparkSession) -> str:
     """A fresh folder below the one that the cluster names for checkpoints; a local one where all runs here."""
     use_checkpoints(spark.range(1))
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/plans-{uuid.uuid4().hex}"
-
-
-def portable(sql: str) -> tuple[Query, str]:
-    """One SQL text for both engines; tables stand in braces."""
-    used = [t for t in TABLES if "{" + t + "}" in sql]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in used})
-
-    duck = sql
-    for t in used:
-        duck = duck.replace("{" + t + "}", t)
-    return run, duck

@@ -7,9 +7,9 @@ from pyspark.sql import Window
 
 from winnow.functions import fixed, rules, text
 from winnow.operators import evaluate as ev
-from winnow.operators import ml, service, tables
+from winnow.operators import ml, profile, service, tables
 from winnow.plans import accounts, corpus, texts
-from winnow.plans.base import L, M, P, S, TEST_LEXICON, Query, labelled, labelled_sentences, messages, portable, read, scores
+from winnow.plans.base import L, M, P, S, TEST_LEXICON, Query, labelled, labelled_sentences, messages, read, scores
 from winnow.streaming import state
 
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -31,34 +31,62 @@ def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in _every().items() if s}
 
 
-_LAB = "(SELECT d.text, l.toxic AS label, d.source AS kaynak, d.doc_id AS satir_no FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id)"
-
-# --- profiling ---
-for _name, _sql in {
-    "source_label_counts": f"SELECT kaynak, label, count(*) AS n FROM {_LAB} x GROUP BY kaynak, label",
-    "class_counts": f"SELECT label, count(*) AS n FROM {_LAB} x GROUP BY label",
-    "top_sources": f"SELECT kaynak, count(*) AS n FROM {_LAB} x GROUP BY kaynak ORDER BY n DESC, kaynak LIMIT 15",
-    "source_label_pivot": f"SELECT kaynak, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS clean, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic FROM {_LAB} x GROUP BY kaynak",
-    "source_label_ratio": f"SELECT kaynak, round(avg(CAST(label AS DOUBLE)), 6) AS toxic_share, round(1 - avg(CAST(label AS DOUBLE)), 6) AS clean_share FROM {_LAB} x GROUP BY kaynak",
-    "null_profile": "SELECT count(*) AS n, CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_texts, count(DISTINCT source) AS sources, CAST(sum(CASE WHEN length(text) < 20 THEN 1 ELSE 0 END) AS BIGINT) AS tiny FROM {documents}",
-    "duplicate_excess": "SELECT count(*) - count(DISTINCT coalesce(text, '<null>')) AS excess FROM {documents}",
-    "schema_backfill": "SELECT d.doc_id, coalesce(l.toxic, 0) AS toxic, coalesce(l.quality, -1) AS quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
-    "unlabelled_documents": "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)",
-    "point_lookup": "SELECT doc_id, source, lang FROM {documents} WHERE doc_id = 42",
-    "exists_check": "SELECT c.conv_id, count(*) AS n FROM {conversations} c WHERE EXISTS (SELECT 1 FROM {documents} d WHERE d.doc_id = c.conv_id AND d.lang = 'en') GROUP BY c.conv_id",
-    "fk_navigation": "SELECT d.doc_id, d.source, l.toxic, l.quality FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id WHERE l.toxic = 1",
-    "unique_constraint": "SELECT source, count(*) AS n FROM {documents} GROUP BY source HAVING count(*) > 1",
-    "cascade_cleanup": "SELECT l.doc_id, l.toxic FROM {labels} l WHERE l.doc_id IN (SELECT doc_id FROM {documents} WHERE lang <> 'de')",
-    "review_queue": "SELECT doc_id, quality FROM {labels} WHERE quality = 0 ORDER BY doc_id DESC LIMIT 50",
-    "open_appeals": "SELECT doc_id FROM {labels} WHERE toxic = 1 AND quality = 0 ORDER BY doc_id",
-    "expired_rows": "SELECT event_id FROM {events} WHERE ts IS NOT NULL AND ts < (SELECT max(ts) - INTERVAL '10' DAY FROM {events})",
-    "quality_summary": "SELECT 'rows' AS metric, count(*) AS n FROM {documents} UNION ALL SELECT 'labelled', count(*) FROM {labels} UNION ALL SELECT 'low_quality', count(*) FROM {labels} WHERE quality = 0 UNION ALL SELECT 'toxic', count(*) FROM {labels} WHERE toxic = 1",
-    "class_weights": f"SELECT label, round(least(greatest(sum(count(*)) OVER () / (2.0 * count(*)), 0.25), 4.0) * 1.0, 6) AS weight FROM {_LAB} x GROUP BY label",
-    "overlap_counts": "SELECT count(*) AS shared FROM (SELECT text FROM {documents} WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM {documents} WHERE doc_id % 2 = 1) x",
-    "benchmark_overlap": "SELECT b.item_id, count(*) AS n FROM {benchmark} b JOIN {documents} d ON d.text = b.text GROUP BY b.item_id",
-}.items():
-    _add(_name, *portable(_sql))
+# --- profiling and relations: operators beside the SQL they stand for ---
+_LAB = "(SELECT d.text, l.toxic AS label, d.source AS kaynak, d.doc_id AS satir_no FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 
+
+def _documents(s, d):
+    return read(s, d, "documents")
+
+
+def _labels(s, d):
+    return read(s, d, "labels")
+
+
+def _expired(s, d):
+    events = read(s, d, "events")
+    limit = events.agg((F.max("ts") - F.expr("INTERVAL 10 DAYS")).alias("_limit"))  # one row
+    return service.expired(events.crossJoin(F.broadcast(limit)), F.col("_limit"), "ts").select("event_id")
+
+
+def _source_counts(s, d):
+    """Labelled documents, normalised, without conflicts and repeats, counted by source and label."""
+    x = labelled(s, d).withColumn("text", text.for_model(F.col("text"), unicode_form=False))
+    return profile.counts(tables.first_rows(tables.quarantine(x)), "kaynak", "label")
+
+
+_add("source_label_counts", _source_counts,
+     f"WITH n AS (SELECT {texts.model_sql('text')} AS t, label, kaynak, satir_no FROM {_LAB} x), k AS (SELECT t FROM n GROUP BY t HAVING count(DISTINCT label) > 1), u AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY label, kaynak, satir_no) AS p FROM n WHERE t NOT IN (SELECT t FROM k)) SELECT kaynak, label, count(*) AS n FROM u WHERE p = 1 GROUP BY ALL")
+_add("class_counts", lambda s, d: profile.counts(labelled(s, d), "label"), f"SELECT label, count(*) AS n FROM {_LAB} x GROUP BY label")
+_add("top_sources", lambda s, d: profile.largest(labelled(s, d), "kaynak", 15), f"SELECT kaynak, count(*) AS n FROM {_LAB} x GROUP BY kaynak ORDER BY n DESC, kaynak LIMIT 15")
+_add("source_label_pivot", lambda s, d: profile.label_columns(labelled(s, d), "kaynak"), f"SELECT kaynak, count(*) FILTER (WHERE label = 0) AS clean, count(*) FILTER (WHERE label = 1) AS toxic FROM {_LAB} x GROUP BY kaynak")
+_add("source_label_ratio", lambda s, d: profile.label_shares(labelled(s, d), "kaynak"), f"SELECT kaynak, round(avg(CAST(label AS DOUBLE)), 6) AS toxic_share, round(count(*) FILTER (WHERE label = 0) / count(*), 6) AS clean_share FROM {_LAB} x GROUP BY kaynak")
+_add("null_profile", lambda s, d: profile.text_profile(_documents(s, d)), "SELECT count(*) AS n, count(*) FILTER (WHERE text IS NULL) AS null_texts, count(DISTINCT source) AS sources, count(*) FILTER (WHERE length(text) < 20) AS tiny FROM documents")
+_add("duplicate_excess", lambda s, d: profile.excess_rows(_documents(s, d)), "SELECT count(*) - count(DISTINCT coalesce(text, '<null>')) AS excess FROM documents")
+_add("schema_backfill", lambda s, d: service.backfilled(_documents(s, d).select("doc_id"), _labels(s, d), "doc_id", {"toxic": 0, "quality": -1}), "SELECT d.doc_id, coalesce(l.toxic, 0) AS toxic, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+_add("unlabelled_documents", lambda s, d: service.missing(_documents(s, d), _labels(s, d), "doc_id", "doc_id").select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+_add("point_lookup", lambda s, d: service.lookup(_documents(s, d), "doc_id", 42, "doc_id", "source", "lang"), "SELECT doc_id, source, lang FROM documents WHERE doc_id = 42")
+_add("exists_check", lambda s, d: profile.counts(service.existing(read(s, d, "conversations"), _documents(s, d).filter("lang = 'en'"), "conv_id", "doc_id"), "conv_id"), "SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY conv_id")
+_add("fk_navigation", lambda s, d: _labels(s, d).filter("toxic = 1").join(_documents(s, d), "doc_id").select("doc_id", "source", "toxic", "quality"), "SELECT d.doc_id, d.source, l.toxic, l.quality FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.toxic = 1")
+_add("unique_constraint", lambda s, d: service.unique_violations(_documents(s, d), "source"), "SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1")
+_add("cascade_cleanup", lambda s, d: service.without_orphans(_labels(s, d), _documents(s, d).filter("lang <> 'de'"), "doc_id", "doc_id").select("doc_id", "toxic"), "SELECT doc_id, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'de')")
+_add("review_queue", lambda s, d: service.queue(_labels(s, d), "quality = 0", F.desc("doc_id"), limit=50).select("doc_id", "quality"), "SELECT doc_id, quality FROM labels WHERE quality = 0 ORDER BY doc_id DESC LIMIT 50")
+_add("open_appeals", lambda s, d: service.queue(_labels(s, d), "toxic = 1 AND quality = 0", F.asc("doc_id")).select("doc_id"), "SELECT doc_id FROM labels WHERE toxic = 1 AND quality = 0 ORDER BY doc_id")
+_add("expired_rows", _expired, "SELECT event_id FROM events WHERE ts IS NOT NULL AND ts < (SELECT max(ts) - INTERVAL '10' DAY FROM events)")
+_add("quality_summary", lambda s, d: profile.totals(rows=_documents(s, d), labelled=_labels(s, d), low_quality=_labels(s, d).filter("quality = 0"), toxic=_labels(s, d).filter("toxic = 1")), "SELECT 'rows' AS metric, count(*) AS n FROM documents UNION ALL SELECT 'labelled', count(*) FROM labels UNION ALL SELECT 'low_quality', count(*) FROM labels WHERE quality = 0 UNION ALL SELECT 'toxic', count(*) FROM labels WHERE toxic = 1")
+_add("overlap_counts", lambda s, d: tables.overlaps(_documents(s, d).withColumn("split", F.when(F.col("doc_id") % 3 == 0, "train").when(F.col("doc_id") % 3 == 1, "valid").otherwise("test")), "text"),
+     "WITH x AS (SELECT DISTINCT text, ['train', 'valid', 'test'][doc_id % 3 + 1] AS split FROM documents WHERE text IS NOT NULL), pr(a, b) AS (VALUES ('train', 'valid'), ('train', 'test'), ('valid', 'test')) SELECT a || '-' || b AS pair, (SELECT count(*) FROM x p JOIN x q ON p.text = q.text WHERE p.split = a AND q.split = b) AS shared FROM pr")
+_add("word_length_hist", lambda s, d: profile.histogram(labelled(s, d), profile.word_count(), 50, "label"),
+     f"WITH {L}, x AS (SELECT label, len(list_filter(string_split_regex(text, '\\s+'), lambda y: y <> '')) AS v FROM lab), q AS (SELECT quantile_cont(v, 0.99) AS hi, min(v) AS lo FROM x), b AS (SELECT label, CAST(least(floor((v - lo) / ((hi - lo) / 50.0)), 49) AS BIGINT) AS bin FROM x, q WHERE v <= hi) SELECT label, bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM b GROUP BY label, bin")
+_add("group_size_dist", lambda s, d: profile.group_sizes(labelled_sentences(s, d), "text"),
+     f"WITH {S}, g AS (SELECT text, count(*) AS n FROM sent GROUP BY text), t AS (SELECT CAST(ceil(quantile_cont(n, 0.99)) AS BIGINT) AS top FROM g) SELECT least(n, top) AS size, n = 1 AS single, count(*) AS groups FROM g, t GROUP BY 1, 2")
+
+
+def _load_lengths():
+    return lambda texts: [len(t) % 100 / 100 for t in texts]
+
+
+_add("plugged_scorer", lambda s, d: ml.score_with(_documents(s, d).select("doc_id", "text"), _load_lengths).select("doc_id", "p"), "SELECT doc_id, CAST(length(text) % 100 AS DOUBLE) / 100 AS p FROM documents")
 _add("class_weights", lambda s, d: ev.class_weights(labelled(s, d)),
      f"WITH {L} SELECT label, round(least(greatest(CAST((SELECT count(*) FROM lab) AS DOUBLE) / (2.0 * count(*)), 0.25), 4.0), 6) AS weight FROM lab GROUP BY label")
 _add("split_label_counts", lambda s, d: labelled(s, d).withColumn("split", tables.split_of(F.col("text"))).groupBy("split", "label").agg(F.count("*").alias("n")),
@@ -67,20 +95,12 @@ _add("fold_split", lambda s, d: labelled_sentences(s, d).select("text").distinct
      f"WITH {S}, f AS (SELECT DISTINCT text FROM sent), g AS (SELECT sha256(text) AS h, CAST(('0x' || substr(sha256('42:' || text), 1, 12)) AS BIGINT) % 20 AS fold FROM f) SELECT h, CASE WHEN fold < 3 THEN 'test' WHEN fold < 5 THEN 'valid' ELSE 'train' END AS split FROM g")
 _add("strata_rare_merge", lambda s, d: tables.strata(labelled(s, d), 20).groupBy("stratum").agg(F.count("*").alias("n")),
      f"WITH {L}, c AS (SELECT label, kaynak, count(*) AS k FROM lab GROUP BY ALL), m AS (SELECT *, CASE WHEN k < 20 THEN CAST(label AS VARCHAR) || '|diger_kaynak' ELSE CAST(label AS VARCHAR) || '|' || kaynak END AS st FROM c), z AS (SELECT st, sum(k) AS n FROM m GROUP BY st), f AS (SELECT CASE WHEN (SELECT min(n) FROM z) < 20 THEN CAST(label AS VARCHAR) ELSE st END AS stratum, k FROM m) SELECT stratum, CAST(sum(k) AS BIGINT) AS n FROM f GROUP BY stratum")
-_add("char_length_hist", lambda s, d: _length_hist(s, d),
+_add("char_length_hist", lambda s, d: profile.histogram(labelled(s, d), F.length("text"), 60, "label"),
      f"WITH {L}, x AS (SELECT label, length(text) AS v FROM lab), q AS (SELECT quantile_cont(v, 0.99) AS hi, min(v) AS lo FROM x), b AS (SELECT label, CAST(least(floor((v - lo) / ((hi - lo) / 60.0)), 59) AS BIGINT) AS bin FROM x, q WHERE v <= hi) SELECT label, bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM b GROUP BY label, bin")
 _add("word_length_quantiles", lambda s, d: labelled(s, d).withColumn("w", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))).groupBy("label").agg(*[F.round(F.expr(f"percentile(w, {q})"), 6).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.99)], F.min("w").cast("long").alias("least"), F.max("w").cast("long").alias("most")),
      f"WITH {L}, x AS (SELECT label, len(list_filter(string_split_regex(text, '\\s+'), lambda y: y <> '')) AS w FROM lab) SELECT label, round(quantile_cont(w, 0.25), 6) AS q25, round(quantile_cont(w, 0.5), 6) AS q50, round(quantile_cont(w, 0.75), 6) AS q75, round(quantile_cont(w, 0.99), 6) AS q99, min(w) AS least, max(w) AS most FROM x GROUP BY label")
 
 
-def _length_hist(s, d):
-    x = labelled(s, d).select("label", F.length("text").alias("v"))
-    q = x.agg(F.expr("percentile(v, 0.99)").alias("hi"), F.min("v").alias("lo"))
-    b = x.crossJoin(F.broadcast(q)).filter("v <= hi").select("label", F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 60.0)), F.lit(59)).cast("long").alias("bin"))
-    n = b.groupBy("label", "bin").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("label")), 6))
-
-
 _WORDS = f"{L}, w AS (SELECT label, unnest(string_split_regex(lower(text), '\\s+')) AS word FROM lab)"
 _add("top_words", lambda s, d: tables.word_rows(labelled(s, d).withColumn("text", F.lower("text"))).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(30),
      f"WITH {_WORDS} SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 30")
@@ -176,8 +196,6 @@ _add("ndg_jaccard_edges", _jaccard,
 _add("ndg_ratio_edges", lambda s, d: tables.near_edges(_texts(s, d)))
 _add("entity_groups", lambda s, d: messages(s, d).groupBy("user_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.sum(F.col("n") - 1).alias("grouped_rows")),
      f"WITH {M}, g AS (SELECT user_id, count(*) AS n FROM msg GROUP BY user_id) SELECT count(*) AS groups, CAST(sum(n - 1) AS BIGINT) AS grouped_rows FROM g")
-_add("group_size_dist", lambda s, d: labelled_sentences(s, d).groupBy("text").agg(F.count("*").alias("n")).groupBy(F.least("n", F.lit(20)).alias("size")).agg(F.count("*").alias("groups")),
-     f"WITH {S}, g AS (SELECT text, count(*) AS n FROM sent GROUP BY text) SELECT least(n, 20) AS size, count(*) AS groups FROM g GROUP BY 1")
 _add("grouping_off", lambda s, d: _texts(s, d).select(tables.group_name(F.col("text")).alias("group_id")), f"WITH {S} SELECT DISTINCT 'g_' || substr(sha256(text), 1, 16) AS group_id FROM sent")
 
 # --- evaluation ---

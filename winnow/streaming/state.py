@@ -44,20 +44,30 @@ def limiter_step(limit: int, window: float) -> Step:
 
 
 def run_batch(events: DataFrame, step: Step, key: str = "user_id", time: str = "ts", value: str = "value", order: str = "event_id") -> DataFrame:
-    """key, order and result of each event, in time order per key."""
+    """key, order and result of each event, in time order per key.
+
+    Events stream through the step sorted by key and time, so a key's history of any length needs
+    no more memory than one batch.
+    """
     df = events.select(F.col(key).alias("k"), F.col(order).alias("o"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(value).cast("string").alias("v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: list = []
-        out = []
-        pdf = pdf.sort_values(["t", "o"])
-        for t, v in zip(pdf["t"], pdf["v"], strict=True):
-            state, hit = step(state, t / 1e6, v)
-            out.append(hit)
-        return pd.DataFrame({"k": pdf["k"], "o": pdf["o"], "result": out})
+        last: object = None
+        fresh = True
+        for pdf in batches:
+            out = []
+            for k, t, v in zip(pdf["k"], pdf["t"], pdf["v"], strict=True):
+                k = None if pd.isna(k) else k
+                if fresh or k != last:
+                    state, last, fresh = [], k, False
+                state, hit = step(state, t / 1e6, v)
+                out.append(hit)
+            yield pd.DataFrame({"k": pdf["k"], "o": pdf["o"], "result": out})
 
     kinds = dict(df.dtypes)
-    return df.groupBy("k").applyInPandas(run, f"k {kinds['k']}, o {kinds['o']}, result boolean").select(F.col("k").alias(key), F.col("o").alias(order), "result")
+    dealt = df.repartition("k").sortWithinPartitions("k", "t", "o")
+    return dealt.mapInPandas(run, f"k {kinds['k']}, o {kinds['o']}, result boolean").select(F.col("k").alias(key), F.col("o").alias(order), "result")
 
 
 def run_stream(
