@@ -1,6 +1,7 @@
 """Operators against brute force, with nulls, empty texts, repeated rows, long texts and clashing columns."""
 
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -380,6 +381,117 @@ def test_gru_state_crosses_windows():
     assert np.allclose(one, model.score(ids, starts, window=7, cells=1), rtol=1e-5) and one[1] == 0
 
 
+def noise(key, tweak, i, x):
+    return int(hashlib.sha256(f"{key}{tweak}{i}:{x}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(a, b, mod_a, mod_b, tweak, key):
+    for i in range(1, pii.ROUNDS + 1):
+        if i % 2:
+            a = (a + noise(key, tweak, i, b)) % mod_a
+        else:
+            b = (b + noise(key, tweak, i, a)) % mod_b
+    return a, b
+
+
+def permuted(d, tweak, key):
+    high = len(d) - len(d) // 2
+    a, b = feistel(int(d[:high]), int(d[high:]), 10**high, 10 ** (len(d) - high), tweak, key)
+    return f"{a:0{high}d}{b:0{len(d) - high}d}"
+
+
+def laid_out(text, digits, skip=0):
+    out, n = "", 0
+    for c in text:
+        if c.isdigit():
+            out += c if n < skip else digits[n - skip]
+            n += 1
+        else:
+            out += c
+    return out
+
+
+def luhn(d):
+    return sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(map(int, d[::-1]))) % 10
+
+
+def renamed(name, key):
+    half = [name[: len(name) // 2], name[len(name) // 2 :]]
+    for i in range(1, pii.ROUNDS + 1):
+        own, other = half[(i + 1) % 2], half[i % 2]
+        n = hashlib.sha512(f"{key}mail{i}:{len(own)}:{other}".encode()).hexdigest()
+        moved = ""
+        for k, c in enumerate(own):
+            by = int(n[4 * (k % 32) : 4 * (k % 32) + 4], 16)
+            base, many = (48, 10) if c.isdigit() else (97, 26) if "a" <= c <= "z" else (65, 26)
+            moved += chr(base + (ord(c) - base + by) % many) if c.isalnum() else c
+        half[(i + 1) % 2] = moved
+    return "".join(half)
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_pii_against_plain_python(spark):
+    rng, key = random.Random(8), "a'key\\"
+    cards, dates, hosts, phones, mails, ibans = [], [], [], [], [], []
+    for _ in range(40):
+        d = "".join(rng.choice("0123456789") for _ in range(rng.choice([13, 15, 16, 19])))
+        cards.append(d[:-1] + str(-luhn(d[:-1] + "0") % 10))
+        dates.append(datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(60_000)))
+        hosts.append(".".join(str(rng.randrange(256)) for _ in range(4)))
+        phones.append(f"+{rng.randrange(1, 1000)} ({rng.randrange(100, 1000)}) {rng.randrange(100, 1000)}-{rng.randrange(1000, 10_000)}")
+        mails.append("".join(rng.choice("abzAZ09._+") for _ in range(rng.randrange(2, 40))) + "@mail.example.org")
+        bban = rng.choice(["", "ABCD"]) + "".join(rng.choice("0123456789") for _ in range(rng.choice([8, 11, 16, 20])))
+        country = rng.choice(["DE", "GB", "NO"])
+        ibans.append(f"{country}{98 - mod97(country + '00' + bban):02d}{bban}")
+    ibans[0] = ibans[0][:4] + " " + " ".join(ibans[0][k : k + 4] for k in range(4, len(ibans[0]), 4))
+    want = {}
+    for c in cards:
+        p = permuted(c[:-1], "card", key)
+        want[c] = p + str(-luhn(p + "0") % 10)
+    start = datetime.date(1600, 1, 1).toordinal()
+    for x in dates:
+        n = x.toordinal() - start
+        a, b = feistel(n % pii.CYCLE // pii.CYCLE_B, n % pii.CYCLE % pii.CYCLE_B, pii.CYCLE_A, pii.CYCLE_B, "date", key)
+        want[x.isoformat()] = datetime.date.fromordinal(start + n - n % pii.CYCLE + a * pii.CYCLE_B + b).isoformat()
+    for x in hosts:
+        q = list(map(int, x.split(".")))
+        a, b = feistel(q[0] * 256 + q[1], q[2] * 256 + q[3], 65536, 65536, "address", key)
+        want[x] = f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    for x in phones:
+        digits, country = re.sub(r"\D", "", x), len(re.match(r"\+(\d{1,3})", x)[1])
+        want[x] = laid_out(x, permuted(digits[country:], "phone", key), country)
+    for x in mails:
+        want[x] = renamed(x.split("@")[0], key) + "@mail.example.org"
+    for x in ibans:
+        c = x.replace(" ", "")
+        bban = laid_out(c[4:], permuted(re.sub(r"\D", "", c[4:]), "account", key))
+        new = iter(f"{c[:2]}{98 - mod97(c[:2] + '00' + bban):02d}{bban}")
+        want[x] = "".join(" " if ch == " " else next(new) for ch in x)
+        assert mod97(want[x].replace(" ", "")) == 1
+    values = list(want)
+    df = spark.createDataFrame([(k, f"so: {v}; and") for k, v in enumerate(values)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, key).collect()}
+    for k, v in enumerate(values):
+        assert got[k] == f"so: {want[v]}; and", v
+    assert len(set(want.values())) == len(values)
+
+
+def test_pii_edge_rows(spark):
+    long = "word " * 40_000 + "10.1.2.3 " + "é" * 1000
+    rows = [(1, "a 10.1.2.3", "c", 7), (1, "a 10.1.2.3", "c", 7), (None, "10.1.2.3", "d", 8), (3, long, "e", 9), (4, "DE00 3704 0044 0532 0130 00 x", "f", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_found string, d int")
+    out = pii.pseudonymise(df, "k", carry=("d",))
+    assert out.columns == ["doc_id", "n_found", "n_replaced", "text", "d"]
+    got = out.collect()
+    host = next(r["text"] for r in got if r["doc_id"] is None)
+    assert [r["text"] for r in got if r["doc_id"] == 1] == [f"a {host}"] * 2 and host != "10.1.2.3"
+    assert next(r["text"] for r in got if r["doc_id"] == 3) == long.replace("10.1.2.3", host)
+    assert next(r["text"] for r in got if r["doc_id"] == 4) == rows[4][1]
+
+
 def test_pii(spark):
     texts = ["on 2024-02-29, 31.12.1999 or 30/02/2001; 4111 1111 1111 1111, 4111111111111112 x 1.2.3.256 10.0.0.1.", "again 2024-02-29 4111111111111111 10.0.0.1 +49 (030) 555-1234 a.b@c.example.com", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -413,6 +525,13 @@ def test_pii_is_a_permutation(spark):
     assert out.select("text").distinct().count() == 3000 and out.filter("n_replaced < 0 OR n_found <> 1").count() == 0
 
 
+def test_jaccard_links_all_sets_of_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, "alone in here now")], "doc_id long, text string")
+    got = counted((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_classes(df).collect())
+    assert got == counted([(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)])
+
+
 def bm25(rows, q, k):
     """k best (score, doc_id) of the words of document q by a plain loop."""
     import math

@@ -273,7 +273,8 @@ def jaccard_classes(
 
     sketches = materialize(docs.mapInArrow(sketch, f"_id {kind}, _n long, _f1 long, _f2 long, _keys array<long>, _point binary"))
     real = sketches.filter("_n > 0 AND _id IS NOT NULL")
-    classes = real.groupBy("_f1", "_f2").agg(F.min("_id").alias("_rep"))
+    # written, so that adaptive execution can split the joins of a set that very many documents have
+    classes = materialize(real.groupBy("_f1", "_f2").agg(F.min("_id").alias("_rep")))
     members = sketches.select("_id", "_n", "_f1", "_f2").join(classes, ["_f1", "_f2"], "left").select("_id", "_n", "_rep")
     own = real.join(classes, ["_f1", "_f2"]).filter("_id = _rep")
     keyed = own.select("_rep", F.explode("_keys").alias("_key"))
@@ -337,6 +338,7 @@ def jaccard_classes(
             rest = table.slice(cut).combine_chunks()
         if rest is not None and rest.num_rows:
             yield edges(rest)
+        W.release()
 
     near = connected_components(
         pointed.repartition("_block").sortWithinPartitions("_block").mapInArrow(candidates, f"u {kind}, v {kind}")
@@ -364,9 +366,16 @@ def jaccard_classes(
         for k, r in enumerate(roots):
             least[r] = ids[k] if r not in least else min(least[r], ids[k])
         rows = {(i, least[r]) for i, r in zip(ids, roots, strict=True) if i != least[r]}
+        del sets
+        W.release()
         return pa.table({"u": pa.array([a for a, _ in rows], order.type), "v": pa.array([b for _, b in rows], order.type)})
 
-    linked = connected_components(texts.groupBy("_group", "_a", "_b").applyInArrow(link, f"u {kind}, v {kind}"))
+    # a doc_id with several sets links their classes
+    several = real.groupBy("_id").agg(F.min("_f1").alias("_a1"), F.max("_f1").alias("_b1"), F.min("_f2").alias("_a2"), F.max("_f2").alias("_b2"))
+    several = several.filter("_a1 <> _b1 OR _a2 <> _b2").select("_id")
+    same_id = real.join(several, "_id").join(classes, ["_f1", "_f2"]).select(F.col("_id").alias("u"), F.col("_rep").alias("v"))
+    edges = texts.groupBy("_group", "_a", "_b").applyInArrow(link, f"u {kind}, v {kind}")
+    linked = connected_components(edges.union(same_id))
     out = members.join(linked, F.col("_rep") == F.col("u"), "left")
     return out.select(
         F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), F.coalesce("v", "_rep", "_id").alias("component_id")
@@ -375,3 +384,20 @@ def jaccard_classes(
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
+
+
+OP6_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {W.FOLDED_WORDS_SQL} AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reached(node, seen) AS (SELECT u, v FROM both_ways UNION SELECT r.node, b.v FROM reached r JOIN both_ways b ON r.seen = b.u),
+least AS (SELECT node, min(seen) AS root FROM reached GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON node = doc_id
+"""

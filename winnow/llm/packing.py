@@ -104,10 +104,14 @@ class WordTokenizer:
         vocabulary = words.vocabulary.cast(pa.large_string())
         if len(self.known) > REMEMBERED:
             self._forget()
-        fresh = vocabulary.filter(pc.invert(pc.is_in(vocabulary, self.known)))
+        place = pc.index_in(vocabulary, self.known)
+        fresh = vocabulary.filter(pc.is_null(place))
+        at = place.fill_null(-1).to_numpy().astype(np.int64)
         if len(fresh):
+            before = len(self.known)
             self._learn(fresh)
-        own = pc.index_in(vocabulary, self.known).to_numpy().astype(np.int64)[words.codes]
+            at[at < 0] = before + pc.index_in(fresh, self.known[before:]).to_numpy()
+        own = at[words.codes]
         offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         ids = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(self.flat)).take(pa.array(own)).flatten()
         ends = np.concatenate([[0], np.cumsum(self.lengths[own])])

@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op4_topk_search": topk_search.OP4_SQL,
+        "op6_jaccard_join": jaccard_join.OP6_SQL,
+        "op10_substring_dedup": substring_dedup.OP10_SQL,
+    }

@@ -276,3 +276,18 @@ def remove_repeats(
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = f"""
+WITH docs AS (SELECT doc_id, {W.WORDS_SQL} AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM docs WHERE len(w) >= 35),
+windows AS (SELECT doc_id, k, sha256(array_to_string(w[k:k + 34], ' ')) AS h FROM starts),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS p FROM windows JOIN twice USING (h)),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM placed a WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = a.doc_id AND g.p = a.p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""

@@ -19,6 +19,11 @@ import xxhash
 #: Bytes of text that one vectorised step holds at once; a longer single text forms its own step.
 STEP_BYTES = 4 << 20
 
+#: SQL for the words of documents.text, unchanged and with A-Z lower-cased.
+_SPLIT = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+WORDS_SQL = _SPLIT.format("coalesce(text, '')")
+FOLDED_WORDS_SQL = _SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
 _U = np.uint64
 MULTIPLIERS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 
