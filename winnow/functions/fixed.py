@@ -81,3 +81,10 @@ SKIPPED_DIRECTORIES = (
     ".git", ".venv", "venv", "env", "__pycache__", "modeller", "sonuclar", "grafikler", "veri_setleri", "temiz_veri",
     ".runtime", "reports", "rapor",
 )
+#: Folders below a project (or from it) that may hold raw files, in order, after the variable's folder.
+RAW_VARIABLE = "RAW_DATA_DIR"
+RAW_FOLDERS = ("ham_veri", "raw_data", ".", "../veri setleri ve url", "..")
+#: Names of sources by their files' names and folders.
+SPLIT_STEMS = ("train", "valid", "validation", "test")
+NUMBERED_SOURCE, HUB_MARK, HUB_SOURCE = "uploaded_", "turkish_toxic", "huggingface"
+COMPETITION_FOLDERS, COMPETITION_SOURCE, UNKNOWN_SOURCE = ("ham_veri", "veri_setleri_ve_url"), "kaggle", "bilinmeyen"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from winnow.functions import fixed
+from winnow.functions.rules import Lexicon
 from winnow.functions.text import token_number
 from winnow.operators import moderation, service
 from winnow.plans.base import Query, read, workspace
@@ -110,3 +111,22 @@ QUERIES["limiter_choice"] = (
     "SELECT * FROM (VALUES ('', 'sliding_window'), ('redis://store', 'fixed_window')) t(url, kind)",
 )
 QUERIES["token_numbers"] = (lambda s, d: read(s, d, "documents").select(F.explode(F.array_distinct(F.split("text", " +"))).alias("word")).distinct().select("word", token_number(F.col("word")).alias("number")), None)
+
+#: Events of each user in order; a recursive query takes the users' next events one by one.
+_EV = "ev AS (SELECT user_id, event_id, epoch_us(ts) AS t, lower(substr(event_type, 1, 1)) AS l, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+_DAY = 86_400_000_000
+QUERIES["sliding_window_limit"] = (
+    lambda s, d: state.run_batch(read(s, d, "events"), state.limiter_step(3, 86400.0), value="event_type"),
+    f"WITH RECURSIVE {_EV}, st(user_id, i, event_id, acc, ok) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), []::BIGINT[], false FROM ev UNION ALL "
+    "SELECT user_id, i, event_id, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3 FROM "
+    f"(SELECT e.user_id, e.i, e.event_id, e.t, list_filter(st.acc, lambda x: x >= e.t - {_DAY}) AS live FROM st JOIN ev e ON e.user_id = st.user_id AND e.i = st.i + 1)) "
+    "SELECT user_id, event_id, ok AS result FROM st WHERE i > 0",
+)
+_LETTERS = Lexicon(terms=("cc", "vc", "pp"), contextual=(), phrases=())
+QUERIES["message_buffer"] = (
+    lambda s, d: state.run_batch(read(s, d, "events").withColumn("letter", F.substring("event_type", 1, 1)), state.buffer_step(_LETTERS, 86400.0), value="letter"),
+    f"WITH RECURSIVE {_EV}, st(user_id, i, event_id, held, hit) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), []::STRUCT(l VARCHAR, t BIGINT)[], false FROM ev UNION ALL "
+    "SELECT user_id, i, event_id, CASE WHEN spelt THEN [] ELSE nw END, spelt FROM (SELECT *, len(nw) >= 2 AND array_to_string(list_transform(nw, lambda x: x.l), '') IN ('cc', 'vc', 'pp') AS spelt FROM "
+    f"(SELECT e.user_id, e.i, e.event_id, list_append(list_filter(st.held, lambda x: e.t - x.t < {_DAY}), {{'l': e.l, 't': e.t}})[-8:] AS nw FROM st JOIN ev e ON e.user_id = st.user_id AND e.i = st.i + 1))) "
+    "SELECT user_id, event_id, hit AS result FROM st WHERE i > 0",
+)

@@ -322,8 +322,6 @@ _add("request_validation", lambda s, d: messages(s, d).select("user_id", "seq",
 # --- state ---
 _add("fixed_window_limit", lambda s, d: state.fixed_window_limit(read(s, d, "events"), 3, 86400).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted")),
      "WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts, event_id) <= 3 AS ok FROM events) SELECT user_id, count(*) AS n, count(*) FILTER (WHERE ok) AS accepted FROM x GROUP BY user_id")
-_add("sliding_window_limit", lambda s, d: state.run_batch(read(s, d, "events"), state.limiter_step(3, 86400.0), value="event_type"))
-_add("message_buffer", lambda s, d: state.run_batch(read(s, d, "events").withColumn("letter", F.substring("event_type", 1, 1)), state.buffer_step(TEST_LEXICON.__class__(terms=("cc", "vc", "pp")), 86400.0), value="letter"))
 
 
 _add("baseline_scorer", lambda s, d: ml.baseline_scores(labelled(s, d)).select("satir_no", "label", F.round("p", 6).alias("p")))
