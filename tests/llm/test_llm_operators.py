@@ -171,7 +171,7 @@ def brute_classes(rows, n, percent):
     return counted((i, len(s), find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("limits", [{}, {"task_documents": 2, "task_shingles": 50}])
+@pytest.mark.parametrize("limits", [{}, {"task_documents": 2, "task_points": 2, "task_shingles": 50}])
 def test_jaccard_classes(docs, limits):
     got = jaccard_join.jaccard_classes(docs, **limits).collect()
     assert brute_classes(ROWS, 4, 85) == counted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got)

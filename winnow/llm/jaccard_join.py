@@ -10,8 +10,9 @@
    bound the overlap from above.  What the bound leaves is connected to candidate groups.
 4. A group's texts meet in one task, again in an R-tree; pairs that the bound leaves and that are
    not connected yet are verified on their sets.
-A key or a group over the limits of a task is cut into chunks and every pair of chunks meets, so
-no limit drops a pair.
+A group over the limits of a task is cut into chunks.  Each meets some documents that all chunks of
+its group share; then only what is outside the group's main class meets all other chunks.  A key
+over the limits is cut into chunks and every pair of chunks meets.  So no limit drops a pair.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SLOT_BITS = 20
 OVER_MEAN = 8
 COORDINATES = 64
 FANOUT = 16
+#: Documents of a large group, about, that all its chunks share.
+HUBS = 32
 #: Sets from FINE_SIZE shingles on have four times the coordinates, from 4 * FINE_SIZE on 16 times,
 #: and so on; sums of a finer point's coordinates give the coarser one.
 FINE_SIZE = 1000
@@ -230,7 +233,8 @@ def jaccard_classes(
     n: int = 4,
     percent: int = 85,
     task_shingles: int = 2_000_000,
-    task_documents: int = 8192,
+    task_documents: int = 256,
+    task_points: int = 8192,
 ) -> DataFrame:
     """Class of each document under links of Jaccard similarity percent / 100 or more.
 
@@ -242,8 +246,8 @@ def jaccard_classes(
     * Rows that repeat a doc_id are one node with several sets.  A null doc_id takes part in no
       link and has a null component_id.  Ties cannot occur, as classes do not depend on order.
     * An empty table gives an empty result.  Other columns are ignored, whatever their names.
-    * task_shingles and task_documents limit what meets in one task; larger groups are cut into
-      chunks that meet pair by pair.
+    * task_shingles and task_documents limit a chunk of a group, task_points one of a key; larger
+      groups and keys are cut into chunks, and still every pair is decided.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -300,7 +304,7 @@ def jaccard_classes(
     live = materialize(
         keyed.repartition("_key").sortWithinPartitions("_key").mapInArrow(shared, f"_key long, _rep {kind}")
     )
-    blocks = live.groupBy("_key").agg(F.ceil(F.count("*") / task_documents).cast("int").alias("_parts")).filter("_parts > 1")
+    blocks = live.groupBy("_key").agg(F.ceil(F.count("*") / task_points).cast("int").alias("_parts")).filter("_parts > 1")
     points = own.select(F.col("_rep").alias("_of"), "_n", "_point")
     part = F.pmod(F.xxhash64("_of"), F.col("_parts")).cast("int")
     pointed = (
@@ -345,37 +349,52 @@ def jaccard_classes(
     )
     nodes = near.union(near.select(F.col("v"), F.col("v")).distinct()).toDF("_of", "_group")
     sized = nodes.join(real.groupBy(F.col("_id").alias("_of")).agg(F.sum("_n").alias("_size")), "_of")
-    chunks = sized.groupBy("_group").agg(
-        F.greatest(F.ceil(F.sum("_size") / task_shingles), F.ceil(F.count("*") / task_documents)).cast("int").alias("_chunks")
-    )
-    chunk = F.pmod(F.xxhash64("_of"), F.col("_chunks")).cast("int")
-    dealt = (
-        sized.join(chunks, "_group")
-        .withColumn("_chunk", chunk)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-        .select("_of", "_group", F.least("_chunk", "_other").alias("_a"), F.greatest("_chunk", "_other").alias("_b"))
-    )
-    texts = dealt.join(docs, F.col("_of") == F.col("_id")).select("_group", "_a", "_b", "_id", "text")
+    tasks = F.greatest(F.ceil(F.sum("_size") / task_shingles), F.ceil(F.count("*") / task_documents)).cast("int")
+    sized = materialize(sized)
+    chunks = materialize(sized.groupBy("_group").agg(tasks.alias("_chunks"), F.count("*").alias("_many")))
 
-    def link(table: pa.Table) -> pa.Table:
-        order = table.column("_id").combine_chunks()
-        sets = list(shingle_sets(W.split(table.column("text"), lower=True), n))
-        ids = order.to_pylist()
-        roots = local_roots(sets, ids, percent)
+    def least_edges(nodes: list, roots: list[int], kind: pa.DataType) -> pa.Table:
         least: dict[int, object] = {}
-        for k, r in enumerate(roots):
-            least[r] = ids[k] if r not in least else min(least[r], ids[k])
-        rows = {(i, least[r]) for i, r in zip(ids, roots, strict=True) if i != least[r]}
-        del sets
+        for node, r in zip(nodes, roots, strict=True):
+            least[r] = node if r not in least else min(least[r], node)
+        rows = {(node, least[r]) for node, r in zip(nodes, roots, strict=True) if node != least[r]}
+        return pa.table({"u": pa.array([a for a, _ in rows], kind), "v": pa.array([b for _, b in rows], kind)})
+
+    def link(table: pa.Table) -> pa.Table:
+        """Edges between nodes (texts that are known to be connected share one) by exact links of their texts."""
+        nodes = table.column("_node").to_pylist()
+        roots = local_roots(list(shingle_sets(W.split(table.column("text"), lower=True), n)), nodes, percent)
         W.release()
-        return pa.table({"u": pa.array([a for a, _ in rows], order.type), "v": pa.array([b for _, b in rows], order.type)})
+        return least_edges(nodes, roots, table.column("_node").type)
+
+    def linked_in(dealt: DataFrame) -> DataFrame:
+        """Edges of rows (_of, _node, _group, _a, _b): the texts of one group and task meet."""
+        texts = dealt.join(docs, F.col("_of") == F.col("_id")).select("_group", "_a", "_b", "_node", "text")
+        return texts.groupBy("_group", "_a", "_b").applyInArrow(link, f"u {kind}, v {kind}")
 
     # a doc_id with several sets links their classes
     several = real.groupBy("_id").agg(F.min("_f1").alias("_a1"), F.max("_f1").alias("_b1"), F.min("_f2").alias("_a2"), F.max("_f2").alias("_b2"))
     several = several.filter("_a1 <> _b1 OR _a2 <> _b2").select("_id")
     same_id = real.join(several, "_id").join(classes, ["_f1", "_f2"]).select(F.col("_id").alias("u"), F.col("_rep").alias("v"))
-    edges = texts.groupBy("_group", "_a", "_b").applyInArrow(link, f"u {kind}, v {kind}")
-    linked = connected_components(edges.union(same_id))
+    # every chunk meets some documents that all chunks of its group share
+    own = F.pmod(F.xxhash64("_of"), F.col("_chunks")).cast("int")
+    hub = (F.col("_chunks") > 1) & (F.pmod(F.xxhash64(F.lit(13), "_of"), F.col("_many")) < HUBS)
+    every = F.sequence(F.lit(0), F.col("_chunks") - 1)
+    dealt = sized.join(chunks, "_group").select("_of", F.col("_of").alias("_node"), "_group", F.explode(F.when(hub, every).otherwise(F.array(own))).alias("_a"), F.lit(0).alias("_b"))
+    linked = connected_components(linked_in(dealt).union(same_id))
+    large = chunks.filter("_chunks > 1")
+    if not large.isEmpty():
+        # what is not in the main class of its group meets all chunks of the group
+        placed = sized.join(large, "_group").join(linked, F.col("_of") == F.col("u"), "left").withColumn("_node", F.coalesce("v", "_of")).drop("u", "v")
+        main = placed.groupBy("_group", "_node").count().groupBy("_group").agg(F.max_by("_node", F.struct("count", "_node")).alias("_main"))
+        placed = materialize(placed.join(main, "_group").withColumn("_rest", F.col("_node") != F.col("_main")))
+        parts = placed.filter("_rest").groupBy("_group").agg(tasks.alias("_parts"))
+        both = placed.join(parts, "_group")
+        rows = F.sequence(F.lit(0), F.col("_parts") - 1)
+        part = F.pmod(F.xxhash64(F.lit(17), "_of"), F.col("_parts")).cast("int")
+        of_all = both.select("_of", "_node", "_group", F.explode(rows).alias("_a"), own.alias("_b"))
+        of_rest = both.filter("_rest").select("_of", "_node", "_group", part.alias("_a"), F.explode(every).alias("_b"))
+        linked = connected_components(linked.union(linked_in(of_all.union(of_rest).distinct())))
     out = members.join(linked, F.col("_rep") == F.col("u"), "left")
     return out.select(
         F.col("_id").alias(doc_id), F.col("_n").alias("n_shingles"), F.coalesce("v", "_rep", "_id").alias("component_id")
