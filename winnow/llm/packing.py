@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import read
+from .tables import materialize, read
 
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
@@ -260,9 +260,8 @@ def pack(
             columns.append(pa.array([r[5] for r in rows], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["_id", "_hash", "start", "length", "crc", "total", "ids"])
 
-    pieces = docs.mapInArrow(
-        cut, f"_id {id_type}, _hash long, start long, length long, crc long, total long, ids binary"
-    ).withColumn("_shard", F.pmod(F.xxhash64("_hash", "start"), F.lit(shards)))
+    pieces = materialize(docs.mapInArrow(cut, f"_id {id_type}, _hash long, start long, length long, crc long, total long, ids binary"))
+    pieces = pieces.withColumn("_shard", F.pmod(F.xxhash64("_hash", "start"), F.lit(shards)))
 
     def packed(table: pa.Table) -> pa.Table:
         _LOADED.clear()  # texts are cut by now: the words that the worker remembers make room

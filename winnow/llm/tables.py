@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Whether a finished job's shuffle files go at once; read when a query's execution is made.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch that goes to Python in such a job: the default of 64 MB takes twice that in each task.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 #: Folders of the tables that materialize wrote, by DataFrame.
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -47,12 +49,14 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow-{uuid.uuid4().hex}"
     schema = df.schema
-    before = spark.conf.get(CLEANUP, "false")
+    before = {k: spark.conf.get(k) for k in (CLEANUP, BATCH)}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(BATCH_BYTES))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(schema).parquet(path)
     _WRITTEN[out] = path
