@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, lm_scoring, mixing, packing, pii, quality_rules, substring_dedup, topk_search, toxicity
+from . import byte_bpe, jaccard_join, line_dedup, lm_scoring, mixing, packing, pii, quality_rules, substring_dedup, threshold_search, token_alignment, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_mixing": mixing.op9_mixing,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+        "op12_threshold_search": threshold_search.op12_threshold_search,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk_search": topk_search.OP4_SQL,
         "op6_jaccard_join": jaccard_join.OP6_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
+        "op12_threshold_search": threshold_search.OP12_SQL,
     }
