@@ -15,8 +15,8 @@ different values get different ones.  Kinds:
   that of another, day-first one.
 * account: an IBAN of digits, after at most four letters, that passes the check modulo 97; the
   account's digits are permuted and the check digits computed anew.
-* mail: the name before @ is permuted, letters to letters of their case and digits to digits, all
-  marks stay; the domain stays.
+* mail: the name of at most 64 characters before @ is permuted, letters to letters of their case
+  and digits to digits, all marks stay; the domain stays.
 
 What no kind validates stays as it is.
 """
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .tables import carried, read, uncarried
 
-MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: A name begins where a run of its characters does, or right after another value; with that, its bound and
+#: possessive repeats each character is looked at a fixed number of times, however long a run is.
+MAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 PHONE = (
     r"\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{8,15}(?!\d)|\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
     r"|\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})[ .-]?\d{2,8}(?:[ .-]\d{2,4}){0,3}(?!\d)"
@@ -188,12 +190,14 @@ def pseudonymise(
     carried columns.
 
     * A null text stays null with counts 0; an empty text stays empty.
+    * Texts are searched whole, in time that grows with their length, also if they are one unbroken
+      word, digit run or dotted run; texts without a digit or @ hold no value and are not searched.
     * Values that no kind validates (a bad check digit, an octet over 255, no such day) stay.
     * Rows are treated alone: repeated rows give equal rows; a null doc_id stays null.
     * An empty table gives an empty result.  Other columns are ignored unless carried.
     """
     docs = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), carried(carry).alias("_carry"))
-    found = F.regexp_extract_all("_text", F.lit(f"({PATTERN})"), 1)
+    found = F.when(F.col("_text").rlike("[0-9@]"), F.regexp_extract_all("_text", F.lit(f"({PATTERN})"), 1))
     out = docs.withColumn("_found", found).withColumn("_new", F.expr(f"transform(_found, x -> {pseudonym_sql('x', key)})"))
     parts = F.split("_text", PATTERN, -1)
     pairs = F.arrays_zip(parts.alias("a"), F.concat("_new", F.array(F.lit(""))).alias("b"))
@@ -203,7 +207,7 @@ def pseudonymise(
         F.col("_id").alias(doc_id),
         F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_found"),
         F.coalesce(changed, F.lit(0)).cast("long").alias("n_replaced"),
-        F.when(F.size("_found") == 0, F.col("_text")).otherwise(joined).alias(text),
+        F.when(F.size("_found") > 0, joined).otherwise(F.col("_text")).alias(text),
         *uncarried(carry),
     ).withColumns({c: F.greatest(c, F.lit(0)) for c in ("n_found", "n_replaced")})
 
