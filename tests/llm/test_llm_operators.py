@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pyarrow as pa
@@ -492,6 +493,40 @@ def test_pii_edge_rows(spark):
     assert next(r["text"] for r in got if r["doc_id"] == 4) == rows[4][1]
 
 
+@pytest.mark.parametrize("part", ["a", "1", "1.", "_2020-01-01", "a@", "+1.", "x@a.", "AB12 "])
+def test_pii_unbroken(spark, part):
+    """A million characters of one run take seconds, and values after it are found."""
+    text = part * (1_000_000 // len(part))
+    rows = [(1, f"a.b@c.example.com {text} 10.0.0.1 a.b@c.example.com"), (2, "10.0.0.1 a.b@c.example.com (555) 123-4567foo.bar@x.com")]
+    began = time.time()
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "k").collect()}
+    assert time.time() - began < 30
+    host, name = got[2].split()[:2]
+    assert got[1].startswith(f"{name} ") and got[1].endswith(f" {host} {name}") and name != "a.b@c.example.com"
+    assert "foo.bar@" not in got[2] and got[2].endswith("@x.com")
+
+
+def test_most_frequent_words(spark):
+    rows = [(f"w{k}", 7) for k in range(3000)] + [(f"t{k}", 100 + k % 3) for k in range(90)] + [("top", 10**7)]
+    counts = spark.createDataFrame(rows, "word string, c long").repartition(3)
+    for limit in (0, 1, 50, 91, 1000, 2500, 3091, 9999):
+        got = lm_scoring.most_frequent(counts, limit)
+        assert len(got) == len(set(got)) == min(limit, len(rows)) and set(got) <= set(rows)
+        assert sorted((c for _, c in got), reverse=True) == sorted((c for _, c in rows), reverse=True)[:limit]
+        assert got == lm_scoring.most_frequent(counts.repartition(5), limit) or set(got) == set(lm_scoring.most_frequent(counts.repartition(5), limit))
+
+
+def test_lm_words_of_equal_count(spark):
+    """More words of one count than are kept at hand: the vocabulary is full, and the model beats the base."""
+    rng = random.Random(1)
+    words_ = [f"w{k}" for k in range(140_000)]
+    rng.shuffle(words_)
+    rows = [(k, " ".join(x for w in words_[k * 700 : (k + 1) * 700] for x in ("the", w))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = lm_scoring.lm_scores(docs).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert out.s > out.b
+
+
 def test_pii(spark):
     texts = ["on 2024-02-29, 31.12.1999 or 30/02/2001; 4111 1111 1111 1111, 4111111111111112 x 1.2.3.256 10.0.0.1.", "again 2024-02-29 4111111111111111 10.0.0.1 +49 (030) 555-1234 a.b@c.example.com", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

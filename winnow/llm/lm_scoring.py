@@ -144,6 +144,38 @@ def _mean(table: pa.Table) -> pa.Table:
     return _parameters(table.column("k")[0].as_py() // FAN_IN, int(n.sum()), out)
 
 
+def most_frequent(counts: DataFrame, limit: int) -> list[tuple[str, int]]:
+    """Exactly the first limit words (word, c) by falling count, then by a hash of the word.
+
+    The driver sees counts of words on a log scale, those of single counts within one step of it,
+    and about twice as many words of the last count as still fit.
+    """
+
+    def below(groups: DataFrame, room: int) -> tuple[int | None, int | None, int, int]:
+        """The last group that fits whole, the one that does not, its words, and what room is left for it."""
+        last = None
+        for g, k in sorted(((r["g"], r["count"]) for r in groups.groupBy("g").count().collect()), reverse=True):
+            if k > room:
+                return last, g, k, room
+            last, room = g, room - k
+        return last, None, 0, room
+
+    stepped = counts.withColumn("g", F.floor(F.log2("c") * 16))
+    whole, part, _, room = below(stepped, limit)
+    kept = [] if whole is None else stepped.filter(F.col("g") >= whole).collect()
+    if part is not None and room:
+        within = counts.filter(F.floor(F.log2("c") * 16) == part).withColumn("g", F.col("c"))
+        whole, part, tied, room = below(within, room)
+        kept += [] if whole is None else within.filter(F.col("g") >= whole).collect()
+        share, mark = min(1.0, 2 * room / max(tied, 1)), F.pmod(F.xxhash64("word"), F.lit(1 << 40))
+        some: list = []
+        while part is not None and room and len(some) < room:
+            some = within.filter((F.col("g") == part) & (mark < F.lit(share) * F.lit(float(1 << 40)))).select("word", "c", mark.alias("m")).collect()
+            share = min(1.0, 2 * share)
+        kept += sorted(some, key=lambda r: (r["m"], r["word"]))[:room]
+    return [(r["word"], int(r["c"])) for r in kept]
+
+
 def lm_scores(
     documents: DataFrame,
     *,
@@ -160,6 +192,7 @@ def lm_scores(
     score.  Rows whose crc32(doc_id as text) mod folds is held are held out of all learning.
 
     * Tokens are words folded A-Z and one end token.  A null text is empty: its end token alone.
+    * Texts count whole, whatever their length: the state goes on to a text's end.
     * Words never seen have count 0; the model gives all of them together half a count.
     * A null doc_id is not held out.  Repeated rows count each time; equal texts get equal scores.
     * Without training rows V and N are 0: base_score is 0 and the model is its start.
@@ -175,15 +208,7 @@ def lm_scores(
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("d")).first()
     n, v, ends = int(totals["n"] or 0), int(totals["v"]), int(totals["d"] or 0)
     short = counts.filter(F.octet_length("word") <= FREQUENT_BYTES)
-    # words of the highest counts, whole steps of a log scale while they hold at most FREQUENT_WORDS
-    step = F.floor(F.log2("c") * 16)
-    floor, held_words = 1 << 20, 0
-    for r in sorted(short.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
-        held_words += r["count"]
-        if held_words > FREQUENT_WORDS:
-            break
-        floor = r["s"]
-    rows = [(r["word"], int(r["c"])) for r in short.filter(step >= floor).collect()]
+    rows = most_frequent(short, FREQUENT_WORDS)
     rows.sort(key=lambda r: (-r[1], r[0]))
     lexicon = Lexicon(rows, vocabulary, n, ends)
     parameters = train(training, lexicon, tokens=n, learner_tokens=learner_tokens)
