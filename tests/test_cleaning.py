@@ -1,5 +1,6 @@
 """Files, cleaning in one call, splits, manifests and sinks."""
 
+import csv as plain_csv
 import hashlib
 import random
 import warnings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions import fixed
 from winnow.operators import cleaning, moderation, service, tables
-from winnow.sources import csv, sinks, splits
+from winnow.sources import csv, record_ranges, sinks, splits
 
 FRUITS = "elma armut şeftali üzüm".split()
 COLORS = "kırmızı mavi yeşil sarı kara beyaz turuncu mor gri bej".split()
@@ -56,10 +57,50 @@ def test_files(unified):
 
 
 def test_source_names():
-    names = {"/a/train_3.csv": "uploaded_3", "/a/turkish_toxic_x.csv": "huggingface", "/x/ham_veri/test.csv": "kaggle", "/x/abc/valid.csv": "abc", "/x/Yorumlar.csv": "Yorumlar"}
+    names = {"/a/train_3.csv": "uploaded_3", "/a/turkish_toxic_x.csv": "huggingface", "/x/ham_veri/test.csv": "kaggle", "/x/abc/valid.csv": "abc", "/x/Yorumlar.csv": "yorumlar", "/x/train-3.csv": "uploaded_3",
+             "/x/Turkish Toxic.csv": "huggingface", "/x/Ham Veri/test.csv": "kaggle", "/x/Türkçe Veri/TRAIN.csv": "turkce_veri", "/x/--.csv": "bilinmeyen"}
     assert {p: csv.source_name(p) for p in names} == names
 
 
+def test_identifiers_lose_all_combining_marks():
+    assert [csv.identifier(x) for x in ("a\u0483b", "x\u20d7y", "\u1ebft", "Sınıf 2")] == ["ab", "xy", "et", "s_n_f_2"]
+
+
+def plain_records(path, sep=",", encoding="utf-8"):
+    """What a plain reader gives: fields of fitting records, blank lines left out."""
+    with open(path, encoding=encoding, newline="") as f:
+        title, *rows = [r for r in plain_csv.reader(f, delimiter=sep) if r]
+    kept = [[x or None for x in r] + [None] * (len(title) - len(r)) for r in rows if len(r) <= len(title)]
+    return [(*r, n) for n, r in enumerate(kept, 2)], len(rows) - len(kept)
+
+
+@pytest.mark.parametrize("size", [61, 200, 1000, 10_000_000])
+def test_records_over_ranges(spark, tmp_path, size):
+    """A file cut into many ranges gives the rows and numbers of a plain reader, with quotes open over range edges."""
+    rng = random.Random(size)
+    path = tmp_path / "many.csv"
+    cell = lambda: rng.choice(["", "ü ç", "7\" nail", 'say ""x""', "plain", "1", "long " * 9, "tab\there"])
+    quoted = lambda: '"' + rng.choice(["a\nb", "\n\n", 'q""\n""', ",", "x\r\ny,\n", '""', "line\n" * 30, "ş"]) + '"'
+    lines = ["\ufefftext,label,note"]
+    for _ in range(400):
+        lines.append(rng.choice(["", ",".join([cell() if rng.random() < 0.6 else quoted() for _ in range(rng.choice([1, 2, 3, 3, 3, 3, 3, 4]))])]))
+    path.write_text("\n".join(lines) + rng.choice(["", "\n", '\n"open, to the\nend\n']), encoding="utf-8", newline="")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        many = record_ranges.lines(spark, str(path)).select("range").distinct().count()
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            got = csv.read_csv(spark, str(path)).orderBy("satir_no").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want, refused = plain_records(path, encoding="utf-8-sig")
+    assert [tuple(r) for r in got] == want and (many > 10 or size >= 1000)
+    assert not refused or any(f"{refused} rows" in str(w.message) for w in said)
+
+
 def test_discovery(spark, tmp_path, monkeypatch):
     for name in ("p/ham_veri/b.csv", "p/ham_veri/deep/A.csv", "p/ham_veri/venv/c.csv", "p/d.csv", "p/sub/e.csv", "p/out/f.csv", "p/outer/g.csv", "h.csv", "p/ham_veri/i.txt"):
         path = tmp_path / name

@@ -249,18 +249,39 @@ def _quality_tables(s, d):
 QUERIES["quality_tables"] = (_quality_tables, f"WITH {U} SELECT red_nedeni, dosya, count(*) AS n FROM u WHERE red_nedeni IS NOT NULL GROUP BY ALL")
 
 
+def _one_file(df: DataFrame, path: str) -> None:
+    """df as one CSV file of that very name, in its rows' order."""
+    sinks.write_table(df.coalesce(1).sortWithinPartitions("satir_no").drop("satir_no"), f"{path}.parts")
+    jvm = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    store = jvm.Path(path).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(jvm.Path(path).getParent())
+    store.rename(store.globStatus(jvm.Path(f"{path}.parts/part-*"))[0].getPath(), jvm.Path(path))
+    store.delete(jvm.Path(f"{path}.parts"), True)
+
+
 def _csv_sources(s, d):
     folder = f"{workspace(s)}/raw"
     x = labelled(s, d).filter("length(trim(text)) > 0")
-    sinks.write_table(x.filter("satir_no % 2 = 0").select(F.col("text").alias("Metin"), F.col("label").alias("etiket"), F.lit("yes").alias("agreement")).coalesce(1), f"{folder}/train_2.csv")
-    sinks.write_table(x.filter("satir_no % 2 = 1").select(F.col("text").alias("text"), F.when(F.col("label") == 1, "hate").otherwise("clean").alias("label"), F.concat(F.lit("u"), (F.col("satir_no") % 9).cast("string")).alias("user_id")).coalesce(1), f"{folder}/other.csv")
+    named = {"train-2.csv": 0, "Turkish Toxic.csv": 1, "Ham Veri/test.csv": 2, "Diğer Notlar.csv": 3}
+    for name, k in named.items():
+        own = x.filter(F.pmod("satir_no", F.lit(4)) == k)
+        if k % 2:
+            own = own.select(F.when(F.col("label") == 1, "hate").otherwise("clean").alias("Label"), F.concat(F.lit("u"), (F.col("satir_no") % 9).cast("string")).alias("User ID"), "text", "satir_no")
+        else:
+            own = own.select(F.col("text").alias("Metin"), F.col("label").alias("etiket"), F.lit("yes").alias("agreement"), "satir_no")
+        _one_file(own, f"{folder}/{name}")
     out = csv.load(s, folder)
-    return out.groupBy(F.col("label").cast("int").alias("label"), F.when(F.col("entity_group") == "", "none").otherwise("some").alias("entity")).agg(F.count("*").alias("n"), F.count_distinct("entity_group").alias("entities"))
+    chars = F.sum(F.length("raw_text")).alias("chars")
+    return out.groupBy("kaynak", "dosya", F.col("label").cast("int").alias("label"), F.when(F.col("entity_group") == "", "none").otherwise("some").alias("entity")).agg(
+        F.count("*").alias("n"), F.count_distinct("entity_group").alias("entities"), F.sum("satir_no").alias("line_numbers"), chars)
 
 
 QUERIES["csv_sources"] = (
     _csv_sources,
-    f"WITH {L} SELECT label, CASE WHEN satir_no % 2 = 0 THEN 'none' ELSE 'some' END AS entity, count(*) AS n, count(DISTINCT CASE WHEN satir_no % 2 = 0 THEN -1 ELSE satir_no % 9 END) AS entities FROM lab WHERE length(trim(text)) > 0 GROUP BY ALL",
+    f"""WITH {L}, numbered AS (SELECT *, satir_no % 4 AS k, row_number() OVER (PARTITION BY satir_no % 4 ORDER BY satir_no) + 1 AS line FROM lab WHERE length(trim(text)) > 0)
+    SELECT ['uploaded_2', 'huggingface', 'kaggle', 'diger_notlar'][k + 1] AS kaynak, ['train-2.csv', 'Turkish Toxic.csv', 'test.csv', 'Diğer Notlar.csv'][k + 1] AS dosya, label,
+    CASE WHEN k % 2 = 0 THEN 'none' ELSE 'some' END AS entity, count(*) AS n, count(DISTINCT CASE WHEN k % 2 = 0 THEN -1 ELSE satir_no % 9 END) AS entities,
+    sum(line)::BIGINT AS line_numbers, sum(length(text))::BIGINT AS chars FROM numbered GROUP BY ALL""",
 )
 
 

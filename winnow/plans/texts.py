@@ -201,10 +201,3 @@ QUERIES["entity_keys"] = (
     "SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR trim(source) = '' THEN '' ELSE 'src:' || substr(sha256(lower(upper(trim(source)))), 1, 16) END AS plain, "
     f"CASE WHEN trim(substr(text, 1, 60)) = '' THEN '' ELSE 'src:' || substr(sha256({document_sql('trim(substr(text, 1, 60))')}), 1, 16) END AS textual FROM documents",
 )
-#: Names of columns and files, and what they become.
-_NAMES = {"Sınıf": "s_n_f", "SINIF": "sinif", "İçerik": "icerik", "  Is-Toxic ": "is_toxic", "çok__uzun": "cok_uzun", "": ""}
-_PATHS = {"/a/train_3.csv": "uploaded_3", "/a/Validation_12.csv": "uploaded_12", "/a/my_turkish_toxic_x.csv": "huggingface", "/x/ham_veri/test.csv": "kaggle", "/x/abc/valid.csv": "abc", "/x/Notes.csv": "Notes"}
-QUERIES["column_and_source_names"] = (
-    lambda s, d: s.createDataFrame([(n, csv.identifier(n)) for n in _NAMES] + [(p, csv.source_name(p)) for p in _PATHS], "raw string, name string"),
-    "SELECT * FROM (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in (_NAMES | _PATHS).items()) + ") t(raw, name)",
-)
