@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import difflib
 import hashlib
@@ -6,11 +7,12 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from winnow.functions.rules import Lexicon
-from winnow.operators import evaluate, service, tables
+from winnow.operators import evaluate, increments, sequence, service, tables
 from winnow.streaming import state
 
 ROWS = [("a b", 0, "s1", "f", 1), ("a b", 1, "s2", "f", 2), ("a b", 1, "s2", "f", 3), ("c", 1, "s1", "f", 4), ("c", 1, "s0", "f", 5), ("d", 0, "s1", "f", 6)]
@@ -82,6 +84,114 @@ def test_ratio_edges_against_a_plain_loop(spark):
     assert {(r["u"], r["v"]) for r in got.collect()} == want and len(want) > 20
 
 
+def ratio(a, b):
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def test_sequence_ratio_bounds(spark):
+    """The decision is that of the plain ratio, ties between blocks included; the bounds are never too low."""
+    rng = random.Random(4)
+    pairs = [("", ""), ("", "a"), ("abcd", "bcde"), ("🤡🤡a", "a🤡"), ("ab" * 30, "ba" * 30), ("x" * 50, "x" * 41)]
+    for _ in range(400):
+        a = "".join(rng.choice("abc é") for _ in range(rng.randrange(1, 40)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 8)):
+            b[rng.randrange(len(b))] = rng.choice(["", "a", "bc", "é"])
+        pairs.append((a, "".join(b)))
+    for a, b in pairs:
+        r = ratio(a, b)
+        for t in (0.5, 0.75, 0.9, 1.0, r, np.nextafter(r, 2)):
+            assert sequence.reaches(a, b, t) == (r >= t), (a, b, t)
+    df = spark.createDataFrame([p for p in pairs if p[0] and p[1]], "v string, u string")
+    for r in df.select("v", "u", sequence.length_bound(F.col("v"), F.col("u")).alias("x"), sequence.character_bound(F.col("v"), F.col("u")).alias("y")).collect():
+        assert ratio(r["v"], r["u"]) <= r["y"] <= r["x"] and r["y"] == difflib.SequenceMatcher(None, r["v"], r["u"], autojunk=False).quick_ratio()
+    want = sorted(p for p in pairs if p[0] and p[1] and ratio(*p) >= 0.75)
+    assert sorted(map(tuple, sequence.close_pairs(df, 0.75).collect())) == want
+    told = sequence.funnel(df, 0.75).first()
+    assert told["pairs"] >= told["by_length"] >= told["by_characters"] >= told["close"] == len(want)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    assert sequence.reaches(long, long[:9000] + "!" + long[9000:], 0.99) and not sequence.reaches(long, long[::-1], 0.9)
+
+
+def plain_groups(texts, threshold):
+    """Partition of texts by a sequential table of first holders and a union-find."""
+    parent = {t: t for t in texts}
+
+    def find(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    first = {}
+    for t in sorted(texts):
+        for k in text_keys(t):
+            v = first.setdefault(k, t)
+            a, b = set(re.findall(r"\w+", t)), set(re.findall(r"\w+", v))
+            if k[0] in "cb" or len(a & b) / len(a | b) >= threshold or ratio(v, t) >= threshold:
+                parent[find(t)] = find(v)
+    return {frozenset(t for t in texts if find(t) == r) for r in {find(t) for t in texts}}
+
+
+def text_keys(t):
+    w = re.findall(r"\w+", t)
+    out = {"c:" + "".join(w)} | ({"b:" + " ".join(sorted(w))} if 4 <= len(w) <= 40 else set())
+    if 4 <= len(w) <= 14:
+        out.add("s:" + " ".join(w))
+        if len(w) >= 5:
+            out |= {"s:" + " ".join(w[:k] + w[k + 1 :]) for k in range(len(w))}
+    return out
+
+
+def test_groups_of_batches(spark, tmp_path):
+    """After each batch the groups are those of all texts at once; lesser texts that come late take a key over."""
+    rng = random.Random(6)
+    words = "kırmızı mavi yeşil sarı kara beyaz turuncu mor".split()
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(4, 8))) for _ in range(160)}, reverse=True)
+    state = increments.Groups(spark, f"file://{tmp_path}/groups", 0.8)
+    seen = []
+    for k, batch in enumerate([texts[:60], texts[60:110] + texts[:5], [], texts[110:]]):
+        state.add(spark.createDataFrame([(t,) for t in [*batch, None]], "text string"))
+        seen = list(dict.fromkeys(seen + batch))
+        held = collections.defaultdict(set)
+        for r in state.groups().collect():
+            held[r["group_id"]].add(r["text"])
+        assert {frozenset(x) for x in held.values()} == plain_groups(seen, 0.8), k
+    whole = tables.content_groups(spark.createDataFrame([(t,) for t in texts], "text string"), threshold=0.8)
+    assert sorted(map(tuple, whole.select("text", "group_id").collect())) == sorted(map(tuple, state.groups().collect()))
+    assert len(held) < len(texts)
+
+
+def test_balanced_folds(spark):
+    """Groups of mixed labels: each fold has its share of each label within one part in a hundred of all."""
+    rng = random.Random(8)
+    rows = [(f"g{g}", int(rng.random() < rng.choice([0.1, 0.5, 0.9])), rng.choice("aab")) for g in range(1500) for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 30]))]
+    df = spark.createDataFrame([*rows, (None, 1, "a")], "group_id string, label int, kaynak string")
+    out = tables.balanced_folds(df, 20, shard_groups=100)
+    assert out.count() == len(rows) + 1 and out.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.count_distinct("fold").alias("n")).filter("n <> 1").count() == 0
+    assert out.filter("fold IS NULL").count() == 1
+    shares = out.filter("fold IS NOT NULL").groupBy("label", "kaynak").pivot("fold", list(range(20))).count().fillna(0).collect()
+    for r in shares:
+        counts = [r[str(k)] for k in range(20)]
+        assert max(abs(c / sum(counts) - 1 / 20) for c in counts) < 0.01
+    again = tables.balanced_folds(df.repartition(7), 20, shard_groups=100)
+    assert out.select("group_id", "fold").distinct().exceptAll(again.select("group_id", "fold").distinct()).count() == 0
+    with pytest.raises(ValueError, match="need as many"):
+        tables.balanced_folds(df.filter("group_id < 'g11'"), 2000)
+
+
+def test_joins_with_a_hot_text_can_be_split(spark):
+    """Both sides of the join are exchanged right before it: the shape that adaptive execution splits."""
+    df = spark.range(1000).selectExpr("CASE WHEN id < 400 THEN 'hot' ELSE string(id % 300) END AS text", "int(id % 2) AS label", "id AS satir_no")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (tables.quarantine(df), tables.majority(df), tables.duplicate_rows(df)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            join = plan[plan.index("Join") :]
+            assert join.count("Exchange hashpartitioning") == 2 and "HashAggregate" not in join
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_stratified_folds(spark):
     rng = random.Random(3)
     rows = [(f"g{rng.randrange(900)}", int(rng.random() < 0.3), rng.choice(["a", "a", "b", "rare"]) if k % 50 else "tiny") for k in range(6000)]

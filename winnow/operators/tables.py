@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import tempfile
 from dataclasses import dataclass
 from fractions import Fraction
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from winnow.functions import fixed
 from winnow.functions.text import WORD, tokens
+from winnow.operators.sequence import close_pairs
 
 SPLIT_PAIRS = (("train", "valid"), ("train", "test"), ("valid", "test"))
 
@@ -25,22 +26,32 @@ def conflict_texts(df: DataFrame, text: str = "text", label: str = "label") -> D
     return df.groupBy(text).agg(F.count_distinct(label).alias("n")).filter("n > 1").select(text)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder.
+
+    A join with it exchanges both sides right before it, so adaptive execution splits a key that
+    holds many rows of the other side; an aggregate that is joined as it stands prevents that.
+    """
+    use_checkpoints(df)
+    return df.checkpoint()
+
+
 def quarantine(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Rows of texts without a conflict."""
-    return df.join(conflict_texts(df, text, label), text, "left_anti")
+    return df.join(settled(conflict_texts(df, text, label)), text, "left_anti")
 
 
 def majority(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Rows whose label more than half of their text's rows carry."""
     pairs = df.groupBy(text, label).agg(F.count("*").alias("_n"))
     won = pairs.groupBy(F.col(text).alias("_t")).agg(F.sum("_n").alias("_all"), F.max_by(label, "_n").alias("_l"), F.max("_n").alias("_most"))
-    won = won.filter("2 * _most > _all")
+    won = settled(won.filter("2 * _most > _all"))
     return df.join(won, (F.col(text) == F.col("_t")) & (F.col(label) == F.col("_l"))).drop("_t", "_all", "_l", "_most")
 
 
 def duplicate_rows(df: DataFrame, text: str = "text") -> DataFrame:
     """All rows of texts that occur more than once."""
-    return df.join(df.groupBy(text).count().filter("count > 1").select(text), text, "left_semi")
+    return df.join(settled(df.groupBy(text).count().filter("count > 1").select(text)), text, "left_semi")
 
 
 def first_rows(df: DataFrame, text: str = "text", order: tuple[str, ...] = ("label", "kaynak", "dosya", "satir_no")) -> DataFrame:
@@ -72,29 +83,24 @@ def group_keys(texts: DataFrame) -> DataFrame:
     return df.select("text", "w", F.explode(F.array_distinct(keys)).alias("key"))
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-
-def near_edges(texts: DataFrame, threshold: float = 0.9, with_ratio: bool = True) -> DataFrame:
-    """Star edges (u, v), v the first text of a key and u a later, similar text of it."""
-    keyed = group_keys(texts)
-    first = keyed.groupBy("key").agg(F.min(F.struct("text", "w")).alias("f"), F.count("*").alias("many")).filter("many > 1")
-    pairs = keyed.join(first, "key").filter("text > f.text").select(
-        "key", F.col("text").alias("u"), F.col("f.text").alias("v"), "w", F.col("f.w").alias("fw")
-    )
+def key_edges(keyed: DataFrame, threshold: float = 0.9, with_ratio: bool = True) -> DataFrame:
+    """(key, u, v) of holders (key, text, w): v the first text of the key and u a later, similar text of it."""
+    first = settled(keyed.groupBy("key").agg(F.min(F.struct("text", "w")).alias("f"), F.count("*").alias("many")).filter("many > 1"))
+    pairs = keyed.join(first, "key").filter("text > f.text").select("key", F.col("text").alias("u"), F.col("f.text").alias("v"), "w", F.col("f.w").alias("fw"))
     shared, union = F.size(F.array_intersect("w", "fw")), F.size(F.array_union("w", "fw"))
     sure = F.col("key").startswith("c:") | F.col("key").startswith("b:") | (union > 0) & (shared / union >= threshold)
-    certain = pairs.filter(sure).select("u", "v").distinct()
+    certain = pairs.filter(sure).select("key", "u", "v").distinct()
     if not with_ratio:
         return certain
-    lengths = F.length("u") + F.length("v")
-    rest = pairs.filter(~sure).filter(2 * F.least(F.length("u"), F.length("v")) / lengths >= threshold).select("u", "v").distinct()
-    close = rest.withColumn("r", sequence_ratio("v", "u")).filter(F.col("r") >= threshold).select("u", "v")
-    return certain.union(close).distinct()
+    rest = pairs.filter(~sure).select("key", "u", "v")
+    # a pair is read once, however many keys bring it
+    close = close_pairs(rest.select("u", "v").distinct(), threshold)
+    return certain.union(rest.join(settled(close), ["u", "v"], "left_semi").select("key", "u", "v")).distinct()
+
+
+def near_edges(texts: DataFrame, threshold: float = 0.9, with_ratio: bool = True) -> DataFrame:
+    """Star edges (u, v), v the first text of a key and u a later, similar text of it."""
+    return key_edges(group_keys(texts), threshold, with_ratio).select("u", "v").distinct()
 
 
 def text_id(c) -> Column:
@@ -113,7 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
     label = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
     while True:
         near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("m"))
-        step = label.join(near, F.col("node") == F.col("u")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
+        step = label.join(near, F.col("node") == F.col("u")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was")).checkpoint()
         jump = step.select(F.col("node").alias("jn"), F.col("root").alias("jr"))
         step = step.join(jump, F.col("root") == F.col("jn")).select("node", F.least("root", "jr").alias("root"), "was").checkpoint()
         changed = step.filter("root <> was").limit(1).count()
@@ -167,10 +173,10 @@ def _grouped(df: DataFrame, text: str, entity: str | None, threshold: float, wit
     if entity:
         named = df.filter(F.coalesce(entity, F.lit("")) != "").filter(F.col(text).isNotNull())
         named = named.select(text_id(F.col(text)).alias("u"), F.col(entity).alias("e")).distinct()
-        stars = named.join(named.groupBy("e").agg(F.min("u").alias("v")), "e").filter("u <> v").select("u", "v")
+        stars = named.join(settled(named.groupBy("e").agg(F.min("u").alias("v"))), "e").filter("u <> v").select("u", "v")
         label = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(stars))
     own = texts.withColumn("_node", text_id(F.col("text"))).join(label, F.col("_node") == F.col("node"))
-    least = own.groupBy("root").agg(F.min("text").alias("_least"))
+    least = settled(own.groupBy("root").agg(F.min("text").alias("_least")))
     named_groups = label.join(least, "root").select("node", group_name(F.col("_least")).alias("_group"))
     out = df.withColumn("_node", text_id(F.col(text))).join(named_groups, F.col("_node") == F.col("node"), "left")
     return out.withColumn("group_id", F.coalesce("_group", group_name(F.col(text)))).drop("_node", "node", "_group"), near
@@ -250,6 +256,69 @@ def stratified_folds(
     return rows.join(dealt, F.col(group) == F.col("_g"), "left").drop("_g")
 
 
+def balanced_folds(
+    df: DataFrame, folds: int, group: str = "group_id", label: str = "label", source: str = "kaynak", seed: int = 42, shard_groups: int = 10_000
+) -> DataFrame:
+    """df with stratum and fold: whole groups in one fold, and of each stratum as even a share in each fold as groups allow.
+
+    A group's signature is its number of rows in each stratum, so groups that mix labels balance
+    too.  Of each signature all folds get equally many groups; the few left over go, the largest
+    first, to the fold that most lacks their strata.  The driver sees each distinct signature once;
+    groups are dealt by their place in a seeded order within signature and shard, so no task orders
+    more than a shard's.  Fewer groups than folds raise ValueError; rows without a group get no fold.
+    """
+    rows = strata(df, folds, label, source)
+    each = rows.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g"), "stratum").agg(F.count("*").alias("n"))
+    signed = each.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("stratum", "n"))).alias("_sign"))
+    order = seeded(F.col("_g"), seed)
+    groups = settled(signed.withColumn("_sign", F.to_json("_sign")).withColumn("_order", order))
+    many = groups.count()
+    if many < folds:
+        raise ValueError(f"{folds} folds need as many groups; there are {many}")
+    groups = groups.withColumn("_shard", F.pmod("_order", F.lit(-(-many // shard_groups))))
+    cells = settled(groups.groupBy("_sign", "_shard").agg(F.count("*").alias("_n")))
+    totals = {r["_sign"]: r["n"] for r in cells.groupBy("_sign").agg(F.sum("_n").alias("n")).collect()}
+    plan = [(sign, n - n % folds, extra) for sign, n, extra in _remainders(totals, folds, seed)]
+    plan = df.sparkSession.createDataFrame(plan, "_sign string, _even long, _extra array<int>")
+    # places of each signature's shards, one after the other; a row a shard
+    before = F.sum("_n").over(Window.partitionBy("_sign").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
+    placed = settled(cells.withColumn("_from", F.coalesce(before, F.lit(0))).join(plan, "_sign").drop("_n"))
+    within = F.row_number().over(Window.partitionBy("_sign", "_shard").orderBy("_order", "_g")) - 1
+    dealt = settled(groups.withColumn("_within", within)).join(placed, ["_sign", "_shard"]).withColumn("_place", F.col("_from") + F.col("_within"))
+    shift = seeded(F.col("_sign"), seed)
+    fold = F.when(F.col("_place") < F.col("_even"), F.pmod(F.col("_place") + shift, F.lit(folds))).otherwise(F.get("_extra", (F.col("_place") - F.col("_even")).cast("int")))
+    dealt = settled(dealt.select("_g", fold.cast("int").alias("fold")))
+    return rows.join(dealt, F.col(group) == F.col("_g"), "left").drop("_g")
+
+
+def _remainders(totals: dict[str, int], folds: int, seed: int) -> list[tuple[str, int, list[int]]]:
+    """For each signature, its groups and the folds of those that are left when all folds got equally many."""
+    parsed = {sign: {x["stratum"]: x["n"] for x in json.loads(sign)} for sign in totals}
+    names = sorted({s for held in parsed.values() for s in held})
+    place = {s: k for k, s in enumerate(names)}
+    whole = np.zeros(len(names))
+    for sign, held in parsed.items():
+        for s, n in held.items():
+            whole[place[s]] += n * totals[sign]
+    weight = 1 / np.maximum(whole, 1) ** 2
+    lack = np.zeros((folds, len(names)))
+    size = np.zeros(folds)
+    out = []
+    mark = lambda sign: hashlib.sha256(f"{seed}:{sign}".encode()).hexdigest()
+    for sign in sorted(totals, key=lambda s: (-sum(parsed[s].values()), mark(s))):
+        at = np.array([place[s] for s in parsed[sign]])
+        rows = np.array(list(parsed[sign].values()), float)
+        extra = []
+        for _ in range(totals[sign] % folds):
+            cost = lack[:, at] @ (rows * weight[at])
+            best = int(np.lexsort((size, np.round(cost, 15)))[0])
+            lack[best, at] += rows
+            size[best] += rows.sum()
+            extra.append(best)
+        out.append((sign, totals[sign], extra))
+    return out
+
+
 def overlaps(df: DataFrame, column: str, split: str = "split") -> DataFrame:
     """pair and shared: distinct values of a column that two splits share, for each pair of splits."""
     held = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.collect_set(split).alias("s"))  # of three names
