@@ -83,16 +83,27 @@ def group_keys(texts: DataFrame) -> DataFrame:
     return df.select("text", "w", F.explode(F.array_distinct(keys)).alias("key"))
 
 
-def key_edges(keyed: DataFrame, threshold: float = 0.9, with_ratio: bool = True) -> DataFrame:
-    """(key, u, v) of holders (key, text, w): v the first text of the key and u a later, similar text of it."""
+def _key_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
+    """(key, u, v, sure) of holders (key, text, w): v the first text of the key, u a later one; sure where no ratio is needed."""
     first = settled(keyed.groupBy("key").agg(F.min(F.struct("text", "w")).alias("f"), F.count("*").alias("many")).filter("many > 1"))
     pairs = keyed.join(first, "key").filter("text > f.text").select("key", F.col("text").alias("u"), F.col("f.text").alias("v"), "w", F.col("f.w").alias("fw"))
     shared, union = F.size(F.array_intersect("w", "fw")), F.size(F.array_union("w", "fw"))
     sure = F.col("key").startswith("c:") | F.col("key").startswith("b:") | (union > 0) & (shared / union >= threshold)
-    certain = pairs.filter(sure).select("key", "u", "v").distinct()
+    return pairs.select("key", "u", "v", sure.alias("sure"))
+
+
+def ratio_pairs(keyed: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Distinct pairs (u, v) of a key's later and first text that only the sequence ratio can link by this key."""
+    return _key_pairs(keyed, threshold).filter("NOT sure").select("u", "v").distinct()
+
+
+def key_edges(keyed: DataFrame, threshold: float = 0.9, with_ratio: bool = True) -> DataFrame:
+    """(key, u, v) of holders (key, text, w): v the first text of the key and u a later, similar text of it."""
+    pairs = _key_pairs(keyed, threshold)
+    certain = pairs.filter("sure").select("key", "u", "v").distinct()
     if not with_ratio:
         return certain
-    rest = pairs.filter(~sure).select("key", "u", "v")
+    rest = pairs.filter("NOT sure").select("key", "u", "v")
     # a pair is read once, however many keys bring it
     close = close_pairs(rest.select("u", "v").distinct(), threshold)
     return certain.union(rest.join(settled(close), ["u", "v"], "left_semi").select("key", "u", "v")).distinct()

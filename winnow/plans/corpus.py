@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions import fixed
-from winnow.operators import cleaning, evaluate, ml, tables
+from winnow.operators import cleaning, evaluate, increments, ml, sequence, tables
 from winnow.plans.base import L, P, S, Query, labelled, labelled_sentences, read, scores, workspace
 from winnow.sources import csv, sinks, splits
 
@@ -202,12 +202,26 @@ QUERIES["cleaning_run"] = (
 )
 
 
-def _written(s, d):
+def _written(s, d, config=_CONFIG):
     folder = workspace(s)
-    sinks.write_cleaned(cleaning.clean(unified(s, d), _CONFIG), f"{folder}/out", f"{folder}/reports")
+    sinks.write_cleaned(cleaning.clean(unified(s, d), config), f"{folder}/out", f"{folder}/reports")
     return folder
 
 
+# the same with groups of near duplicates and of entities, by keys that need no sequence ratio
+_GROUPED = cleaning.CleaningConfig(with_ratio=False)
+_UNIQUE = _CLEAN[: _CLEAN.index(", rw AS")]
+_CLEAN_GROUPED = (
+    f"{_UNIQUE}, base AS (SELECT text, entity_group AS entity FROM un), {_KEYS}, {reach_sql('cc', 'ed')}, "
+    f"ee AS (SELECT node AS u, root AS v FROM cc UNION SELECT text, min(text) OVER (PARTITION BY entity) FROM base WHERE entity <> ''), {reach_sql('dd', 'ee')}, "
+    f"rw AS (SELECT text, label, kaynak, 'g_' || substr(sha256(coalesce(root, text)), 1, 16) AS group_id FROM un LEFT JOIN dd ON node = text), {folds_sql('rw', 10_000)}"
+)
+QUERIES["cleaning_run_grouped"] = (
+    lambda s, d: cleaning.clean(unified(s, d), _GROUPED).rows.groupBy("split", F.col("label").cast("int").alias("label"), "kaynak").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups")),
+    f"WITH RECURSIVE {_CLEAN_GROUPED} SELECT split, label, kaynak, count(*) AS n, count(DISTINCT group_id) AS groups FROM fd GROUP BY ALL",
+)
+
+
 QUERIES["splits_round_trip"] = (
     lambda s, d: splits.read_training_splits(s, f"{_written(s, d)}/out").select("split", F.sha2("text", 256).alias("h"), F.col("label").cast("int").alias("label"), "kaynak", "group_id"),
     f"WITH {_CLEAN} SELECT split, sha256(text) AS h, label, kaynak, group_id FROM fd",
@@ -226,8 +240,8 @@ QUERIES["split_manifest"] = (
 )
 
 
-def _audit(s, d):
-    report = splits.read_json(s, f"{_written(s, d)}/reports/data_audit.json")
+def _audit(s, d, config=_CONFIG):
+    report = splits.read_json(s, f"{_written(s, d, config)}/reports/data_audit.json")
     names = ("accepted_unique_rows", "exact_duplicate_rows", "conflicting_texts", "groups", "near_duplicate_rows", "entity_groups", "entity_grouped_rows")
     return s.createDataFrame([(n, report[n]) for n in names], "metric string, n long")
 
@@ -240,6 +254,61 @@ QUERIES["audit_report"] = (
 )
 
 
+QUERIES["audit_report_grouped"] = (
+    lambda s, d: _audit(s, d, _GROUPED),
+    f"WITH RECURSIVE {_CLEAN_GROUPED}, lf AS (SELECT * FROM ac WHERE text NOT IN (SELECT text FROM cf)), en AS (SELECT entity, count(*) AS n FROM base WHERE entity <> '' GROUP BY entity) "
+    "SELECT 'accepted_unique_rows' AS metric, count(*) AS n FROM fd UNION ALL "
+    "SELECT 'exact_duplicate_rows', count(*) FROM lf WHERE text IN (SELECT text FROM lf GROUP BY text HAVING count(*) > 1) UNION ALL SELECT 'conflicting_texts', count(*) FROM cf UNION ALL "
+    "SELECT 'groups', count(DISTINCT group_id) FROM fd UNION ALL SELECT 'near_duplicate_rows', (SELECT count(*) - count(DISTINCT coalesce(root, text)) FROM base LEFT JOIN cc ON node = text) UNION ALL "
+    "SELECT 'entity_groups', (SELECT count(*) FROM en) UNION ALL SELECT 'entity_grouped_rows', (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM en)",
+)
+
+
+# --- balanced folds of content groups; groups of batches; bounds of the sequence ratio ---
+def _balanced(s, d):
+    rows = tables.content_groups(tables.first_rows(labelled_sentences(s, d)), with_ratio=False)
+    dealt = tables.settled(tables.balanced_folds(rows, _FOLDS).select("text", "label", "group_id", "fold"))
+    crossing = dealt.groupBy("group_id").agg(F.count_distinct("fold").alias("n")).agg(F.count_if(F.col("n") != 1).alias("crossing"))
+    each = dealt.groupBy("label", "fold").count().groupBy("label").agg(F.sum("count").alias("rows"), F.count("fold").alias("folds"), F.max("count").alias("most"), F.min("count").alias("least"))
+    even = (F.col("most") / F.col("rows") - 1 / _FOLDS <= 0.01) & (F.lit(1 / _FOLDS) - F.col("least") / F.col("rows") <= 0.01)
+    groups = dealt.groupBy("label").agg(F.count_distinct("group_id").alias("groups"))
+    return each.join(groups, "label").join(crossing).select("label", "rows", "groups", "folds", even.alias("even"), "crossing")  # crossing: one row
+
+
+QUERIES["balanced_split"] = (
+    _balanced,
+    f"WITH RECURSIVE {S}, un AS (SELECT text, arg_min(label, (label, kaynak, dosya, satir_no)) AS label FROM sent GROUP BY text), base AS (SELECT text FROM un), {_KEYS}, {reach_sql('cc', 'ed')} "
+    f"SELECT label, count(*) AS rows, count(DISTINCT coalesce(root, text)) AS groups, {_FOLDS}::BIGINT AS folds, true AS even, 0::BIGINT AS crossing FROM un LEFT JOIN cc ON node = text GROUP BY label",
+)
+
+
+def _batched(s, d):
+    texts = labelled_sentences(s, d).select("text").distinct()
+    state = increments.Groups(s, f"{workspace(s)}/groups", with_ratio=False)
+    for k in range(3):
+        state.add(texts.filter(F.length("text") % 3 == k))
+    return state.groups()
+
+
+QUERIES["ndg_batches"] = (_batched, QUERIES["ndg_components"][1])
+
+
+def _ratio_bounds(s, d):
+    pairs = tables.ratio_pairs(tables.group_keys(labelled_sentences(s, d).select("text").distinct()))
+    told = pairs.select("u", "v", F.round(sequence.length_bound(F.col("v"), F.col("u")), 6).alias("by_length"), F.round(sequence.character_bound(F.col("v"), F.col("u")), 6).alias("by_characters"))
+    return told
+
+
+QUERIES["ratio_bounds"] = (
+    _ratio_bounds,
+    f"WITH {S}, base AS (SELECT DISTINCT text FROM sent), {_KEYS}, "
+    "pr AS (SELECT DISTINCT u, v FROM (SELECT u, v, list_distinct(w) AS a, list_distinct(regexp_extract_all(lower(v), '[\\p{L}\\p{N}_]+')) AS b FROM dp WHERE u <> v) WHERE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) < 0.9), "
+    "ch AS (SELECT u, v, string_split(u, '') AS x, string_split(v, '') AS y FROM pr) "
+    "SELECT u, v, round(2.0::DOUBLE * least(len(x), len(y)) / (len(x) + len(y)), 6) AS by_length, "
+    "round(2.0::DOUBLE * list_sum(list_transform(list_distinct(x), lambda c: least(len(list_filter(x, lambda z: z = c)), len(list_filter(y, lambda z: z = c))))) / (len(x) + len(y)), 6) AS by_characters FROM ch",
+)
+
+
 def _quality_tables(s, d):
     folder = f"{_written(s, d)}/reports/"
     rejected = splits._table(s, f"{folder}rejected_rows.csv", "csv")

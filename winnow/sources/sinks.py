@@ -44,7 +44,7 @@ def write_manifest(rows: DataFrame, folder: str, version: str) -> dict:
 
 def write_cleaned(cleaned: Cleaned, output: str, reports: str, kind: str = "csv") -> dict:
     """Splits, manifest, audit, and each quality table that has rows; returns the audit."""
-    write_splits(cleaned.rows, output, kind)
+    write_splits(cleaned.rows, output, kind, cleaned.config.seed)
     report = audit(cleaned)
     write_manifest(cleaned.rows, output, report["data_version"])
     write_json(cleaned.rows.sparkSession, f"{reports}/data_audit.json", report)
