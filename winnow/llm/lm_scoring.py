@@ -65,6 +65,10 @@ class Lexicon:
         return ids, starts, places
 
 
+#: Counts up to this are told apart where words are ranked by count; above it first on a log scale.
+EXACT = 4096
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, count over docs' texts; each text ends with one end token."""
 
@@ -147,33 +151,36 @@ def _mean(table: pa.Table) -> pa.Table:
 def most_frequent(counts: DataFrame, limit: int) -> list[tuple[str, int]]:
     """Exactly the first limit words (word, c) by falling count, then by a hash of the word.
 
-    The driver sees counts of words on a log scale, those of single counts within one step of it,
-    and about twice as many words of the last count as still fit.
+    The driver sees how many words have each count up to EXACT, and on a log scale above it; if the
+    limit falls within a step of that scale, those of its counts; and, besides the words themselves,
+    about as many more of the last count.
     """
 
-    def below(groups: DataFrame, room: int) -> tuple[int | None, int | None, int, int]:
-        """The last group that fits whole, the one that does not, its words, and what room is left for it."""
-        last = None
+    def last(groups: DataFrame, room: int) -> tuple[int | None, int, int]:
+        """The first group, from the highest on, that does not fit whole, its words, and what room is left for it."""
         for g, k in sorted(((r["g"], r["count"]) for r in groups.groupBy("g").count().collect()), reverse=True):
             if k > room:
-                return last, g, k, room
-            last, room = g, room - k
-        return last, None, 0, room
-
-    stepped = counts.withColumn("g", F.floor(F.log2("c") * 16))
-    whole, part, _, room = below(stepped, limit)
-    kept = [] if whole is None else stepped.filter(F.col("g") >= whole).collect()
-    if part is not None and room:
-        within = counts.filter(F.floor(F.log2("c") * 16) == part).withColumn("g", F.col("c"))
-        whole, part, tied, room = below(within, room)
-        kept += [] if whole is None else within.filter(F.col("g") >= whole).collect()
-        share, mark = min(1.0, 2 * room / max(tied, 1)), F.pmod(F.xxhash64("word"), F.lit(1 << 40))
-        some: list = []
-        while part is not None and room and len(some) < room:
-            some = within.filter((F.col("g") == part) & (mark < F.lit(share) * F.lit(float(1 << 40)))).select("word", "c", mark.alias("m")).collect()
-            share = min(1.0, 2 * share)
-        kept += sorted(some, key=lambda r: (r["m"], r["word"]))[:room]
-    return [(r["word"], int(r["c"])) for r in kept]
+                return g, k, room
+            room -= k
+        return None, 0, room
+
+    step = F.floor(F.log2("c") * 16) + EXACT
+    edge, tied, room = last(counts.select(F.when(F.col("c") <= EXACT, F.col("c")).otherwise(step).alias("g")), limit)
+    if edge is not None and edge > EXACT:
+        above = counts.filter(F.col("c") > EXACT)
+        edge, tied, room = last(above.filter(step >= edge).select(F.col("c").alias("g")), limit)
+    if edge is None:
+        return [(r["word"], int(r["c"])) for r in counts.collect()]
+    mark = F.pmod(F.xxhash64("word"), F.lit(1 << 40))
+    share = min(1.0, 2 * room / tied)
+    while True:
+        drawn = (F.col("c") > edge) | (F.col("c") == edge) & (mark < F.lit(share * (1 << 40)))
+        found = counts.filter(drawn).select("word", "c", mark.alias("m")).collect()
+        if len(found) >= limit:
+            break
+        share = min(1.0, 2 * share)
+    found.sort(key=lambda r: (-r["c"], r["m"], r["word"]))
+    return [(r["word"], int(r["c"])) for r in found[:limit]]
 
 
 def lm_scores(
