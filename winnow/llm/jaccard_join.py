@@ -241,6 +241,7 @@ def jaccard_classes(
     Returns one row per input row: doc_id, n_shingles, component_id (the least doc_id that links
     reach, its own included).
 
+    * Texts are taken whole, whatever their length: shingles travel as hashes.
     * Words are folded A-Z; a text of fewer than n words is one shingle, its whole sequence.
     * A null, empty or blank text has no shingles, is linked with nothing and is its own class.
     * Rows that repeat a doc_id are one node with several sets.  A null doc_id takes part in no

@@ -35,6 +35,7 @@ def line_dedup(
 
     Returns one row per input row: doc_id, n_lines, n_dropped, kept_text, then the carried columns.
 
+    * Texts are split whole, whatever their length: their lines are rows until they are joined again.
     * A null or empty text is one empty line and is returned as the empty text.
     * Keys shorter than min_chars code points are never counted nor dropped.
     * Documents are counted by distinct doc_id; rows that repeat a doc_id count once and are each

@@ -98,6 +98,7 @@ def mix(
     columns.  Blocks have about block_tokens words, or less where the corpus would have under
     least_blocks of them, so that targets are met to a small share of the corpus at any size.
 
+    * Texts count whole, whatever their length.
     * Size counts words; a null or empty text has size 0, takes part and gives nothing.
     * A null source is a source of its own, after all others; weights repeat in code point order.
     * Repeated rows are documents of their own; equal rows are interchangeable in the seeded order.
