@@ -18,13 +18,20 @@ _REST = ("lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base counts or the compression bands reject go."""
+    """Documents that the base counts or the compression bands reject go.
+
+    Null and empty texts have no words and go.  Rows are judged alone, whole texts of any length:
+    repeated rows share a fate, null ids stay null; other columns are left behind.
+    """
     judged = quality_rules.quality_rules(docs, carry=("text", *_REST))
     return judged.filter("kept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shared lines stay in one document; documents left without a word go."""
+    """Shared lines stay in one document; documents left without a word go, null and empty ones too.
+
+    Rows that repeat a doc_id are one document to the counts and each keep their row.
+    """
     out = line_dedup.line_dedup(docs, carry=_REST).withColumnRenamed("kept_text", "text")
     return out.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
@@ -43,12 +50,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes; a document's second pass is a row of its own."""
+    """The words that the mix takes; a document's second pass is a row of its own.
+
+    Null sources are a source of their own; null and empty texts give no row, repeated rows each theirs.
+    """
     mixed = mixing.mix(docs, carry=("text", "lang", "n_chars"))
     return mixing.taken_texts(mixed).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, as packing.pack gives them: each row is packed, repeated ones and null ids too."""
     return packing.pack(docs, packing.default_tokenizer())
 
 
