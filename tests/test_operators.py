@@ -332,6 +332,47 @@ def test_stream_drops_what_is_later_than_the_watermark(spark, tmp_path):
     assert {o for _, o in got} == {1, 2, 3, 5}
 
 
+def _put(spark, folder, rows, name):
+    """One file of a streamed folder; names order the files."""
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, text string, verdict string").coalesce(1).write.mode("append").parquet(f"{folder}-{name}")
+    folder.mkdir(exist_ok=True)
+    for source in type(folder)(f"{folder}-{name}").glob("*.parquet"):
+        source.rename(folder / f"{name}.parquet")
+
+
+def test_gate_as_stream_with_restart_equals_batch(spark, tmp_path):
+    rng = random.Random(9)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, k % 4, t0 + dt.timedelta(seconds=5 * k), rng.choice(["p", "a", "x", "iyi"]), rng.choice(["clean"] * 6 + ["toxic", "review", None])) for k in range(240)]
+    last = [(900 + u, u, t0 + dt.timedelta(days=9), "x", "clean") for u in range(5)]  # long after all states but the warnings went
+    end = [(999, 99, t0 + dt.timedelta(days=20), "x", "clean")]
+    step = state.gate_step(state.window_step(4, 120), state.buffer_step(Lexicon(terms=("pa",)), 60.0), 3)
+    schema = "event_id long, user_id long, ts timestamp, text string, verdict string"
+    bad = [(2000, None, t0, "x", "clean"), (2001, 1, None, "x", "clean")]
+    batch = {r["event_id"]: r["result"] for r in state.moderation_gate(spark.createDataFrame(rows + last + bad, schema), step).collect()}
+    assert set(batch.values()) == {"limited", "forbidden", "banned", "warned", "passed", "queued_for_review", "unavailable"}
+
+    mixed = sorted(rows, key=lambda r: r[0] + rng.uniform(0, 8))
+    for name, parts in (("a", [mixed[:120]]), ("b", [mixed[120:] + bad, last, end])):  # the second start goes on from the checkpoint
+        for k, part in enumerate(parts):
+            _put(spark, tmp_path / "in", part, f"{name}{k}")
+            stream = state.moderation_gate(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), step, delay="70 seconds", idle_seconds=3600.0)
+            q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    got = [(r["event_id"], r["result"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert dict(x for x in got if x[0] != 999) == batch and len({k for k, _ in got}) == len(got)
+    assert batch[900 + max(u for u in range(4) if any(batch[r[0]] == "banned" for r in rows if r[1] == u))] == "forbidden"
+
+
+def test_window_step_equals_window_function(spark):
+    rng = random.Random(3)
+    t0 = dt.datetime(2024, 5, 1)
+    rows = [(k, rng.choice([1, 2]), t0 + dt.timedelta(seconds=rng.randrange(900)), "") for k in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value string")
+    want = {r["event_id"]: r["accepted"] for r in state.fixed_window_limit(df, 5, 60).collect()}
+    assert {r["event_id"]: r["result"] for r in state.run_batch(df, state.window_step(5, 60)).collect()} == want
+
+
 def test_registry_runs(spark):
     import __spark_entry__ as entry
 

@@ -130,3 +130,19 @@ QUERIES["message_buffer"] = (
     f"(SELECT e.user_id, e.i, e.event_id, list_append(list_filter(st.held, lambda x: e.t - x.t < {_DAY}), {{'l': e.l, 't': e.t}})[-8:] AS nw FROM st JOIN ev e ON e.user_id = st.user_id AND e.i = st.i + 1))) "
     "SELECT user_id, event_id, hit AS result FROM st WHERE i > 0",
 )
+_VERDICT = "CASE WHEN event_id % 11 = 0 THEN 'toxic' WHEN event_id % 7 = 0 THEN 'review' WHEN event_id % 13 <> 0 THEN 'clean' END"
+QUERIES["moderation_gate"] = (
+    lambda s, d: state.moderation_gate(
+        read(s, d, "events").withColumn("letter", F.substring("event_type", 1, 1)).withColumn("verdict", F.expr(_VERDICT)),
+        state.gate_step(state.window_step(3, 864_000), state.buffer_step(_LETTERS, 864_000.0), 3), value=("letter", "verdict"),
+    ),
+    f"WITH RECURSIVE al AS (SELECT user_id, event_id, epoch_us(ts) AS t, lower(substr(event_type, 1, 1)) AS l, {_VERDICT} AS verdict, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 864000) ORDER BY ts, event_id) <= 3 AS ok FROM events), "
+    "ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM al WHERE ok), "
+    "st(user_id, i, event_id, verdict, held, hit) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), []::STRUCT(l VARCHAR, t BIGINT)[], false FROM ev UNION ALL "
+    "SELECT user_id, i, event_id, verdict, CASE WHEN spelt THEN [] ELSE nw END, spelt FROM (SELECT *, len(nw) >= 2 AND array_to_string(list_transform(nw, lambda x: x.l), '') IN ('cc', 'vc', 'pp') AS spelt FROM "
+    f"(SELECT e.user_id, e.i, e.event_id, e.verdict, list_append(list_filter(st.held, lambda x: e.t - x.t < {10 * _DAY}), {{'l': e.l, 't': e.t}})[-8:] AS nw FROM st JOIN ev e ON e.user_id = st.user_id AND e.i = st.i + 1))), "
+    "x AS (SELECT *, hit OR coalesce(verdict = 'toxic', false) AS bad FROM st WHERE i > 0), "
+    "y AS (SELECT *, coalesce(sum(CAST(bad AS INTEGER)) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM x) "
+    "SELECT user_id, event_id, CASE WHEN prior >= 3 THEN 'forbidden' WHEN bad AND prior = 2 THEN 'banned' WHEN bad THEN 'warned' WHEN verdict = 'clean' THEN 'passed' ELSE 'queued_for_review' END AS result FROM y "
+    "UNION ALL SELECT user_id, event_id, 'limited' AS result FROM al WHERE NOT ok",
+)
