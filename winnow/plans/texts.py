@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from winnow.functions import fixed, rules, text
-from winnow.operators import moderation, service, tables
+from winnow.operators import fuzzy, moderation, service, tables
 from winnow.plans.base import L, M, TEST_LEXICON, Query, labelled, messages, read
 from winnow.sources import csv
 
@@ -130,6 +130,48 @@ QUERIES["fuzzy_terms"] = (
     lambda s, d: tables.word_rows(labelled(s, d)).select(F.lower("word").alias("word")).distinct().select("word", rules.nearest_term(TEST_LEXICON)(F.col("word")).alias("f")).select("word", "f.term", F.col("f.score").alias("score")).filter("score IS NOT NULL"),
     None,
 )
+
+def _fuzzy_sides(s, d):
+    """All words of the labelled texts, and the words of the toxic ones as terms."""
+    lab = labelled(s, d)
+    words, terms = (tables.word_rows(x).select(F.lower("word").alias("word")).distinct() for x in (lab, lab.filter("label = 1")))
+    return words, terms.filter("length(word) >= 4").select(F.col("word").alias("term"), F.col("word").alias("rank"))
+
+
+def _fuzzy_candidates(s, d):
+    words, terms = _fuzzy_sides(s, d)
+    plain = [x.select(text.plain_letters(F.col(x.columns[0])).alias("form")) for x in (words.filter("length(word) >= 4"), terms)]
+    return fuzzy.candidates(*plain)
+
+
+def _key_sql(side: str) -> str:
+    """The keys of fuzzy.candidates as a DuckDB list over form, a, b and m."""
+    one = "list_transform(range(1, length({x}) + 1), lambda {i}: substr({x}, 1, {i} - 1) || substr({x}, {i} + 1))"
+    once = one.format(x="form", i="i")
+    twice = f"flatten(list_transform({once}, lambda y: {one.format(x='y', i='j')}))"
+    size = "(b * (i + 1) // (a + b - 2 * m + 1) - b * i // (a + b - 2 * m + 1))"
+    start = "b * i // (a + b - 2 * m + 1)"
+    pieces = f"list_transform(range(0, a + b - 2 * m + 1), lambda i: i || ':' || substr(form, {start} + 1, {size}))"
+    moved = f"list_transform(list_filter(list_transform(range(m - b, a - m + 1), lambda k: {start} + k), lambda p: p >= 0 AND p + {size} <= a), lambda p: i || ':' || substr(form, p + 1, {size}))"
+    long = pieces if side == "b" else f"flatten(list_transform(range(0, a + b - 2 * m + 1), lambda i: {moved}))"
+    return f"CASE WHEN greatest(a, b) - m > {fuzzy.DEPTH} THEN {long} WHEN {side} - m = 0 THEN [form] WHEN {side} - m = 1 THEN {once} ELSE {twice} END"
+
+
+def _sided_sql(name: str, rows: str, own: str, other: str) -> str:
+    return (
+        f"{name}n AS (SELECT form, CAST(length(form) AS BIGINT) AS {own}, unnest(range(length(form) - 2, length(form) + 3)) AS {other} FROM {rows} WHERE form <> ''), "
+        f"{name}m AS (SELECT *, (179 * (a + b) + 399) // 400 AS m FROM {name}n WHERE {other} > 0), "
+        f"{name}k AS (SELECT DISTINCT form, a, b, unnest({_key_sql(own)}) AS key FROM {name}m WHERE m <= least(a, b))"
+    )
+
+
+QUERIES["fuzzy_candidates"] = (
+    _fuzzy_candidates,
+    f"WITH {L}, x AS (SELECT DISTINCT label, lower(word) AS word FROM (SELECT label, unnest(string_split_regex(text, '[{BLANK}]+')) AS word FROM lab) WHERE length(lower(word)) >= 4), "
+    f"fw AS (SELECT DISTINCT {_plain('word')} AS form FROM x), ft AS (SELECT DISTINCT {_plain('word')} AS form FROM x WHERE label = 1), "
+    f"{_sided_sql('w', 'fw', 'a', 'b')}, {_sided_sql('t', 'ft', 'b', 'a')} SELECT DISTINCT wk.form AS word, tk.form AS term FROM wk JOIN tk USING (a, b, key)",
+)
+QUERIES["fuzzy_nearest"] = (lambda s, d: fuzzy.nearest(*_fuzzy_sides(s, d)), None)
 QUERIES["stem_words"] = (
     lambda s, d: tables.word_rows(messages(s, d)).select(rules.stem(F.col("word")).alias("word")).groupBy("word").agg(F.count("*").alias("n")),
     f"WITH {M} SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[{BLANK}]+')) AS word FROM msg) WHERE word <> '' GROUP BY word",
