@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.text import tokens
+from winnow.operators.quantiles import percentiles
 
 
 def counts(df: DataFrame, *by: str) -> DataFrame:
@@ -49,7 +50,7 @@ def excess_rows(df: DataFrame, text: str = "text") -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int, *by: str) -> DataFrame:
     """Equal bins from the least value to the 99th percentile, the last one closed; share within `by`."""
     x = df.select(*by, value.alias("v"))
-    q = x.agg(F.expr("percentile(v, 0.99)").alias("hi"), F.min("v").alias("lo"))  # one row
+    q = percentiles(x, F.col("v"), {"hi": 0.99, "lo": 0.0})  # one row
     own = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))).otherwise(0)
     b = x.crossJoin(F.broadcast(q)).filter("v <= hi").select(*by, F.least(own, F.lit(bins - 1)).cast("long").alias("bin"))
     n = counts(b, *by, "bin")
@@ -63,6 +64,12 @@ def word_count(text: str = "text") -> Column:
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     """size and groups: sizes over the 99th percentile count as that; single tells groups of one row."""
     n = counts(df, group)
-    top = n.agg(F.ceil(F.expr("percentile(n, 0.99)")).alias("top"))  # one row
+    top = percentiles(n, F.col("n"), {"p": 0.99}).select(F.ceil("p").alias("top"))  # one row
     clipped = n.crossJoin(F.broadcast(top)).select(F.least("n", "top").alias("size"), (F.col("n") == 1).alias("single"))
     return clipped.groupBy("size", "single").agg(F.count("*").alias("groups"))
+
+
+def quartiles(df: DataFrame, value: Column, *by: str) -> DataFrame:
+    """Quartiles, 99th percentile, least and most of a whole number."""
+    q = percentiles(df, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q99": 0.99, "least": 0.0, "most": 1.0}, *by)
+    return q.select(*by, *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75", "q99")], *[F.col(c).cast("long").alias(c) for c in ("least", "most")])

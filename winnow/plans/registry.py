@@ -97,7 +97,7 @@ _add("strata_rare_merge", lambda s, d: tables.strata(labelled(s, d), 20).groupBy
      f"WITH {L}, c AS (SELECT label, kaynak, count(*) AS k FROM lab GROUP BY ALL), m AS (SELECT *, CASE WHEN k < 20 THEN CAST(label AS VARCHAR) || '|diger_kaynak' ELSE CAST(label AS VARCHAR) || '|' || kaynak END AS st FROM c), z AS (SELECT st, sum(k) AS n FROM m GROUP BY st), f AS (SELECT CASE WHEN (SELECT min(n) FROM z) < 20 THEN CAST(label AS VARCHAR) ELSE st END AS stratum, k FROM m) SELECT stratum, CAST(sum(k) AS BIGINT) AS n FROM f GROUP BY stratum")
 _add("char_length_hist", lambda s, d: profile.histogram(labelled(s, d), F.length("text"), 60, "label"),
      f"WITH {L}, x AS (SELECT label, length(text) AS v FROM lab), q AS (SELECT quantile_cont(v, 0.99) AS hi, min(v) AS lo FROM x), b AS (SELECT label, CAST(least(floor((v - lo) / ((hi - lo) / 60.0)), 59) AS BIGINT) AS bin FROM x, q WHERE v <= hi) SELECT label, bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM b GROUP BY label, bin")
-_add("word_length_quantiles", lambda s, d: labelled(s, d).withColumn("w", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))).groupBy("label").agg(*[F.round(F.expr(f"percentile(w, {q})"), 6).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.99)], F.min("w").cast("long").alias("least"), F.max("w").cast("long").alias("most")),
+_add("word_length_quantiles", lambda s, d: profile.quartiles(labelled(s, d), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")), "label"),
      f"WITH {L}, x AS (SELECT label, len(list_filter(string_split_regex(text, '\\s+'), lambda y: y <> '')) AS w FROM lab) SELECT label, round(quantile_cont(w, 0.25), 6) AS q25, round(quantile_cont(w, 0.5), 6) AS q50, round(quantile_cont(w, 0.75), 6) AS q75, round(quantile_cont(w, 0.99), 6) AS q99, min(w) AS least, max(w) AS most FROM x GROUP BY label")
 
 
