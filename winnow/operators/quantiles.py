@@ -42,14 +42,14 @@ def percentiles(df: DataFrame, value: Column, shares: dict[str, float], *by: str
     """
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))  # structs join nulls
     x = df.select(group.alias("g"), value.cast("double").alias("v"))
-    c = x.filter("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("n")).withColumn("range", _octaves(F.col("v")))
+    c = x.groupBy("g", "v").agg(F.count("*").alias("n")).withColumn("range", _octaves(F.col("v")))
     by_range = _counted(c, "g", "range")
-    total = by_range.groupBy("g").agg(F.sum("rows").alias("total"))
+    total = by_range.groupBy("g").agg(F.sum(F.when(F.col("range").isNotNull(), F.col("rows"))).alias("total"))
     places = {name: (F.col("total") - 1) * F.lit(float(q)) for name, q in shares.items()}
     ranks = F.array_distinct(F.array(*[f(p) for p in places.values() for f in (F.floor, F.ceil)]))
-    wanted = total.select("g", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("before"))
+    wanted = total.filter("total > 0").select("g", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("before"))
 
-    wanted = _down(by_range, wanted, ["g"], "range")
+    wanted = _down(by_range.filter("range IS NOT NULL"), wanted, ["g"], "range")
     ends = wanted.select("g", "range", "lo", "hi").distinct()
     inside = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * COARSE), F.lit(COARSE - 1))).otherwise(0)
     live = c.join(ends, ["g", "range"]).select("g", "range", inside.cast("int").alias("part"), "v", "n")
@@ -63,7 +63,7 @@ def percentiles(df: DataFrame, value: Column, shares: dict[str, float], *by: str
         u, w = F.element_at("at", low), F.element_at("at", high)
         return F.when((low == high) | (u == w), u).otherwise((high - place) * u + (place - low) * w)
 
-    known = total.join(found, "g").select("g", *[between(p).alias(name) for name, p in places.items()])
-    groups = x.select("g").distinct() if by else df.sparkSession.range(1).select(group.alias("g"))
-    out = groups.join(known, "g", "left")
+    out = total.join(found, "g", "left").select("g", *[between(p).alias(name) for name, p in places.items()])
+    if not by:  # an empty table has a row, too
+        out = df.sparkSession.range(1).select(group.alias("g")).join(out, "g", "left")
     return out.select(*[F.col("g")[c].alias(c) for c in by], *shares)

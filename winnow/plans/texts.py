@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from winnow.functions import fixed, rules, text
+from winnow.functions import fixed, lexicon_sets, rules, text
 from winnow.operators import fuzzy, moderation, service, tables
 from winnow.plans.base import L, M, TEST_LEXICON, Query, labelled, messages, read
 from winnow.sources import csv
@@ -186,6 +186,10 @@ QUERIES["dictionary_check"] = (
     lambda s, d: messages(s, d).select("user_id", "seq", rules.full_hit(F.col("text"), TEST_LEXICON).alias("hit"), rules.first_rule(F.col("text"), TEST_LEXICON).alias("rule")),
     f"WITH {_FULL} SELECT user_id, seq, hit, rule FROM hits",
 )
+QUERIES["dictionary_sets"] = (
+    lambda s, d: read(s, d, "documents").select("doc_id", lexicon_sets.first_rule(F.col("text"), TEST_LEXICON).alias("rule")),
+    "SELECT doc_id, CASE " + " ".join(f"WHEN {sql} THEN '{name}'" for name, sql in rule_sql("coalesce(text, '')").items()) + " END AS rule FROM documents",
+)
 _KEY = "k"
 _INNER, _OUTER = (bytes(b ^ pad for b in _KEY.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
 _HMAC = f"sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(text))))"
