@@ -2,7 +2,8 @@
 
 A regex of ten thousand alternatives tries each at every place.  Here a text is cut into words
 once and each word is looked up in a set of literals (which Spark keeps as InSet, inside its
-generated code), so the cost does not grow with the lexicon.  Spaced terms: letters that stand alone
+generated code), so a look-up does not grow with the lexicon; building the plan does, by one literal a
+term and rule.  Spaced terms: letters that stand alone
 are joined to runs, every stretch of a run that is as long as some term is looked up, and only terms
 found so are held against their own pattern.  Results are those of `rules`.
 """
