@@ -161,6 +161,20 @@ def test_groups_of_batches(spark, tmp_path):
     assert len(held) < len(texts)
 
 
+def test_shared_keys(spark, tmp_path):
+    """Only keys that several texts hold come with texts; repeats of a text share nothing; states keep hashes."""
+    texts = ["one two three four five six", "one two three four five six", "One, two three four five six", "one two three four five", "seven eight nine ten eleven", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    held = collections.defaultdict(set)
+    for r in tables.group_keys(df.distinct()).collect():
+        held[r["key"]].add(r["text"])
+    got = collections.defaultdict(list)
+    for r in tables.shared_keys(df).collect():
+        got[r["key"]].append(r["text"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in held.items() if len(v) > 1}
+    assert got
+
+
 def test_balanced_folds(spark):
     """Groups of mixed labels: each fold has its share of each label within one part in a hundred of all."""
     rng = random.Random(8)

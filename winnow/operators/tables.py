@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import math
 import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -36,6 +38,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written compressed to the checkpoint folder and read back; it goes when the driver's interpreter ends."""
+    use_checkpoints(df)
+    if "void" in df.schema.simpleString():  # a type that files do not have
+        return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may already be gone when the interpreter ends
+        pass
+
+
 def quarantine(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Rows of texts without a conflict."""
     return df.join(settled(conflict_texts(df, text, label)), text, "left_anti")
@@ -83,6 +105,29 @@ def group_keys(texts: DataFrame) -> DataFrame:
     return df.select("text", "w", F.explode(F.array_distinct(keys)).alias("key"))
 
 
+def key_hashes(texts: DataFrame) -> DataFrame:
+    """(k, n), 64-bit hashes of each key of distinct texts and of its text."""
+    return group_keys(texts).select(F.xxhash64("key").alias("k"), F.xxhash64("text").alias("n"))
+
+
+def keys_among(texts: DataFrame, live: DataFrame) -> DataFrame:
+    """group_keys of the texts that live (k, n) names, for its keys alone; texts may repeat."""
+    own = texts.select("text").join(live.select("n").distinct(), F.xxhash64("text") == F.col("n"), "left_semi").distinct()
+    keyed = group_keys(own).withColumn("k", F.xxhash64("key"))
+    return stored(keyed.join(live.select("k").distinct(), "k", "left_semi").select("text", "w", "key"))
+
+
+def shared_keys(texts: DataFrame) -> DataFrame:
+    """group_keys of the keys that several texts hold; texts may repeat.
+
+    All keys travel and are sorted once, as 16 bytes each; texts and words only for keys that are
+    shared.  Hashes that meet only leave a key in that one text holds.
+    """
+    many = F.count("*").over(Window.partitionBy("k"))
+    live = stored(key_hashes(texts.select("text").distinct()).withColumn("many", many).filter("many > 1").select("k", "n"))
+    return keys_among(texts, live)
+
+
 def _key_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
     """(key, u, v, sure) of holders (key, text, w): v the first text of the key, u a later one; sure where no ratio is needed."""
     first = settled(keyed.groupBy("key").agg(F.min(F.struct("text", "w")).alias("f"), F.count("*").alias("many")).filter("many > 1"))
@@ -111,7 +156,7 @@ def key_edges(keyed: DataFrame, threshold: float = 0.9, with_ratio: bool = True)
 
 def near_edges(texts: DataFrame, threshold: float = 0.9, with_ratio: bool = True) -> DataFrame:
     """Star edges (u, v), v the first text of a key and u a later, similar text of it."""
-    return key_edges(group_keys(texts), threshold, with_ratio).select("u", "v").distinct()
+    return key_edges(shared_keys(stored(texts)), threshold, with_ratio).select("u", "v").distinct()
 
 
 def text_id(c) -> Column:
@@ -178,14 +223,16 @@ def content_groups_with_stats(
 
 
 def _grouped(df: DataFrame, text: str, entity: str | None, threshold: float, with_ratio: bool) -> tuple[DataFrame, DataFrame]:
-    texts = df.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
-    edges = near_edges(texts, threshold, with_ratio).select(text_id(F.col("u")).alias("u"), text_id(F.col("v")).alias("v"))
+    df = stored(df)
+    texts = df.select(F.col(text).alias("text")).filter("text IS NOT NULL")
+    edges = key_edges(shared_keys(texts), threshold, with_ratio).select(text_id(F.col("u")).alias("u"), text_id(F.col("v")).alias("v"))
     near = label = components(edges)
     if entity:
         named = df.filter(F.coalesce(entity, F.lit("")) != "").filter(F.col(text).isNotNull())
         named = named.select(text_id(F.col(text)).alias("u"), F.col(entity).alias("e")).distinct()
         stars = named.join(settled(named.groupBy("e").agg(F.min("u").alias("v"))), "e").filter("u <> v").select("u", "v")
         label = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(stars))
+    # repeated texts do not change the least
     own = texts.withColumn("_node", text_id(F.col("text"))).join(label, F.col("_node") == F.col("node"))
     least = settled(own.groupBy("root").agg(F.min("text").alias("_least")))
     named_groups = label.join(least, "root").select("node", group_name(F.col("_least")).alias("_group"))

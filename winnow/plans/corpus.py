@@ -294,7 +294,7 @@ QUERIES["ndg_batches"] = (_batched, QUERIES["ndg_components"][1])
 
 
 def _ratio_bounds(s, d):
-    pairs = tables.ratio_pairs(tables.group_keys(labelled_sentences(s, d).select("text").distinct()))
+    pairs = tables.ratio_pairs(tables.shared_keys(tables.stored(labelled_sentences(s, d).select("text").distinct())))
     told = pairs.select("u", "v", F.round(sequence.length_bound(F.col("v"), F.col("u")), 6).alias("by_length"), F.round(sequence.character_bound(F.col("v"), F.col("u")), 6).alias("by_characters"))
     return told
 

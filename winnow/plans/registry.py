@@ -171,7 +171,7 @@ def _texts(s, d):
 
 
 def _star(s, d, kind):
-    k = tables.group_keys(_texts(s, d)).filter(F.col("key").startswith(kind + ":"))
+    k = tables.shared_keys(tables.stored(_texts(s, d))).filter(F.col("key").startswith(kind + ":"))
     f = k.groupBy("key").agg(F.min("text").alias("v"))
     return k.join(f, "key").filter("text > v").select(F.col("text").alias("u"), "v").distinct()
 
