@@ -173,6 +173,8 @@ def test_shared_keys(spark, tmp_path):
         got[r["key"]].append(r["text"])
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in held.items() if len(v) > 1}
     assert got
+    increments.Groups(spark, f"file://{tmp_path}/groups").add(df)
+    assert spark.read.parquet(f"file://{tmp_path}/groups/holders").drop("batch").columns == ["n", "ks"]
 
 
 def test_balanced_folds(spark):

@@ -1,8 +1,8 @@
 """Near-duplicate groups of texts that come in batches: after each batch the groups of one run over all.
 
-Kept as tables in one folder: holders (key, text, words), edges (key, u, v) and groups (node, root),
-each as parts that carry the batch that wrote them.  A batch brings texts; only keys that they hold
-are looked at.  Where a key's first text stays, its edges stay and the new holders are compared with
+Kept as tables in one folder: texts, holders (hashes of a text and of its keys), edges (key, u, v) and
+groups (node, root), each as parts that carry the batch that wrote them.  A batch brings texts; only
+keys that they hold and share are looked at, and only those are spelled out again from their texts.  Where a key's first text stays, its edges stay and the new holders are compared with
 it; where a lesser text comes, all holders are compared anew and old edges of the key go.  Only the
 components that lost or won an edge are joined again.  Old parts are never rewritten: a key's edges
 and a node's group are those of the last batch that wrote them.
@@ -10,7 +10,7 @@ and a node's group are those of the last batch that wrote them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winnow.operators import tables
@@ -25,7 +25,7 @@ class Groups:
 
     _SCHEMAS = {
         "texts": "text string, node binary",
-        "holders": "key string, text string, w array<string>",
+        "holders": "n long, ks array<long>",
         "edges": "key string, u binary, v binary",
         "groups": "node binary, root binary",
     }
@@ -61,9 +61,16 @@ class Groups:
         old_texts = self._kept("texts").select("text")
         fresh = rows.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct().join(old_texts, "text", "left_anti")
         fresh = self._write(fresh.select("text", tables.text_id(F.col("text")).alias("node")), "texts")
-        keyed = self._write(tables.group_keys(fresh.select("text")).select("key", "text", "w"), "holders")
+        old_hashes, hashes = self._kept("holders").drop("batch"), self._write(tables.key_hashes(fresh.select("text")).groupBy("n").agg(F.collect_list("k").alias("ks")), "holders")
+        # keys that a text of the batch shares with any other
+        met = [x.select(F.explode("ks").alias("k"), "n", F.lit(new).alias("new")) for x, new in ((old_hashes, 0), (hashes, 1))]
+        each = Window.partitionBy("k")
+        live = met[0].union(met[1]).select("k", "n", F.count("*").over(each).alias("many"), F.max("new").over(each).alias("any"))
+        live = tables.stored(live.filter("many > 1 AND any = 1").select("k", "n"))
+        keyed, older = tables.keys_among(fresh, live), tables.keys_among(old_texts, live)
+        keyed, older = (x.select("key", "text", "w") for x in (keyed, older))
         met = keyed.groupBy("key").agg(F.min("text").alias("new_first")).checkpoint()
-        before = self._kept("holders").drop("batch").join(met.select("key"), "key", "left_semi").checkpoint()
+        before = older.join(met.select("key"), "key", "left_semi").checkpoint()
         old_first = before.groupBy("key").agg(F.min("text").alias("old_first"))
         kinds = met.join(old_first, "key", "left").withColumn("moved", F.col("old_first").isNull() | (F.col("new_first") < F.col("old_first"))).checkpoint()
         # all holders of keys whose first text is new; else the new holders and the first
@@ -96,6 +103,7 @@ class Groups:
 
     def groups(self) -> DataFrame:
         """text and group_id of all texts so far, as tables.content_groups gives them."""
-        own = self._kept("texts").select("text", "node").join(self.current_groups(), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = own.groupBy("root").agg(F.min("text").alias("least"))
-        return own.join(least, "root").select("text", tables.group_name(F.col("least")).alias("group_id"))
+        texts, linked = self._kept("texts").select("text", "node"), tables.stored(self.current_groups())
+        least = texts.join(linked, "node").groupBy("root").agg(F.min("text").alias("least"))
+        named = linked.join(least, "root").select("node", tables.group_name(F.col("least")).alias("group"))
+        return texts.join(named, "node", "left").select("text", F.coalesce("group", tables.group_name(F.col("text"))).alias("group_id"))

@@ -283,7 +283,7 @@ QUERIES["balanced_split"] = (
 
 
 def _batched(s, d):
-    texts = labelled_sentences(s, d).select("text").distinct()
+    texts = tables.stored(labelled_sentences(s, d).select("text").distinct())
     state = increments.Groups(s, f"{workspace(s)}/groups", with_ratio=False)
     for k in range(3):
         state.add(texts.filter(F.length("text") % 3 == k))
