@@ -1,9 +1,11 @@
 import hashlib
 import hmac
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from winnow.functions import rules, text
+from winnow.plans import texts
 
 
 def one(spark, value, expr):
@@ -68,3 +70,40 @@ def test_invisible_characters_and_blanks(spark):
 def test_hmac(spark):
     want = hmac.new(b"key", "größe".encode(), hashlib.sha256).hexdigest()
     assert one(spark, "größe", lambda c: text.hmac_sha256(c, b"key")) == want
+
+
+def test_forms_begin_where_plain_patterns_do(spark):
+    """Patterns told by their first character match what those without do; texts of many rows keep order and nulls."""
+    pieces = ["a", "R", "rt", "RT", "ı", "İ", "ſ", "K", "ß", "@", "@ab.c", "#", "##ğ1", "--", "-", "'", "_", " ", "\x85", " ", "\n", "www.", "WWW.x", "htTps://", "é", "é", "ﬁ", "😀", "​", "𝒜", "½", "1"]
+    rows = [(k, "".join(pieces[(k * 31 + j * j * (k % 13 + 1)) % len(pieces)] for j in range(k % 9 + 3))) for k in range(700)]
+    df = spark.createDataFrame([*rows, (700, None)], "k int, t string").coalesce(1)
+    w, b = text.WORD, text.BLANK
+
+    def links(c):
+        return F.regexp_replace(F.regexp_replace(c, rf"(?i)(?:https?://|www\.)[^{b}]+", " url "), rf"(?<![{w}@])@[{w}.]{{2,}}(?![{w}@])", " kullanici ")
+
+    def model(c):
+        c = text.nfkc(F.regexp_replace(F.coalesce(c, F.lit("")), text.fixed.INVISIBLE, ""))
+        for emoji, words in text.fixed.EMOJIS.items():
+            c = F.replace(c, F.lit(emoji), F.lit(f" {words} "))
+        c = F.regexp_replace(F.regexp_replace(links(c), rf"(?<![{w}])#([{w}]+)", "$1"), rf"(?i)(?<![{w}])rt(?![{w}])", " ")
+        c = F.translate(F.lower(c), text.fixed.MODEL_LEET_FROM, text.fixed.MODEL_LEET_TO)
+        return F.trim(F.regexp_replace(F.regexp_replace(c, r"([^\n])\1{2,}", "$1$1"), f"[{b}]+", " "))
+
+    def document(c):
+        c = F.regexp_replace(links(F.coalesce(c, F.lit(""))), rf"(?<![{w}])[^{w}{b}]+|[^{w}{b}]+(?![{w}])", " ")
+        c = F.regexp_replace(F.lower(model(c)), rf"(?iu)[^0-9a-zçğıöşü{b}]", " ")
+        return F.array_join(F.filter(F.split(c, f"[{b}]+"), lambda x: (x != "") & ~x.isin(*text.fixed.STOPWORDS)), " ")
+
+    t = F.col("t")
+    got = df.select("k", text.nfkc(t).alias("n"), text.for_model(t).alias("m"), text.for_document(t).alias("d"), model(t).alias("pm"), document(t).alias("pd")).collect()
+    assert [r["n"] for r in got] == [*(unicodedata.normalize("NFKC", x) for _, x in rows), None]
+    assert all(r["m"] == r["pm"] and r["d"] == r["pd"] for r in got)
+
+
+def test_queries_of_forms_spread_one_row_group(spark, tmp_path):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("normalize_model", "normalize_document"):
+        plan = texts.QUERIES[name][0](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" in plan, name

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +16,19 @@ WORD = r"\p{L}\p{N}_"
 BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFKC")
+#: Characters that none of the patterns below begins with, told first: most positions end there.
+PLAIN = r"(?![A-Za-z0-9_ ])"
+SOLID = r"(?![!-~])"
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    """Compatibility form, a few texts at a time: a batch is held once in each form, not as objects."""
+    parts = []
+    for start in range(0, len(texts), 64):
+        some = texts.slice(start, 64).to_pylist()
+        parts.append(pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in some], pa.string()))
+    return pa.concat_arrays(parts) if parts else texts.cast(pa.string())
 
 
 def unicode_pattern(pattern: str) -> str:
@@ -27,37 +39,42 @@ def unicode_pattern(pattern: str) -> str:
 
 def squeeze(c: Column) -> Column:
     """White space runs become one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{BLANK}]+", " "))
+    return F.trim(F.regexp_replace(c, f"{SOLID}[{BLANK}]+", " "))
 
 
 def mark_links(c: Column) -> Column:
-    c = F.regexp_replace(c, rf"(?i)(?:https?://|www\.)[^{BLANK}]+", " url ")
-    return F.regexp_replace(c, rf"(?<![{WORD}@])@[{WORD}.]{{2,}}(?![{WORD}@])", " kullanici ")
+    c = F.regexp_replace(c, rf"(?=[hHwW])(?i)(?:https?://|www\.)[^{BLANK}]+", " url ")
+    return F.regexp_replace(c, rf"@(?<![{WORD}@]@)[{WORD}.]{{2,}}(?![{WORD}@])", " kullanici ")
 
 
 def for_model(c: Column, unicode_form: bool = True) -> Column:
     """Normal form for models; null gives the empty text.  unicode_form=False leaves NFKC out."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), fixed.INVISIBLE, "")
+    return squeeze(_model_form(c, unicode_form))
+
+
+def _model_form(c: Column, unicode_form: bool) -> Column:
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?![\x00-\x7f]){fixed.INVISIBLE}", "")
     c = nfkc(c) if unicode_form else c
     for emoji, words in fixed.EMOJIS.items():
         c = F.replace(c, F.lit(emoji), F.lit(f" {words} "))
     c = mark_links(c)
-    c = F.regexp_replace(c, rf"(?<![{WORD}])#([{WORD}]+)", "$1")
-    c = F.regexp_replace(c, rf"(?i)(?<![{WORD}])rt(?![{WORD}])", " ")
+    c = F.regexp_replace(c, rf"#(?<![{WORD}]#)([{WORD}]+)", "$1")
+    c = F.regexp_replace(c, rf"[rR](?<![{WORD}][rR])[tT](?![{WORD}])", " ")
     c = F.translate(F.lower(c), fixed.MODEL_LEET_FROM, fixed.MODEL_LEET_TO)
-    return squeeze(F.regexp_replace(c, r"([^\n])\1{2,}", "$1$1"))
+    return F.regexp_replace(c, r"([^\n])\1{2,}", "$1$1")
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(c, f"[{BLANK}]+"), lambda x: x != "")
+    return F.filter(F.split(c, f"{SOLID}[{BLANK}]+"), lambda x: x != "")
 
 
 def for_document(c: Column, unicode_form: bool = True, stopwords: tuple[str, ...] = fixed.STOPWORDS) -> Column:
     """Normal form for documents: links, edge punctuation, model form, plain letters, no stop words."""
     c = mark_links(F.coalesce(c, F.lit("")))
-    c = F.regexp_replace(c, rf"(?<![{WORD}])[^{WORD}{BLANK}]+|[^{WORD}{BLANK}]+(?![{WORD}])", " ")
-    c = F.regexp_replace(F.lower(for_model(c, unicode_form)), rf"(?iu)[^0-9a-zçğıöşü{BLANK}]", " ")
-    return without_words(c, stopwords)
+    c = F.regexp_replace(c, rf"{PLAIN}(?:(?<![{WORD}])[^{WORD}{BLANK}]+|[^{WORD}{BLANK}]+(?![{WORD}]))", " ")
+    # all that is no letter parts words, white space as well
+    words = F.split(F.lower(_model_form(c, unicode_form)), r"(?![0-9a-z])(?iu)[^0-9a-zçğıöşü]+")
+    return F.array_join(F.filter(words, lambda x: (x != "") & ~x.isin(*stopwords) if stopwords else x != ""), " ")
 
 
 def without_words(c: Column, stopwords: tuple[str, ...]) -> Column:

@@ -21,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df dealt over all tasks: a file of few row groups is otherwise worked on by as few."""
+    return df.repartition(key)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return d.join(lab, "doc_id").select("text", F.col("toxic").alias("label"), F.col("source").alias("kaynak"), F.lit("documents").alias("dosya"), F.col("doc_id").alias("satir_no"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions import fixed, lexicon_sets, rules, text
 from winnow.operators import fuzzy, moderation, service, tables
-from winnow.plans.base import L, M, TEST_LEXICON, Query, labelled, messages, read
+from winnow.plans.base import L, M, TEST_LEXICON, Query, labelled, messages, read, spread
 from winnow.sources import csv
 
 W = r"\p{L}\p{N}_"
@@ -93,11 +93,11 @@ def rule_sql(x: str) -> dict[str, str]:
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 QUERIES["normalize_model"] = (
-    lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(text.for_model(F.col("text")), 256).alias("h")),
+    lambda s, d: spread(read(s, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(text.for_model(F.col("text")), 256).alias("h")),
     f"SELECT doc_id, sha256({model_sql('text')}) AS h FROM documents",
 )
 QUERIES["normalize_document"] = (
-    lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(text.for_document(F.col("text")), 256).alias("h")),
+    lambda s, d: spread(read(s, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(text.for_document(F.col("text")), 256).alias("h")),
     f"SELECT doc_id, sha256({document_sql('text')}) AS h FROM documents",
 )
 QUERIES["stopword_filter"] = (
