@@ -163,6 +163,12 @@ def test_cleaning(cleaned):
         tables.check_leakage(cleaned.rows.union(cleaned.rows.withColumn("split", F.lit("test"))))
 
 
+def test_reports_read_stored_tables(cleaned):
+    """What several reports read is derived once."""
+    for df in (cleaned.rows, cleaned.rejected, cleaned.conflicts, cleaned.duplicates, cleaned.files):
+        assert df.inputFiles() and all("/stored-" in f for f in df.inputFiles())
+
+
 def test_conflict_policies(spark):
     df = spark.createDataFrame([("a", 0, None), ("a", 1, None), ("a", 1, None), ("b", 0, None)], "text string, label int, red_nedeni string")
     with pytest.raises(cleaning.LabelConflict) as stopped:

@@ -109,9 +109,10 @@ def file_reports(df: DataFrame) -> DataFrame:
 
 def clean(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> Cleaned:
     """All steps; LabelConflict under the policy error, ValueError on too few groups or on leakage."""
+    df = tables.stored(df)  # read by every step and report below
     accepted, rejected = divided(df)
     left, conflicts = resolved(accepted, config.conflict_policy)
-    duplicates = tables.duplicate_rows(left)
+    conflicts, duplicates = tables.stored(conflicts), tables.stored(tables.duplicate_rows(left))
     unique = tables.first_rows(left)
     stats = None
     if config.group_near_duplicates:
@@ -123,8 +124,7 @@ def clean(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> Cleaned:
     dealt = tables.stratified_folds(grouped, folds, seed=config.seed)
     split = tables.split_name(F.col("fold"), config.test_ratio, config.valid_ratio)
     rows = dealt.select("text", "label", "kaynak", "group_id", split.alias("split"))
-    tables.use_checkpoints(rows)
-    rows = rows.checkpoint()
+    rows = tables.stored(rows)
     tables.check_leakage(rows)
     return Cleaned(rows, rejected, conflicts, duplicates, file_reports(df), stats, config)
 
