@@ -1,7 +1,9 @@
+import difflib
 import hashlib
 import hmac
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from winnow.functions import rules, text
@@ -107,3 +109,24 @@ def test_queries_of_forms_spread_one_row_group(spark, tmp_path):
     for name in ("normalize_model", "normalize_document"):
         plan = texts.QUERIES[name][0](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(doc_id" in plan, name
+
+
+def test_nearest_term_reads_few_pairs(spark, monkeypatch):
+    """The bounds leave few pairs to be read, and the same terms as reading all."""
+    lexicon = rules.Lexicon(terms=("idiot", "idiots", "loser", "moron", "scumbag"), contextual=(), phrases=())
+    words = ["idiot", "idiotx", "idoit", "losers", "loserr", "moro", "scumbga", "scumbags", "abcde", "nothing", "xxxxx"]
+
+    def plain(word):
+        found = (None, 0)
+        for term in lexicon.terms:
+            if abs(len(word) - len(term)) <= 2 and (r := round(100 * difflib.SequenceMatcher(None, word, term).ratio())) > found[1]:
+                found = (term, r)
+        return found if found[1] >= 90 else (None, None)
+
+    run = rules.nearest_term(lexicon).func
+    read = []
+    monkeypatch.setattr(difflib.SequenceMatcher, "get_matching_blocks", lambda self, own=difflib.SequenceMatcher.get_matching_blocks: (read.append(1), own(self))[1])
+    got = run(pd.Series(words))
+    many = len(read)
+    assert many < len(words)
+    assert [(t, None if s is pd.NA else int(s)) for t, s in zip(got["term"].where(got["term"].notna(), None), got["score"], strict=True)] == [plain(w) for w in words]

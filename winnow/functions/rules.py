@@ -164,13 +164,15 @@ def nearest_term(lexicon: Lexicon = Lexicon(), least: int = 4, apart: int = 2, s
     def best(word: str | None) -> tuple[str | None, int | None]:
         if word is None or len(word) < least:
             return None, None
-        own, found = _plain(word.lower()), (None, 0)
+        own, found = _plain(word.lower()), (None, max(score, 1) - 1)
         for term, form in plain:
-            if abs(len(own) - len(form)) <= apart:
+            both = len(own) + len(form)
+            # the ratio is at most what lengths and then common characters allow; most pairs end there
+            if abs(len(own) - len(form)) <= apart and both and round(200 * min(len(own), len(form)) / both) > found[1]:
                 matcher = SequenceMatcher(None, own, form)
-                if matcher.real_quick_ratio() * 100 + 1 > found[1] and (ratio := round(100 * matcher.ratio())) > found[1]:
+                if round(100 * matcher.quick_ratio()) > found[1] and (ratio := round(100 * matcher.ratio())) > found[1]:
                     found = (term, ratio)
-        return found if found[1] >= score else (None, None)
+        return found if found[0] is not None else (None, None)
 
     @F.pandas_udf("term string, score int")
     def run(words: pd.Series) -> pd.DataFrame:

@@ -127,7 +127,7 @@ QUERIES["letter_swaps"] = (
     + f") SELECT word, count(*) AS n, any_value(term) AS term FROM w JOIN sw ON {_plain('lower(word)')} = form WHERE term <> word GROUP BY word",
 )
 QUERIES["fuzzy_terms"] = (
-    lambda s, d: tables.word_rows(labelled(s, d)).select(F.lower("word").alias("word")).distinct().select("word", rules.nearest_term(TEST_LEXICON)(F.col("word")).alias("f")).select("word", "f.term", F.col("f.score").alias("score")).filter("score IS NOT NULL"),
+    lambda s, d: tables.word_rows(spread(labelled(s, d).select("satir_no", "text"), "satir_no")).select(F.lower("word").alias("word")).distinct().select("word", rules.nearest_term(TEST_LEXICON)(F.col("word")).alias("f")).select("word", "f.term", F.col("f.score").alias("score")).filter("score IS NOT NULL"),
     None,
 )
 
