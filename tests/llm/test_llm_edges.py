@@ -209,6 +209,28 @@ def test_components_discard_their_rounds(spark, monkeypatch):
     assert got == {**dict.fromkeys(range(1, 61), 0), 101: 100}
 
 
+def test_no_compressed_table_is_sent_whole_through_the_driver(spark):
+    # 0.6 MB as a file, over 25 MB as a hash table
+    edges = tables.materialize(spark.range(600_000).select((F.col("id") * 3).alias("u"), (F.floor(F.col("id") / 50) * 150).alias("v")))
+
+    def plan():
+        return spark.range(2_400_000).join(edges, F.col("id") == F.col("u"), "left")._jdf.queryExecution().toString()
+
+    before = spark.conf.get(tables.BROADCAST)
+    assert "BroadcastHashJoin" in plan()
+    with tables.bounded(spark):
+        assert "BroadcastHashJoin" not in plan()
+        assert int(spark.conf.get(tables.BROADCAST)) == tables.BROADCAST_BYTES
+    assert spark.conf.get(tables.BROADCAST) == before
+    spark.conf.set(tables.BROADCAST, "-1")
+    try:
+        with tables.bounded(spark):
+            assert spark.conf.get(tables.BROADCAST) == "-1"
+    finally:
+        spark.conf.set(tables.BROADCAST, before)
+    tables.discard(edges)
+
+
 def test_tables_are_shared_or_refused(spark, monkeypatch):
     written = tables.materialize(spark.range(5))
     path = tables._WRITTEN[written]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an Arrow batch that goes to Python in such a job: the default of 64 MB takes twice that in each task.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+#: Most bytes of a table that such a job sends to all tasks.  What counts is the compressed file; of sorted ids it has
+#: a fiftieth of the hash table that the driver builds, and many of these may be alive at once.
+BROADCAST, BROADCAST_BYTES = "spark.sql.autoBroadcastJoinThreshold", 1 << 18
 #: Folders of the tables that materialize wrote, by DataFrame.
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -40,6 +45,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """Settings of a job whose memory in driver and tasks does not follow the session's defaults."""
+    before = {k: spark.conf.get(k) for k in (CLEANUP, BATCH, BROADCAST)}
+    now = before[BROADCAST]
+    least = -1 if now.startswith("-") else min(BROADCAST_BYTES, spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now))
+    try:
+        for k, v in ((CLEANUP, "true"), (BATCH, BATCH_BYTES), (BROADCAST, least)):
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: a short lineage that survives lost executors.
 
@@ -49,14 +69,8 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow-{uuid.uuid4().hex}"
     schema = df.schema
-    before = {k: spark.conf.get(k) for k in (CLEANUP, BATCH)}
-    spark.conf.set(CLEANUP, "true")
-    spark.conf.set(BATCH, str(BATCH_BYTES))
-    try:
+    with bounded(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(schema).parquet(path)
     _WRITTEN[out] = path
