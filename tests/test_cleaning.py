@@ -4,6 +4,7 @@ import csv as plain_csv
 import hashlib
 import random
 import warnings
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,52 @@ def test_records_over_ranges(spark, tmp_path, size):
     assert not refused or any(f"{refused} rows" in str(w.message) for w in said)
 
 
+def test_a_folder_of_part_files_is_one_file(spark, tmp_path):
+    folder = tmp_path / "raw" / "train-2.csv"
+    folder.mkdir(parents=True)
+    parts = {"part-00000-a.csv": 'text,label\nbir,1\n"iki\nsatır",0\n', "part-00001-a.csv": "", "part-00002-a.csv": "text,label\n", "part-00003-ü b%20.csv": 'text,label\n"üç\n' + "x\n" * 50 + '",1\ndört,0', "part-00004-a.csv": 'text,label\nbeş,1\n"altı\n'}
+    for name, content in parts.items():
+        (folder / name).write_text(content, encoding="utf-8")
+    (folder / "_SUCCESS").write_text("")
+    assert [p.split("/raw/")[1] for p in csv.discover(spark, str(tmp_path / "raw"))] == ["train-2.csv"]
+    want = [("bir", "1", 2), ("iki\nsatır", "0", 3), ("üç\n" + "x\n" * 50, "1", 4), ("dört", "0", 5), ("beş", "1", 6), ("altı\n", None, 7)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (20, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            assert sorted((tuple(r) for r in csv.read_csv(spark, str(folder)).collect()), key=lambda r: r[2]) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    (folder / "part-00005-a.csv").write_text("label,text\n1,yedi\n", encoding="utf-8")
+    with pytest.raises(Exception, match="headers differ"):
+        csv.read_csv(spark, str(folder)).collect()
+
+
+def test_sources_are_written_in_ranges(spark, tmp_path):
+    from winnow.plans import corpus
+
+    spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id, repeat(' word', 40)) AS text", "'en' AS lang", "'a' AS source", "200L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(4000).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 2 AS int) AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    tables.use_checkpoints(spark.range(1))
+    root = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    known = set(root.glob("plans-*"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = corpus.QUERIES["csv_sources"][0](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    (own,) = set(root.glob("plans-*")) - known
+    assert all(len(list((own / "raw" / name).glob("part-*"))) == 4 for name in ("train-2.csv", "Turkish Toxic.csv", "Ham Veri/test.csv", "Diğer Notlar.csv"))
+    assert sum(r["n"] for r in rows) == 4000
+    by_file = {}
+    for r in rows:
+        by_file[r["dosya"]] = by_file.get(r["dosya"], 0) + r["line_numbers"]
+    assert set(by_file.values()) == {sum(range(2, 1002))}
+
+
 def test_discovery(spark, tmp_path, monkeypatch):
     for name in ("p/ham_veri/b.csv", "p/ham_veri/deep/A.csv", "p/ham_veri/venv/c.csv", "p/d.csv", "p/sub/e.csv", "p/out/f.csv", "p/outer/g.csv", "h.csv", "p/ham_veri/i.txt"):
         path = tmp_path / name

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -318,28 +319,25 @@ def _quality_tables(s, d):
 QUERIES["quality_tables"] = (_quality_tables, f"WITH {U} SELECT red_nedeni, dosya, count(*) AS n FROM u WHERE red_nedeni IS NOT NULL GROUP BY ALL")
 
 
-def _one_file(df: DataFrame, path: str) -> None:
-    """df as one CSV file of that very name, in its rows' order."""
-    sinks.write_table(df.coalesce(1).sortWithinPartitions("satir_no").drop("satir_no"), f"{path}.parts")
-    jvm = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
-    store = jvm.Path(path).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    store.mkdirs(jvm.Path(path).getParent())
-    store.rename(store.globStatus(jvm.Path(f"{path}.parts/part-*"))[0].getPath(), jvm.Path(path))
-    store.delete(jvm.Path(f"{path}.parts"), True)
-
-
 def _csv_sources(s, d):
-    folder = f"{workspace(s)}/raw"
-    x = labelled(s, d).filter("length(trim(text)) > 0")
+    base = workspace(s)
+    x = labelled(s, d).filter("length(trim(text)) > 0").withColumn("k", F.pmod("satir_no", F.lit(4)))
+    x.write.partitionBy("k").option("compression", "zstd").parquet(f"{base}/rows")
     named = {"train-2.csv": 0, "Turkish Toxic.csv": 1, "Ham Veri/test.csv": 2, "Diğer Notlar.csv": 3}
+    schema = x.drop("k").schema
     for name, k in named.items():
-        own = x.filter(F.pmod("satir_no", F.lit(4)) == k)
+        try:
+            own = s.read.schema(schema).parquet(f"{base}/rows/k={k}")
+        except AnalysisException:  # no row has this remainder
+            own = s.createDataFrame([], schema)
+        # a folder of part files, each a range of rows in their order
+        own = own.orderBy("satir_no")
         if k % 2:
-            own = own.select(F.when(F.col("label") == 1, "hate").otherwise("clean").alias("Label"), F.concat(F.lit("u"), (F.col("satir_no") % 9).cast("string")).alias("User ID"), "text", "satir_no")
+            own = own.select(F.when(F.col("label") == 1, "hate").otherwise("clean").alias("Label"), F.concat(F.lit("u"), (F.col("satir_no") % 9).cast("string")).alias("User ID"), "text")
         else:
-            own = own.select(F.col("text").alias("Metin"), F.col("label").alias("etiket"), F.lit("yes").alias("agreement"), "satir_no")
-        _one_file(own, f"{folder}/{name}")
-    out = csv.load(s, folder)
+            own = own.select(F.col("text").alias("Metin"), F.col("label").alias("etiket"), F.lit("yes").alias("agreement"))
+        sinks.write_table(own, f"{base}/raw/{name}")
+    out = csv.load(s, f"{base}/raw")
     chars = F.sum(F.length("raw_text")).alias("chars")
     return out.groupBy("kaynak", "dosya", F.col("label").cast("int").alias("label"), F.when(F.col("entity_group") == "", "none").otherwise("some").alias("entity")).agg(
         F.count("*").alias("n"), F.count_distinct("entity_group").alias("entities"), F.sum("satir_no").alias("line_numbers"), chars)

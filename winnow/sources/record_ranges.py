@@ -1,4 +1,4 @@
-"""CSV records of one file, split and numbered in parallel over its byte ranges.
+"""CSV records of one file, or of a folder of part files, split and numbered in parallel over byte ranges.
 
 Spark's line reader cuts a file into ranges of whole lines.  A range may begin inside a quoted field,
 which its own lines do not tell.  So each range is read from both states that a line can begin in, at
@@ -6,6 +6,10 @@ a record's start and within quotes: what each gives is its records and the state
 one small row a range these functions are joined by prefix from the first range on, and then every
 range knows its state and its first record's number.  A record that crosses ranges is put together
 from its parts.  No task and no row holds a file; the driver sees one row a range.
+
+A folder of part files, as Spark writes a table, is read as these files one after the other in the
+order of their names: a range is known by its byte among all of them.  Each part begins with the
+header, and no record goes on from one part to the next.
 """
 
 from __future__ import annotations
@@ -31,21 +35,54 @@ BATCH_RECORDS = 2000
 
 @dataclass(frozen=True)
 class Form:
-    """How a file is written; columns are its header's."""
+    """How a file is written; columns are its header's, whose own words are in title."""
 
     encoding: str
     sep: str
     columns: tuple[str, ...]
+    title: tuple[str, ...] | None = None
+
+
+@dataclass(frozen=True)
+class Part:
+    """A file, its name as Spark gives it with each line, and its first byte among all parts."""
+
+    path: str
+    name: str
+    begin: int
+
 
+def files(spark: SparkSession, path: str) -> list[Part]:
+    """A file, or the non-empty files of a folder in the order of their names; one row a file reaches the driver."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "length", F.col("_metadata.file_name").alias("name")).collect()
+    out, at = [], 0
+    for r in sorted(rows, key=lambda r: r["path"]):
+        if r["length"]:
+            out.append(Part(r["path"], r["name"], at))
+            at += r["length"]
+    return out
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """range (byte at which the reader's split begins) and line (bytes without the line's end), in order within a range."""
-    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("range"), F.col("value").cast("binary").alias("line"))
+
+def lines(spark: SparkSession, path: str, parts: list[Part] | None = None) -> DataFrame:
+    """range (byte at which the reader's split begins) and line (bytes without the line's end), in order within a range.
+
+    parts: the files of a folder.
+    """
+    own = spark.read.option("lineSep", "\n").text(path)
+    start, line = F.col("_metadata.file_block_start"), F.col("value").cast("binary").alias("line")
+    if parts is None or len(parts) < 2:
+        return own.select(start.alias("range"), line)
+    # one row a file; a join by broadcast keeps the lines' order
+    table = spark.createDataFrame([(p.name, p.begin) for p in parts], "file string, begin long")
+    own = own.select(F.col("_metadata.file_name").alias("file"), start.alias("start"), line)
+    return own.join(F.broadcast(table), "file", "left").select((F.col("begin") + F.col("start")).alias("range"), "line")
 
 
 def head(spark: SparkSession, path: str, many: int = 50) -> list[bytes]:
-    """The first lines of a file."""
-    return [bytes(r["line"]) for r in lines(spark, path).filter("range = 0").limit(many).collect()]
+    """The first lines of a file, or of a folder's first part."""
+    parts = files(spark, path)
+    first = parts[0].path if len(parts) > 1 else path
+    return [bytes(r["line"]) for r in lines(spark, first).filter("range = 0").limit(many).collect()]
 
 
 class _Counted:
@@ -159,19 +196,25 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
 _SUMMARY = "range long, inside boolean, closed boolean, good long, bad long, skip long, tail long"
 
 
-def summaries(spark: SparkSession, path: str, form: Form) -> DataFrame:
+def summaries(spark: SparkSession, path: str, form: Form, parts: list[Part] | None = None) -> DataFrame:
     """For each range and both states it may begin in: what it gives."""
+    firsts = _firsts(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, raw in _by_range(batches):
-            own = list(pieces(raw, form.encoding, key == 0))
+            own = list(pieces(raw, form.encoding, key in firsts))
             outside, inside = both(own, form)
             rows = [(key, False, True, outside.good, outside.bad, 0, outside.tail)]
             rows.append((key, True, False, 0, 0, len(own), None) if inside is None else (key, True, True, inside.good, inside.bad, inside.skip, inside.tail))
             kinds = [pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "inside", "closed", "good", "bad", "skip", "tail"])
 
-    return lines(spark, path).mapInArrow(run, _SUMMARY)
+    return lines(spark, path, parts).mapInArrow(run, _SUMMARY)
+
+
+def _firsts(parts: list[Part] | None) -> frozenset[int]:
+    """The ranges with which files begin."""
+    return frozenset(p.begin for p in parts or []) | {0}
 
 
 @dataclass
@@ -185,18 +228,20 @@ class Place:
     number: int = 0
 
 
-def places(rows: list) -> tuple[dict[int, Place], int]:
-    """Each range's place by prefix over all ranges of a file, and how many records were refused."""
+def places(rows: list, firsts: frozenset[int] = frozenset({0})) -> tuple[dict[int, Place], int]:
+    """Each range's place by prefix over all ranges, and how many records were refused; files begin with the ranges in firsts."""
     told: dict[int, dict[bool, object]] = {}
     for r in rows:
         told.setdefault(r["range"], {})[r["inside"]] = r
     out, owner, refused = {}, None, 0
     for key in sorted(told):
+        if key in firsts:  # a quote that is open at a file's end closes there
+            owner = None
         r = told[key][owner is not None]
-        # the first record of the file is its header
-        if key == 0 and r["good"] < 1:
+        # the first record of a file is its header
+        if key in firsts and r["good"] < 1:
             raise ValueError("the header does not end in the first range")
-        out[key] = Place(r["skip"], owner, r["tail"], r["good"] - (key == 0))
+        out[key] = Place(r["skip"], owner, r["tail"], r["good"] - (key in firsts))
         refused += r["bad"]
         if r["closed"]:
             owner = key if r["tail"] is not None else None
@@ -218,7 +263,9 @@ def read_records(spark: SparkSession, path: str, form: Form) -> tuple[DataFrame,
     nulls.  An open quote at the file's end closes there.
     """
     many = len(form.columns)
-    where, refused = places(summaries(spark, path, form).collect())
+    own_files = files(spark, path)
+    firsts = _firsts(own_files)
+    where, refused = places(summaries(spark, path, form, own_files).collect(), firsts)
     shared = spark.sparkContext.broadcast(where)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +273,7 @@ def read_records(spark: SparkSession, path: str, form: Form) -> tuple[DataFrame,
             place = shared.value[key]
             if place.owner is None and place.tail is None:
                 continue
-            own = list(pieces(raw, form.encoding, key == 0))
+            own = list(pieces(raw, form.encoding, key in firsts))
             found = [(place.owner, key, "".join(own[: place.skip]))] if place.owner is not None else []
             if place.tail is not None:
                 found.append((key, key, "".join(own[place.tail :])))
@@ -243,7 +290,7 @@ def read_records(spark: SparkSession, path: str, form: Form) -> tuple[DataFrame,
     schema = ", ".join([*[f"c{k} string" for k in range(many)], "satir_no long"])
     crossing = None
     if any(p.tail is not None for p in where.values()):
-        whole = lines(spark, path).mapInArrow(parts, "owner long, range long, part string").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("range", "part"))).alias("p"))
+        whole = lines(spark, path, own_files).mapInArrow(parts, "owner long, range long, part string").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("range", "part"))).alias("p"))
         text = whole.select("owner", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("text"))
         crossing = text.mapInArrow(joined, f"{schema}, fits boolean").checkpoint()
     fits = {r["satir_no"]: r["fits"] for r in crossing.select("satir_no", "fits").collect()} if crossing is not None else {}
@@ -260,8 +307,8 @@ def read_records(spark: SparkSession, path: str, form: Form) -> tuple[DataFrame,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, raw in _by_range(batches):
             place = placed.value[key]
-            source = pieces(raw, form.encoding, key == 0)
-            records, n, title = [], place.number, key == 0
+            source = pieces(raw, form.encoding, key in firsts)
+            records, n, title = [], place.number, key in firsts
             end = None if place.tail is None else place.tail - place.skip
             for start, _, fields in numbered(islice(source, place.skip, None), form.sep):
                 if end is not None and start >= end:
@@ -269,6 +316,8 @@ def read_records(spark: SparkSession, path: str, form: Form) -> tuple[DataFrame,
                 if not _good(fields, many):
                     continue
                 if title:
+                    if form.title is not None and tuple(fields) != form.title:
+                        raise ValueError(f"{path}: the parts' headers differ")
                     title = False
                     continue
                 records.append((n, fields))
@@ -279,7 +328,7 @@ def read_records(spark: SparkSession, path: str, form: Form) -> tuple[DataFrame,
             if records:
                 yield _table(records, many)
 
-    out = lines(spark, path).mapInArrow(run, schema)
+    out = lines(spark, path, own_files).mapInArrow(run, schema)
     if crossing is not None:
         numbers = spark.createDataFrame([(k, last[k]) for k, ok in fits.items() if ok] or [(-1, 0)], "satir_no long, number long")
         out = out.union(crossing.filter("fits").join(numbers, "satir_no").select(*[f"c{k}" for k in range(many)], "number"))
