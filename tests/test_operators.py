@@ -397,3 +397,13 @@ def test_registry_runs(spark):
     assert set(entry.oracle_sql()) <= set(names)
     for name in ("metrics", "ndg_jaccard_edges", "warning_ban", "normalize_document"):
         assert names[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_word_vectors_are_learned_by_as_many_tasks_as_run_at_once(spark):
+    from winnow.operators import ml
+
+    texts = spark.range(8 * ml.LEARNER_ROWS).selectExpr("concat('a b c', id % 7, ' d') AS text")
+    assert ml.word2vec(texts, size=4, min_count=1, epochs=1).getNumPartitions() == spark.sparkContext.defaultParallelism == 8
+    few = texts.limit(3 * ml.LEARNER_ROWS)
+    assert ml.word2vec(few, size=4, min_count=1, epochs=1).getNumPartitions() == ml.LEARNERS
+    assert ml.word2vec(few, size=4, min_count=1, epochs=1, partitions=2).getNumPartitions() == 2

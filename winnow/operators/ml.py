@@ -14,10 +14,24 @@ from winnow.functions.text import tokens
 from winnow.operators import evaluate
 
 
-def word2vec(df: DataFrame, text: str = "text", size: int = 192, window: int = 5, min_count: int = 2, epochs: int = 10, partitions: int = 4, seed: int = 42):
-    """A fitted skip-gram model over df's texts; fit on the training split only."""
+#: Learners at least, and rows of a learner at least where there are more.
+LEARNERS, LEARNER_ROWS = 4, 1000
+
+
+def learners(df: DataFrame) -> int:
+    """Parts that learn side by side: as many as run at once, while each has LEARNER_ROWS rows."""
+    return max(LEARNERS, min(df.sparkSession.sparkContext.defaultParallelism, df.count() // LEARNER_ROWS))
+
+
+def word2vec(df: DataFrame, text: str = "text", size: int = 192, window: int = 5, min_count: int = 2, epochs: int = 10, partitions: int | None = None, seed: int = 42):
+    """A fitted skip-gram model over df's texts; fit on the training split only.
+
+    partitions: parts that learn on their own and are averaged after each epoch; None: learners(df).
+    Vectors depend on their number.
+    """
     from pyspark.ml.feature import Word2Vec
 
+    partitions = learners(df) if partitions is None else partitions
     words = df.select(tokens(F.lower(text)).alias("words"))
     return Word2Vec(
         vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, numPartitions=partitions, seed=seed, inputCol="words", outputCol="vector"
