@@ -630,6 +630,46 @@ def test_topk_prunes():
         assert np.array_equal(np.sort(s)[::-1][: len(best)], best) and shard.scored - before[1] <= before[1]
 
 
+def test_topk_queries_go_together():
+    """From a threshold on, queries that go together find what each finds by itself, and read a fraction of the postings."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").combine_chunks()
+    _, lengths, w, term, doc, times = topk_search.lists_of(texts)
+    n, first = len(lengths), np.searchsorted(term, np.arange(len(w.vocabulary) + 1))
+    df = np.diff(first)
+    shard = topk_search.Shard(np.arange(len(df)), first, doc, times, lengths, np.log(1 + (n - df + 0.5) / (df + 0.5)), lengths.mean())
+    asked = [np.unique(w.codes[a:b]) for a, b in zip(w.starts[:-1], w.starts[1:])][::7]
+    codes, starts = np.concatenate(asked), np.cumsum([0, *map(len, asked)])
+    for part in (1.0, 0.5):
+        alone = [shard.top(q, 10, 0.0) for q in asked]
+        bounds = np.array([part * np.sort(s)[::-1][:10][-1] if len(s) else 0.0 for _, s in alone])
+        some = np.flatnonzero(bounds > 0)[1:]
+        shard.walked = 0
+        want = {q: shard.top(asked[q], 10, bounds[q]) for q in some.tolist()}
+        before, shard.walked = shard.walked, 0
+        best = lambda d, s: sorted(zip((-s).tolist(), d.tolist()))[:10]
+        got = {q: best(d, s) for q, d, s in shard.top_together(codes, starts, some, 10, bounds)}
+        assert {q: [x for x, _ in v] for q, v in got.items()} == {q: [x for x, _ in best(d, s)] for q, (d, s) in want.items()}
+        assert shard.walked < 0.6 * before
+        for q, hits in got.items():
+            whole = np.zeros(n)
+            for t in asked[q]:
+                whole[doc[first[t] : first[t + 1]]] += shard.impact[first[t] : first[t + 1]]
+            assert all(whole[d] == -s for s, d in hits)
+
+
+def test_topk_few_shards_are_dealt(docs, monkeypatch):
+    """A round of fewer shards than tasks is searched by several tasks, each for a part of the queries."""
+    queries = docs.filter("doc_id % 10 = 0 OR doc_id = 5")
+    rows = lambda: sorted(tuple(r) for r in topk_search.search(docs, queries, k=5, shard_rows=10).collect())
+    want, seen, real = rows(), [], topk_search.materialize
+    monkeypatch.setattr(topk_search, "PART", 2)
+    monkeypatch.setattr(topk_search, "materialize", lambda df: seen.append(df.rdd.getNumPartitions()) or real(df) if df.columns == ["query_id", "_id", "score"] else real(df))
+    assert rows() == want and seen[0] > 1
+
+
 @pytest.mark.parametrize(
     "run",
     [

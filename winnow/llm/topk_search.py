@@ -15,7 +15,11 @@ all its lists at once instead of cursor by cursor:
    if it still can, in the longest, which are kept as rows over all documents.
 
 The threshold is the k-th best score known: shards come in rounds that grow eightfold, so all but
-the first start from the k-th best of the rounds before, and improve on it by their own hits.
+the first start from the k-th best of the rounds before, and improve on it by their own hits.  With
+a threshold queries go through the same steps together: short lists are walked; where a block's
+best so far and the block maxima of the longest lists cannot reach the threshold it is skipped; in
+the others the longest lists come in as a product of matrices in 32 bits, and documents within its
+error of the threshold are then scored exactly.
 
 Impacts are rounded to multiples of 2**-38, so that sums up to 32768 are exact in any order, bounds
 are never too low, and equal texts get equal scores in all shards.
@@ -24,6 +28,7 @@ are never too low, and equal texts get equal scores in all shards.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .gru import one_thread
 from .tables import discard, materialize, read
 
 K1, B = 1.2, 0.75
@@ -40,9 +46,13 @@ GROWTH = 7
 #: Documents of a block; blocks scored whole for a first threshold, besides those that hold k documents; the unit of impacts.
 BLOCK, LEAD, UNIT = 32, 6, 2.0**-38
 #: A list with at least so large a part of a shard's documents is kept as a row over all of them.
-DENSE = 16
+DENSE = 32
 #: Postings in each of its blocks up to which a list is walked whole.
 SHORT = 3
+#: Queries that go together: documents of their blocks, cells of their sums, postings walked at once.
+GROUP, CELLS, STEP = 128, 1 << 21, 1 << 16
+#: Queries that are worth a task of their own against a shard.
+PART = 512
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -106,13 +116,24 @@ class Shard:
         wide = np.flatnonzero(sizes * DENSE >= self.texts)
         self.wide = np.full(len(known), -1, np.int64)
         self.wide[wide] = np.arange(len(wide))
-        self.rows = np.zeros((len(wide), self.texts))
+        padded = np.zeros((len(wide), self.blocks * BLOCK))
+        self.rows = padded[:, : self.texts]
         own = self.wide[term] >= 0
         self.rows[self.wide[term[own]], doc[own]] = impact[own]
-        padded = np.zeros((len(wide), self.blocks * BLOCK))
-        padded[:, : self.texts] = self.rows
         self.row_max = padded.reshape(len(wide), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(wide), 0))
         self.scored = self.walked = 0
+        self.start = np.append(starts, len(term))
+        self.group = 0
+
+    def _lay(self) -> None:
+        """For queries that go together: the rows by blocks of GROUP documents."""
+        self.group = max(1, min(GROUP, self.texts))
+        groups = -(-self.texts // self.group)
+        self.dense = np.zeros((groups, len(self.rows), self.group), np.float32)
+        for g in range(groups):
+            own = self.rows[:, g * self.group : (g + 1) * self.group]
+            self.dense[g, :, : own.shape[1]] = own
+        self.dense_max = self.dense.max(axis=2).T
 
     def _parted(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lists that are walked, and the rows of the others."""
@@ -183,6 +204,66 @@ class Shard:
         good = (scores >= bound) & (scores > 0)
         return docs[good], scores[good]
 
+    def top_together(self, codes: np.ndarray, starts: np.ndarray, some: np.ndarray, k: int, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """What top gives, for those queries of some that find any; query q asks for codes[starts[q]:starts[q + 1]] from bounds[q] > 0 on."""
+        if not self.texts or not len(self.wide):
+            return
+        if not self.group:
+            self._lay()
+        most = max(1, CELLS // max(len(self.dense) * self.group, len(self.rows)))
+        for lo in range(0, len(some), most):
+            own = some[lo : lo + most]
+            terms = self.row[codes[ranges(starts[own], starts[own + 1])]]
+            owner = np.repeat(np.arange(len(own)), starts[own + 1] - starts[own])[terms >= 0]
+            for q, docs, scores in self._together(terms[terms >= 0], owner, k, bounds[own]):
+                yield int(own[q]), docs, scores
+
+    def _together(self, terms: np.ndarray, owner: np.ndarray, k: int, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        many, groups, width = len(bounds), len(self.dense), len(self.dense) * self.group
+        # each sum of 32 bits is within this share of the exact one: all impacts are positive
+        error = (np.bincount(owner, minlength=many) + 8) * 2.0**-23
+        least = bounds * np.maximum(1 - error, 0)
+        row = self.wide[terms]
+        asked = np.zeros((many, len(self.rows)), np.float32)
+        asked[owner[row >= 0], row[row >= 0]] = 1
+        # the short lists, for some queries at a time
+        short, of = terms[row < 0], owner[row < 0]
+        sizes = self.start[short + 1] - self.start[short]
+        self.walked += int(sizes.sum())
+        sums = np.empty((many, width))
+        step = np.cumsum(np.bincount(of, weights=sizes, minlength=many)) // STEP
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), many]
+        for a, b in zip(cuts, cuts[1:]):
+            lo, hi = np.searchsorted(of, [a, b])
+            post = ranges(self.start[short[lo:hi]], self.start[short[lo:hi] + 1])
+            cell = np.repeat((of[lo:hi] - a) * width, sizes[lo:hi])
+            cell += self.doc[post]
+            sums[a:b] = np.bincount(cell, weights=self.impact[post], minlength=(b - a) * width).reshape(b - a, width)
+        # the rows of the others, in blocks that can reach the threshold
+        live = sums.reshape(many, groups, self.group).max(axis=2) + asked @ self.dense_max >= least[:, None]
+        hits = []
+        for g in np.flatnonzero(live.any(axis=0)).tolist():
+            some = np.flatnonzero(live[:, g])
+            self.scored += len(some) * self.group
+            near = asked[some] @ self.dense[g] + sums[some, g * self.group : (g + 1) * self.group]
+            at, docs = np.nonzero(near >= least[some, None])
+            hits.append((some[at], docs + g * self.group, near[at, docs]))
+        if not hits:
+            return
+        found, docs, near = (np.concatenate(x) for x in zip(*hits))
+        real = docs < self.texts
+        order = np.flatnonzero(real)[np.argsort(found[real], kind="stable")]
+        found, docs, near = found[order], docs[order], near[order]
+        ends, row_ends, rows = np.searchsorted(found, np.arange(many + 1)), np.searchsorted(owner[row >= 0], np.arange(many + 1)), row[row >= 0]
+        for q in np.unique(found).tolist():
+            own, close = docs[ends[q] : ends[q + 1]], near[ends[q] : ends[q + 1]]
+            if len(own) > k:
+                own = own[close >= np.partition(close, len(own) - k)[len(own) - k] * (1 - 2 * error[q])]
+            scores = sums[q, own] + self._cells(rows[row_ends[q] : row_ends[q + 1]], own)
+            good = (scores >= bounds[q]) & (scores > 0)
+            if good.any():
+                yield q, own[good], scores[good]
+
 
 def best_of(docs: np.ndarray, scores: np.ndarray, k: int, place: np.ndarray) -> np.ndarray:
     """Positions of the k best by score, then place."""
@@ -260,10 +341,11 @@ def search(
         if r < len(ends) - 1 or not r:  # a small share of all, in whole shards
             own = own.repartition(max(1, round(n * (end - (ends[r - 1] if r else 0.0)) / shard_rows)))
         parts.append(own.mapInArrow(indexed(r), layout))
-    index = parts[0]
-    for part in parts[1:]:
-        index = index.union(part)
-    index = materialize(index)
+    index = [materialize(part) for part in parts]
+    whole = index[0]
+    for part in index[1:]:
+        whole = whole.union(part)
+    shards = [part.count() for part in index]
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +357,7 @@ def search(
         W.release()
 
     # no word is a blank, so that stands for all words of all documents
-    counts = index.select("words", "first", "lengths").mapInArrow(frequencies, "word string, df long")
+    counts = whole.select("words", "first", "lengths").mapInArrow(frequencies, "word string, df long")
     counts = materialize(counts.groupBy("word").agg(F.sum("df").alias("df")))
     mean = (counts.filter("word = ' '").agg(F.sum("df")).first()[0] or 0) / max(n, 1)
     chosen = asked.mapInArrow(terms, f"_query {kind}, word string").distinct().join(counts, "word")
@@ -310,9 +392,14 @@ def search(
                 bound[row_of[last["query_id"]]], bound_id[row_of[last["query_id"]]] = last["score"], last["_id"]
             known = spark.sparkContext.broadcast((bound, bound_id))
 
-            def run(batches: Iterator[pa.RecordBatch], shared=shared, known=known) -> Iterator[pa.RecordBatch]:
+            # few shards are searched by several tasks, each for a part of the queries
+            tasks = spark.sparkContext.defaultParallelism
+            deal = max(1, min(-(-tasks // max(shards[r], 1)), len(row_of) // PART))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared, known=known, deal=deal) -> Iterator[pa.RecordBatch]:
                 queries_of, asked_words, codes, starts, idf = shared.value
                 bound, bound_id = known.value
+                one_thread()
                 for batch in batches:
                     for row in range(batch.num_rows):
                         one = batch.slice(row, 1)
@@ -324,8 +411,9 @@ def search(
                         in_order = np.empty(len(plain), np.int64)
                         in_order[sorted(range(len(plain)), key=plain.__getitem__)] = np.arange(len(plain))
                         q_out, d_out, s_out = [], [], []
-                        for q in range(len(starts) - 1):
-                            d, s = shard.top(codes[starts[q] : starts[q + 1]], k, bound[q])
+                        mine = np.arange(one.column("part")[0].as_py(), len(bound), deal)
+                        alone = ((q, *shard.top(codes[starts[q] : starts[q + 1]], k, 0.0)) for q in mine[bound[mine] <= 0].tolist())
+                        for q, d, s in chain(alone, shard.top_together(codes, starts, mine[bound[mine] > 0], k, bound)):
                             if len(d) and bound[q] > 0:
                                 ties = np.flatnonzero(s == bound[q])
                                 if len(ties):
@@ -341,14 +429,17 @@ def search(
                             yield pa.RecordBatch.from_arrays([queries_of.take(pa.array(q)), ids.take(pa.array(d)), pa.array(s)], ["query_id", "_id", "score"])
                 W.release()
 
-            more = index.filter(F.col("round") == r).mapInArrow(run, schema)
+            more = index[r].withColumn("part", F.lit(0))
+            for part in range(1, deal):
+                more = more.union(index[r].withColumn("part", F.lit(part)))
+            more = more.mapInArrow(run, schema)
             before, hits = hits, materialize(more if hits is None else best(hits).drop("rank").union(more))
             if before is not None:
                 discard(before)
             known.unpersist()
         found.append(best(hits))
         shared.unpersist()
-    discard(index, counts)
+    discard(*index, counts)
     out = spark.createDataFrame([], f"{schema}, rank int") if not found else found[0]
     for part in found[1:]:
         out = out.union(part)
