@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from winnow.functions import fixed
 from winnow.operators import cleaning, evaluate, increments, ml, sequence, tables
 from winnow.plans.base import L, P, S, Query, labelled, labelled_sentences, read, scores, workspace
-from winnow.sources import csv, sinks, splits
+from winnow.sources import csv, embedded, sinks, splits
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 _FOLDS = 20
@@ -353,10 +353,7 @@ QUERIES["csv_sources"] = (
 
 
 def _jdbc(s, d):
-    url = f"jdbc:derby:memory:t{abs(hash(d)) % 10**6};create=true"
-    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    read(s, d, "labels").select("doc_id", "toxic", "quality").write.format("jdbc").option("url", url).option("dbtable", "labels").options(**options).mode("overwrite").save()
-    return splits.read_jdbc(s, url, "labels", key="doc_id", parts=3, options=options).toDF("doc_id", "toxic", "quality")
+    return embedded.round_trip(read(s, d, "labels").select("doc_id", "toxic", "quality"), workspace(s))
 
 
 QUERIES["jdbc_round_trip"] = (_jdbc, "SELECT doc_id, toxic, quality FROM labels")
