@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from winnow.llm.tables import materialize, read
+from winnow.llm.tables import discard, materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _REST = ("lang", "source", "n_chars")
@@ -76,8 +76,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written before the next."""
+    """All stages over the documents of sf_dir, each written before the next; what a stage read goes."""
     docs = read(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        last, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,11 +8,12 @@ import re
 import time
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from winnow.llm import gru, jaccard_join, line_dedup, lm_scoring, mixing, packing, pii, quality_rules, substring_dedup, topk_search, toxicity
+from winnow.llm import gru, jaccard_join, line_dedup, lm_scoring, mixing, packing, pii, quality_rules, substring_dedup, tables, topk_search, toxicity
 from winnow.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -560,6 +561,26 @@ def test_pii_is_a_permutation(spark):
     assert out.select("text").distinct().count() == 3000 and out.filter("n_replaced < 0 OR n_found <> 1").count() == 0
 
 
+@pytest.mark.parametrize("size", [60, 240, 990, 3900])
+def test_jaccard_bound_parts_unrelated_sets_of_one_key(size):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.append(rng.integers(0, 1 << 63, size, np.uint64), np.uint64(77))) for _ in range(60)]
+    copies = [np.unique(np.append(s[: size * 19 // 20], rng.integers(0, 1 << 63, 1, np.uint64))) for s in sets[:2]]
+    sizes = np.array([len(s) for s in sets + copies])
+    left, right = jaccard_join.block_edges(np.zeros(62, np.int64), np.arange(62), [jaccard_join.packed_point(s) for s in sets + copies], sizes, 80)
+    assert {tuple(sorted(e)) for e in zip(left, right, strict=True)} == {(0, 60), (1, 61)}
+
+
+def test_jaccard_keys_of_the_same_documents_meet_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df: seen.append(tables.materialize(df)) or seen[-1])
+    a = [f"a{k}" for k in range(2000)]
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[:-20])), (3, "alone in here now")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_classes(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    assert [t.count() for t in seen if t.columns == ["_key", "_rep"]] == [2]
+
+
 def test_jaccard_links_all_sets_of_one_id(spark):
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
     df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, "alone in here now")], "doc_id long, text string")
