@@ -407,3 +407,25 @@ def test_word_vectors_are_learned_by_as_many_tasks_as_run_at_once(spark):
     few = texts.limit(3 * ml.LEARNER_ROWS)
     assert ml.word2vec(few, size=4, min_count=1, epochs=1).getNumPartitions() == ml.LEARNERS
     assert ml.word2vec(few, size=4, min_count=1, epochs=1, partitions=2).getNumPartitions() == 2
+
+
+def test_word_vectors_stay_in_tables(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml import feature
+
+    from winnow.operators import ml
+
+    monkeypatch.setattr(feature, "Word2Vec", None)  # its driver holds the whole vocabulary
+    topics = [[f"{t}{k}" for k in range(8)] for t in "ab"]
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice(topics[k % 2]) for _ in range(12)),) for k in range(3000)] + [("Rare rare",), ("once",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "text string")
+    model = ml.word2vec(df, size=8, min_count=2, epochs=5)
+    found = {r["word"]: np.array(r["vector"].toArray()) for r in model.getVectors().collect()}
+    assert set(found) == {w for t in topics for w in t} | {"rare"}
+    near = lambda x, y: float(found[x] @ found[y] / np.linalg.norm(found[x]) / np.linalg.norm(found[y]))
+    assert min(near("a0", w) for w in topics[0]) > max(near("a0", w) for w in topics[1])
+    again = {r["word"]: list(r["vector"].toArray()) for r in ml.word2vec(df, size=8, min_count=2, epochs=5).getVectors().collect()}
+    assert {w: v.tolist() for w, v in found.items()} == again
+    words = ml.vocabulary(df, min_count=2, most=10)
+    assert sorted(r["id"] for r in ml.embedding_rows(model, words).collect()) == list(range(10))

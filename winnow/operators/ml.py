@@ -1,4 +1,4 @@
-"""Word vectors and a linear baseline scorer on pyspark.ml; neural models plug in through score_with."""
+"""Word vectors, and a linear baseline scorer on pyspark.ml; neural models plug in through score_with."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.text import tokens
-from winnow.operators import evaluate
+from winnow.operators import evaluate, skipgram
 
 
 #: Learners at least, and rows of a learner at least where there are more.
@@ -26,16 +26,12 @@ def learners(df: DataFrame) -> int:
 def word2vec(df: DataFrame, text: str = "text", size: int = 192, window: int = 5, min_count: int = 2, epochs: int = 10, partitions: int | None = None, seed: int = 42):
     """A fitted skip-gram model over df's texts; fit on the training split only.
 
-    partitions: parts that learn on their own and are averaged after each epoch; None: learners(df).
-    Vectors depend on their number.
+    partitions: parts that learn on their own and are averaged after each epoch; None: learners(df), or
+    as many as keep a part to skipgram.PART_TOKENS tokens.  Vectors depend on their number.
     """
-    from pyspark.ml.feature import Word2Vec
-
-    partitions = learners(df) if partitions is None else partitions
+    least = learners(df) if partitions is None else partitions
     words = df.select(tokens(F.lower(text)).alias("words"))
-    return Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, numPartitions=partitions, seed=seed, inputCol="words", outputCol="vector"
-    ).fit(words)
+    return skipgram.fit(words, "words", size, window, min_count, epochs, partitions, least, seed)
 
 
 PAD, UNKNOWN = 0, 1

@@ -9,6 +9,7 @@ import math
 import re
 import tempfile
 import uuid
+import weakref
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -20,6 +21,9 @@ from winnow.functions import fixed
 from winnow.functions.text import WORD, tokens
 from winnow.operators.sequence import close_pairs
 
+#: Folders of the tables that stored wrote, by DataFrame.
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 SPLIT_PAIRS = (("train", "valid"), ("train", "test"), ("valid", "test"))
 
 
@@ -47,7 +51,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Remove tables that stored gave and that no later plan reads."""
+    for df in tables:
+        if path := _STORED.pop(df, None):
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark, path: str) -> None:
